@@ -1,0 +1,11 @@
+"""Training-data operators: near and exact dedup, language ID, toxicity, token counts, mixing, media columns.
+
+Functions that run in Python workers are pickled by value, so a cluster needs no copy of this package on its
+executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
