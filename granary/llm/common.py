@@ -56,3 +56,15 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 #: Rows that a Python worker takes at a time.
 SLICE = 512
+
+
+def spans_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items that hold at most `most` in all; a larger item has a range of its own."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from granary.llm import simhash
+from granary.llm import bpe, exact, gif, language, simhash
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1_simhash_pivots,
+    "op2_exact_refine": exact.op2_exact_refine,
+    "op3_language_ppm": language.op3_language_ppm,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op10_gif_media": gif.op10_gif_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_refine": exact.OP2_SQL,
+}
