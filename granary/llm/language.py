@@ -122,8 +122,11 @@ def train_language_trees(docs: DataFrame, lang_col: str = "lang", id_col: str =
     xxhash64 of their ids. Rows with a null language, id or text teach nothing. The sample's ids (16 bytes each, a
     bounded number a language) are broadcast, and only counts of 4-byte strings of the sample reach the driver."""
     rows = text_rows(docs, id_col, text_col, F.col(lang_col).alias("lang")).where("lang is not null and doc_id is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("doc_id", "lang")
+    sample = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
+    for part in (["lang", F.pmod("order", F.lit(64))], ["lang"]):  # a hot language is ranked in 64 parts, then what they leave
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("order", "doc_id"))
+        sample = sample.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).drop("rank")
+    sample = sample.select("doc_id", "lang")
     texts = rows.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def make():
