@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, exact, gif, language, simhash
+from granary.llm import bpe, exact, gif, language, lm_score, mixing, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1_simhash_pivots,
     "op2_exact_refine": exact.op2_exact_refine,
     "op3_language_ppm": language.op3_language_ppm,
+    "op4_toxicity_nnpu": toxicity.op4_toxicity_nnpu,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op6_substring_rlz": substring.op6_substring_rlz,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_cross_entropy_difference": lm_score.op8_cross_entropy_difference,
+    "op9_temperature_mix": mixing.op9_temperature_mix,
     "op10_gif_media": gif.op10_gif_media,
 }
 
