@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACE, documents, text_rows
+from granary.llm.common import SPACE, documents, materialise, text_rows
 
 
 def normalised(text: Column) -> Column:
@@ -27,14 +27,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     along with its text are that document again, and are all kept if it is. An empty table gives an empty result."""
     body = normalised(F.col(text_col))
     rows = text_rows(docs, id_col, text_col).select("doc_id", body.alias("body"))
-    rows = rows.select("doc_id", F.length("body").alias("n"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"), F.sha2("body", 256).alias("full") if digest_all else F.col("body"))
-    keys = rows.select("n", "head")
+    sized = [F.length("body").alias("n"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head")]
+    if digest_all:
+        rows = materialise(rows.select("doc_id", *sized, F.sha2("body", 256).alias("full")), "exact-digests")
+        keys, full = rows.select("n", "head"), F.col("full")
+    else:
+        rows = rows.select("doc_id", *sized, "body")
+        keys, full = materialise(rows.select("n", "head"), "exact-sizes"), F.when(F.col("open"), F.sha2("body", 256))
     lengths = keys.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
     heads = keys.join(lengths, "n", "left_semi").groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head", F.lit(True).alias("open"))
-    full = F.col("full") if digest_all else F.when(F.col("open"), F.sha2("body", 256))
-    hashed = rows.join(heads, ["n", "head"], "left").select("doc_id", "open", full.alias("full"))
+    hashed = materialise(rows.join(heads, ["n", "head"], "left").select("doc_id", "open", full.alias("full")), "exact-hashed")
     groups = hashed.where("open").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = hashed.withColumn("key", F.when(F.col("open"), F.col("full"))).join(groups.withColumnRenamed("full", "key"), "key", "left")
+    groups = groups.where("group_size > 1").withColumnRenamed("full", "key")
+    # rows without a hash get a key of their own, so that they neither match nor meet in one task
+    out = hashed.withColumn("key", F.coalesce("full", F.col("doc_id").cast("string"))).join(groups, "key", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("full").alias("text_sha256"))
 
