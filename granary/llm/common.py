@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it; the same bytes that bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a table of its own in the shared folder and reads it back: lineage ends there, and the files
-    outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/granary/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to a table of its own in the shared folder and reads it back: lineage ends there, the files outlive
+    any executor, and the shuffles that made them are cleaned up at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

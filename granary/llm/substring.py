@@ -53,20 +53,26 @@ def window_marks(hashes: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-def factors(at: list[int], ref: list[int], ref_at: list[int], window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (first word, end, reference document, its first word) from the windows that occur earlier.
+def mark_runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run of windows with one mark."""
+    first = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(marks) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(marks)))
 
-    A factor goes on while the next window is found right behind the last one in the same reference block. Where the
-    reference changes, the window that straddles the boundary was looked up too, and begins the next factor; factors
+
+def factors(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, end, reference document, its first word) from runs of windows that occur earlier
+    (first window, number, reference document, its first window), in order.
+
+    A factor goes on while the next run is found right behind the last one in the same reference block. Where the
+    reference changes, the windows that straddle the boundary were looked up too, and begin the next factor; factors
     may thus overlap by up to window - 1 words, and every found window lies in one."""
-    out: list[tuple[int, int, int, int]] = []
-    first = 0
-    for i in range(1, len(at) + 1):
-        if i < len(at) and at[i] == at[i - 1] + 1 and ref[i] == ref[i - 1] and ref_at[i] == ref_at[i - 1] + 1:
-            continue
-        out.append((at[first], at[i - 1] + window, ref[first], ref_at[first]))
-        first = i
-    return out
+    out: list[list[int]] = []
+    for at, n, ref, ref_at in found:
+        if out and out[-1][1] == at and out[-1][2] == ref and out[-1][3] + at - out[-1][0] == ref_at:
+            out[-1][1] = at + n
+        else:
+            out.append([at, at + n, ref, ref_at])
+    return [(a, b + window - 1, r, s) for a, b, r, s in out]
 
 
 def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,10 +81,16 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     Every document is parsed against the index of all windows' first occurrences (the reference, in blocks of one
     document each): spans are its factors of at least `window` words that occur in a document of smaller doc_id, and
-    their words are removed. The index is built of candidates only. Each window is known by its mark; marks of a
-    single document settle most windows, and only those of a mark that two documents share are hashed (128 bits),
-    counted and joined. Marks and windows are aggregated before they are shuffled, hot ones sit on the split side of
-    joins with one row a key on the other, and nothing is gathered but a document's own marks and windows.
+    their words are removed. The index is built in three steps, each on what the last one left open:
+
+    1. Each window has a mark. Marks of a single document settle most windows.
+    2. Neighbouring windows of one mark are a run. A run that a smaller document has word for word is found whole, so
+       copies of a passage count as one class, however many there are.
+    3. Where a mark has several classes, their first documents' windows are looked up one by one.
+
+    Marks, classes and windows are aggregated before they are shuffled, hot ones sit on the split side of joins with
+    one row a key on the other, and nothing is gathered but a document's own marks and found runs. Marks, runs and
+    windows are compared by 64-bit hashes, runs within an equal mark and length, windows within an equal mark.
 
     Null text has no words. Rows with a null doc_id keep all words and are no reference. Rows of one doc_id are no
     reference for each other. Texts shorter than the window keep all words. An empty table gives an empty result."""
@@ -94,34 +106,49 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
         return step
 
-    marks = map_batches(rows.where("text is not null and doc_id is not null"), mark_maker, f"doc_id {kind}, mark long")
+    known = rows.where("text is not null and doc_id is not null").select("doc_id", "text")
+    marks = materialise(map_batches(known, mark_maker, f"doc_id {kind}, mark long"), "marks")
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     own = materialise(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "shared-marks")
 
-    def window_maker():
+    def run_maker():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [], [], [], []
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, (text, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3))):
                 hashes = word_hashes((text or "").encode().split())
-                at = np.flatnonzero(np.isin(window_marks(hashes, window).view(np.int64), known.values.to_numpy()))
-                if not len(at):
+                marks = window_marks(hashes, window)
+                first, n = mark_runs(marks)
+                open_runs = np.isin(marks[first].view(np.int64), known.values.to_numpy())
+                first, n = first[open_runs], n[open_runs]
+                if not len(first):
                     continue
-                span = slice(int(at[0]), int(at[-1]) + window)
-                for k, seed in enumerate((2, 3)):
-                    out[k].append(gram_hashes(hashes[span], window, seed)[at - at[0]].view(np.int64))
-                out[2].append(at)
-                out[3].append(np.full(len(at), i))
-            one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            owner = pa.array(one(out[3]))
-            return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(2).take(owner), pa.array(one(out[2]).astype(np.int32)), pa.array(one(out[0])), pa.array(one(out[1]))], ["doc_id", "row_hash", "at", "h1", "h2"])
+                each = gram_hashes(hashes, window, 2)
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                each = each[np.repeat(first, n) + inside]
+                total = np.add.reduceat(each * (_mix(inside.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), np.cumsum(n) - n)
+                for part, values in zip(out, (np.full(len(first), i), marks[first].view(np.int64), _mix(total).view(np.int64), first, n, each.view(np.int64))):
+                    part.append(values)
+            owner, mark, total, first, n, each = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(each))
+            owner = pa.array(owner)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(2).take(owner), pa.array(mark), pa.array(total), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), lists], ["doc_id", "row_hash", "mark", "run", "at", "n", "windows"])
 
         return step
 
-    windows = map_batches(rows.join(own, "doc_id").select("doc_id", "text", "row_hash", "marks"), window_maker, f"doc_id {kind}, row_hash long, at int, h1 long, h2 long")
-    windows = materialise(windows, "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last")
-    found = windows.join(first.select("h1", "h2", "ref"), ["h1", "h2"]).where("ref.doc_id < doc_id")
-    found = materialise(found.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set(F.struct("at", F.col("ref.doc_id").alias("ref"), F.col("ref.at").alias("ref_at")))).alias("found")), "found-windows")
+    open_rows = rows.join(own, "doc_id").select("doc_id", "text", "row_hash", "marks")
+    runs = materialise(map_batches(open_rows, run_maker, f"doc_id {kind}, row_hash long, mark long, run long, at int, n int, windows array<long>"), "runs")
+    key = ["mark", "run", "n"]
+    classes = runs.groupBy(*key).agg(F.min("doc_id").alias("ref"), F.min_by("at", F.col("doc_id")).alias("ref_at"))
+    classes = materialise(classes, "run-classes")
+    whole = runs.drop("windows").join(classes, key).where("ref < doc_id").select("doc_id", "row_hash", "at", "n", "ref", "ref_at")
+    several = classes.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark")
+    left = classes.join(several, "mark", "left_semi").select(*key, F.col("ref").alias("doc_id"))
+    single = runs.join(left, [*key, "doc_id"]).select("doc_id", "row_hash", "mark", "at", F.posexplode("windows").alias("i", "h"))
+    single = materialise(single.select("doc_id", "row_hash", "mark", "h", (F.col("at") + F.col("i")).alias("at")), "windows")
+    first = single.groupBy("mark", "h").agg(F.min("doc_id").alias("ref"), F.min_by("at", F.col("doc_id")).alias("ref_at"), F.max("doc_id").alias("last")).where("ref < last").drop("last")
+    parts = single.join(first, ["mark", "h"]).where("ref < doc_id").select("doc_id", "row_hash", "at", F.lit(1).alias("n"), "ref", "ref_at")
+    found = whole.unionByName(parts).groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set(F.struct("at", "n", "ref", "ref_at"))).alias("found"))
+    found = materialise(found, "found-runs")
 
     def cut_maker():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +156,7 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
                 n.append(len(words))
-                own = factors([h["at"] for h in hits], [h["ref"] for h in hits], [h["ref_at"] for h in hits], window) if hits else []
+                own = factors([(h["at"], h["n"], h["ref"], h["ref_at"]) for h in hits or []], window)
                 rest, at = [], 0
                 for a, b, _, _ in own:
                     rest += words[at:a] if a > at else []

@@ -63,4 +63,4 @@ def test_spans_name_their_source(spark):
 
 
 def test_factors_break_where_the_source_does():
-    assert factors([0, 1, 2, 5], [1, 1, 2, 2], [4, 5, 9, 12], 3) == [(0, 4, 1, 4), (2, 5, 2, 9), (5, 8, 2, 12)]
+    assert factors([(0, 1, 1, 4), (1, 1, 1, 5), (2, 1, 2, 9), (5, 4, 2, 12)], 3) == [(0, 4, 1, 4), (2, 5, 2, 9), (5, 11, 2, 12)]
