@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, text_rows
+from granary.llm.common import documents, map_batches, materialise, text_rows
 from granary.llm.language import held_out
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -47,33 +47,20 @@ class WordModel:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def telling(positive: list[set[str]], unlabelled: list[set[str]], least_docs: int, least_z: float) -> list[str]:
-    """Features of at least least_docs texts whose shares in the two samples differ by least_z standard errors."""
-    seen = [Counter(f for text in side for f in text) for side in (positive, unlabelled)]
-    kept = []
-    for f in seen[0].keys() | seen[1].keys():
-        (a, m), (b, n) = ((c[f], len(side)) for c, side in zip(seen, (positive, unlabelled)))
-        p = (a + b) / (m + n)
-        if a + b >= least_docs and abs(a / m - b / n) >= least_z * np.sqrt(p * (1 - p) * (1 / m + 1 / n)):
-            kept.append(f)
-    return sorted(kept)
-
-
-def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least_docs: int = 5, least_z: float = 5.0, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> WordModel:
-    """Full-batch Adam on the non-negative PU risk with logistic loss, over texts given by their words:
+def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> WordModel:
+    """Full-batch Adam on the non-negative PU risk with logistic loss, over texts given by their features:
 
         prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])
 
     Where the second term's estimate is below zero, the step instead undoes it (its gradient is reversed), so the
-    unlabelled positives are not driven negative. Only telling() features take part. Equal input gives an equal
-    model. Without a positive or an unlabelled text the model has the prior's odds and no features."""
+    unlabelled positives are not driven negative. Equal input gives an equal model. Without a positive or an unlabelled text the model has the prior's odds and no features."""
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
         return WordModel({}, bias)
-    positive, unlabelled = [features(w) for w in positive], [features(w) for w in unlabelled]
-    vocabulary, texts = telling(positive, unlabelled, least_docs, least_z), positive + unlabelled
+    texts = positive + unlabelled
+    vocabulary = sorted(set().union(*texts))
     place = {w: i for i, w in enumerate(vocabulary)}
-    column = [sorted(place[w] for w in words & place.keys()) for words in texts]
+    column = [sorted(map(place.__getitem__, words)) for words in texts]
     row = np.repeat(np.arange(len(texts)), [len(c) for c in column])
     column = np.array([i for c in column for i in c], np.int64)
     is_p = np.arange(len(texts)) < len(positive)
@@ -95,12 +82,13 @@ def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float,
     return WordModel({word: float(x) for word, x in zip(vocabulary, w) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 6000) -> WordModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 6000, least_docs: int = 5, least_z: float = 5.0) -> WordModel:
     """Fits the model on whole texts: up to max_positive documents that labels confirm as toxic, and up to
     max_unlabelled of all documents, whose labels are not looked at (those of the smallest xxhash64 of their ids). The
-    class prior is the share of toxic among labelled documents. Null ids, texts and labels teach
-    nothing; a document that any label calls toxic is toxic. The sample's ids are broadcast, its words reach the driver:
-    both are bounded by the two parameters."""
+    class prior is the share of toxic among labelled documents. Features are those that least_docs texts of the sample
+    have and whose shares in its two parts differ by at least least_z standard errors; Spark counts and selects them. Null ids, texts and labels teach
+    nothing; a document that any label calls toxic is toxic. The sample's ids are broadcast and its texts' selected
+    features reach the driver: both are bounded by the two sizes."""
     rows = text_rows(docs, id_col, text_col).where("doc_id is not null and text is not null")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = rows.select("doc_id").join(marks, "doc_id", "left")
@@ -111,14 +99,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(text_words(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "confirmed", "words"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(features(text_words(t))) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "confirmed", "features"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = map_batches(texts, make, f"doc_id {kind}, confirmed boolean, words array<string>").toPandas().sort_values("doc_id", kind="stable")
-    sides = [[set(x) for x in found["words"][found["confirmed"] == side]] for side in (True, False)]
-    return fit_nnpu(*sides, prior=min(max((counts["p"] or 0) / max(counts["n"] or 0, 1), 0.01), 0.5))
+    fitted = materialise(map_batches(texts, make, f"doc_id {kind}, confirmed boolean, features array<string>"), "toxicity-sample")
+    sizes = fitted.agg(F.count_if("confirmed").alias("m"), F.count_if(~F.col("confirmed")).alias("n")).first()
+    if not sizes.m or not sizes.n:
+        return fit_nnpu([], [], _prior(counts))
+    flat = fitted.select("doc_id", "confirmed", F.explode("features").alias("feature"))
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / (sizes.m + sizes.n)
+    error = F.sqrt(share * (1 - share) * (1 / sizes.m + 1 / sizes.n))
+    told = flat.groupBy("feature").agg(F.count_if("confirmed").alias("a"), F.count_if(~F.col("confirmed")).alias("b"))
+    told = told.where((a + b >= least_docs) & (F.abs(a / sizes.m - b / sizes.n) >= least_z * error)).select("feature")
+    kept = flat.join(told, "feature").groupBy("doc_id", "confirmed").agg(F.collect_set("feature").alias("kept"))
+    found = fitted.select("doc_id", "confirmed").join(kept, ["doc_id", "confirmed"], "left").toPandas().sort_values("doc_id", kind="stable")
+    sides = [[set(x if x is not None else ()) for x in found["kept"][found["confirmed"] == side]] for side in (True, False)]
+    return fit_nnpu(*sides, prior=_prior(counts))
+
+
+def _prior(counts) -> float:
+    return min(max((counts["p"] or 0) / max(counts["n"] or 0, 1), 0.01), 0.5)
 
 
 def score_toxicity(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from granary.llm.toxicity import WordModel, fit_nnpu, op4_toxicity_nnpu, score_toxicity, text_words, train_toxicity
+from granary.llm.toxicity import WordModel, features, fit_nnpu, op4_toxicity_nnpu, score_toxicity, text_words, train_toxicity
 
 SCHEMA = "doc_id long, text string, score int"
 
@@ -11,7 +11,7 @@ def test_learns_from_positives_and_unlabelled_alone():
     draw = lambda bad: set(rng.choice(plain, 12)) | ({"vile"} if bad else set())
     positive = [draw(True) for _ in range(80)]
     unlabelled = [draw(rng.random() < 0.2) for _ in range(400)]
-    model = fit_nnpu(positive, unlabelled, 0.2)
+    model = fit_nnpu([features(w) for w in positive], [features(w) for w in unlabelled], 0.2)
     assert model.score("w1 w2 vile") > 0.5 > model.score("w1 w2 w3")
     assert fit_nnpu([], unlabelled, 0.2).weights == {}
 
