@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, materialise, shared_dir, text_rows
+from granary.llm.common import documents, map_batches, materialise, shared_dir, spans_of, text_rows
 
 CACHE = "text_digest string, tokenizer string, n_tokens long"
 
@@ -23,20 +25,62 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+#: Fixed value: the pattern by which a byte-level tokenizer splits text before it merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with other characters than these go to the library whole: versions of Unicode differ in what they call a letter.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\u052f\u2000-\u206f]*")
+#: Pieces whose counts a worker remembers, and characters it splits at a time.
+REMEMBERED, CHARS = 300_000, 1 << 20
+
+
+def piecewise(path: str) -> bool:
+    """Whether the tokenizer merges within pieces of BYTE_LEVEL and does nothing else to a text."""
+    with open(path) as f:
+        told = json.load(f)
+    split = told.get("pre_tokenizer") or {}
+    return not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+
+
 def encoder(path: str) -> Callable[[list[str]], list[int]]:
-    """Counts tokens with the library of the file's kind: tokenizers (.json) or sentencepiece (.model)."""
+    """Counts tokens with the library of the file's kind: tokenizers (.json) or sentencepiece (.model).
+
+    Where a tokenizer merges within pieces only, a text's count is the sum of its pieces' counts: the library encodes
+    each distinct piece once. Texts that hold an added token's string, or characters beyond PLAIN, are encoded whole."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    split, added, known = regex.compile(BYTE_LEVEL).findall, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {}
+
+    def library(texts: list[str]) -> list[int]:
+        """Few at a time, as the library holds every token's fields."""
+        return [len(x) for at in range(0, len(texts), 64) for x in tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+
+    def by_piece(texts: list[str]) -> list[int]:
+        out = [0] * len(texts)
+        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t) and not any(a in t for a in added)]
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, n in zip(rest, library([texts[i] for i in rest])):
+            out[i] = n
+        for a, b in spans_of([len(texts[i]) for i in plain], CHARS):
+            pieces = [split(texts[i]) for i in plain[a:b]]
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = list(set().union(*pieces).difference(known))
+            known.update(zip(new, library(new)))
+            for i, p in zip(plain[a:b], pieces):
+                out[i] = sum(map(known.__getitem__, p))
+        return out
+
+    return by_piece if piecewise(path) else library
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -71,9 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         counts = encoder(tokenizer)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = []
-            for at in range(0, batch.num_rows, 64):  # few at a time: the library holds every token's fields
-                n += counts(batch.column(1).slice(at, 64).to_pylist())
+            n = counts(batch.column(1).to_pylist())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["text_digest", "tokenizer", "n_tokens"])
 
         return step
