@@ -86,18 +86,7 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
         codes = words[at >> 3] >> (at & 7) & (1 << width) - 1
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stops[0]) if len(stops) else len(codes)
-        emit, grow = out.append, table.append
-        for code in codes[:n].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError(f"code {code} with {len(table)} entries")
-            emit(entry)
-            if last and len(table) < 4096:
-                grow(last + entry[:1])
-            last = entry
+        last = _decode_run(codes[:n].tolist(), table, last, out)
         if n < len(codes):
             if codes[n] == clear + 1:
                 break
@@ -108,6 +97,30 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
     return b"".join(out)
 
 
+def _decode_run(codes: list[int], table: list[bytes], last: bytes, out: list[bytes]) -> bytes:
+    """Decodes codes without a clear among them; table grows up to 4096 entries. Gives the last string."""
+    if codes and not last:
+        if codes[0] >= len(table):
+            raise ValueError(f"code {codes[0]} with {len(table)} entries")
+        last = table[codes[0]]
+        out.append(last)
+        codes = codes[1:]
+    room = max(0, 4096 - len(table))
+    emit, grow = out.append, table.append
+    for code in codes[:room]:
+        try:
+            entry = table[code]
+        except IndexError:
+            if code != len(table):
+                raise ValueError(f"code {code} with {len(table)} entries") from None
+            entry = last + last[:1]
+        emit(entry)
+        grow(last + entry[:1])
+        last = entry
+    out.extend(map(table.__getitem__, codes[room:]))
+    return table[codes[-1]] if codes[room:] else last
+
+
 # Files ----------------------------------------------------------------------------------------------------------------
 
 
@@ -135,11 +148,12 @@ class Gif:
     frames: list[Frame]
 
     def shown(self) -> Iterator[tuple[Frame, int, np.ndarray]]:
-        """Each frame, when it appears (ms) and the canvas then: height x width x RGBA.
+        """Each frame, when it appears (ms) and the canvas then: height x width pixels, each the four bytes red, green,
+        blue, alpha as one number (little-endian). The canvas changes with the next step; copy it to keep it.
 
         Disposal 2 clears the frame's place and 3 brings back what was there before; transparent pixels leave the
         canvas as it is."""
-        canvas, start = np.zeros((self.height, self.width, 4), np.uint8), 0
+        canvas, start = np.zeros((self.height, self.width), "<u4"), 0
         for f in self.frames:
             before = canvas.copy() if f.disposal == 3 else None
             h, w = f.indices.shape
@@ -150,13 +164,13 @@ class Gif:
                 raise ValueError("no palette")
             full = np.zeros((256, 4), np.uint8)
             full[: len(palette), :3], full[:, 3] = palette, 255
-            drawn = full[indices]
+            drawn = full.view("<u4")[:, 0].take(indices)
             if f.transparent is None:
                 place[:] = drawn
             else:
                 keep = indices != f.transparent
                 place[keep] = drawn[keep]
-            yield f, start, canvas.copy()
+            yield f, start, canvas
             start += f.delay
             if f.disposal == 2:
                 place[:] = 0
@@ -259,11 +273,10 @@ def _read(data: bytes) -> Gif:
     return gif
 
 
-def histogram(rgba: np.ndarray) -> np.ndarray:
+def histogram(pixels: np.ndarray) -> np.ndarray:
     """Opaque pixels by the upper two bits of red, green and blue: 64 counts."""
-    flat = rgba.reshape(-1, 4)
-    flat = flat[flat[:, 3] > 0] >> 6
-    return np.bincount(flat[:, 0].astype(np.int64) << 4 | flat[:, 1] << 2 | flat[:, 2], minlength=64)
+    bins = (pixels >> 6 & 3) << 4 | (pixels >> 14 & 3) << 2 | pixels >> 22 & 3
+    return np.bincount(np.where(pixels >> 24 > 0, bins, 64).ravel(), minlength=65)[:64]
 
 
 # Payloads -------------------------------------------------------------------------------------------------------------
@@ -287,7 +300,7 @@ def load(media: bytes) -> tuple[bytes, str]:
     parts, total, n, end = [], np.zeros(64, np.int64), 0, 0
     for f, start, canvas in read_gif(media).shown():
         place = canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
-        parts.append(place[..., 0].tobytes())
+        parts.append((place & 255).astype(np.uint8).tobytes())
         total += histogram(place)
         n, end = n + 1, start + f.delay
     return b"".join(parts), f"frames={n};ms={end};grey=" + ",".join(map(str, total[[0, 21, 42, 63]]))

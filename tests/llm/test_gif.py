@@ -76,7 +76,7 @@ def test_disposal_transparency_and_palettes():
         Frame(np.array([[1, 0], [0, 1]]), 0, 0, 20, disposal=2, transparent=0),
         Frame(one(0), 2, 2, 10, palette=np.array([[0, 0, 255], [9, 9, 9], [7, 7, 7]], np.uint8), interlaced=True),
     ]
-    got = list(read_gif(write_gif(Gif(4, 4, red_green, 0, frames))).shown())
+    got = [(f, start, c.copy().view(np.uint8).reshape(4, 4, 4)) for f, start, c in read_gif(write_gif(Gif(4, 4, red_green, 0, frames))).shown()]
     assert [start for _, start, _ in got] == [0, 50, 80, 100]
     colour = lambda k, y, x: tuple(got[k][2][y, x])
     red, green, blue = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255)
