@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("block_index")
-BEFORE = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
-
 #: Fixed patterns and words of the noise rules.
 PAGE_NUMBERS = [r"(?i)^\d{1,4}$", r"(?i)^[-–—]\s*\d{1,4}\s*[-–—]$", r"(?i)^\d{1,4}\s*/\s*\d{1,4}$", r"(?i)^(page|p\.)\s*\d{1,4}$", r"^第\s*\d{1,4}\s*页$", r"^页码\s*\d{1,4}$"]
 CONTENTS = ["目录", "contents", "table of contents"]
@@ -20,6 +17,14 @@ NAVIGATION = ["home", "menu", "login", "logout", "register", "search", "back to
 HEADINGS = [r"^第[一二三四五六七八九十百千万\d]+[章节篇部卷](?U)\b", r"^\d+(\.\d+)*[、.．\s]+", r"^[一二三四五六七八九十]+[、.．]\s*"]
 
 
+def by_doc():
+    return Window.partitionBy("doc_id").orderBy("block_index")
+
+
+def so_far():
+    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def any_like(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
 
@@ -47,9 +52,9 @@ def remove_repeated_lines(blocks: DataFrame, min_pages: int = 3, most_chars: int
     repeated = repeated.groupBy("doc_id").agg(F.collect_set("line").alias("repeated"))
     rows = blocks.join(repeated, "doc_id", "left")
     kept = F.filter(T.lines(F.col("text")), lambda x: (T.strip(x) != "") & ~F.array_contains("repeated", T.strip(x)))
-    touched = F.col("repeated").isNotNull() & (F.coalesce("text", F.lit("")) != "")
-    text = F.when(touched, T.strip(F.array_join(kept, "\n"))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).where(~touched | (F.col("text") != "")).drop("repeated")
+    rows = rows.withColumn("touched", F.col("repeated").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
+    text = F.when(F.col("touched"), T.strip(F.array_join(kept, "\n"))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).where(~F.col("touched") | (F.col("text") != "")).drop("repeated", "touched")
 
 
 def merge_title_fragments(blocks: DataFrame, short: int = 2, long: int = 40) -> DataFrame:
@@ -60,7 +65,7 @@ def merge_title_fragments(blocks: DataFrame, short: int = 2, long: int = 40) ->
     rows = blocks.withColumn("text", text)
     size = F.length(F.coalesce("text", F.lit("")))
     rows = rows.withColumn("fragment", (F.col("block_type") == "title") & (size > 0) & (size <= short))
-    island = F.coalesce(F.sum((~F.col("fragment")).cast("int")).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    island = F.coalesce(F.sum((~F.col("fragment")).cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("island", island)
     inside = Window.partitionBy("doc_id", "island").orderBy("block_index")
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -79,13 +84,13 @@ def fix_titles(blocks: DataFrame, short: int = 2, long: int = 40, indent: float
     are long or read like sentences become text. A merged title keeps the first one's index and columns."""
     text = T.strip(F.coalesce("text", F.lit("")))
     rows = blocks.withColumn("t", text)
-    before = lambda c: F.lag(c).over(BY_DOC)
+    before = lambda c: F.lag(c).over(by_doc())
     boxes = F.col("bbox").isNotNull() & before("bbox").isNotNull()
     near = (F.abs(before("bbox")["x"] - F.col("bbox")["x"]) <= indent) & (F.abs(before("bbox")["y"] + before("bbox")["h"] - F.col("bbox")["y"]) <= gap)
     brief = (F.length(before("t")) <= short) | (F.length("t") <= short)
     goes_on = (F.col("block_type") == "title") & (before("block_type") == "title") & before("page_no").eqNullSafe(F.col("page_no")) & (F.col("t") != "") & (before("t") != "") & F.when(boxes, near).otherwise(brief)
     rows = rows.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
-    rows = rows.withColumn("island", F.sum("starts").over(BEFORE))
+    rows = rows.withColumn("island", F.sum("starts").over(so_far()))
     whole = Window.partitionBy("doc_id", "island").orderBy("block_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("joined", F.array_join(F.collect_list("t").over(whole), "")).where("starts = 1")
     title = F.col("block_type") == "title"
@@ -103,7 +108,7 @@ def text_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(body).alias("block_index", "raw")).withColumn("line", T.strip(F.col("raw")))
     heading = F.col("line").startswith("#") | ((F.length("line") <= 80) & any_like(F.col("line"), HEADINGS))
     rows = rows.withColumn("heading", (F.col("line") != "") & heading).withColumn("ends", (F.col("line") == "") | F.col("heading"))
-    island = F.sum((F.col("ends") | F.coalesce(F.lag("ends").over(BY_DOC), F.lit(True))).cast("int")).over(BEFORE)
+    island = F.sum((F.col("ends") | F.coalesce(F.lag("ends").over(by_doc()), F.lit(True))).cast("int")).over(so_far())
     rows = rows.withColumn("island", island).where("line <> ''")
     got = rows.groupBy("doc_id", "island").agg(F.bool_or("heading").alias("heading"), F.min("block_index").alias("at"), F.array_sort(F.collect_list(F.struct("block_index", "line"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda x: x["line"]), "\n")
@@ -129,13 +134,13 @@ def merge_cross_page_tables(blocks: DataFrame) -> DataFrame:
     same header, or a continuation word in front, or a header on the left only. Tables are numbered by document;
     extra gets table_id, page_range, headers, row_count, table_part_count."""
     rows = blocks.withColumn("cells", T.table_cells(F.col("text"))).withColumn("header", T.table_header(F.col("cells"))).withColumn("cols", T.column_count(F.col("text")))
-    before = lambda c: F.lag(c).over(BY_DOC)
+    before = lambda c: F.lag(c).over(by_doc())
     table = F.col("block_type") == "table"
     follows = table & (before("block_type") == "table") & before("source_path").eqNullSafe(F.col("source_path")) & (F.col("page_no") == before("page_no") + 1) & (F.col("cols") > 0) & (F.col("cols") == before("cols"))
     same = (F.size("header") > 0) & (F.col("header") == before("header"))
     word = T.strip(F.lower(F.coalesce("text", F.lit("")))).rlike(r"^(continued|cont\.|续表)")
     left_only = (F.size(before("header")) > 0) & (F.size("header") == 0)
-    rows = rows.withColumn("starts", (~F.coalesce(follows & (same | word | left_only), F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(BEFORE))
+    rows = rows.withColumn("starts", (~F.coalesce(follows & (same | word | left_only), F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(so_far()))
     first = F.first("header").over(Window.partitionBy("doc_id", "island").orderBy("block_index"))
     rows = rows.withColumn("first_header", first)
     kept = F.when((F.col("starts") == 0) & (F.col("header") == F.col("first_header")), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1)))).otherwise(F.col("cells"))
@@ -148,7 +153,7 @@ def merge_cross_page_tables(blocks: DataFrame) -> DataFrame:
     all_rows = F.flatten(F.transform("parts", lambda x: x["kept"]))
     texts = F.array_join(F.filter(F.transform("parts", lambda x: T.strip(F.coalesce(x["text"], F.lit("")))), lambda x: x != ""), "\n\n")
     text = F.when(table & F.col("markdown"), T.table_text(all_rows)).when(table, texts).otherwise(F.col("parts")[0]["text"])
-    got = got.withColumn("text", text).withColumn("table_no", F.sum(table.cast("int")).over(BEFORE) - 1)
+    got = got.withColumn("text", text).withColumn("table_no", F.sum(table.cast("int")).over(so_far()) - 1)
     shown = T.table_cells(F.col("text"))
     facts = F.map_from_arrays(
         F.array(*map(F.lit, ("table_id", "page_range", "headers", "row_count", "table_part_count", "is_cross_page_table"))),
@@ -162,7 +167,7 @@ def block_quality(blocks: DataFrame, min_mean: float = 20.0) -> DataFrame:
     """One row a document: blocks by type, pages, blocks without a page, table candidates on following pages, mean
     length, flags and level."""
     kind = F.col("block_type")
-    page, before_page, before_kind = F.col("page_no"), F.lag("page_no").over(BY_DOC), F.lag("block_type").over(BY_DOC)
+    page, before_page, before_kind = F.col("page_no"), F.lag("page_no").over(by_doc()), F.lag("block_type").over(by_doc())
     rows = blocks.withColumn("candidate", F.coalesce((kind == "table") & (before_kind == "table") & (page == before_page + 1), F.lit(False)))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     got = rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), n(kind == "title").alias("titles"), n(kind == "text").alias("texts"), n(kind == "list_item").alias("list_items"), n(kind == "table").alias("tables"), n(kind == "image").alias("images"), F.countDistinct("page_no").alias("pages"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), n(page.isNull()).alias("missing_pages"), n(F.col("candidate")).alias("table_candidates"), F.round(F.avg(F.length(T.strip(F.coalesce("text", F.lit(""))))), 2).alias("mean_chars"))
@@ -196,7 +201,7 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
 
 def blocks_to_markdown(blocks: DataFrame) -> DataFrame:
     """(doc_id, markdown): each block with its type's prefix, and a break where the page changes."""
-    last = F.last("page_no", ignorenulls=True).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last("page_no", ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
     text = T.strip(F.coalesce("text", F.lit("")))
     prefix = F.when(F.col("block_type") == "title", "## ").when(F.col("block_type") == "list_item", "- ").otherwise("")
     turn = F.when(F.col("page_no").isNotNull() & ~F.col("page_no").eqNullSafe(last), F.concat(F.lit("--- page "), F.col("page_no").cast("string"), F.lit(" ---\n\n"))).otherwise("")

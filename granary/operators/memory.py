@@ -13,7 +13,10 @@ LOW_VALUE = [*FAILURES, "没有任何"]
 EXPLICIT = ["记住", "请记住", "帮我记住", "remember"]
 DURABLE = ["我的目标", "我的偏好", "我喜欢", "我不喜欢", "我习惯", "我希望", "我正在", "我当前", "以后", "以后都", "下次", "下次请", "我的项目", "项目是", "系统是", "架构是", "技术栈", "当前记忆系统"]
 RECENT, TRIGGER, MESSAGE_CHARS, INPUT_CHARS, MEMORY_CHARS = 6, 12, 1200, 6000, 2000
-BY_SESSION = Window.partitionBy("session_id")
+
+
+def by_session():
+    return Window.partitionBy("session_id")
 
 
 def body() -> Column:
@@ -31,14 +34,14 @@ def low_value_messages(messages: DataFrame) -> DataFrame:
 
 def recent_messages(messages: DataFrame, n: int = RECENT) -> DataFrame:
     """Each session's last n messages that are not blank, in ascending order (position from 1)."""
-    last = messages.withColumn("back", F.row_number().over(BY_SESSION.orderBy(F.desc("message_id")))).where(F.col("back") <= n)
+    last = messages.withColumn("back", F.row_number().over(by_session().orderBy(F.desc("message_id")))).where(F.col("back") <= n)
     last = last.where(body() != "")
-    return last.withColumn("position", F.row_number().over(BY_SESSION.orderBy("message_id"))).drop("back")
+    return last.withColumn("position", F.row_number().over(by_session().orderBy("message_id"))).drop("back")
 
 
 def compression_plan(messages: DataFrame, summaries: DataFrame, recent: int = RECENT, trigger: int = TRIGGER) -> DataFrame:
     """One row a session: counts, ids of evicted messages that the summary doesn't cover, and whether to compress."""
-    back = messages.withColumn("back", F.row_number().over(BY_SESSION.orderBy(F.desc("message_id"))))
+    back = messages.withColumn("back", F.row_number().over(by_session().orderBy(F.desc("message_id"))))
     rows = back.join(summaries.select("session_id", "covered_until_message_id", "covered_message_count"), "session_id", "left")
     evicted = F.col("back") > recent
     new = evicted & (F.col("covered_until_message_id").isNull() | (F.col("message_id") > F.col("covered_until_message_id")))
@@ -63,7 +66,7 @@ def new_messages(messages: DataFrame, plan: DataFrame) -> DataFrame:
 def summary_input(messages: DataFrame, message_chars: int = MESSAGE_CHARS, most_chars: int = INPUT_CHARS) -> DataFrame:
     """(session_id, summary_input): 'role: text' lines of worthwhile messages, each clipped, within the budget."""
     rows = messages.where(~is_low_value()).select("session_id", "message_id", F.concat("role", F.lit(": "), F.substring(body(), 1, message_chars)).alias("line"))
-    before = F.coalesce(F.sum(F.length("line")).over(BY_SESSION.orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("line")).over(by_session().orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("used", before).where(F.col("used") < most_chars)
     line = F.substr("line", F.lit(1), (F.lit(most_chars) - F.col("used")).cast("int"))
     rows = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("message_id", line.alias("line")))).alias("rows"))
@@ -74,7 +77,7 @@ def fallback_summary(messages: DataFrame, summaries: DataFrame, most_lines: int
     """(session_id, summary): the previous summary, then the first user and assistant messages up to five lines."""
     said = F.when(F.col("role") == "user", F.concat(F.lit("用户曾提到："), F.substring(body(), 1, clip_chars))).when(F.col("role") == "assistant", F.concat(F.lit("助手曾确认："), F.substring(body(), 1, clip_chars)))
     rows = messages.where(~is_low_value() & F.col("role").isin("user", "assistant")).select("session_id", "message_id", said.alias("line"))
-    rows = rows.withColumn("nth", F.row_number().over(BY_SESSION.orderBy("message_id"))).where(F.col("nth") <= most_lines)
+    rows = rows.withColumn("nth", F.row_number().over(by_session().orderBy("message_id"))).where(F.col("nth") <= most_lines)
     rows = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("rows"))
     joined = rows.join(summaries.select("session_id", strip(F.coalesce("summary", F.lit(""))).alias("previous")), "session_id", "left")
     lines = F.transform("rows", lambda x: x["line"])
@@ -88,7 +91,7 @@ def long_term_memory_gate(messages: DataFrame, most_chars: int = MEMORY_CHARS) -
     """(session_id, message_id, memory): user messages with a lasting marker whose next message is a sound answer;
     clipped, and of equal texts of a session the first."""
     turns = messages.where(F.col("role").isin("user", "assistant", "system"))
-    following = lambda c: F.lead(c).over(BY_SESSION.orderBy("message_id"))
+    following = lambda c: F.lead(c).over(by_session().orderBy("message_id"))
     rows = turns.withColumn("next_role", following("role")).withColumn("answer", strip(F.coalesce(following("content"), F.lit("")))).withColumn("memory", body())
     keep = (F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.col("memory") != "") & (F.col("answer") != "")
     rows = rows.where(keep & contains_any(F.col("memory"), EXPLICIT + DURABLE) & ~contains_any(F.col("answer"), FAILURES))
@@ -98,7 +101,7 @@ def long_term_memory_gate(messages: DataFrame, most_chars: int = MEMORY_CHARS) -
 
 def prompt_memory_context(messages: DataFrame, summaries: DataFrame, memories: DataFrame, most_messages: int = 8) -> DataFrame:
     """(session_id, context): long-term memories (5), the summary and the last messages as one text block."""
-    kept = memories.withColumn("nth", F.row_number().over(BY_SESSION.orderBy("message_id"))).where("nth <= 5").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("nth", "memory"))).alias("m"))
+    kept = memories.withColumn("nth", F.row_number().over(by_session().orderBy("message_id"))).where("nth <= 5").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("nth", "memory"))).alias("m"))
     m_lines = F.transform("m", lambda x: F.concat(F.lit("- "), F.substring(x["memory"], 1, 500)))
     last = recent_messages(messages, most_messages).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", F.concat("role", F.lit(": "), F.substring(body(), 1, 500)).alias("line")))).alias("r"))
     r_lines = F.transform("r", lambda x: x["line"])
