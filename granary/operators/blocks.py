@@ -76,7 +76,7 @@ def merge_title_fragments(blocks: DataFrame, short: int = 2, long: int = 40) ->
     rows = rows.where(~F.col("fragment") | demoted)
     new_text = F.when(demoted, F.col("carry")).when(joined, F.concat("carry", "text")).otherwise(F.col("text"))
     kind = F.when(demoted, "text").when((F.col("block_type") == "title") & (F.length(new_text) >= long), "text").otherwise(F.col("block_type"))
-    return rows.withColumn("block_type", kind).withColumn("text", new_text).drop("fragment", "island", "carry", "head", "head_title", "tail")
+    return rows.withColumns({"block_type": kind, "text": new_text}).drop("fragment", "island", "carry", "head", "head_title", "tail")
 
 
 def fix_titles(blocks: DataFrame, short: int = 2, long: int = 40, indent: float = 12.0, gap: float = 18.0) -> DataFrame:
