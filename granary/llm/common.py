@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,9 +55,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield step(batch.slice(at, SLICE))
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    yield step(batch.slice(at, SLICE))
+        finally:  # a worker serves many tasks: what one has loaded must not wait for the collector while the next loads
+            del step
+            gc.collect()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Texts with other characters than these go to the library whole: versions of Unicode differ in what they call a letter.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\u052f\u2000-\u206f]*")
 #: Pieces whose counts a worker remembers, and characters it splits at a time.
-REMEMBERED, CHARS = 300_000, 1 << 20
+REMEMBERED, CHARS = 200_000, 1 << 19
 
 
 def piecewise(path: str) -> bool:
@@ -72,9 +72,10 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
             out[i] = n
         for a, b in spans_of([len(texts[i]) for i in plain], CHARS):
             pieces = [split(texts[i]) for i in plain[a:b]]
-            if len(known) > REMEMBERED:
-                known.clear()
             new = list(set().union(*pieces).difference(known))
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(set().union(*pieces))
             known.update(zip(new, library(new)))
             for i, p in zip(plain[a:b], pieces):
                 out[i] = sum(map(known.__getitem__, p))
