@@ -43,6 +43,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    if files := df.inputFiles():
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the columns an operator reads, under its own names, so that other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)

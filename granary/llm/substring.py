@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, materialise, text_rows
+from granary.llm.common import discard, documents, map_batches, materialise, text_rows
 
 #: Words of a k-gram that can mark a window.
 MARK = 5
@@ -110,6 +110,7 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     marks = materialise(map_batches(known, mark_maker, f"doc_id {kind}, mark long"), "marks")
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     own = materialise(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "shared-marks")
+    discard(marks)
 
     def run_maker():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,6 +138,7 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     open_rows = rows.join(own, "doc_id").select("doc_id", "text", "row_hash", "marks")
     runs = materialise(map_batches(open_rows, run_maker, f"doc_id {kind}, row_hash long, mark long, run long, at int, n int, windows array<long>"), "runs")
+    discard(own)
     key = ["mark", "run", "n"]
     classes = runs.groupBy(*key).agg(F.min("doc_id").alias("ref"), F.min_by("at", F.col("doc_id")).alias("ref_at"))
     classes = materialise(classes, "run-classes")
