@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_refine": exact.OP2_SQL,
+    "op6_substring_rlz": substring.OP6_SQL,
 }

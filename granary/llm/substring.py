@@ -179,4 +179,18 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
 def op6_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = duplicate_spans(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with w as (select doc_id, string_split_regex(body, '[\x20\x09-\x0D]+') as ws
+  from (select doc_id, regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as body from documents) where body <> ''),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+first as (select g, min(doc_id) as m from win group by g),
+hit as (select doc_id, i from win join first using (g) where m < doc_id),
+covered as (select distinct doc_id, i + d as p from hit, (select unnest(range(0, 13)) as d)),
+word as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
+done as (select word.doc_id, count(*) as n_words, count(covered.p) as n_removed, coalesce(string_agg(case when covered.p is null then x end, ' ' order by word.p), '') as kept
+  from word left join covered on covered.doc_id = word.doc_id and covered.p = word.p group by word.doc_id)
+select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join done using (doc_id)
+"""
