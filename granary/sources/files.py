@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,12 @@ def write_ingestion_report(rollup: DataFrame, items: DataFrame, path: str) -> No
     """One JSON file a run: the roll-up's rows. Rows a document go beside it, as they grow with the collection."""
     rollup.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     items.write.mode("overwrite").json(f"{path}/documents")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; one of our own only where that is
+    unset."""
+    if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"

@@ -24,10 +24,11 @@ def stream_query_dedupe(queries: DataFrame, key: str = "cache_key", ts: str = "t
     return queries.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 
-def stream_session_memory(messages: DataFrame, recent: int = RECENT, trigger: int = TRIGGER) -> DataFrame:
+def stream_session_memory(messages: DataFrame, recent: int = RECENT, trigger: int = TRIGGER, expire_days: int | None = 7) -> DataFrame:
     """Per session, the number of messages and the ids of the last `recent`; each batch emits the sessions it touched.
 
-    State is one number and a bounded list a session, whatever the history; it goes after seven days without messages."""
+    State is one number and a bounded list a session, whatever the history; it goes after expire_days without messages. A run that is to end with
+    its input (availableNow) takes None, as a timeout keeps it waiting."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,11 +40,12 @@ def stream_session_memory(messages: DataFrame, recent: int = RECENT, trigger: in
             count += len(batch)
             ids = sorted(ids + batch["message_id"].tolist())[-recent:]
         state.update((count, ",".join(map(str, ids))))
-        state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+        if expire_days is not None:
+            state.setTimeoutDuration(expire_days * 24 * 3600 * 1000)
         evicted = max(0, count - recent)
         yield pd.DataFrame({"session_id": [key[0]], "message_count": [count], "last_ids": [",".join(map(str, ids))], "evicted_count": [evicted], "should_compress": [count > trigger and evicted > 0]})
 
-    return messages.select("session_id", "message_id").groupBy("session_id").applyInPandasWithState(step, SESSION, STATE, "update", "ProcessingTimeTimeout")
+    return messages.select("session_id", "message_id").groupBy("session_id").applyInPandasWithState(step, SESSION, STATE, "update", "NoTimeout" if expire_days is None else "ProcessingTimeTimeout")
 
 
 class IngestStore:

@@ -61,8 +61,8 @@ def test_session_memory_equals_batch(spark, tmp_path):
     messages.select("session_id", "message_id").repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("session_id long, message_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     last = {}
-    query = stream_session_memory(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: last.update({r.session_id: tuple(r) for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = stream_session_memory(stream, expire_days=None).writeStream.outputMode("update").foreachBatch(lambda df, _: last.update({r.session_id: tuple(r) for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     empty = spark.createDataFrame([], "session_id long, covered_until_message_id long, covered_message_count long")
     plan = {r.session_id: r for r in memory.compression_plan(messages, empty).collect()}
     assert {k: (v[1], v[3], v[4]) for k, v in last.items()} == {k: (r.message_count, r.evicted_message_count, r.should_compress) for k, r in plan.items()}
