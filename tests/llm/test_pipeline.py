@@ -8,7 +8,6 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 from test_exact import plain as plain_exact
-
 from test_simhash import plain_components
 
 from granary.llm.bpe import read_ranks
