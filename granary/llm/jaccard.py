@@ -1,0 +1,107 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: prefix filtering finds the pairs."""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from granary.llm.common import map_batches, materialise, text_rows
+from granary.llm.components import components
+
+#: A shingle in more prefixes than this is hot: it is put behind all others in the order of shingles.
+HOT = 64
+#: Times that the order is mended. Any order gives all pairs; a better one gives fewer chance meetings.
+MENDS = 3
+
+
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct shingles' XXH64 (seed 42), sorted; a shorter text with a word is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))) if len(words) >= shingle_words else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), ">i8").astype(np.int64))
+
+
+def _shingles(docs: DataFrame, shingle_words: int, similarity: float | None) -> DataFrame:
+    """(doc_id, digest, n, grams) of rows (doc_id, text): of n shingles all, or the prefix that similarity asks for."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
+            digests, sizes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets]
+            if similarity is not None:
+                sets = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] for s in sets]
+            grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), grams], ["doc_id", "digest", "n", "grams"])
+
+        return step
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs, make, f"doc_id {kind}, digest binary, n long, grams array<long>")
+
+
+def near_pairs(rows: DataFrame, reps: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join up all rows (doc_id, text) of a similarity; reps: (doc_id, n, grams), one of each set.
+
+    A pair of that similarity shares a shingle among the first n - ceil(similarity * n) + 1 of both, in any order of
+    shingles that all rows share. The order is by hash, with hot shingles last. Of the rows that meet at a shingle
+    each is compared with the first; rows that this leaves in different components are then compared pair by pair."""
+    at = materialise(reps.select("doc_id", "n", F.explode("grams").alias("gram")), "prefixes")
+    hot = None
+    for _ in range(MENDS):
+        new = materialise(at.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram"), "hot")
+        if hot is not None:
+            new = new.join(hot, "gram", "left_anti")
+        moved = materialise(at.join(new, "gram", "left_semi").select("doc_id").distinct(), "moved")
+        if moved.isEmpty():
+            break
+        hot = materialise(new if hot is None else hot.unionByName(new), "hot")
+        whole = _shingles(rows.join(moved, "doc_id", "left_semi"), shingle_words, None).select("doc_id", "n", F.explode("grams").alias("gram"))
+        whole = whole.join(hot.withColumn("hot", F.lit(True)), "gram", "left")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("hot", F.lit(False)), "gram"))
+        first = whole.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+        at = materialise(at.join(moved, "doc_id", "left_anti").unionByName(first.select("doc_id", "n", "gram")), "prefixes")
+
+    def sized(x: Column, y: Column) -> Column:
+        return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "candidates")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = materialise(_shingles(rows.join(ids, "doc_id", "left_semi"), shingle_words, None), "candidate-sets")
+        one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
+        both = F.size(F.array_intersect("a_grams", "b_grams"))
+        either = F.size("a_grams") + F.size("b_grams") - both
+        return materialise(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * either - 1e-9).select("a", "b"), "near-pairs")
+
+    least = at.groupBy("gram").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    star = at.join(least, "gram").where((F.col("doc_id") > F.col("first.doc_id")) & sized(F.col("n"), F.col("first.n"))).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    links = verified(star)
+    labels = components(links).withColumnRenamed("node", "doc_id")
+    named = at.join(least.select("gram"), "gram", "left_semi").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = materialise(named, "named-prefixes")
+    mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("gram")
+    named = named.join(mixed, "gram", "left_semi")
+    x, y = named.alias("x"), named.alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & sized(F.col("x.n"), F.col("y.n")))
+    return links.unionByName(verified(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))))
+
+
+def near_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id), a row an input row: the smallest id that links of at least similarity reach.
+
+    Similarity is the Jaccard index of the sets of shingles (lower-case words, white space apart), compared by 64-bit
+    hashes; no pair is missed. Equal sets are one class, as are null and wordless texts. Ids must be unique and not null."""
+    rows = text_rows(docs, id_col, text_col)
+    each = materialise(_shingles(rows, shingle_words, similarity), "shingles")
+    classes = materialise(each.groupBy("digest").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    reps = each.join(classes, F.col("doc_id") == F.col("rep"), "left_semi")
+    labels = components(near_pairs(rows, reps, shingle_words, similarity))
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return each.join(named, "digest").select("doc_id", "component_id")

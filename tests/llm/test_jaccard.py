@@ -1,0 +1,56 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+from test_pipeline import SF
+
+from granary.llm import jaccard
+
+
+def plain(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def plain_components(texts):
+    """Smallest id that pairs of Jaccard similarity of 0.8 or more reach, by comparing all pairs."""
+    sets, found = {i: plain(t) for i, t in texts.items()}, {i: i for i in texts}
+    links = [(a, b) for a, b in combinations(sorted(texts), 2) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        before = dict(found)
+        for a, b in links:
+            found[a] = found[b] = min(found[a], found[b])
+        if before == found:
+            return found, links
+
+
+def texts_with_near_copies():
+    """Chains of copies with more and more words replaced, one common line, odd rows."""
+    rng = np.random.default_rng(3)
+    texts, line = {}, "all rights reserved by the owner of this page"
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60 + i)]
+        for j in range(5):
+            texts[10 * i + j] = " ".join([*words, line])
+            for at in rng.choice(len(words), 1 + j % 2, replace=False):
+                words[at] = f"n{rng.integers(0, 10**9)}"
+    return texts | {990: None, 991: " ", 992: "one two", 993: "One  two", 994: "one two three", 995: line, 996: line + " x"}
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_components_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    texts = texts_with_near_copies()
+    want, links = plain_components(texts)
+    assert len(links) > 80
+    got = jaccard.near_by_jaccard(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_stage_drops_every_near_copy(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, links = plain_components({r.doc_id: r.text for r in docs.collect()})
+    got = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert links and got == sorted(d for d, c in want.items() if d == c)
