@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_batches, materialise, text_rows
+from granary.llm.common import discard, map_batches, materialise, text_rows
 from granary.llm.components import components
 
 #: A shingle in more prefixes than this is hot: it is put behind all others in the order of shingles.
-HOT = 64
+HOT = 16
 #: Times that the order is mended. Any order gives all pairs; a better one gives fewer chance meetings.
 MENDS = 3
 
@@ -46,13 +46,13 @@ def _shingles(docs: DataFrame, shingle_words: int, similarity: float | None) ->
     return map_batches(docs, make, f"doc_id {kind}, digest binary, n long, grams array<long>")
 
 
-def near_pairs(rows: DataFrame, reps: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(a, b): links that join up all rows (doc_id, text) of a similarity; reps: (doc_id, n, grams), one of each set.
+def near_pairs(rows: DataFrame, at: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join up all rows (doc_id, text) of a similarity; at: a table of their prefixes by hash,
+    (doc_id, n, gram), which is deleted when it is read.
 
     A pair of that similarity shares a shingle among the first n - ceil(similarity * n) + 1 of both, in any order of
     shingles that all rows share. The order is by hash, with hot shingles last. Of the rows that meet at a shingle
     each is compared with the first; rows that this leaves in different components are then compared pair by pair."""
-    at = materialise(reps.select("doc_id", "n", F.explode("grams").alias("gram")), "prefixes")
     hot = None
     for _ in range(MENDS):
         new = materialise(at.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram"), "hot")
@@ -66,7 +66,8 @@ def near_pairs(rows: DataFrame, reps: DataFrame, shingle_words: int, similarity:
         whole = whole.join(hot.withColumn("hot", F.lit(True)), "gram", "left")
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("hot", F.lit(False)), "gram"))
         first = whole.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
-        at = materialise(at.join(moved, "doc_id", "left_anti").unionByName(first.select("doc_id", "n", "gram")), "prefixes")
+        before, at = at, materialise(at.join(moved, "doc_id", "left_anti").unionByName(first.select("doc_id", "n", "gram")), "prefixes")
+        discard(before)
 
     def sized(x: Column, y: Column) -> Column:
         return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
@@ -78,7 +79,9 @@ def near_pairs(rows: DataFrame, reps: DataFrame, shingle_words: int, similarity:
         one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
         both = F.size(F.array_intersect("a_grams", "b_grams"))
         either = F.size("a_grams") + F.size("b_grams") - both
-        return materialise(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * either - 1e-9).select("a", "b"), "near-pairs")
+        found = materialise(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * either - 1e-9).select("a", "b"), "near-pairs")
+        discard(sets)
+        return found
 
     least = at.groupBy("gram").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
     star = at.join(least, "gram").where((F.col("doc_id") > F.col("first.doc_id")) & sized(F.col("n"), F.col("first.n"))).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"))
@@ -86,6 +89,7 @@ def near_pairs(rows: DataFrame, reps: DataFrame, shingle_words: int, similarity:
     labels = components(links).withColumnRenamed("node", "doc_id")
     named = at.join(least.select("gram"), "gram", "left_semi").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = materialise(named, "named-prefixes")
+    discard(at)
     mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("gram")
     named = named.join(mixed, "gram", "left_semi")
     x, y = named.alias("x"), named.alias("y")
@@ -100,8 +104,11 @@ def near_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes; no pair is missed. Equal sets are one class, as are null and wordless texts. Ids must be unique and not null."""
     rows = text_rows(docs, id_col, text_col)
     each = materialise(_shingles(rows, shingle_words, similarity), "shingles")
-    classes = materialise(each.groupBy("digest").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    ids = materialise(each.select("doc_id", "digest"), "shingle-digests")
+    classes = materialise(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")), "shingle-classes")
     reps = each.join(classes, F.col("doc_id") == F.col("rep"), "left_semi")
-    labels = components(near_pairs(rows, reps, shingle_words, similarity))
+    at = materialise(reps.select("doc_id", "n", F.explode("grams").alias("gram")), "prefixes")
+    discard(each)
+    labels = components(near_pairs(rows, at, shingle_words, similarity))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return each.join(named, "digest").select("doc_id", "component_id")
+    return ids.join(named, "digest").select("doc_id", "component_id")
