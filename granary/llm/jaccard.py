@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,6 +18,8 @@ from granary.llm.components import components
 HOT = 16
 #: Times that the order is mended. Any order gives all pairs; a better one gives fewer chance meetings.
 MENDS = 3
+#: Parts in which pairs are verified, one after the other, which bounds the shingle sets on disk at a time.
+PARTS = 4
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -74,6 +77,10 @@ def near_pairs(rows: DataFrame, at: DataFrame, shingle_words: int, similarity: f
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct(), "candidates")
+        parts = [verified_part(pairs.where(F.pmod(F.xxhash64("a"), F.lit(PARTS)) == i)) for i in range(PARTS)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def verified_part(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = materialise(_shingles(rows.join(ids, "doc_id", "left_semi"), shingle_words, None), "candidate-sets")
         one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
