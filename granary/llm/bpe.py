@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm.common import documents, map_batches, spans_of, text_rows
+from granary.llm.common import documents, map_batches, shared_value, spans_of, text_rows
 
 #: Rank of a pair that doesn't merge.
 NONE = np.int32(2**31 - 1)
@@ -195,10 +195,10 @@ class ByteBpe:
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): each row's whole text by the ranks file at that path; no ids for null or empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(ByteBpe.load(ranks, pattern))
+    shared = shared_value(docs.sparkSession, ByteBpe.load(ranks, pattern))
 
     def make():
-        own = shared.value
+        own = shared()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data = own.encode([t or "" for t in batch.column(1).to_pylist()])
@@ -214,10 +214,10 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded binary): the bytes of each row's ids; null ids give no bytes. An unknown id is an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ByteBpe.load(ranks, pattern))
+    shared = shared_value(encoded.sparkSession, ByteBpe.load(ranks, pattern))
 
     def make():
-        own = shared.value
+        own = shared()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data = [own.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
@@ -233,10 +233,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each row's whole text and decodes the ids, in one pass.
 
     Null counts as empty: no ids, no bytes. Repeated rows and null ids give a row each, an empty table none."""
-    shared = docs.sparkSession.sparkContext.broadcast(ByteBpe.load(ranks, pattern))
+    shared = shared_value(docs.sparkSession, ByteBpe.load(ranks, pattern))
 
     def make():
-        own, sha = shared.value, hashlib.sha256
+        own, sha = shared(), hashlib.sha256
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,27 +29,65 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may leave it unset: it
+    gets a folder of its own. On a cluster that is an error, as no folder of the driver's would do."""
     if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class _Cleanup:
+    """Keeps shuffle clean-up on while any thread of the driver writes; the last one puts the setting back."""
+
+    lock, writers, before = threading.Lock(), 0, "false"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        with _Cleanup.lock:
+            if not _Cleanup.writers:
+                _Cleanup.before = self.spark.conf.get(CLEANUP)
+            _Cleanup.writers += 1
+            self.spark.conf.set(CLEANUP, "true")
+
+    def __exit__(self, *_):
+        with _Cleanup.lock:
+            _Cleanup.writers -= 1
+            if not _Cleanup.writers:
+                self.spark.conf.set(CLEANUP, _Cleanup.before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it back: lineage ends there, the files outlive
     any executor, and the shuffles that made them are cleaned up at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _Cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a few numbers each that a join is told to broadcast (some 32 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """A narrow materialised table for the small side of a join: broadcast if its counted rows are few enough, else
+    left to a shuffle join."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def shared_value(spark: SparkSession, value) -> Callable:
+    """Broadcasts a Python value; calling the result in a worker gives it. Classes go along by value, so executors
+    need no copy of this package."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     if files := df.inputFiles():
@@ -56,7 +101,7 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with set-up: make() runs once a task and gives the function that is applied to slices of batches.
 
     A slice has at most SLICE rows, so a worker holds little beside the batch that Spark hands it."""
@@ -88,3 +133,28 @@ def spans_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         held += n
     if at < len(sizes):
         yield at, len(sizes)
+
+
+@cache
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """Odd 64-bit numbers."""
+    return np.array([xxhash.xxh64_intdigest(f"{seed} {i}".encode(), seed) | 1 for i in range(n)], np.uint64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(6))), ">u8").astype(np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def gram_hashes(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of every run of k words, given the words' hashes."""
+    n = len(hashes) - k + 1
+    total = np.zeros(max(n, 0), np.uint64)
+    if n > 0:
+        for i, c in enumerate(multipliers(k, seed)):
+            total += hashes[i : i + n] * c
+    return mixed(total)

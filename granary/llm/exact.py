@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACE, documents, materialise, text_rows
+from granary.llm.common import SPACE, documents, if_small, materialise, text_rows
 
 
 def normalised(text: Column) -> Column:
@@ -36,11 +36,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keys, full = materialise(rows.select("n", "head"), "exact-sizes"), F.when(F.col("open"), F.sha2("body", 256))
     lengths = keys.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
     heads = keys.join(lengths, "n", "left_semi").groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head", F.lit(True).alias("open"))
+    heads = if_small(materialise(heads, "exact-heads"))  # so that bodies are shuffled only where very many are open
     hashed = materialise(rows.join(heads, ["n", "head"], "left").select("doc_id", "open", full.alias("full")), "exact-hashed")
     groups = hashed.where("open").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.where("group_size > 1").withColumnRenamed("full", "key")
-    # rows without a hash get a key of their own, so that they neither match nor meet in one task
-    out = hashed.withColumn("key", F.coalesce("full", F.col("doc_id").cast("string"))).join(groups, "key", "left")
+    groups = groups.where("group_size > 1").select(F.concat(F.lit("hash "), "full").alias("key"), "keep_id", "group_size")
+    # rows without a hash get a key of their own kind, so that they neither match nor meet in one task
+    out = hashed.withColumn("key", F.coalesce(F.concat(F.lit("hash "), "full"), F.concat(F.lit("id "), F.col("doc_id").cast("string")))).join(groups, "key", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("full").alias("text_sha256"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, text_rows
+from granary.llm.common import documents, map_batches, shared_value, text_rows
 
 ORDER = 3
 #: What stands before a text, so that its first bytes have a context.
@@ -30,6 +30,7 @@ class ContextTrees:
     second: np.ndarray
     third: np.ndarray
     cost: np.ndarray
+    typical: np.ndarray  # bits a byte that each language's model takes for its own texts
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each language's model takes to code each whole text; (texts, languages)."""
@@ -114,7 +115,13 @@ def build_trees(counts: dict[str, tuple[np.ndarray, np.ndarray]], least_count: i
     third = np.concatenate([np.repeat(base[2] + np.arange(len(kept[2])), 256), np.repeat(one, 256)])
     row = second[kept[3] & 0xFFFF]
     third[row << 8 | kept[3] >> 16] = base[3] + np.arange(len(kept[3]))
-    return ContextTrees(langs, second.astype(np.int32), third.astype(np.int32), cost.reshape(len(cost) * 256, len(langs)))
+    cost = cost.reshape(len(cost) * 256, len(langs))
+    typical = np.zeros(len(langs))
+    for j, lang in enumerate(langs):
+        grams, n = counts[lang]
+        state = third[second[grams >> 8 & 0xFFFF] << 8 | grams >> 24]
+        typical[j] = (cost[state << 8 | grams & 255, j] * n).sum() / max(n.sum(), 1)
+    return ContextTrees(langs, second.astype(np.int32), third.astype(np.int32), cost, typical)
 
 
 def train_language_trees(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = 1000, least_count: int = 24) -> ContextTrees:
@@ -154,28 +161,34 @@ def train_language_trees(docs: DataFrame, lang_col: str = "lang", id_col: str =
     return build_trees(counts, least_count)
 
 
+def _named(trees: ContextTrees, texts: list[str | None]) -> tuple[list[int], list[int], np.ndarray]:
+    """Which texts have a letter and trees to be scored by, their UTF-8 sizes, and their code lengths."""
+    at = [i for i, t in enumerate(texts) if trees.langs and t and any(map(str.isalpha, t))]
+    data = [texts[i].encode() for i in at]
+    return at, [len(d) for d in data], trees.code_lengths(data)
+
+
 def predict_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) for each row, from its whole text alone.
 
     lang_pred is the language whose model gives the shortest code (ties: the first by name), score its share when
     code lengths are read as log likelihoods. und, 0 and null for a null text, one without a letter, or trees that
-    learned no language."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+    learned no language. Very long texts are scored in chunks that carry their contexts along. Repeated rows and null
+    ids give a row each, an empty table none; other columns are not read."""
+    model = shared_value(docs.sparkSession, trees)
 
     def make():
-        own = model.value
+        own = model()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            named = [i for i, t in enumerate(texts) if own.langs and t and any(c.isalpha() for c in t)]
             lang, score, rate = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            data = [texts[i].encode() for i in named]
-            bits = own.code_lengths(data)
-            best = bits.argmin(1) if len(named) else []
-            for k, i in enumerate(named):
+            at, sizes, bits = _named(own, texts)
+            best = bits.argmin(1) if at else []
+            for k, i in enumerate(at):
                 lang[i] = own.langs[best[k]]
                 score[i] = float(1 / np.exp2(np.maximum(bits[k, best[k]] - bits[k], -1000)).sum())
-                rate[i] = float(bits[k, best[k]] / len(data[k]))
+                rate[i] = float(bits[k, best[k]] / sizes[k])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
         return step
@@ -184,8 +197,34 @@ def predict_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_i
     return map_batches(text_rows(docs, id_col, text_col), make, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def known_language(docs: DataFrame, trees: ContextTrees, text_col: str = "text", most: float = 2.0, allowance: float = 512.0) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language; nothing is shuffled.
+
+    A text is when one of the models codes it in at most `most` times the bits a byte that it takes for its own
+    language, plus `allowance` bits for what any document may hold beside prose: an address, a number, a key of some
+    40 bytes. So a foreign text or junk is told from about 100 bytes on; shorter ones stay. Null texts and texts
+    without a letter go. Where the trees have learned no language every text goes."""
+    model = shared_value(docs.sparkSession, trees)
+    place = docs.columns.index(text_col)
+
+    def make():
+        own = model()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, sizes, bits = _named(own, batch.column(place).to_pylist())
+            keep = np.zeros(batch.num_rows, bool)
+            if at:
+                keep[at] = (bits <= most * own.typical * np.array(sizes)[:, None] + allowance).any(1)
+            return batch.filter(pa.array(keep))
+
+        return step
+
+    return map_batches(docs, make, docs.schema)
+
+
 def held_out(mod: int, remainder: int):
-    return F.crc32(F.col("doc_id").cast("string")) % mod == remainder
+    """Whether crc32 of doc_id as text leaves that remainder; a null doc_id is hashed as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == remainder
 
 
 def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, materialise, text_rows
+from granary.llm.common import discard, documents, gram_hashes, if_small, map_batches, materialise, mixed, text_rows, word_hashes
 from granary.llm.components import components
 
 BITS = 64
@@ -104,9 +105,11 @@ def close_pairs(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return met.where(near).where(close).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fp long, component_id (smallest doc_id that links reach) and n_links.
 
+    blocks is chosen from the number of distinct fingerprints unless it is given, so that chance meetings stay in
+    proportion to them.
     Equal fingerprints are one class, represented by its smallest doc_id, so copies cost no pairs; n_links counts the
     other fingerprints within radius of the row's own. Null and wordless texts have fingerprint 0 and link like any
     other. A row with a null doc_id gets its class's component. Repeated rows each give a row. An empty table gives
@@ -114,6 +117,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = materialise(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "simhash-classes")
+    if blocks is None:  # for radius 3 keys have 25, 32, 36 and 40 bits at 5, 6, 7 and 8 blocks
+        count = classes.count()
+        blocks = max(radius + 2, 5 + sum(count > 1 << b for b in (27, 34, 38)))
     pairs = materialise(close_pairs(classes.select("fp"), radius, blocks), "simhash-pairs")
     both = pairs.unionByName(pairs.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b")))
     degree = both.groupBy("fp_a").agg(F.count("*").alias("n_links")).withColumnRenamed("fp_a", "fp")
@@ -124,6 +130,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
+#: Bits of a wide fingerprint, bits of a search key, and reference fingerprints of the wide pivot table.
+WIDE, KEY, WIDE_PIVOTS = 128, 32, 8
+#: Rows that each row is compared with on either side in a table's order, and candidates of each that come first.
+BESIDE, FIRST = 8, 3
+
+
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, sorted; a shorter text with a word is one shingle."""
+    words = (text or "").lower().encode().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(gram_hashes(word_hashes(words), min(shingle_words, len(words)), len(words) if len(words) < shingle_words else 0))
+
+
+def wide_bits(shingles: np.ndarray) -> np.ndarray:
+    """128-bit SimHash of a set of shingles, as bits: 1 where more than half of the hashes have it."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        part = shingles[at : at + (1 << 16)]
+        both = np.stack([part, mixed(part ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
+        lanes = np.unpackbits(both.view(np.uint8), axis=1).view(np.uint64)  # counters of one byte each, 255 rows at most
+        ones += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return (2 * ones > len(shingles)).astype(np.uint8)
+
+
+def sketches(rows: DataFrame, shingle_words: int, tables: int) -> DataFrame:
+    """(doc_id, digest, n, fp_1, fp_2, keys) of rows (doc_id, text): a digest of the set of shingles, its size, its wide
+    fingerprint, and for each table a key of 32 of the fingerprint's bits in an order of the table's own."""
+
+    def make():
+        chosen = np.stack([np.random.default_rng(t).permutation(WIDE)[:KEY] for t in range(tables)])
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle_words) for t in batch.column(1).to_pylist()]
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            bits = np.stack([wide_bits(s) for s in sets]) if sets else np.zeros((0, WIDE), np.uint8)
+            halves = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            keys = np.packbits(bits[:, chosen], axis=2).view(">i4").astype(np.int32).ravel()
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * tables
+            columns = [digests, pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "n", "fp_1", "fp_2", "keys"])
+
+        return step
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows, make, f"doc_id {kind}, digest binary, n long, fp_1 long, fp_2 long, keys array<int>")
+
+
+def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b, distance): pairs of rows of sketches() that lie side by side in one of the tables, differ in at most radius
+    bits and have sizes that allow the similarity.
+
+    A table sorts rows by its key and compares each with BESIDE rows before it, so the work is in proportion to the
+    rows, also inside a large group of near copies. Pairs whose distances to a reference fingerprint differ by more
+    than radius are discarded by the pivot table; the others are verified bit by bit."""
+    wide = lambda j: [F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.lit(_signed(_pivot(2 * j + i))))).cast("long") for i in (1, 2)]
+    pivots = _packed([sum(wide(j)) for j in range(WIDE_PIVOTS)], 8)
+    rows = fps.select("doc_id", "n", "fp_1", "fp_2", pivots.alias("near"), F.posexplode("keys").alias("t", "key"))
+    part = F.shiftrightunsigned("key", KEY - min(20, max(4, count.bit_length() - 12)))  # some 4,096 rows: fewer bits than side by side rows share
+    order = Window.partitionBy("t", part).orderBy("key", "doc_id")
+    here = F.struct("doc_id", "n", "fp_1", "fp_2", "near")
+    met = rows.select("doc_id", "n", "fp_1", "fp_2", "near", *(F.lag(here, i).over(order).alias(f"before_{i}") for i in range(1, BESIDE + 1)))
+    met = met.select("doc_id", "n", "fp_1", "fp_2", "near", F.explode(F.array(*(f"before_{i}" for i in range(1, BESIDE + 1)))).alias("o")).where("o is not null")
+    at = lambda c, i: F.shiftright(F.col(c), 8 * i).bitwiseAND(F.lit(255))
+    near = reduce(lambda x, y: x & y, (F.abs(at("near", i) - at("o.near", i)) <= radius for i in range(WIDE_PIVOTS)))
+    distance = sum(F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.col(f"o.fp_{i}"))) for i in (1, 2))
+    sized = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9
+    met = met.where(near).withColumn("distance", distance).where((F.col("distance") <= radius) & sized)
+    return met.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), "distance").distinct()
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows (doc_id, text) whose sets of shingles have at least that Jaccard similarity."""
+    ids = if_small(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle_words).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["doc_id", "grams"])
+
+        return step
+
+    sets = materialise(map_batches(rows.join(ids, "doc_id", "left_semi"), make, f"doc_id {kind}, grams array<long>"), "near-sets")
+    one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    either = F.size("a_grams") + F.size("b_grams") - both
+    found = materialise(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * either - 1e-9).select("a", "b"), "near-pairs")
+    discard(sets)
+    return found
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+    """(doc_id, component_id), a row an input row: the smallest id that links of at least that similarity reach.
+
+    Similarity is the Jaccard index of the sets of shingles (lower-case words, white space apart). Sets are sketched by
+    wide SimHash fingerprints; wide_candidates finds close ones; every link is verified on the whole sets, so nothing
+    below the similarity is linked. Of links at exactly that similarity the share `recall` is expected to be found
+    directly (more of closer ones, and more through other links): the number of tables follows from it and from the
+    number of rows. Each row's FIRST closest candidates are verified first; of the others those that still lie in
+    different components, so each candidate is settled.
+
+    Equal sets are one class, as are null and wordless texts. Ids must be unique and not null. Texts are read whole,
+    however long. An empty table gives no rows; other columns are not read."""
+    rows = text_rows(docs, id_col, text_col)
+    count = rows.count()
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # expected share of differing bits at the similarity
+    radius = round(WIDE * differ + 3 * math.sqrt(WIDE * differ * (1 - differ)))
+    depth = max(8.0, math.log2(max(1, count / BESIDE)))  # bits that rows side by side share by chance
+    tables = math.ceil(-math.log(1 - recall) / (1 - differ) ** depth)
+    each = materialise(sketches(rows, shingle_words, tables), "sketches")
+    ids = each.select("doc_id", "digest")
+    classes = materialise(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sketch-classes")
+    firsts = each.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    pairs = materialise(wide_candidates(firsts, count, similarity, radius), "near-candidates")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    closest = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= FIRST)
+    closest = materialise(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
+    links = similar_pairs(rows, closest, shingle_words, similarity)
+    labels = materialise(components(links), "near-labels")
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    left = pairs.join(closest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    left = materialise(left.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "near-left")
+    links = links.unionByName(similar_pairs(rows, left, shingle_words, similarity))
+    named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return ids.join(named, "digest").select("doc_id", "component_id")
+
+
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

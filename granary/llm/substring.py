@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, documents, map_batches, materialise, text_rows
+from granary.llm.common import discard, documents, gram_hashes, map_batches, materialise, mixed, text_rows, word_hashes
 
 #: Words of a k-gram that can mark a window.
 MARK = 5
 
 
-def _constants(n: int, seed: int) -> np.ndarray:
-    """Odd 64-bit multipliers."""
-    return np.array([xxhash.xxh64_intdigest(f"{seed} {i}".encode(), seed) | 1 for i in range(n)], np.uint64)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(6))), ">u8").astype(np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(29)
-
-
-def gram_hashes(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of every run of k words."""
-    n = len(hashes) - k + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        for i, c in enumerate(_constants(k, seed)):
-            total += hashes[i : i + n] * c
-    return _mix(total)
-
-
 def window_marks(hashes: np.ndarray, window: int) -> np.ndarray:
     """Of every window, the smallest hash of its MARK-word runs: equal windows have equal marks, and neighbours
     mostly share theirs, so a text has about one mark for each five words."""
@@ -126,8 +99,8 @@ def duplicate_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
                 each = gram_hashes(hashes, window, 2)
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 each = each[np.repeat(first, n) + inside]
-                total = np.add.reduceat(each * (_mix(inside.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), np.cumsum(n) - n)
-                for part, values in zip(out, (np.full(len(first), i), marks[first].view(np.int64), _mix(total).view(np.int64), first, n, each.view(np.int64))):
+                total = np.add.reduceat(each * (mixed(inside.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), np.cumsum(n) - n)
+                for part, values in zip(out, (np.full(len(first), i), marks[first].view(np.int64), mixed(total).view(np.int64), first, n, each.view(np.int64))):
                     part.append(values)
             owner, mark, total, first, n, each = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(each))

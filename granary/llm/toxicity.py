@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, materialise, text_rows
+from granary.llm.common import documents, map_batches, materialise, shared_value, text_rows
 from granary.llm.language import held_out
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,10 +126,10 @@ def _prior(counts) -> float:
 
 def score_toxicity(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for each row's whole text; null and empty texts get the score of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             score = np.array([own.score(t) for t in batch.column(1).to_pylist()], np.float64)

@@ -8,10 +8,9 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 from test_exact import plain as plain_exact
-from test_simhash import plain_components
+from test_near_copies import plain_components
 
 from granary.llm.bpe import read_ranks
-from granary.llm.simhash import fingerprint_bits
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
@@ -40,8 +39,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
         elif name == "exact":
             assert ids == sorted(r[0] for r in plain_exact(list(texts.items())) if r[3])
         elif name == "near":
-            groups = plain_components({d: fingerprint_bits(t.encode(), 5) for d, t in texts.items()})
-            assert ids == sorted(d for d, c in groups.items() if d == c)
+            groups, links = plain_components(texts)
+            assert links and ids == sorted(d for d, c in groups.items() if d == c)
         elif name == "mix":
             assert set(ids) <= set(texts) and len(ids) > 0.8 * len(texts)
         elif name == "encode":
