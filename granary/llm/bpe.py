@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,8 +15,8 @@ from granary.llm.common import documents, map_batches, shared_value, spans_of, t
 
 #: Rank of a pair that doesn't merge.
 NONE = np.int32(2**31 - 1)
-#: Longest piece, in bytes, that goes through the matrices; a longer one would take a round for each of its merges.
-WIDEST = 256
+#: Rows up to this many bytes merge one pair a round; in wider ones all pairs of the minimum rank merge at once.
+WIDE = 256
 #: Pieces whose ids a worker remembers, and characters it splits at a time.
 REMEMBERED, CHARS = 300_000, 1 << 20
 
@@ -90,6 +89,12 @@ class ByteBpe:
         self.split = regex.compile(self.pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
+        # of tokens that take part in a merge of a smaller rank than their own, one pair merges at a time
+        used = self.table.keys[self.table.keys >= 0]
+        rank = self.table.ranks[self.table.keys >= 0]
+        parts = np.concatenate([used >> 32, used & 0xFFFFFFFF])
+        self.alone = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.alone[parts[parts > np.concatenate([rank, rank])]] = True
 
     def __getstate__(self):
         return {"ranks": self.ranks, "pattern": self.pattern, "table": self.table, "cache": {}}
@@ -120,14 +125,14 @@ class ByteBpe:
         for i, piece in enumerate(pieces):
             if (whole := self.ranks.get(piece)) is not None:
                 out[i] = whole.to_bytes(4, "little")
-            elif len(piece) > WIDEST:
-                out[i] = np.array(self._merge_long(piece), "<u4").tobytes()
             else:
-                buckets.setdefault((len(piece) + 3) // 4 * 4, []).append(i)
+                step = 4 if len(piece) <= WIDE else 1 << len(piece).bit_length() - 3
+                buckets.setdefault(-(-len(piece) // step) * step, []).append(i)
         for width, rows in buckets.items():
             most = max(1, (1 << 20) // width)
+            merge = self._merge_matrix if width <= WIDE else self._merge_wide
             for at in range(0, len(rows), most):
-                for i, ids in zip(rows[at : at + most], self._merge_matrix([pieces[i] for i in rows[at : at + most]], width)):
+                for i, ids in zip(rows[at : at + most], merge([pieces[i] for i in rows[at : at + most]], width)):
                     out[i] = ids
         return out
 
@@ -171,26 +176,46 @@ class ByteBpe:
         ends = np.cumsum(length) * 4
         return [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), length.tolist())]
 
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same merges by a heap of pairs over a linked list: for the rare piece of more than WIDEST bytes."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        text = [self.bytes_of[i] for i in ids]
-        rank_of = lambda i: self.ranks.get(text[i] + text[after[i]]) if after[i] < len(ids) else None
-        heap = [(r, i) for i in range(len(ids)) if (r := rank_of(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank_of(i) != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], text[i], after[i] = r, -1, text[i] + text[j], after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (x := rank_of(k)) is not None:
-                    heapq.heappush(heap, (x, k))
-        return [i for i in ids if i >= 0]
+    def _merge_wide(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The same merges over the same kind of matrix, for long rows: each round merges all pairs of the row's minimum
+        rank, from the left and without overlap, where that equals merging the leftmost again and again. It does when
+        no merge that the new token takes part in has a smaller rank: then what the merge puts beside the other pairs
+        never goes before them. Rows whose new token is otherwise merge the leftmost pair alone."""
+        sizes = np.array([len(p) for p in pieces])
+        ids = np.full((len(pieces), width), -1, np.int32)
+        ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = self.table.look_up(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), -1)
+        out, row = [b""] * len(pieces), np.arange(len(pieces))
+        while len(row):
+            low = rank.min(1) if rank.shape[1] else np.full(len(row), NONE, np.int32)
+            for i in np.flatnonzero(low == NONE):
+                out[row[i]] = ids[i][ids[i] >= 0].astype("<u4").tobytes()
+            ids, rank, row, low = (x[low != NONE] for x in (ids, rank, row, low))
+            if not len(row):
+                break
+            hit = rank == low[:, None]
+            column = np.arange(hit.shape[1])
+            begins = hit.copy()
+            begins[:, 1:] &= ~hit[:, :-1]
+            since = column - np.maximum.accumulate(np.where(begins, column, 0), axis=1)
+            take = hit & (since % 2 == 0)
+            single = self.alone[low]
+            take[single] &= column == hit[single].argmax(1)[:, None]
+            new = np.zeros(ids.shape, bool)
+            new[:, :-1] = take
+            kept = ids >= 0
+            kept[:, 1:] &= ~take
+            ids = np.where(new, low[:, None], ids)
+            length = kept.sum(1)
+            place = np.arange(length.max()) < length[:, None]
+            pair = np.full(ids.shape, NONE, np.int32)
+            pair[:, :-1] = rank
+            moved, fresh, ranks = np.full(place.shape, -1, np.int32), np.zeros(place.shape, bool), np.full(place.shape, NONE, np.int32)
+            moved[place], fresh[place], ranks[place] = ids[kept], new[kept], pair[kept]
+            ids, rank = moved, ranks[:, :-1]
+            changed = fresh[:, :-1] | fresh[:, 1:]  # only pairs that a new token is in have other ranks
+            rank[changed] = self.table.look_up(ids[:, :-1][changed], ids[:, 1:][changed])
+        return out
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,170 +2,92 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, materialise, text_rows
+from granary.llm.common import discard, documents, map_batches, materialise, mixed, multipliers, text_rows, word_hashes
 
-#: Discount of bigram counts, and what a word's unigram count is raised by.
-DISCOUNT, ADDED = 0.5, 0.5
-#: Distinct n-grams that a worker counts before it hands them on.
-HELD = 200_000
-#: Id of a word outside the vocabulary; a text begins after id 1.
-UNK, BEGIN = 0, 1
+#: What every count is raised by, in both models.
+ADDED = 0.5
+#: Parts of the bigrams that are counted and joined one after the other, which bounds the disk that shuffles take.
+PARTS = 4
 
 
 def text_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-@dataclass
-class Bigrams:
-    """One side's model: interpolated absolute discounting over the vocabulary and bigrams that both sides share.
-
-    log_pair[k] is the log probability of kept bigram k; any other pair backs off: log_back[v] + log_word[w]."""
-
-    log_word: np.ndarray
-    log_back: np.ndarray
-    log_pair: np.ndarray
-
-
-def fit_bigrams(word_counts: np.ndarray, before: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> Bigrams:
-    """word_counts by id; before[v]: how often v precedes a word; pairs: kept bigrams as v << 32 | w, with counts.
-
-    Every context's probabilities add up to 1: what the kept bigrams leave goes to the unigrams, in proportion."""
-    words = np.where(np.arange(len(word_counts)) == BEGIN, 0, word_counts + ADDED)
-    p_word = words / words.sum()
-    v, w = pairs >> 32, pairs & 0xFFFFFFFF
-    part = np.maximum(pair_counts - DISCOUNT, 0) / np.maximum(before[v], 1)
-    back = np.clip(1 - np.bincount(v, part, len(word_counts)), 1e-12, 1)
-    with np.errstate(divide="ignore"):
-        return Bigrams(np.log(p_word), np.log(back), np.log(part + back[v] * p_word[w]))
-
-
-@dataclass
-class Matched:
-    """The two models, their vocabulary (word to id) and their kept bigrams, sorted."""
-
-    vocabulary: dict[bytes, int]
-    pairs: np.ndarray
-    target: Bigrams
-    background: Bigrams
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, [UNK] * len(words)), np.int64, len(words))
-
-    def losses(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's loss (nats) under the target's and the background's model."""
-        w = self.ids(words)
-        v = np.concatenate([[BEGIN], w[:-1]])
-        key = v << 32 | w
-        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        kept = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        one = lambda m: -np.where(kept, m.log_pair[at] if len(self.pairs) else 0, m.log_back[v] + m.log_word[w])
-        return one(self.target), one(self.background)
-
-
-def _counted(df: DataFrame, prepare, schema: str, kinds: tuple[pa.DataType, ...]) -> DataFrame:
-    """Runs a counter over (side, text) rows: prepare() gives a function from texts to n-grams; rows (gram, target n,
-    background n), summed within a task up to HELD grams at a time and then by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of, counts = prepare(), (Counter(), Counter())
-
-        def flush() -> pa.RecordBatch:
-            keys = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, kinds[0]), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["gram", "t", "b"])
-            for c in counts:
-                c.clear()
-            return out
-
-        for batch in batches:
-            for target, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[not target].update(grams_of(text))
-                if len(counts[0]) + len(counts[1]) > HELD:
-                    yield flush()
-        yield flush()
-
-    return df.mapInArrow(run, schema).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def train_matched(target: DataFrame, background: DataFrame, target_col: str = "text", background_col: str = "text", word_share: float = 2e-5, pair_share: float = 2e-6) -> Matched:
-    """Counts words and bigrams over all texts of both sides.
-
-    The shared vocabulary holds the words that make up at least word_share of either side's words, and the models
-    keep the bigrams of at least pair_share: at most 2 / word_share words and 2 / pair_share bigrams exist, whatever
-    the corpus, which bounds what is collected and broadcast. All other words are one unknown word, all other bigrams
-    are backed off. Null and empty texts teach nothing; two empty sides give models that know the unknown word only."""
-    both = target.select(F.lit(True).alias("target"), F.col(target_col).alias("text")).unionByName(background.select(F.lit(False).alias("target"), F.col(background_col).alias("text"))).where("text is not null")
-    spark = background.sparkSession
-    words = materialise(_counted(both, lambda: text_words, "gram binary, t long, b long", (pa.binary(),)), "words")
-    n = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    floor = [max(1.0, share * x) for share in (word_share, pair_share) for x in (n.t, n.b)]
-    kept = words.where((F.col("t") >= floor[0]) | (F.col("b") >= floor[1])).orderBy("gram").toPandas()
-    vocabulary = {bytes(g): i + 2 for i, g in enumerate(kept["gram"])}
-    word_counts = np.zeros((2, len(vocabulary) + 2))
-    for side, name in enumerate(("t", "b")):
-        word_counts[side, 2:] = kept[name].to_numpy(np.float64)
-        word_counts[side, UNK] = n[name] - word_counts[side].sum()
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def pair_maker():
-        get = shared.value.get
-
-        def grams(text: str) -> list[int]:
-            w = [BEGIN, *(get(x, UNK) for x in text_words(text))]
-            return [a << 32 | b for a, b in zip(w, w[1:])]
-
-        return grams
-
-    pairs = materialise(_counted(both, pair_maker, "gram long, t long, b long", (pa.int64(),)), "bigrams")
-    before = pairs.groupBy(F.shiftright("gram", 32).alias("v")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    kept = pairs.where((F.col("t") >= floor[2]) | (F.col("b") >= floor[3])).orderBy("gram").toPandas()
-    keys, models = kept["gram"].to_numpy(np.int64), []
-    for side, name in enumerate(("t", "b")):
-        ahead = np.zeros(len(vocabulary) + 2)
-        ahead[before["v"].to_numpy(np.int64)] = before[name]
-        models.append(fit_bigrams(word_counts[side], ahead, keys, kept[name].to_numpy(np.float64)))
-    return Matched(vocabulary, keys, *models)
-
-
-def cross_entropy_difference(docs: DataFrame, models: Matched, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, target_loss, background_loss (mean nats a word) and difference, the
-    mean over words of target loss minus background loss: the lower, the more like the target.
+def bigrams(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word with the one before it; the first follows a beginning of its own."""
+    own = word_hashes(words)
+    before = np.concatenate([np.zeros(min(1, len(own)), np.uint64), own[:-1]])
+    a, b = multipliers(2, 8)
+    return mixed(before * a + own * b).view(np.int64)
 
-    Null, empty and wordless texts have 0 words and null losses. Whole texts are scored; repeated rows and null ids
-    give a row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def make():
-        own = shared.value
+def _bigram_parts(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_words, part_0 ...) of rows (doc_id, text): each text's bigrams, dealt to PARTS arrays."""
 
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                words = text_words(text)
-                if not words:
-                    rows.append((0, None, None, None))
-                    continue
-                t, b = own.losses(words)
-                rows.append((len(words), float(t.mean()), float(b.mean()), float((t - b).mean())))
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), *[pa.float64()] * 3))]
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+            grams = [bigrams(text_words(t)) for t in batch.column(1).to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.int64), *grams])
+            owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            columns = []
+            for part in range(PARTS):
+                inside = flat & (PARTS - 1) == part
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[inside], minlength=len(grams)))]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[inside])))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), *columns], ["doc_id", "n_words", *(f"part_{p}" for p in range(PARTS))])
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(text_rows(docs, id_col, text_col), make, f"doc_id {kind}, n_words long, target_loss double, background_loss double, difference double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows, make, f"doc_id {kind}, n_words long, " + ", ".join(f"part_{p} array<long>" for p in range(PARTS)))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", background_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, target_loss, background_loss (mean nats a word) and difference, the
+    mean over words of target loss minus background loss: the lower, the more like the target. The background is docs
+    themselves unless it is given.
+
+    Both models are of bigrams (a word with the one before it), over one vocabulary, the V bigrams of either side and
+    an unknown one, and smoothed alike: a bigram of count c among n has probability (c + ADDED) / (n + ADDED * V).
+    All bigrams of all texts count, however rare; counts stay in Spark tables and meet the documents' bigrams in
+    joins. Counts are partial sums before they are shuffled, and a hot bigram is one row of the small side of a join.
+    Where docs are the background, bigrams that only occur once are known to by their absence, and are not stored.
+
+    Null, empty and wordless texts have 0 words and null losses. Whole texts are scored; repeated rows and null ids
+    give a row each, an empty table none. Two empty sides know the unknown bigram only. Other columns are not read."""
+    make = lambda df, i, t, name: materialise(_bigram_parts(text_rows(df, i, t)).withColumn("row", F.monotonically_increasing_id()), name)
+    own = make(docs, id_col, text_col, "bigrams")
+    wanted = make(target.select(F.lit(0).alias("id"), F.col(target_col).alias("text")), "id", "text", "target-bigrams")
+    whole = own if background is None else make(background.select(F.lit(0).alias("id"), F.col(background_col).alias("text")), "id", "text", "background-bigrams")
+    once = int(background is None)  # times that a document's bigram without a row of counts occurs in the background
+    n_t, n_b = (df.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] for df in (wanted, whole))
+    kinds, unseen, parts = 1, n_b, []
+    for p in range(PARTS):
+        side = lambda df, t, b: df.select(F.explode(f"part_{p}").alias("gram"), F.lit(t).cast("long").alias("t"), F.lit(b).cast("long").alias("b"))  # noqa: B023, E731
+        counts = side(whole, 0, 1).unionByName(side(wanted, 1, 0)).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        counts = materialise(counts.where((F.col("t") > 0) | (F.col("b") > once)), "bigram-counts")
+        stored = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+        kinds, unseen = kinds + stored.n, unseen - stored.b
+        log = lambda c: F.log(F.col(c) + ADDED)
+        met = own.select("row", F.explode(f"part_{p}").alias("gram")).join(counts, "gram")
+        parts.append(materialise(met.groupBy("row").agg(F.count("*").alias("found"), F.sum(log("t")).alias("t"), F.sum(log("b")).alias("b")), "bigram-sums"))
+        discard(counts)
+    kinds += unseen  # bigrams without a row occur once each
+    sums = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("found").alias("found"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    rest = F.col("n_words") - F.coalesce("found", F.lit(0))
+    loss = lambda c, n, least: float(np.log(n + ADDED * kinds)) - (F.coalesce(c, F.lit(0.0)) + rest * float(np.log(least + ADDED))) / F.nullif("n_words", F.lit(0))
+    scored = own.select("doc_id", "row", "n_words").join(sums, "row", "left").select("doc_id", "n_words", loss("t", n_t, 0).alias("target_loss"), loss("b", n_b, once).alias("background_loss"))
+    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the benchmark's text, the background all documents; every document is scored."""
-    docs = documents(spark, sf_dir)
-    return cross_entropy_difference(docs, train_matched(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs))
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

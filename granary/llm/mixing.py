@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import documents, materialise
 
-#: Most blocks that a source's documents are dealt to; their totals are what one window task sees.
-MOST_BLOCKS = 1 << 16
+#: Bits of a block's place in a permutation by which blocks are grouped, so that no window sees all of a source's.
+GROUP_BITS = 12
 
 
 @dataclass
@@ -76,10 +76,11 @@ def mix_sources(docs: DataFrame, budget: float | None = None, entropy_share: flo
     last epoch takes whole blocks while they fit the quota, and of the next block the documents that still do. So a
     quota is missed by less than a document, and the budget is never exceeded.
 
-    Only totals by source reach the driver. Running sums go over blocks (at most MOST_BLOCKS a source) and over one
-    block's documents, never over a source. Null and empty sources are one source named ''. Documents without tokens
-    come along with their block. Sources without tokens and rows with a null doc_id are not used. Rows that repeat a
-    doc_id are documents of their own, as long as ties between them don't matter. An empty table gives no rows."""
+    Only totals by source reach the driver. Running sums go over groups of blocks (4,096 a source and epoch), over one
+    group's blocks and over one block's documents, never over a source. Null and empty sources are one source named
+    ''. Documents without tokens come along with their block. Sources without tokens and rows with a null doc_id are
+    not used. Rows that repeat a doc_id are documents of their own, ordered by their tokens; those that are equal in
+    that too are alike in the result. An empty table gives no rows."""
     count = tokens if tokens is not None else word_count(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), count.cast("long").alias("n_tokens")).where("doc_id is not null")
     rows = materialise(rows.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long"))), "mix-rows")
@@ -89,21 +90,27 @@ def mix_sources(docs: DataFrame, budget: float | None = None, entropy_share: flo
     budget = float(sum(sizes)) if budget is None else float(budget)
     goal = entropy_share * float(np.log(max(1, sum(s > 0 for s in sizes))))
     mix = temperature_weights(named, sizes, budget, goal, most_repeats)
-    plan = [(s, float(w), int(t), int(w * budget // t), float(w * budget % t), int(np.clip(-(-t // block_tokens), 1, MOST_BLOCKS))) for s, w, t in zip(named, mix.weights, sizes) if t > 0]
-    plan = spark.createDataFrame(plan, "source string, weight double, total long, full_epochs int, rest double, n_blocks int")
+    plan = [(s, float(w), int(t), int(w * budget // t), float(w * budget % t), max(1, -(-int(t) // block_tokens))) for s, w, t in zip(named, mix.weights, sizes) if t > 0]
+    plan = spark.createDataFrame(plan, "source string, weight double, total long, full_epochs int, rest double, n_blocks long")
     hashed = lambda *x: F.xxhash64(*x, F.lit(seed))
-    dealt = rows.join(F.broadcast(plan), "source").withColumn("block_id", F.pmod(hashed("doc_id"), F.col("n_blocks")).cast("int"))
+    dealt = rows.join(F.broadcast(plan), "source").withColumn("block_id", F.pmod(hashed("doc_id"), F.col("n_blocks")))
 
     blocks = dealt.groupBy("source", "block_id").agg(F.sum("n_tokens").alias("block_tokens")).join(F.broadcast(plan), "source")
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full_epochs"))))
-    order = Window.partitionBy("source", "epoch").orderBy(hashed("block_id", "epoch"), "block_id")
-    blocks = blocks.withColumn("block", F.row_number().over(order) - 1).withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens"))
+    # a block's place is its hash's: groups of it are summed first, so that its own window sees one group
+    blocks = blocks.withColumn("hash", hashed("block_id", "epoch")).withColumn("part", F.shiftright("hash", 64 - GROUP_BITS))
+    parts = blocks.groupBy("source", "epoch", "part").agg(F.count("*").alias("part_blocks"), F.sum("block_tokens").alias("part_tokens"))
+    ahead = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.select("source", "epoch", "part", (F.sum("part_blocks").over(ahead) - F.col("part_blocks")).alias("blocks_ahead"), (F.sum("part_tokens").over(ahead) - F.col("part_tokens")).alias("tokens_ahead"))
+    order = Window.partitionBy("source", "epoch", "part").orderBy("hash", "block_id")
+    blocks = blocks.join(parts, ["source", "epoch", "part"]).withColumn("block", F.row_number().over(order) - 1 + F.col("blocks_ahead"))
+    blocks = blocks.withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens") + F.col("tokens_ahead"))
     last = F.col("epoch") == F.col("full_epochs")
     left = F.when(last, F.col("rest") - F.col("before"))  # tokens that the block may still give
     blocks = blocks.where(~last | (left > 0)).select("source", "block_id", "epoch", "block", F.when(last & (left < F.col("block_tokens")), left).alias("left"))
 
     used = dealt.select("doc_id", "source", "n_tokens", "weight", "block_id").join(blocks, ["source", "block_id"])
-    inside = Window.partitionBy("source", "block_id", "epoch").orderBy(hashed("doc_id", "epoch"), "doc_id")
+    inside = Window.partitionBy("source", "block_id", "epoch").orderBy(hashed("doc_id", "epoch"), "doc_id", "n_tokens")
     used = used.withColumn("place", F.row_number().over(inside) - 1).withColumn("through", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return used.where("left is null or through <= left").select("doc_id", "source", "epoch", "block", "place", "n_tokens", "weight")
 

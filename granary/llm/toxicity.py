@@ -82,15 +82,15 @@ def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float,
     return WordModel({word: float(x) for word, x in zip(vocabulary, w) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 6000, least_docs: int = 5, least_z: float = 5.0) -> WordModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 6000, least_docs: int = 5, least_z: float = 5.0, prior: float | None = None, labels_id_col: str | None = None) -> WordModel:
     """Fits the model on whole texts: up to max_positive documents that labels confirm as toxic, and up to
     max_unlabelled of all documents, whose labels are not looked at (those of the smallest xxhash64 of their ids). The
-    class prior is the share of toxic among labelled documents. Features are those that least_docs texts of the sample
+    class prior is the share of toxic among labelled documents, unless it is given. Features are those that least_docs texts of the sample
     have and whose shares in its two parts differ by at least least_z standard errors; Spark counts and selects them. Null ids, texts and labels teach
     nothing; a document that any label calls toxic is toxic. The sample's ids are broadcast and its texts' selected
     features reach the driver: both are bounded by the two sizes."""
     rows = text_rows(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.select(F.col(labels_id_col or id_col).alias("doc_id"), F.col(toxic_col).alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = rows.select("doc_id").join(marks, "doc_id", "left")
     counts = marked.agg(F.count("toxic").alias("n"), F.sum("toxic").alias("p")).first()
     first = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -106,8 +106,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     fitted = materialise(map_batches(texts, make, f"doc_id {kind}, confirmed boolean, features array<string>"), "toxicity-sample")
     sizes = fitted.agg(F.count_if("confirmed").alias("m"), F.count_if(~F.col("confirmed")).alias("n")).first()
+    if prior is None:
+        prior = (counts["p"] or 0) / max(counts["n"] or 0, 1)
     if not sizes.m or not sizes.n:
-        return fit_nnpu([], [], _prior(counts))
+        return fit_nnpu([], [], prior)
     flat = fitted.select("doc_id", "confirmed", F.explode("features").alias("feature"))
     a, b = F.col("a"), F.col("b")
     share = (a + b) / (sizes.m + sizes.n)
@@ -117,15 +119,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kept = flat.join(told, "feature").groupBy("doc_id", "confirmed").agg(F.collect_set("feature").alias("kept"))
     found = fitted.select("doc_id", "confirmed").join(kept, ["doc_id", "confirmed"], "left").toPandas().sort_values("doc_id", kind="stable")
     sides = [[set(x if x is not None else ()) for x in found["kept"][found["confirmed"] == side]] for side in (True, False)]
-    return fit_nnpu(*sides, prior=_prior(counts))
-
-
-def _prior(counts) -> float:
-    return min(max((counts["p"] or 0) / max(counts["n"] or 0, 1), 0.01), 0.5)
+    return fit_nnpu(*sides, prior=prior)
 
 
 def score_toxicity(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for each row's whole text; null and empty texts get the score of no words."""
+    """(doc_id, score, predicted) for each row's whole text, however long.
+
+    Null and empty texts get the score of no words. Repeated rows and null ids give a row each, an empty table none;
+    other columns are not read."""
     shared = shared_value(docs.sparkSession, model)
 
     def make():

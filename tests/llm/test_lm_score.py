@@ -3,64 +3,60 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from granary.llm.lm_score import ADDED, DISCOUNT, cross_entropy_difference, op8_cross_entropy_difference, train_matched
+from granary.llm.lm_score import ADDED, cross_entropy_difference, op8_cross_entropy_difference
 
 SCHEMA = "doc_id long, text string, n_words string"
+SF = "/root/testdata/sf0.001"
 
 
-def plain_losses(target, background, texts, word_share, pair_share):
+def plain_losses(target, background, texts):
     """The same two models by dictionaries."""
-    words = lambda t: (t or "").lower().split(" ") if t else []
-    sides = [Counter(w for t in side for w in words(t)) for side in (target, background)]
-    totals = [sum(s.values()) for s in sides]
-    vocab = {w for w in sides[0] | sides[1] if any(s[w] >= max(1, word_share * n) for s, n in zip(sides, totals))}
-    ids = lambda t: ["<s>"] + [w if w in vocab else "<unk>" for w in words(t)]
-    pairs = [Counter(p for t in side for p in zip(ids(t), ids(t)[1:])) for side in (target, background)]
-    kept = {p for p in pairs[0] | pairs[1] if any(c[p] >= max(1, pair_share * n) for c, n in zip(pairs, totals))}
-    out = []
-    for c, own in zip(pairs, (target, background)):
-        unigram = Counter(w for t in own for w in ids(t)[1:])
-        n = sum(unigram[w] + ADDED for w in vocab | {"<unk>"})
-        before = Counter()
-        for (v, _), k in c.items():
-            before[v] += k
-        part = {p: max(c[p] - DISCOUNT, 0) / max(before[p[0]], 1) for p in kept}
-        back = Counter()
-        for (v, _), x in part.items():
-            back[v] += x
-        p1 = {w: (unigram[w] + ADDED) / n for w in vocab | {"<unk>"}}
-        out.append([np.mean([-np.log(part.get(p, 0) + (1 - back[p[0]]) * p1[p[1]]) for p in zip(ids(t), ids(t)[1:])]) for t in texts])
-    return np.array(out)
+    pairs = lambda t: list(zip(["<s>", *(w := (t or "").encode().lower().split())], w))
+    sides = [Counter(p for t in side for p in pairs(t)) for side in (target, background)]
+    v = len(sides[0] | sides[1]) + 1
+    one = lambda c, t: np.mean([np.log(c.total() + ADDED * v) - np.log(c[p] + ADDED) for p in pairs(t)]) if pairs(t) else None
+    return [[one(c, t) for t in texts] for c in sides]
 
 
-@pytest.mark.parametrize("shares", [(1e-9, 1e-9), (0.02, 0.01)])
-def test_losses_equal_plain_models(spark, shares):
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("own_background", [True, False])
+def test_losses_equal_plain_models(spark, own_background):
     rng = np.random.default_rng(0)
     draw = lambda p: [" ".join(rng.choice(["A", "b", "c", "d", "e", "f"], 25, p=p)) for _ in range(20)]
     target, background = draw([0.5, 0.3, 0.1, 0.05, 0.03, 0.02]), draw([0.1, 0.1, 0.2, 0.2, 0.2, 0.2])
-    make = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    models = train_matched(make(target), make(background), word_share=shares[0], pair_share=shares[1])
-    texts = background + ["a a b", "z z", "f"]
-    got = sorted(cross_entropy_difference(make(texts), models).collect())
-    want = plain_losses(target, background, texts, *shares)
-    assert [r.target_loss for r in got] == pytest.approx(want[0]) and [r.background_loss for r in got] == pytest.approx(want[1])
-    assert [r.difference for r in got] == pytest.approx(want[0] - want[1])
-    assert sum(r.difference for r in cross_entropy_difference(make(target), models).collect()) < sum(r.difference for r in got)
-
-
-def test_query_scores_every_document(spark):
-    sf = "/root/testdata/sf0.001"
-    got = op8_cross_entropy_difference(spark, sf).collect()
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts = background if own_background else [*background, "a a b", "z z", "f", ""]
+    got = sorted(cross_entropy_difference(table(spark, texts), table(spark, target), None if own_background else table(spark, background)).collect())
+    want = plain_losses(target, background, texts)
+    for r, t, b in zip(got, *want):
+        assert (r.target_loss, r.background_loss) == (pytest.approx(t), pytest.approx(b)) and r.difference == (None if t is None else pytest.approx(t - b))
+    assert sum(r.difference for r in cross_entropy_difference(table(spark, target), table(spark, target), table(spark, background)).collect()) < sum(r.difference or 0 for r in got)
+
+
+def test_rare_words_count(spark):
+    """A text that stands twice in a large corpus of words of their own is told from those that stand once."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    got = sorted(cross_entropy_difference(table(spark, texts + texts[:3]), table(spark, ["other words"])).collect())
+    twice, once = [r.difference for r in got if r.doc_id in (0, 1, 2, 300, 301, 302)], [r.difference for r in got if 2 < r.doc_id < 300]
+    assert min(twice) > max(once) + 0.4
+
+
+def test_query_equals_plain_models(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = dict(zip(docs, zip(*plain_losses(target, list(docs.values()), list(docs.values())))))
+    got = op8_cross_entropy_difference(spark, SF).collect()
     assert {r.doc_id: r.n_words for r in got} == {i: len(t.split()) for i, t in docs.items()}
-    assert all(r.n_words == 0 or r.background_loss > 0 for r in got)
+    assert all((r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]) for r in got)
 
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (None, "one"), (5, "long word " * 80_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
-    got = cross_entropy_difference(df, train_matched(df, df)).collect()
+    got = cross_entropy_difference(df, df).collect()
     assert len(got) == len(rows) and all(r.difference is None if not r.n_words else abs(r.difference) < 1e-9 for r in got)
     empty = spark.createDataFrame([], SCHEMA)
-    assert cross_entropy_difference(empty, train_matched(empty, empty)).count() == 0
-    assert len(cross_entropy_difference(df, train_matched(empty, empty)).collect()) == len(rows)
+    assert cross_entropy_difference(empty, empty).count() == 0
+    assert len(cross_entropy_difference(df, empty, empty).collect()) == len(rows)

@@ -58,6 +58,17 @@ def test_quota_epochs_and_blocks(spark, block_tokens):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_many_blocks_and_repeated_ids(spark):
+    """More blocks than a group holds, and rows of one doc_id with other counts: the result depends on rows alone."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "a", int(rng.integers(1, 4))) for i in range(9000)] + [(i, "a", 5 + i % 3) for i in range(200)]
+    df = spark.createDataFrame([(*r, "x", "clash") for r in rows], SCHEMA)
+    mix = lambda d: sorted(map(tuple, mix_sources(d, 9000, tokens=F.col("n"), block_tokens=2).collect()))
+    got = mix(df)
+    assert sum(r[5] for r in got) <= 9000 and sum(r[5] for r in got) > 9000 - 8 and len({r[3] for r in got}) > 2500
+    assert got == mix(df.repartition(5))
+
+
 def test_query_keeps_its_rules(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.source, len(r.text.split())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -24,6 +24,20 @@ def test_held_out_quality(spark):
     assert tp / (tp + fp) > 0.8 and tp / (tp + fn) > 0.8
 
 
+def test_scores_equal_plain_sums(spark):
+    """Every score of the query's operator from weights and features by hand, and the prior as labels have it."""
+    rows = [(i, f"{'vile ' * (i % 10 == 0)}word{i % 7} fine" if i % 9 else None, 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i == 10)) for i in range(1000)], "key long, toxic int")
+    model = train_toxicity(df, labels, labels_id_col="key")
+    assert model.weights == {} and model.bias == np.log(0.001 / 0.999) or model.score("") < 0.01
+    model = WordModel({"vile": 2.0, "^vile": 0.5, "^word": -0.25, "fine": 0.125}, -1.0)
+    for r in score_toxicity(df, model).collect():
+        text = rows[r.doc_id][1] or ""
+        z = -1.0 + 2.5 * ("vile" in text) - 0.25 * ("word" in text) * 1 + 0.125 * ("fine" in text)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-12 and r.predicted == int(r.score >= 0.5)
+
+
 def test_odd_rows(spark):
     rows = [(i, "you vile thing " + "ok " * (i % 5) if i % 4 == 0 else "a fine day " + "ok " * (i % 5), 1) for i in range(400)]
     rows += [(1000, None, 1), (1001, "", 1), (None, "vile", 1), (1002, "VILE " * 100_000, 1), (1002, "VILE", 1)]
