@@ -30,7 +30,16 @@ FORMAL = {"怎么弄": "操作流程", "怎么搞": "操作方法", "搞一下":
 FILLERS = ["这个", "那个", "这些", "那些", "一下"]
 #: Fixed words of the decomposer.
 COMPARISONS = ["比较", "对比", "共同点", "差异", "区别", "分别", "compare", "difference"]
-SEPARATORS = r"(?i:\bcompare\b|\bdifference between\b|\bversus\b|\bvs\.?\b)|对比|比较|区别|差异|分别|以及|和|与|、"
+SEPARATORS = r"(?i)\bcompare\b|\bdifference between\b|\bversus\b|\bvs\.?\b|对比|比较|区别|差异|分别|以及|和|与|、"
+#: Fixed patterns and templates of the decomposer, and phrases of the clarifier.
+ENTITY = r"(\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,4}\b)"
+PART_ENDS = r"^[\s?？,，。]+|[\s?？,，。]+$"
+ABOUT_ONE = " 在材料中体现出的核心变化过程、原因和关键表现是什么？"
+ABOUT_BOTH = " 体现出的变化过程有哪些共同点和差异？"
+WHAT_IS = "是什么？"
+TWO_TARGETS = ["对比这两个", "比较这两个"]
+WHICH_IS_BETTER, CANDIDATES = "哪个更好", "和|与|还是|对比|比较"
+THIS_ONE = ["总结这个", "分析这个", "处理这个问题"]
 NO_ENTITIES = ["RAG", "Agentic", "JSON", "LLM", "API"]
 
 
@@ -74,9 +83,9 @@ def clarification(query: Column) -> Column:
     """struct(needed, reason, slots) of vague references; reason '' where the query is clear."""
     c = F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", "")
     reason = (
-        F.when(has_any(c, ["对比这两个", "比较这两个"]), "missing_comparison_targets")
-        .when(c.contains("哪个更好") & ~c.rlike("和|与|还是|对比|比较"), "missing_candidates_and_criteria")
-        .when(has_any(c, ["总结这个", "分析这个", "处理这个问题"]), "ambiguous_reference")
+        F.when(has_any(c, TWO_TARGETS), "missing_comparison_targets")
+        .when(c.contains(WHICH_IS_BETTER) & ~c.rlike(CANDIDATES), "missing_candidates_and_criteria")
+        .when(has_any(c, THIS_ONE), "ambiguous_reference")
         .when(has_any(c, VAGUE) & (F.length(c) <= 12), "short_ambiguous_reference")
         .otherwise("")
     )
@@ -98,15 +107,20 @@ def rewrite(query: Column) -> Column:
 
 def decompose(query: Column, most: int = 4) -> Column:
     """array of sub-questions: one for each of up to three named entities of a comparison and one for both; else the
-    parts between separators where there are two to `most`; else the query."""
+    parts between separators where there are two to `most`; else the query. What differs in case only is the same."""
     q = strip(F.coalesce(query, F.lit("")))
-    names = F.array_distinct(F.regexp_extract_all(q, F.lit(r"(\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,4}\b)"), F.lit(1)))
+    names = F.array_distinct(F.regexp_extract_all(q, F.lit(ENTITY), F.lit(1)))
     names = F.filter(names, lambda x: ~x.isin(NO_ENTITIES))
-    once = F.filter(names, lambda x, i: F.array_position(F.transform(names, F.lower), F.lower(x)) == i + 1)
-    once = F.slice(once, 1, max(2, most - 1))
-    asked = F.transform(once, lambda x: F.concat(x, F.lit(" 在材料中体现出的核心变化过程、原因和关键表现是什么？")))
-    joint = F.concat(F.array_join(F.slice(once, 1, 2), " 和 "), F.lit(" 体现出的变化过程有哪些共同点和差异？"))
+    once = F.slice(_first_by_case(names), 1, max(2, most - 1))
+    asked = F.transform(once, lambda x: F.concat(x, F.lit(ABOUT_ONE)))
+    joint = F.concat(F.array_join(F.slice(once, 1, 2), " 和 "), F.lit(ABOUT_BOTH))
     by_name = F.slice(F.concat(asked, F.array(joint)), 1, most)
-    parts = F.transform(F.filter(F.split(q, SEPARATORS), lambda x: strip(x) != ""), lambda x: F.regexp_replace(x, r"^[\s?？,，。]+|[\s?？,，。]+$", ""))
-    by_part = F.array_distinct(F.filter(F.transform(parts, lambda x: F.concat(x, F.lit("是什么？"))), lambda x: x != "是什么？"))
+    parts = F.transform(F.filter(F.split(q, SEPARATORS), lambda x: strip(x) != ""), lambda x: F.regexp_replace(x, PART_ENDS, ""))
+    by_part = _first_by_case(F.filter(F.transform(parts, lambda x: F.concat(x, F.lit(WHAT_IS))), lambda x: x != WHAT_IS))
     return F.when(q == "", F.array().cast("array<string>")).when(has_any(q, COMPARISONS) & (F.size(once) >= 2), by_name).when((F.size(parts) >= 2) & (F.size(parts) <= most) & (F.size(by_part) > 0), by_part).otherwise(F.array(q))
+
+
+def _first_by_case(values: Column) -> Column:
+    """The first of values that are equal but for case."""
+    low = F.transform(values, F.lower)
+    return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)

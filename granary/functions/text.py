@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 #: Fixed patterns: a search token is one CJK character or a Latin run; what ends a line; what blank means.
 TOKEN = r"[一-鿿]|[A-Za-z0-9][A-Za-z0-9_.:/+\-]*"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BLANKS = " \t\n\x0b\f\r\u00a0\u3000"
 BLANK = r"[\s 　]"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def filled(c: Column) -> Column:

@@ -163,17 +163,35 @@ def merge_cross_page_tables(blocks: DataFrame) -> DataFrame:
     return got.withColumn("extra", F.when(table, F.map_concat(own, facts)).otherwise(F.col("extra"))).withColumn("html", F.when(table & F.col("markdown"), F.lit(None)).otherwise(F.col("html"))).select("doc_id", "block_index", "block_type", "text", "page_no", "source_path", "html", "extra")
 
 
-def block_quality(blocks: DataFrame, min_mean: float = 20.0) -> DataFrame:
-    """One row a document: blocks by type, pages, blocks without a page, table candidates on following pages, mean
-    length, flags and level."""
-    kind = F.col("block_type")
-    page, before_page, before_kind = F.col("page_no"), F.lag("page_no").over(by_doc()), F.lag("block_type").over(by_doc())
-    rows = blocks.withColumn("candidate", F.coalesce((kind == "table") & (before_kind == "table") & (page == before_page + 1), F.lit(False)))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    got = rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), n(kind == "title").alias("titles"), n(kind == "text").alias("texts"), n(kind == "list_item").alias("list_items"), n(kind == "table").alias("tables"), n(kind == "image").alias("images"), F.countDistinct("page_no").alias("pages"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), n(page.isNull()).alias("missing_pages"), n(F.col("candidate")).alias("table_candidates"), F.round(F.avg(F.length(T.strip(F.coalesce("text", F.lit(""))))), 2).alias("mean_chars"))
-    flags = F.array_compact(F.array(F.when(F.col("titles") == 0, "no_titles"), F.when(F.col("missing_pages") > 0, "missing_pages"), F.when(F.col("table_candidates") > 0, "cross_page_tables"), F.when(F.col("mean_chars") < min_mean, "short_blocks")))
-    got = got.withColumn("flags", F.array_join(flags, ","))
-    return got.withColumn("level", F.when(F.col("texts") == 0, "poor").when(F.col("flags") != "", "needs_review").otherwise("ok"))
+#: Fixed texts of the quality report, and its bounds: share of blocks without a page, characters of a sparse document.
+FLAGS = ["scanned_pdf_requires_ocr", "table_blocks_present", "cross_page_table_candidate", "image_blocks_present", "missing_page_metadata", "empty_parse_result", "very_sparse_text"]
+MISSING_SHARE, SPARSE_CHARS = 0.5, 200
+
+
+def block_quality(blocks: DataFrame, probes: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document: blocks by type, pages, blocks without a page, cross-page table candidates (a table whose
+    page follows that of the table before it), mean length of blocks with text, flags and level.
+
+    probes (doc_id, is_scanned) marks scans; documents (doc_id) brings in those that gave no block at all. Both, and
+    only both, are poor; any other flag asks for a review."""
+    kind, page, size = F.col("block_type"), F.col("page_no"), F.length(T.strip(F.coalesce("text", F.lit(""))))
+    table_before = F.last(F.when(kind == "table", F.struct("page_no")), ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    rows = blocks.select("doc_id", "block_type", "page_no", size.alias("size"), F.coalesce((kind == "table") & (page == table_before["page_no"] + 1), F.lit(False)).alias("candidate"))
+    of = lambda k: F.count_if(kind == k)
+    sums = {"blocks": F.count("*"), "titles": of("title"), "texts": of("text"), "list_items": of("list_item"), "tables": of("table"), "images": of("image"), "pages": F.countDistinct("page_no"), "missing_pages": F.count_if(page.isNull()), "table_candidates": F.count_if("candidate"), "with_text": F.count_if(F.col("size") > 0), "chars": F.sum("size")}
+    got = rows.groupBy("doc_id").agg(*(v.alias(k) for k, v in sums.items()), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
+    if documents is not None:
+        got = documents.select("doc_id").distinct().join(got, "doc_id", "left").fillna(0, list(sums))
+    scanned = F.lit(False)
+    if probes is not None:
+        got, scanned = got.join(probes.select("doc_id", "is_scanned"), "doc_id", "left"), F.coalesce("is_scanned", F.lit(False))
+    n = {k: F.col(k) for k in sums}
+    holds = [scanned, n["tables"] > 0, n["table_candidates"] > 0, n["images"] > 0, (n["blocks"] > 0) & (n["missing_pages"] >= MISSING_SHARE * n["blocks"]), n["blocks"] == 0, (n["with_text"] > 0) & (n["chars"] < SPARSE_CHARS)]
+    flags = F.array_join(F.array_compact(F.array(*(F.when(h, name) for h, name in zip(holds, FLAGS)))), ",")
+    level = F.when((n["blocks"] == 0) | scanned, "poor").when(flags != "", "needs_review").otherwise("ok")
+    pages = F.when(F.col("first_page").isNull(), "").when(F.col("first_page") == F.col("last_page"), F.col("first_page").cast("string")).otherwise(F.concat_ws("-", F.col("first_page").cast("string"), F.col("last_page").cast("string")))
+    mean = F.when(n["with_text"] > 0, F.round(n["chars"] / n["with_text"], 2)).otherwise(0.0)
+    return got.select("doc_id", "blocks", "titles", "texts", "list_items", "tables", "images", "pages", pages.alias("page_range"), "missing_pages", "table_candidates", mean.alias("mean_chars"), flags.alias("flags"), level.alias("level"))
 
 
 def pdf_text_probe(pages: DataFrame, probe: int = 3, least_chars: int = 100) -> DataFrame:

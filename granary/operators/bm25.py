@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.tables import if_small, numbered, written
 from granary.functions.text import bm25_tokens
 
 
@@ -21,35 +22,34 @@ class Bm25Index:
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
-    """Chunks without a token are left out. Counting is partial before each shuffle."""
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), bm25_tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    lengths = rows.select("chunk_id", F.size("tokens").cast("long").alias("token_len"))
-    postings = rows.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf"))
+    """Chunks without a token are left out. Texts are tokenised once: tokens and postings are written, the rest is read
+    from them. Counting is partial before each shuffle."""
+    tokens = bm25_tokens(F.col(text_col))
+    rows = written(chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens")).where(F.size("tokens") > 0).withColumn("token_len", F.size("tokens").cast("long")), "bm25-tokens")
+    lengths = rows.select("chunk_id", "token_len")
+    postings = written(rows.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count("*").alias("tf")), "bm25-postings")
     return Bm25Index(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.sum("token_len").alias("sum_len")))
 
 
 def vocabulary(index: Bm25Index) -> DataFrame:
-    """(token, token_id, df): ids are ranks in token order, counted in range partitions so that no task sees all."""
-    parts = index.frequencies.repartitionByRange("token").withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("base", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "base")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("token"))
-    return parts.join(F.broadcast(before), "part").select("token", (F.col("base") + place - 1).alias("token_id"), "df")
+    """(token, token_id, df): ids are ranks in token order."""
+    return numbered(index.frequencies, "token", "token_id").select("token", "token_id", "df")
 
 
 def score(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, chunk_id, score) of all pairs that share a token: sum of qtf * idf * tf * (k1 + 1) / (tf + norm).
 
-    Query tokens get their idf first; Spark broadcasts that side while it is small and else joins by token, splitting
-    tokens whose postings are hot."""
+    Query tokens get their idf first and are written: where they are few they are broadcast, so that postings are
+    filtered where they are read, and only what meets a query is joined with lengths."""
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(bm25_tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     n, mean = F.col("n"), F.col("sum_len") / F.col("n")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.join(index.frequencies, "token").crossJoin(F.broadcast(index.totals)).select("query_id", "token", (F.col("qtf") * idf).alias("weight"), mean.alias("mean"))
-    lengths = index.postings.join(index.lengths, "chunk_id")
+    asked = if_small(written(asked, "bm25-asked"))
     norm = k1 * (1 - b + b * F.col("token_len") / F.col("mean"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return lengths.join(asked, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    met = index.postings.join(asked, "token").join(index.lengths, "chunk_id")
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, order: Column | None = None) -> DataFrame:

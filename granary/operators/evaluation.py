@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import char_grams, collapse, contains_any, filled, normalize_path, overlap_of, page_numbers, strip
+from granary.functions.tables import if_small, written
+from granary.functions.text import char_grams, filled, normalize_path, overlap_of, page_numbers, strip
 
 #: Fixed value: the cut-offs that metrics are reported at.
 CUTS = [1, 3, 5, 10]
@@ -68,12 +69,16 @@ def match_hits_to_qrels(hits: DataFrame, qrels: DataFrame, id_cols: list[str] |
 
 
 def gram_candidates(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, evidence_id, node_id, score) of pairs of one source path that share a gram: sets are exploded once
-    and counted in one equi-join on (path, gram), so no pair of texts is compared in full."""
-    grams = lambda df, text, *keep: df.select(*keep, F.col("path"), char_grams(F.col(text)).alias("grams")).withColumn("size", F.size("grams")).select(*keep, "path", "size", F.explode("grams").alias("gram"))
-    e = grams(evidence, "evidence_text", "query_id", "evidence_id").withColumnRenamed("size", "e_size")
+    """(query_id, evidence_id, node_id, score) of pairs of one source path that share a gram.
+
+    Grams are compared by 64-bit hashes. Each path's evidence grams are one row a gram, with the evidences that have
+    it; that table is written once and broadcast if it is small, so a node's grams are counted where its text is read."""
+    grams = lambda df, text, *keep: df.select(*keep, F.col("path"), char_grams(F.col(text)).alias("grams")).select(*keep, "path", F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    e = grams(evidence, "evidence_text", "query_id", "evidence_id").groupBy("path", "gram").agg(F.collect_list(F.struct("query_id", "evidence_id", F.col("size").alias("e_size"))).alias("asked"))
+    e = if_small(written(e, "evidence-grams"))
     n = grams(nodes, "text", "node_id", "parent_id").withColumnRenamed("size", "n_size")
-    pairs = e.join(n, ["path", "gram"]).groupBy("query_id", "evidence_id", "node_id", "parent_id", "e_size", "n_size").agg(F.count("*").alias("shared"))
+    met = n.join(e, ["path", "gram"]).select("node_id", "parent_id", "n_size", F.explode("asked").alias("a"))
+    pairs = met.groupBy("a.query_id", "a.evidence_id", "node_id", "parent_id", "a.e_size", "n_size").agg(F.count("*").alias("shared"))
     return pairs.select("query_id", "evidence_id", "node_id", "parent_id", (F.col("shared") / F.least("e_size", "n_size")).alias("score"))
 
 
@@ -141,13 +146,26 @@ def match_type_counts(matches: DataFrame) -> DataFrame:
     return matches.where("matched").groupBy("strategy", "match_type").agg(F.count("*").alias("hits"))
 
 
-def eval_set_audit(questions: DataFrame, units: list[str]) -> DataFrame:
-    """One row: questions, distinct, duplicated, with several evidences, abstentions, without contexts, and numeric
-    questions that name no unit."""
-    once = questions.groupBy(collapse(F.lower("question")).alias("norm")).agg(F.count("*").alias("n")).agg(F.count("*").alias("distinct_questions"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("duplicated"))
-    flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counts = questions.agg(F.count("*").alias("questions"), flag(F.col("n_contexts") > 1).alias("multi_evidence"), flag(F.col("eval_type") == "abstention").alias("abstentions"), flag((F.col("n_contexts") == 0) & (F.col("eval_type") != "abstention")).alias("missing_contexts"), flag((F.col("eval_type") == "numeric") & ~contains_any(F.col("question"), units)).alias("numeric_without_unit"))
-    return counts.crossJoin(once)
+#: Fixed values of the audit: types of question that must name a unit, the word that does, the name of what is not set.
+UNIT_TYPES, UNIT_WORD, NOT_SET = ["table_numeric", "hard_negative_table_numeric"], "单位", "unknown"
+
+
+def eval_set_audit(questions: DataFrame) -> DataFrame:
+    """One row: questions, distinct ones, texts that occur more than once (as they stand), questions with several
+    evidences, abstentions, those without contexts, and those of a numeric type that name no unit.
+
+    Equal texts are counted by their SHA-256, so no whole text is shuffled; a null question is an empty one."""
+    asked = F.coalesce("question", F.lit(""))
+    once = questions.groupBy(F.sha2(asked, 256)).agg(F.count("*").alias("n")).agg(F.count("*").alias("distinct_questions"), F.count_if(F.col("n") > 1).alias("duplicated"))
+    contexts = F.coalesce("n_contexts", F.lit(0))
+    counts = questions.agg(F.count("*").alias("questions"), F.count_if(contexts > 1).alias("multi_evidence"), F.count_if(F.col("eval_type") == "abstention").alias("abstentions"), F.count_if(contexts == 0).alias("missing_contexts"), F.count_if(F.col("question_type").isin(UNIT_TYPES) & ~asked.contains(UNIT_WORD)).alias("numeric_without_unit"))
+    return counts.crossJoin(F.broadcast(once))  # a row each
+
+
+def eval_set_counts(questions: DataFrame) -> DataFrame:
+    """(slice, value, questions) by question type and by difficulty."""
+    named = questions.select(F.explode(F.array(*(F.struct(F.lit(c).alias("slice"), F.coalesce(F.nullif(c, F.lit("")), F.lit(NOT_SET)).alias("value")) for c in ("question_type", "difficulty")))).alias("s"))
+    return named.groupBy("s.slice", "s.value").agg(F.count("*").alias("questions"))
 
 
 def answer_metric_summary(scores: DataFrame, metrics: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.tables import if_small, written
 from granary.functions.text import collapse, filled, first_filled, strip
 
 #: The published fusion constant; roles that count as leaves when a hit says nothing else.
@@ -60,23 +61,30 @@ def expand_parent_context(hits: DataFrame, chunks: DataFrame, most_chars: int |
 def auto_merge(hits: DataFrame, chunks: DataFrame, threshold: float = 0.5, most_chars: int = 4000) -> DataFrame:
     """Where a query's distinct leaf hits are at least threshold of a parent's leaves, one parent row replaces all of
     that parent's hits, at the first one's rank, with the largest leaf score. A parent without text leaves its distinct
-    leaf hits as they are. Ranks are dealt anew."""
+    leaf hits as they are. Ranks are dealt anew.
+
+    All of this is decided on narrow rows; parents' texts are read for the chosen ones, hits' texts joined at the end.
+    (query_id, rank) must be unique in hits."""
+    key = ["query_id", "parent_id"]
     leaf = F.coalesce(filled(F.col("chunk_role")), F.lit("unknown")).isin(LEAVES) & filled(F.col("parent_id")).isNotNull()
-    once = hits.where(leaf).withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "parent_id", "chunk_id").orderBy("rank"))).where("nth = 1").drop("nth")
-    groups = once.groupBy("query_id", "parent_id").agg(F.count("*").alias("found"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("members"))
-    parents = chunks.select(F.col("chunk_id").alias("parent_id"), strip(F.coalesce("text", F.lit(""))).alias("parent_text"))
-    groups = groups.join(child_counts(chunks), "parent_id").where(F.col("found") / F.col("children") >= threshold).join(parents, "parent_id", "left")
-    groups = groups.withColumn("has_text", F.coalesce(F.col("parent_text") != "", F.lit(False)))
-    first = hits.join(groups, ["query_id", "parent_id"], "left_semi").groupBy("query_id", "parent_id").agg(F.min("rank").alias("rank"))
-    merged = groups.where("has_text").join(first, ["query_id", "parent_id"])
-    body = F.regexp_replace(F.substring("parent_text", 1, most_chars), r"\s+$", "")
-    merged = merged.select("query_id", "rank", F.lit(0).alias("sub"), F.col("parent_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), body.alias("text"), F.col("best").alias("score"), F.lit(True).alias("auto_merged"), F.round(F.col("found") / F.col("children"), 4).alias("merge_ratio"), F.transform("members", lambda m: m["chunk_id"]).alias("child_chunk_ids"))
-    plain = lambda df, rank, sub: df.select("query_id", rank.alias("rank"), sub.alias("sub"), "chunk_id", "parent_id", "text", "score", F.lit(False).alias("auto_merged"), F.lit(None).cast("double").alias("merge_ratio"), F.lit(None).cast("array<string>").alias("child_chunk_ids"))
-    rest = plain(hits.join(groups, ["query_id", "parent_id"], "left_anti"), F.col("rank"), F.lit(0))
-    bare = once.join(groups.where("not has_text").select("query_id", "parent_id"), ["query_id", "parent_id"]).join(first.withColumnRenamed("rank", "at"), ["query_id", "parent_id"])
-    out = merged.unionByName(rest).unionByName(plain(bare, F.col("at"), F.col("rank")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "sub", "chunk_id"))
-    return out.withColumn("rank", place).drop("sub")
+    narrow = written(hits.select("query_id", "rank", "chunk_id", "parent_id", "score", leaf.alias("leaf")), "merge-hits")
+    once = narrow.where("leaf").groupBy(*key, "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    groups = once.groupBy(*key).agg(F.count("*").alias("found"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("members"))
+    groups = groups.join(child_counts(chunks), "parent_id").where(F.col("found") / F.col("children") >= threshold)
+    groups = written(groups.join(narrow.groupBy(*key).agg(F.min("rank").alias("at")), key), "merge-groups")
+    wanted = if_small(written(groups.select("parent_id").distinct(), "merge-parents"))
+    body = strip(F.coalesce("text", F.lit("")))
+    parents = chunks.join(wanted.withColumnRenamed("parent_id", "chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("parent_id"), F.regexp_replace(F.substring(body, 1, most_chars), r"\s+$", "").alias("parent_text"))
+    chosen = groups.join(parents.where("parent_text <> ''"), "parent_id", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    merged = chosen.where("parent_text is not null").select("query_id", F.col("at").alias("rank"), F.lit(0).alias("sub"), F.col("parent_id").alias("chunk_id"), none("string").alias("parent_id"), F.col("best").alias("score"), F.lit(True).alias("auto_merged"), F.round(F.col("found") / F.col("children"), 4).alias("merge_ratio"), F.transform("members", lambda m: m["chunk_id"]).alias("child_chunk_ids"), none("int").alias("hit_rank"), "parent_text")
+    plain = lambda df, rank, sub: df.select("query_id", rank.alias("rank"), sub.alias("sub"), "chunk_id", "parent_id", "score", F.lit(False).alias("auto_merged"), none("double").alias("merge_ratio"), none("array<string>").alias("child_chunk_ids"), F.col("rank").cast("int").alias("hit_rank"), none("string").alias("parent_text"))
+    rest = plain(narrow.join(groups, key, "left_anti"), F.col("rank"), F.lit(0))
+    bare = plain(once.join(chosen.where("parent_text is null").select(*key, "at"), key), F.col("at"), F.col("rank").cast("int"))
+    out = merged.unionByName(rest).unionByName(bare)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "sub", "chunk_id")))
+    texts = hits.select("query_id", F.col("rank").cast("int").alias("hit_rank"), "text")
+    return out.join(texts, ["query_id", "hit_rank"], "left").withColumn("text", F.coalesce("parent_text", "text")).select("query_id", "rank", "chunk_id", "parent_id", "text", "score", "auto_merged", "merge_ratio", "child_chunk_ids")
 
 
 def table_id(text: Column, own: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.tables import numbered
 from granary.functions.text import base_name, collapse, contains_any, filled, first_filled, strip, to_decimal
 
 #: Fixed aliases of each metadata field, first filled one wins; roles a chunk may have.
@@ -14,7 +15,8 @@ ALIASES = {"doc_id": ["doc_id", "document_id", "ref_doc_id"], "source_path": ["s
 ROLES = ["root", "parent", "leaf"]
 #: Fixed word lists of the report reader.
 SHORT_REPORTS = ["摘要", "英文"]
-VALUES = r"^[-(]?\d[\d,，]*(\.\d+)?[)%]?$|^(不适用|增加|减少)"
+NUMBER = r"^-?\d{1,3}(?:,\d{3})*(?:\.\d+)?%?$|^-?\d+(?:\.\d+)?%?$"
+NOT_APPLICABLE, CHANGES = "不适用", ["减少", "增加"]
 
 
 def canonical_metadata(m: Column) -> Column:
@@ -86,14 +88,36 @@ def first_page_with(pages: DataFrame, groups: list[list[str]], most_page: int) -
     return pages.where(holds & (F.col("page_no") <= most_page)).groupBy("doc_id").agg(F.min("page_no").alias("page_no"), F.min_by("text", "page_no").alias("text"))
 
 
-def labelled_values(lines: DataFrame, label: str, reach: int = 18) -> DataFrame:
-    """(doc_id, found): values on the `reach` lines after the first line that has the label and any value after it."""
+def labelled_values(lines: DataFrame, labels: list[str], reach: int = 18) -> DataFrame:
+    """(doc_id, found): values on the `reach` lines after the first line that has a label and any value after it."""
     after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, reach)
-    value = F.when(strip(F.col("line")).rlike(VALUES), strip(F.col("line")))
-    rows = lines.withColumn("found", F.collect_list(value).over(after)).where(F.col("line").contains(label) & (F.size("found") > 0))
+    line = strip(F.col("line"))
+    value = F.when(line.rlike(NUMBER) | (line == NOT_APPLICABLE) | contains_any(line, CHANGES), line)
+    rows = lines.withColumn("found", F.collect_list(value).over(after)).where(contains_any(F.col("line"), labels) & (F.size("found") > 0))
     return rows.groupBy("doc_id").agg(F.min_by("found", "pos").alias("found"))
 
 
+def value_after_label(lines: DataFrame, label: str, skip: list[str] | None = None, reach: int = 7) -> DataFrame:
+    """(doc_id, value): of the first line with the label that has one, what else stands on the line, or the first of the
+    `reach` lines after it; values to skip don't count."""
+    kept = lambda c: ~c.isin(skip) if skip else F.lit(True)
+    line = strip(F.col("line"))
+    after = F.first(F.when(kept(line), line), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, reach))
+    rest = strip(F.replace(line, F.lit(label), F.lit("")))
+    rows = lines.withColumn("value", F.coalesce(F.when((rest != "") & kept(rest), rest), after)).where(line.contains(label) & F.col("value").isNotNull())
+    return rows.groupBy("doc_id").agg(F.min_by("value", "pos").alias("value"))
+
+
+def snippet_around_label(lines: DataFrame, labels: list[str], window: int = 10, before: int = 2) -> DataFrame:
+    """(doc_id, snippet): the lines around the first that has a label, else the document's first lines."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    around = lambda n: F.collect_list("line").over(order.rowsBetween(n, window - 1))
+    has = contains_any(F.col("line"), labels)
+    rows = lines.select("doc_id", "pos", has.alias("has"), around(-before).alias("near"), around(0).alias("from_here"))
+    got = rows.groupBy("doc_id").agg(F.min_by(F.when(F.col("has"), F.col("near")), F.when(F.col("has"), F.col("pos"))).alias("near"), F.min_by("from_here", "pos").alias("first"))
+    return got.select("doc_id", strip(F.array_join(F.coalesce("near", "first"), "\n")).alias("snippet"))
+
+
 def build_prompts(questions: DataFrame, snippets: DataFrame) -> DataFrame:
     """(query_id, prompt): the packed evidence, numbered and named, and the question; a fixed text without evidence."""
     block = F.concat(F.lit("["), F.col("snippet_no").cast("string"), F.lit("] "), F.col("chunk_id"), F.lit("\n"), F.col("text"))
@@ -114,10 +138,9 @@ def golden_questions(metrics: DataFrame, annual: str, quarterly: str) -> DataFra
 
 
 def refine_questions(records: DataFrame) -> DataFrame:
-    """New questions by type, with new ids in order of the old ones. A question set is small: it is numbered in one
-    task."""
+    """New questions by type, with new ids in order of the old ones."""
     text = F.when(F.col("question_type") == "numeric", F.concat(F.lit("请给出 "), F.col("topic"), F.lit(" 的数值。"))).otherwise(F.concat(F.lit("请说明 "), F.col("topic"), F.lit("。")))
-    return records.select(F.concat(F.lit("r"), F.row_number().over(Window.orderBy("source_id")).cast("string")).alias("id"), "source_id", text.alias("question"))
+    return numbered(records, "source_id", "place").select(F.concat(F.lit("r"), (F.col("place") + 1).cast("string")).alias("id"), "source_id", text.alias("question"))
 
 
 def eval_bundle(questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

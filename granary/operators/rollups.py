@@ -36,16 +36,45 @@ def ingestion_rollup(items: DataFrame) -> DataFrame:
     return out.select(scope.alias("scope"), value.alias("value"), "documents", "succeeded", "failed", "blocks", "chunks", mean("blocks").alias("mean_blocks"), mean("chunks").alias("mean_chunks")).where("scope <> 'failed_stage' or value <> ''")
 
 
+#: Fixed timing keys of post-processors whose names hold a word.
+TIMING_KEYS = [("rerank", "rerank_ms"), ("automerging", "auto_merge_ms"), ("auto_merging", "auto_merge_ms"), ("parentcontext", "parent_context_ms"), ("parent_context", "parent_context_ms")]
+
+
+def timing_key(name: Column) -> Column:
+    """The key a post-processor's time is summed under: a known one, else its name in lower case and underscores."""
+    low = F.lower(name)
+    key = F.concat(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("_ms"))
+    for word, known in reversed(TIMING_KEYS):
+        key = F.when(low.contains(word), known).otherwise(key)
+    return key
+
+
 def trace_rollup(profiles: DataFrame) -> DataFrame:
-    """(timing_key, total_ms, steps) of all post-processors of all calls; zero sums are left out."""
-    return profiles.select(F.explode("postprocessors").alias("p")).groupBy(F.col("p.timing_key").alias("timing_key")).agg(F.round(F.sum("p.duration_ms"), 3).alias("total_ms"), F.count("*").alias("steps")).where("total_ms <> 0")
+    """(timing_key, total_ms, steps) over all calls: the retriever's own time, the whole profiled time (the retriever's
+    where a call has none), and that of each post-processor under its key; those without a key are left out."""
+    core = F.coalesce("retriever_core_ms", F.lit(0.0))
+    whole = F.coalesce(F.nullif("retrieval_total_profiled_ms", F.lit(0.0)), core)
+    item = lambda key, ms: F.struct(key.alias("timing_key"), ms.cast("double").alias("ms"))
+    steps = F.transform(F.coalesce("postprocessors", F.array()), lambda p: item(p["timing_key"], F.coalesce(p["duration_ms"], F.lit(0.0))))
+    rows = profiles.select(F.explode(F.concat(F.array(item(F.lit("retriever_core_ms"), core), item(F.lit("retrieval_profiled_ms"), whole)), steps)).alias("p")).where("p.timing_key <> ''")
+    return rows.groupBy("p.timing_key").agg(F.round(F.sum("p.ms"), 3).alias("total_ms"), F.count("*").alias("steps"))
 
 
 def trace_counts(profiles: DataFrame) -> DataFrame:
-    """One row: calls, fallbacks, and cache use."""
-    n = lambda c: F.count_if(c)
-    on = F.col("cache.enabled")
-    return profiles.agg(F.count("*").alias("calls"), n(F.col("fallback")).alias("fallbacks"), n(on).alias("cache_enabled"), n(on & F.col("cache.hit")).alias("cache_hits"), n(on & ~F.col("cache.hit")).alias("cache_misses"))
+    """One row: calls, fallbacks, whether any call used the cache, its hits, and misses of calls that used it."""
+    on, hit = (F.coalesce(F.col(f"cache.{c}"), F.lit(False)) for c in ("enabled", "hit"))
+    return profiles.agg(F.count("*").alias("calls"), F.count_if(F.coalesce("fallback", F.lit(False))).alias("fallbacks"), F.coalesce(F.bool_or(on), F.lit(False)).alias("cache_enabled"), F.count_if(hit).alias("cache_hits"), F.count_if(on & ~hit).alias("cache_misses"))
+
+
+def fallback_reasons(profiles: DataFrame) -> DataFrame:
+    """(reason, calls) of all calls' reasons."""
+    return profiles.select(F.explode("fallback_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("calls"))
+
+
+def recent_jobs(jobs: DataFrame, n: int = 8) -> DataFrame:
+    """One row: of the n latest jobs how many there are, how many wait or run, and how many failed."""
+    latest = jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(n)
+    return latest.agg(F.count("*").alias("recent_total"), F.count_if(F.col("status").isin("pending", "running")).alias("running"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 def library_overview(library: DataFrame) -> DataFrame:

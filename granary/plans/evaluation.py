@@ -16,18 +16,18 @@ GRAMS = r"case when len({0}) = 0 then cast([] as varchar[]) when len({0}) <= 3 t
 FLAT = r"string_split(lower(regexp_replace({0}, '\s+', '', 'g')), '')"
 OVERLAP = "case when least(len({0}), len({1})) > 0 then len(list_intersect({0}, {1})) / least(len({0}), len({1})) else 0.0 end"
 
-QUESTIONS = """questions as (select query_id, min(source_path) as f1, max(source_path) as f2, count(*) as n, min_by(substr(text, 1, 300), rank) as gold_evidence from hits where rank <= 3 group by 1)"""
+QUESTIONS = """questions as (select query_id, min(source_path) as f1, max(source_path) as f2, count(*) as n, min_by(text, rank) as gold_evidence from hits where rank <= 3 group by 1)"""
 
 
 def questions(t):
     """A question of each derived query: files of its first hits, with as many, more or no pages."""
-    rows = t.hits.where("rank <= 3").groupBy("query_id").agg(F.min("source_path").alias("f1"), F.max("source_path").alias("f2"), F.min_by(F.substring("text", 1, 300), "rank").alias("gold_evidence"))
+    rows = t.hits.where("rank <= 3").groupBy("query_id").agg(F.min("source_path").alias("f1"), F.max("source_path").alias("f2"), F.min_by("text", "rank").alias("gold_evidence"))
     n = F.substring("query_id", 2, 9).cast("int")
     pages = F.when(n % 3 == 0, F.array(n % 9 + 1, n % 7 + 2)).when(n % 3 == 1, F.array(n % 5 + 1)).otherwise(F.array().cast("array<int>"))
     return rows.select("query_id", F.array("f1", "f2").alias("gold_files"), pages.alias("gold_pages"), "gold_evidence")
 
 
-ANCHORS = """nq as (select *, cast(substr(query_id, 2) as int) as n from (select query_id, min(source_path) as f1, max(source_path) as f2, min_by(substr(text, 1, 300), rank) as gold_evidence from hits where rank <= 3 group by 1)),
+ANCHORS = """nq as (select *, cast(substr(query_id, 2) as int) as n from (select query_id, min(source_path) as f1, max(source_path) as f2, min_by(text, rank) as gold_evidence from hits where rank <= 3 group by 1)),
 anchors as (select query_id, 'a1' as anchor_id, f1 as gold_file, n % 9 + 1 as gold_page from nq where n % 3 = 0 union all select query_id, 'a2', f2, n % 7 + 2 from nq where n % 3 = 0
 union all select query_id, 'a1_p' || cast(n % 5 + 1 as string), f1, n % 5 + 1 from nq where n % 3 = 1 union all select query_id, 'a2_p' || cast(n % 5 + 1 as string), f2, n % 5 + 1 from nq where n % 3 = 1
 union all select query_id, 'a1', f1, null from nq where n % 3 = 2 union all select query_id, 'a2', f2, null from nq where n % 3 = 2)"""
@@ -153,27 +153,45 @@ def build_node_qrels(t):
     return E.build_node_qrels(evidence, nodes).withColumn("match_score", F.round("match_score", 6))
 
 
-AUDITED = "audited as (select substr(text, 1, 40) as question, cast(doc_id % 4 as int) as n_contexts, case when doc_id % 9 = 0 then 'abstention' when doc_id % 3 = 0 then 'numeric' else 'text' end as eval_type from documents)"
+AUDITED = [
+    "case when doc_id % 3 = 0 then text || '（单位：元）' else text end as question",
+    "cast(doc_id % 4 as int) as n_contexts",
+    "case when doc_id % 9 = 0 then 'abstention' else 'answer' end as eval_type",
+    "case doc_id % 5 when 0 then 'table_numeric' when 1 then 'hard_negative_table_numeric' when 2 then 'profile' when 3 then '' end as question_type",
+    "case doc_id % 3 when 0 then 'easy' when 1 then 'hard' end as difficulty",
+]
+IN_AUDIT = f"with audited as (select {', '.join(AUDITED)} from documents)"
 
 
 @query(
     "eval_set_audit",
-    f"""with {AUDITED}, n as (select count(*) as c from audited group by regexp_replace(regexp_replace(lower(question), '\\s+', ' ', 'g'), '^ | $', '', 'g'))
-select count(*) as questions, count(case when n_contexts > 1 then 1 end) as multi_evidence, count(case when eval_type = 'abstention' then 1 end) as abstentions, count(case when n_contexts = 0 and eval_type <> 'abstention' then 1 end) as missing_contexts,
-  count(case when eval_type = 'numeric' and not contains(question, 'on') and not contains(question, 'en') then 1 end) as numeric_without_unit, (select count(*) from n) as distinct_questions, (select coalesce(sum(c), 0) from n where c > 1) as duplicated from audited""",
+    f"""{IN_AUDIT}, n as (select count(*) as c from audited group by question)
+select count(*) as questions, count(case when n_contexts > 1 then 1 end) as multi_evidence, count(case when eval_type = 'abstention' then 1 end) as abstentions, count(case when n_contexts = 0 then 1 end) as missing_contexts,
+  count(case when question_type in ('table_numeric', 'hard_negative_table_numeric') and not contains(question, '单位') then 1 end) as numeric_without_unit, (select count(*) from n) as distinct_questions, (select count(*) from n where c > 1) as duplicated from audited""",
 )
 def eval_set_audit(t):
-    rows = t.documents.selectExpr("substr(text, 1, 40) as question", "cast(doc_id % 4 as int) as n_contexts", "case when doc_id % 9 = 0 then 'abstention' when doc_id % 3 = 0 then 'numeric' else 'text' end as eval_type")
-    return E.eval_set_audit(rows, ["on", "en"])
+    """Whole texts of documents as questions; copies count as repeated."""
+    return E.eval_set_audit(t.documents.selectExpr(*AUDITED))
 
 
-ANSWERS = "answers as (select doc_id as answer_id, case when doc_id % 7 = 0 then 'nan?' else cast(cast(doc_id % 100 as double) / 100 as string) end as faithfulness, case when doc_id % 5 = 0 then '' else cast(cast(n_chars % 10 as double) / 10 as string) end as relevancy from documents)"
+@query("eval_set_counts", f"{IN_AUDIT} select 'question_type' as slice, coalesce(nullif(question_type, ''), 'unknown') as value, count(*) as questions from audited group by 2 union all select 'difficulty', coalesce(difficulty, 'unknown'), count(*) from audited group by 2")
+def eval_set_counts(t):
+    return E.eval_set_counts(t.documents.selectExpr(*AUDITED))
 
 
-@query("answer_metric_summary", f"with {ANSWERS} select 'faithfulness' as metric, round(avg(try_cast(faithfulness as double)), 4) as mean, count(try_cast(faithfulness as double)) as n from answers union all select 'relevancy', round(avg(try_cast(relevancy as double)), 4), count(try_cast(relevancy as double)) from answers")
+ANSWERS = ["doc_id as answer_id", "case when doc_id % 7 = 0 then 'nan?' else cast(cast(doc_id % 100 as double) / 100 as string) end as faithfulness", "case when doc_id % 5 = 0 then '' else cast(cast(n_chars % 10 as double) / 10 as string) end as relevancy"]
+ANSWERED = f"with answers as (select {', '.join(ANSWERS)} from documents)"
+
+
+@query("answer_metric_summary", f"{ANSWERED} select 'faithfulness' as metric, round(avg(try_cast(faithfulness as double)), 4) as mean, count(try_cast(faithfulness as double)) as n from answers union all select 'relevancy', round(avg(try_cast(relevancy as double)), 4), count(try_cast(relevancy as double)) from answers")
 def answer_metric_summary(t):
-    rows = t.documents.selectExpr("doc_id as answer_id", "case when doc_id % 7 = 0 then 'nan?' else cast(cast(doc_id % 100 as double) / 100 as string) end as faithfulness", "case when doc_id % 5 = 0 then '' else cast(cast(n_chars % 10 as double) / 10 as string) end as relevancy")
-    return E.answer_metric_summary(rows, ["faithfulness", "relevancy"])
+    return E.answer_metric_summary(t.documents.selectExpr(*ANSWERS), ["faithfulness", "relevancy"])
+
+
+@query("lowest_answers", f"{ANSWERED} select answer_id, faithfulness from answers order by try_cast(faithfulness as double) nulls last, answer_id limit 5")
+def lowest_answers(t):
+    """The report shows the five lowest."""
+    return E.lowest_answers(t.documents.selectExpr(*ANSWERS), "faithfulness", "answer_id", 5).select("answer_id", "faithfulness")
 
 
 @query(

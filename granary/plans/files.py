@@ -38,6 +38,21 @@ def read_questions(t):
     return files.read_questions(t.spark, path).select("id", F.md5("question").alias("question_md5"), F.size("gold_files").alias("n_files"), F.size("gold_pages").alias("n_pages"))
 
 
+@query(
+    "read_report_sidecars",
+    "select 'reports/' || cast(doc_id as string) || '.pdf' as local_path, case when doc_id % 3 = 0 then 'ACME ' || source when doc_id % 3 = 1 then 'T' || cast(doc_id as string) else 'unknown' end as company, case when doc_id % 2 = 0 then 'Report ' || cast(doc_id as string) else cast(doc_id as string) || '.pdf' end as title, source as form from documents where doc_id % 5 <> 4",
+)
+def read_report_sidecars(t):
+    """A sidecar for every document, in JSON lines; every fifth names a report that is not there."""
+    path = files.work_dir(t.spark, "sidecars")
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    row = [F.concat(F.lit("reports/"), text, F.lit(".pdf")).alias("local_path"), F.when(n % 3 == 0, F.concat(F.lit("ACME "), "source")).otherwise(" ").alias("company"), F.when(n % 3 == 1, F.concat(F.lit("T"), text)).alias("ticker"), F.when(n % 2 == 0, F.concat(F.lit("Report "), text)).alias("title"), F.col("source").alias("form")]
+    t.documents.select(*row).write.json(path)
+    reports = t.documents.where("doc_id % 5 <> 4").select(F.concat(text, F.lit(".pdf")).alias("name"))
+    rows = t.spark.read.schema(files.SIDECAR).json(path)
+    return files.report_sidecars(rows, reports)
+
+
 @query("read_qrels", "select query_id, evidence_id, string_agg(distinct node_id, ',' order by node_id) as nodes from qrels group by 1, 2")
 def read_qrels(t):
     path = files.work_dir(t.spark, "qrels")

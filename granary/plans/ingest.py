@@ -152,17 +152,6 @@ def fix_titles(t):
     return B.fix_titles(small).select("doc_id", "block_index", "block_type", F.md5("text").alias("text_md5"))
 
 
-@query(
-    "block_quality",
-    f"""with {BLOCKS}, c as (select *, block_type = 'list_item' and lag(block_type) over w = 'title' and page_no = lag(page_no) over w + 1 as cand from blocks window w as (partition by doc_id order by block_index)),
-q as (select doc_id, count(*) as blocks, count(case when block_type = 'title' then 1 end) as titles, count(case when block_type = 'text' then 1 end) as texts, count(case when block_type = 'list_item' then 1 end) as list_items, 0 as tables, 0 as images, count(distinct page_no) as pages, min(page_no) as first_page, max(page_no) as last_page, 0 as missing_pages, 0 as table_candidates,
-  round(avg(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))), 2) as mean_chars from c group by 1)
-select *, case when titles = 0 then 'no_titles' when mean_chars < 20 then 'short_blocks' else '' end as flags, case when texts = 0 then 'poor' when titles = 0 or mean_chars < 20 then 'needs_review' else 'ok' end as level from q""",
-)
-def block_quality(t):
-    return B.block_quality(blocks(t))
-
-
 PAGED = f"{LINES}, pages_of as (select doc_id, cast(floor(pos / 3) as bigint) + 1 as page_no, case when cast(floor(pos / 3) as bigint) % 4 = 3 then ' ' else string_agg(line, chr(10) order by pos) end as text from lines group by doc_id, cast(floor(pos / 3) as bigint))"
 
 
@@ -180,6 +169,37 @@ def pdf_text_probe(t):
     return B.pdf_text_probe(paged(t))
 
 
+QUALITY_BLOCKS = [
+    "doc_id",
+    "block_index",
+    "case when block_index % 7 = 3 then 'table' when block_index % 17 = 9 then 'image' else block_type end as block_type",
+    "case when block_index % 7 = 3 and doc_id % 4 = 0 then ' ' else text end as text",
+    "case when doc_id % 6 = 0 and block_index % 3 > 0 then null else page_no end as page_no",
+]
+
+
+@query(
+    "block_quality",
+    f"""with {BLOCKS}, {PAGED.removeprefix(LINES + ", ")}, b as (select {", ".join(QUALITY_BLOCKS)} from blocks where doc_id % 10 <> 7),
+follows as (select doc_id, page_no = lag(page_no) over (partition by doc_id order by block_index) + 1 as next from b where block_type = 'table'),
+near as (select doc_id, count(case when next then 1 end) as table_candidates from follows group by 1),
+probe as (select doc_id, sum({SIZE}) < 100 as is_scanned from pages_of where page_no <= 3 group by 1),
+sums as (select doc_id, count(*) as blocks, count(case when block_type = 'title' then 1 end) as titles, count(case when block_type = 'text' then 1 end) as texts, count(case when block_type = 'list_item' then 1 end) as list_items,
+  count(case when block_type = 'table' then 1 end) as tables, count(case when block_type = 'image' then 1 end) as images, count(distinct page_no) as pages, min(page_no) as low, max(page_no) as high, count(*) - count(page_no) as missing_pages,
+  sum({SIZE}) as chars, count(case when {SIZE} > 0 then 1 end) as with_text from b group by 1),
+q as (select doc_id, coalesce(blocks, 0) as blocks, coalesce(titles, 0) as titles, coalesce(texts, 0) as texts, coalesce(list_items, 0) as list_items, coalesce(tables, 0) as tables, coalesce(images, 0) as images, coalesce(pages, 0) as pages,
+  case when low is null then '' when low = high then cast(low as string) else cast(low as string) || '-' || cast(high as string) end as page_range, coalesce(missing_pages, 0) as missing_pages, coalesce(table_candidates, 0) as table_candidates,
+  case when with_text > 0 then round(chars / with_text, 2) else 0 end as mean_chars, coalesce(chars, 0) as chars, coalesce(with_text, 0) as with_text, coalesce(is_scanned, false) as scan
+  from documents left join sums using (doc_id) left join near using (doc_id) left join probe using (doc_id)),
+f as (select *, concat_ws(',', case when scan then 'scanned_pdf_requires_ocr' end, case when tables > 0 then 'table_blocks_present' end, case when table_candidates > 0 then 'cross_page_table_candidate' end, case when images > 0 then 'image_blocks_present' end,
+  case when blocks > 0 and missing_pages * 2 >= blocks then 'missing_page_metadata' end, case when blocks = 0 then 'empty_parse_result' end, case when with_text > 0 and chars < 200 then 'very_sparse_text' end) as flags from q)
+select doc_id, blocks, titles, texts, list_items, tables, images, pages, page_range, missing_pages, table_candidates, mean_chars, flags, case when blocks = 0 or scan then 'poor' when flags <> '' then 'needs_review' else 'ok' end as level from f""",
+)
+def block_quality(t):
+    """Blocks with tables, images and missing pages; one document in ten gave no block."""
+    return B.block_quality(blocks(t).where("doc_id % 10 <> 7").selectExpr(*QUALITY_BLOCKS), B.pdf_text_probe(paged(t)), t.documents)
+
+
 @query("page_summary", f"with {PAGED} select doc_id, count(*) as pages, sum({SIZE}) as chars, count(case when {SIZE} = 0 then 1 end) as empty_pages from pages_of group by 1")
 def page_summary(t):
     return B.page_summary(paged(t))
@@ -233,11 +253,43 @@ def merge_sections_per_doc(t):
     return R.merge_sections(rows).select("doc_id", F.md5("text").alias("text_md5"), "section_count", "page_ranges")
 
 
+#: A user's events of a day are the post-processors of one call.
+INPUTS["traced"] = """select user_id, cast(ts as date) as day, case when event_type = 'click' then 'LLMRerank' when event_type = 'view' then 'AutoMergingRetriever' when event_type = 'error' then '' else event_type || ' Post-Processor!' end as name,
+  case when event_type = 'error' then cast(null as double) else value end as duration_ms, event_type, value, event_id from events"""
+INPUTS["calls"] = """select user_id, day, case when count(*) % 5 = 0 then cast(null as double) else max(value) end as core, case when count(*) % 3 = 0 then cast(0 as double) when count(*) % 3 = 1 then cast(null as double) else max(value) * 2 end as whole,
+  count(*) % 4 = 0 as fallback, case when count(*) % 7 = 0 then cast(null as boolean) else count(*) % 2 = 0 end as enabled, count(*) % 6 = 0 as hit from traced group by user_id, day"""
+KEYED = "case when name = '' then '' when contains(lower(name), 'rerank') then 'rerank_ms' when contains(lower(name), 'automerging') then 'auto_merge_ms' else regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_ms' end"
+
+
+def profiles(t):
+    steps = t.traced.groupBy("user_id", "day").agg(F.collect_list(F.struct(F.when(F.col("name") == "", "").otherwise(R.timing_key(F.col("name"))).alias("timing_key"), "duration_ms")).alias("postprocessors"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    rows = t.calls.join(steps, ["user_id", "day"])
+    return rows.select(F.col("core").alias("retriever_core_ms"), F.col("whole").alias("retrieval_total_profiled_ms"), "postprocessors", "fallback", F.struct("enabled", "hit").alias("cache"), F.when(F.col("fallback"), F.col("kinds")).alias("fallback_reasons"))
+
+
 @query(
     "trace_rollup",
-    "select event_type as timing_key, round(sum(value), 3) as total_ms, count(*) as steps from events group by 1 having round(sum(value), 3) <> 0",
+    f"""select 'retriever_core_ms' as timing_key, round(sum(coalesce(core, 0)), 3) as total_ms, count(*) as steps from calls union all select 'retrieval_profiled_ms', round(sum(coalesce(nullif(whole, 0), core, 0)), 3), count(*) from calls
+union all select {KEYED} as k, round(sum(coalesce(duration_ms, 0)), 3), count(*) from traced where name <> '' group by 1""",
 )
 def trace_rollup(t):
-    """A user's events of a day are the post-processors of one call."""
-    calls = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list(F.struct(F.col("event_type").alias("timing_key"), F.col("value").alias("duration_ms"))).alias("postprocessors"))
-    return R.trace_rollup(calls)
+    return R.trace_rollup(profiles(t))
+
+
+@query("trace_counts", "select count(*) as calls, count(case when fallback then 1 end) as fallbacks, bool_or(coalesce(enabled, false)) as cache_enabled, count(case when hit then 1 end) as cache_hits, count(case when enabled and not hit then 1 end) as cache_misses from calls")
+def trace_counts(t):
+    return R.trace_counts(profiles(t))
+
+
+@query("fallback_reasons", "select event_type as reason, count(*) as calls from (select distinct user_id, day, event_type from traced) join calls using (user_id, day) where fallback group by 1")
+def fallback_reasons(t):
+    return R.fallback_reasons(profiles(t))
+
+
+JOBS = "select event_id as job_id, ts as created_at, case event_id % 4 when 0 then 'failed' when 1 then 'running' when 2 then 'pending' else 'done' end as status from events"
+
+
+@query("recent_jobs", f"with latest as (select * from ({JOBS}) order by created_at desc, job_id desc limit 8) select count(*) as recent_total, count(case when status in ('pending', 'running') then 1 end) as running, count(case when status = 'failed' then 1 end) as failed from latest")
+def recent_jobs(t):
+    """Events as jobs; the overview shows the eight latest."""
+    return R.recent_jobs(t.sql(JOBS))

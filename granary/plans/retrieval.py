@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import bm25, dense, fusion
+from granary.operators import bm25, dense, fusion, search
 from granary.plans.registry import INPUTS, query
 
 INPUTS["chunks"] = """
-select 'c' || cast(doc_id as string) as chunk_id, source as doc_id, source || '/' || cast(doc_id as string) || '.txt' as source_path,
+select 'c' || cast(doc_id as string) as chunk_id, 'd' || cast(cast(floor(doc_id / 30) as bigint) as string) as doc_id, source || '/' || cast(doc_id as string) || '.txt' as source_path,
   case when doc_id % 10 = 8 then cast(null as string) when doc_id % 10 = 9 then 'x' || cast(doc_id as string) else 'p' || cast(cast(floor(doc_id / 3) as bigint) as string) end as parent_id,
   'leaf' as chunk_role, doc_id as chunk_index, cast(1 + doc_id % 9 as string) || '-' || cast(3 + doc_id % 9 as string) as page_range, text as text,
   case when doc_id % 11 = 0 then 't' || cast(doc_id % 3 as string) else '' end as table_id
 from documents
 union all
 select 'p' || cast(g as string), doc_id, doc_id || '/parent.txt', 'r0', 'parent', cast(0 as bigint), '1', case when g % 7 = 0 then ' ' else 'Parent ' || cast(g as string) || ': ' || body end, ''
-from (select cast(floor(doc_id / 3) as bigint) as g, min(source) as doc_id, min(text) as body from documents group by cast(floor(doc_id / 3) as bigint)) grouped
+from (select cast(floor(doc_id / 3) as bigint) as g, 'd' || cast(min(cast(floor(doc_id / 30) as bigint)) as string) as doc_id, min(text) as body from documents group by cast(floor(doc_id / 3) as bigint)) grouped
 """
 
 INPUTS["hits"] = """
@@ -96,12 +96,12 @@ def bm25_apply_delta(t):
 
 COSINE = "list_inner_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_inner_product(a.embedding::double[], a.embedding::double[]) * list_inner_product(b.embedding::double[], b.embedding::double[]))"
 DENSE = f"""dense as (select * from (select a.vec_id as query_id, b.vec_id as chunk_id, {COSINE} as score, row_number() over (partition by a.vec_id order by round({COSINE}, 9) desc, b.vec_id) as rank
-  from (select * from embeddings where vec_id < 50) a, embeddings b) where rank <= 20)"""
+  from (select * from embeddings where vec_id % 50 = 0) a, embeddings b) where rank <= 20)"""
 
 
 def dense_hits(t, k=20):
-    """Queries are the first 50 vectors, a fixed batch; all vectors are searched."""
-    return dense.dense_topk(t.embeddings.where("vec_id < 50"), t.embeddings, k, "vec_id", "vec_id")
+    """Queries are all vectors whose id is divisible by 50."""
+    return dense.dense_topk(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, k, "vec_id", "vec_id")
 
 
 @query("dense_topk", f"with {DENSE} select query_id, chunk_id, round(score, 6) as score, rank from dense")
@@ -109,38 +109,23 @@ def dense_topk(t):
     return dense_hits(t).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-FUSED = f"""{SCORED},
-lexical as (select * from (select query_id, chunk_id, {BM25_TOP} as rank from scored where score > 0) where rank <= 20),
-{DENSE},
-both_lists as (select query_id, chunk_id, rank from lexical union all select query_id, chunk_id, rank from dense),
+#: Queries with a text and a vector: every vector whose id is divisible by 50, with a benchmark text.
+INPUTS["searches"] = "select vec_id as query_id, text, embedding from embeddings join benchmark on vec_id = item_id * 50"
+SEARCHED = f"""{SCORED.replace("item_id as query_id", "query_id").replace("from benchmark)", "from searches)")},
+lexical as (select query_id, chunk_id, score, {BM25_TOP} as rank from scored where score > 0 qualify rank <= 20),
+near as (select query_id, b.vec_id as chunk_id, {COSINE} as score, row_number() over (partition by query_id order by round({COSINE}, 9) desc, b.vec_id) as rank from searches a, embeddings b qualify rank <= 20),
+both_lists as (select query_id, chunk_id, rank from lexical union all select query_id, chunk_id, rank from near),
 fused as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id) as rank
-  from (select query_id, chunk_id, sum(1 / (60.0 + rank)) as score from both_lists group by all)) where rank <= 10)"""
+  from (select query_id, chunk_id, sum(1 / (60.0 + rank)) as score from both_lists group by all)) where rank <= 20)"""
 
 
-def fused_hits(t, k=10):
-    lexical = bm25.top_k(scores_of(t), 20, F.desc(F.round("score", 9)))
-    return lexical, dense_hits(t), fusion.rrf_fuse([lexical, dense_hits(t)], k)
-
-
-@query("rrf_fuse", f"with {FUSED} select query_id, chunk_id, round(score, 9) as score, rank from fused")
+@query("rrf_fuse", f"with {SEARCHED} select query_id, chunk_id, round(score, 9) as score, rank from fused where rank <= 10")
 def rrf_fuse(t):
-    return fused_hits(t)[2].select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return search.candidate_lists(t.searches, index_of(t), vectors_of(t))["hybrid"].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(
-    "hybrid_search",
-    f"""with {FUSED}, listed as (
-select 'bm25' as strategy, query_id, chunk_id, rank from lexical where rank <= 10 union all select 'dense', query_id, chunk_id, rank from dense where rank <= 10
-union all select 'hybrid', query_id, chunk_id, rank from fused)
-select strategy, query_id, chunk_id, rank, source, length(text) as n_chars from listed left join documents on doc_id = chunk_id""",
-)
-def hybrid_search(t):
-    """Lexical, vector and fused search side by side; what is found is joined with its row after the cut to k."""
-    lexical, near, fused = fused_hits(t)
-    one = lambda name, df: df.where("rank <= 10").select(F.lit(name).alias("strategy"), "query_id", "chunk_id", "rank")
-    listed = one("bm25", lexical).unionByName(one("dense", near)).unionByName(one("hybrid", fused))
-    rows = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.length("text").cast("long").alias("n_chars"))
-    return listed.join(rows, "chunk_id", "left").select("strategy", "query_id", "chunk_id", "rank", "source", "n_chars")
+def vectors_of(t):
+    return t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 @query("child_counts", "select parent_id, count(*) as children from chunks where chunk_role = 'leaf' and parent_id is not null group by 1")
@@ -184,21 +169,42 @@ def auto_merge(t):
     return rows.select("query_id", "rank", "chunk_id", F.md5("text").alias("text_md5"), "score", "auto_merged", "merge_ratio", F.coalesce(F.array_join("child_chunk_ids", ","), F.lit("")).alias("members"))
 
 
-@query(
-    "expand_table_context",
-    f"""with known as (select doc_id, table_id as t, chunk_index, chunk_id, page_range, {STRIPPED.format("text")} as body from chunks where table_id <> '' and chunk_role <> 'root'),
+TABLED = f"""known as (select doc_id, table_id as t, chunk_index, chunk_id, page_range, {STRIPPED.format("text")} as body from chunks where table_id <> '' and chunk_role <> 'root'),
 named as (select * from (select *, row_number() over (partition by query_id, table_id order by rank) as nth from hits where table_id <> '') where nth = 1),
-counts as (select doc_id, t, count(*) as node_count, min_by(page_range, chunk_index) as first_range from known group by 1, 2),
-texts as (select doc_id, t, string_agg(body, chr(10) || chr(10) order by first_at) as table_text from (select doc_id, t, body, min(chunk_index) as first_at from known where body <> '' group by 1, 2, 3) group by 1, 2)
-select n.query_id, n.rank, n.table_id || '::context' as chunk_id, md5(table_text) as text_md5, chunk_id as child_chunk_id, first_range as table_page_range, node_count
-from named n join counts c on c.doc_id = n.doc_id and c.t = n.table_id join texts x on x.doc_id = n.doc_id and x.t = n.table_id
-union all select query_id, rank, chunk_id, md5(text), null, null, null from hits where table_id = ''""",
-)
+counts_of as (select doc_id, t, count(*) as node_count, min_by(page_range, chunk_index) as first_range from known group by 1, 2),
+texts_of as (select doc_id, t, string_agg(body, chr(10) || chr(10) order by first_at) as table_text from (select doc_id, t, body, min(chunk_index) as first_at from known where body <> '' group by 1, 2, 3) group by 1, 2),
+tabled as (select n.query_id, n.rank, n.table_id || '::context' as chunk_id, md5(table_text) as text_md5, chunk_id as child_chunk_id, first_range as table_page_range, node_count
+from named n join counts_of c on c.doc_id = n.doc_id and c.t = n.table_id join texts_of x on x.doc_id = n.doc_id and x.t = n.table_id
+union all select query_id, rank, chunk_id, md5(text), null, null, null from hits where table_id = '')"""
+
+
+@query("expand_table_context", f"with {TABLED} select * from tabled")
 def expand_table_context(t):
     rows = fusion.expand_table_context(t.hits, t.chunks)
     return rows.select("query_id", "rank", "chunk_id", F.md5("text").alias("text_md5"), "child_chunk_id", "table_page_range", "node_count")
 
 
+LISTED = "select 'bm25' as strategy, query_id, rank, chunk_id, score from lexical union all select 'dense', query_id, rank, chunk_id, score from near union all select 'hybrid', query_id, rank, chunk_id, score from fused"
+
+
+NAMED = SEARCHED.replace("select doc_id as chunk_id, unnest", "select 'c' || cast(doc_id as string) as chunk_id, unnest").replace("b.vec_id", "('c' || cast(b.vec_id as string))")
+
+
+@query(
+    "hybrid_search",
+    f"""with {NAMED}, cands as (select strategy || ':' || cast(l.query_id as string) as query_id, rank, score, c.* from ({LISTED}) l join chunks c on c.chunk_id = l.chunk_id),
+{MERGED.replace("from hits", "from cands")}, placed as (select m.*, c.doc_id, c.table_id from merged m join chunks c using (chunk_id)),
+{TABLED.replace("from hits", "from placed")}
+select split_part(query_id, ':', 1) as strategy, split_part(query_id, ':', 2) as query_id, row_number() over (partition by tabled.query_id order by rank) as place, chunk_id, text_md5 from tabled qualify place <= 10""",
+)
+def hybrid_search(t):
+    """Every query by bm25, by vectors and by both, with parents and tables for context; documents are the chunks."""
+    chunk = lambda df: df.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
+    index = bm25.build_index(t.documents.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "text"))
+    got = search.hybrid_search(t.searches, index, chunk(vectors_of(t)), t.chunks)
+    return got.select("strategy", "query_id", F.col("rank").alias("place"), "chunk_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "rerank_topn",
     """with c as (select *, count(*) over (partition by query_id) >= 6 as reranked, cast((chunk_index * 53) % 97 as double) as rerank_score from hits),

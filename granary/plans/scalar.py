@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary.functions import queries as Q
@@ -74,24 +76,54 @@ def source_payload(t):
     return rows.select("query_id", "rank", "chunk_id", typed.alias("p")).select("query_id", "rank", "chunk_id", F.col("p.score").alias("score"), F.col("p.chunk_index").alias("chunk_index"), F.col("p.rank").alias("safe_rank"))
 
 
-#: Questions of the router's kinds, one for each message in turn; the SQL states what each is.
-KINDS = [("请帮我分析并比较这两份报告中的主要风险与应对建议", "multi_step", "steps"), ("统计用户数量", "sql_query", "statistics"), ("今天的新闻", "web_search", "news"), ("你好！", "chitchat", "small_talk"), ("合同的违约责任是如何规定的", "knowledge_base", "default"), ("  ", "chitchat", "empty")]
+#: Questions of the router's kinds: whole messages behind phrases that each rule looks for.
+INPUTS["routed"] = """select conv_id, turn, case (conv_id + turn) % 9 when 0 then '  ' when 1 then '你好！' when 2 then '请记住 ' || text when 3 then '统计用户数量 ' || text when 4 then '今天的新闻 ' || text when 5 then '请分析 ' || text
+  when 6 then '我刚才说了什么' when 7 then '文档中统计用户数量 ' || text else text end as q from conversations"""
+
+
+def sql_has(words):
+    return f"regexp_matches(q, '(?i){'|'.join(map(re.escape, words))}')"
+
 
+def sql_like(patterns):
+    return "(" + " or ".join(f"regexp_matches(q, '{p}')" for p in patterns) + ")"
 
-def kind_of(column):
-    return "case (conv_id + turn) % 6 " + " ".join(f"when {i} then '{row[column]}'" for i, row in enumerate(KINDS)) + " end"
 
+def sql_in(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
-@query("route_query_text", f"select conv_id, turn, {kind_of(1)} as intent, {kind_of(2)} as reason from conversations")
+
+ROUTED = rf"""s as (select conv_id, turn, regexp_replace(q, '^\s+|\s+$', '', 'g') as q from routed),
+c as (select *, regexp_replace(regexp_replace(q, '\s+', '', 'g'), '^[。！？!?，,；;：:]+|[。！？!?，,；;：:]+$', '', 'g') as tight from s),
+r as (select conv_id, turn, case when q = '' then 'empty' when tight in {sql_in(Q.SMALL_TALK)} or (length(tight) <= 14 and {sql_has(Q.SMALL_TALK_PARTS).replace("(q,", "(tight,")}) then 'small_talk'
+  when (regexp_matches(q, '{Q.MEMORY_WRITE}') or ({sql_like(Q.MEMORY_CHAT)} and not {sql_has(Q.NEWS)})) and not {sql_has(Q.KNOWLEDGE + Q.ENTITIES)} then 'memory'
+  when length(q) <= 5 and not {sql_has(Q.STATISTICS + Q.NEWS + Q.STEPS + Q.KNOWLEDGE)} then 'brief' when {sql_like(Q.GREETINGS)} then 'greeting'
+  when {sql_has(Q.STATISTICS)} and {sql_has(Q.ENTITIES)} and not {sql_has(Q.STATISTICS_IN_DOCUMENTS)} then 'statistics' when {sql_has(Q.NEWS)} and not {sql_has(Q.NEWS_IN_DOCUMENTS)} then 'news'
+  when length(q) >= 18 and {sql_has(Q.STEPS)} then 'steps' else 'default' end as reason from c)"""
+
+
+@query(
+    "route_query_text",
+    f"""with {ROUTED} select conv_id, turn, reason, case reason when 'statistics' then 'sql_query' when 'news' then 'web_search' when 'steps' then 'multi_step' when 'default' then 'knowledge_base' else 'chitchat' end as intent,
+  case reason when 'statistics' then 'sql_query' when 'news' then 'web_search' when 'steps' then 'decomposition' when 'default' then 'direct' else 'chitchat' end as strategy,
+  case reason when 'statistics' then 'sql_query' when 'news' then 'web_search' when 'steps' then 'kb_search' when 'default' then 'kb_search' else '' end as tools,
+  case reason when 'statistics' then 'tool_call' when 'news' then 'tool_call' when 'steps' then 'rag_workflow' when 'default' then 'rag_workflow' else 'chitchat' end as mode, case when reason = 'default' then 0.5 else 1.0 end as confidence from r""",
+)
 def route_query_text(t):
-    rows = t.conversations.select("conv_id", "turn", F.expr(kind_of(0)).alias("q"))
-    return rows.select("conv_id", "turn", Q.route(F.col("q")).alias("r")).select("conv_id", "turn", "r.intent", "r.reason")
+    return t.routed.select("conv_id", "turn", Q.route(F.col("q")).alias("r")).select("conv_id", "turn", *(f"r.{c}" for c in ("reason", "intent", "strategy", "tools", "mode", "confidence")))
+
 
+INPUTS["vague"] = """select conv_id, turn, case (conv_id + turn) % 6 when 0 then '请 对比这 两个 文件 ' || text when 1 then '哪个 更好 ' || text when 2 then '哪个更好, A 还是 B ' || text when 3 then '分析这个 ' || text when 4 then '它 是什么' else text end as q from conversations"""
 
-@query("needs_clarification", "select conv_id, turn, turn % 3 < 2 as needed, case turn % 3 when 0 then 'missing_comparison_targets' when 1 then 'short_ambiguous_reference' else '' end as reason from conversations")
+
+@query(
+    "needs_clarification",
+    r"""with c as (select conv_id, turn, regexp_replace(q, '\s+', '', 'g') as q from vague), r as (select conv_id, turn, case when regexp_matches(q, '对比这两个|比较这两个') then 'missing_comparison_targets' when contains(q, '哪个更好') and not regexp_matches(q, '和|与|还是|对比|比较') then 'missing_candidates_and_criteria'
+  when regexp_matches(q, '总结这个|分析这个|处理这个问题') then 'ambiguous_reference' when regexp_matches(q, '这个|这两个|那个|它|他们|上面|刚才') and length(q) <= 12 then 'short_ambiguous_reference' else '' end as reason from c)
+select conv_id, turn, reason <> '' as needed, reason, case reason when 'missing_comparison_targets' then 'comparison_targets' when 'missing_candidates_and_criteria' then 'candidates,criteria' when '' then '' else 'referent' end as slots from r""".replace("\\\\", "\\"),
+)
 def needs_clarification(t):
-    rows = t.conversations.select("conv_id", "turn", F.expr("case turn % 3 when 0 then '请 对比这 两个 文件' when 1 then '它 是什么' else text end").alias("q"))
-    return rows.select("conv_id", "turn", Q.clarification(F.col("q")).alias("c")).select("conv_id", "turn", "c.needed", "c.reason")
+    return t.vague.select("conv_id", "turn", Q.clarification(F.col("q")).alias("c")).select("conv_id", "turn", "c.needed", "c.reason", "c.slots")
 
 
 @query("rewrite_query_text", r"select conv_id, turn, md5('操作流程 ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) as text_md5 from conversations")
@@ -99,10 +131,21 @@ def rewrite_query_text(t):
     return t.conversations.select("conv_id", "turn", F.md5(Q.rewrite(F.concat(F.lit(" 怎么弄一下 这个 "), F.col("text")))["rewritten"]).alias("text_md5"))
 
 
-@query("decompose_query_text", "select n_nationkey, 'Nation' || cast(n_nationkey as string) || ' 在材料中体现出的核心变化过程、原因和关键表现是什么？' as first_question, 3 as n from nation")
+#: Two texts of a conversation turn beside each other, one of them again in other case, and plain messages.
+INPUTS["compound"] = "select conv_id, turn, text, case (conv_id + turn) % 3 when 0 then text || ' TAIL 以及 ' || text || ' tail、' || text || '？与。' when 1 then '比较 Nation' || cast(turn as string) || ' 与 Other Land 和 NATION' || cast(turn as string) else text end as q from conversations"
+TRIMMED = r"regexp_replace({0}, '^[\s?？,，。]+|[\s?？,，。]+$', '', 'g')".replace("\\\\", "\\")
+
+
+@query(
+    "decompose_query_text",
+    f"""select conv_id, turn, case (conv_id + turn) % 3 when 0 then 2 when 1 then 3 else 1 end as n,
+  md5(case (conv_id + turn) % 3 when 0 then {TRIMMED.format("text || ' TAIL '")} || '是什么？' when 1 then 'Nation' || cast(turn as string) || ' 在材料中体现出的核心变化过程、原因和关键表现是什么？' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end) as first_md5,
+  md5(case (conv_id + turn) % 3 when 0 then {TRIMMED.format("text")} || '是什么？' when 1 then 'Other Land 在材料中体现出的核心变化过程、原因和关键表现是什么？' end) as second_md5 from compound""",
+)
 def decompose_query_text(t):
-    parts = Q.decompose(F.concat(F.lit("比较 Nation"), F.col("n_nationkey").cast("string"), F.lit(" 与 Other Land")))
-    return t.nation.select("n_nationkey", F.get(parts, F.lit(0)).alias("first_question"), F.size(parts).alias("n"))
+    """Messages hold none of the separators themselves."""
+    parts = Q.decompose(F.col("q"))
+    return t.compound.select("conv_id", "turn", F.size(parts).alias("n"), F.md5(F.get(parts, F.lit(0))).alias("first_md5"), F.md5(F.get(parts, F.lit(1))).alias("second_md5"))
 
 
 @query("extract_llm_json", "select doc_id, n_chars from documents")
@@ -123,7 +166,7 @@ def normalize_gold(t):
     return t.benchmark.select("item_id", F.array_join(goldens.gold_ids([F.array(F.concat(F.lit("p"), n), F.lit(" ")), F.array(F.lit("p9"))], [F.array(F.lit("d1"))]), ",").alias("gold"), T.first_filled(F.lit(" "), F.concat(F.lit("q"), n)).alias("question"))
 
 
-INPUTS["filings"] = "select c_mktsegment as ticker, c_custkey as pos, case when c_custkey % 3 = 0 then '10-K' when c_custkey % 3 = 1 then '10-Q' else '8-K' end as form, c_name as accession from customer"
+INPUTS["filings"] = "select c_mktsegment || cast(cast(floor(c_custkey / 200) as bigint) as string) as ticker, c_custkey as pos, case when c_custkey % 3 = 0 then '10-K' when c_custkey % 3 = 1 then '10-Q' else '8-K' end as form, c_name as accession from customer"
 
 
 @query("explode_filing_index", "select ticker, form, accession from (select *, row_number() over (partition by ticker, form order by pos) as nth from filings where form in ('10-K', '10-Q')) where nth <= 4")
@@ -159,10 +202,48 @@ def first_page_with(t):
     return goldens.first_page_with(rows, [["the"], ["of", "and"]], 30).select("doc_id", "page_no")
 
 
-@query("labelled_values", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents), v as (select doc_id, pos, case when pos % 4 = 1 then cast(pos * 100 as string) else line end as line from l), f as (select doc_id, min(pos) as p from v where contains(line, 'the') and exists (select 1 from v w where w.doc_id = v.doc_id and w.pos between v.pos + 1 and v.pos + 18 and w.pos % 4 = 1) group by 1) select v.doc_id, string_agg(line, ',' order by pos) as found from v join f on v.doc_id = f.doc_id and pos between p + 1 and p + 18 and pos % 4 = 1 group by 1")
+REPORT_LINE = "case pos % 8 when 1 then '-' || cast(pos * 1000 as string) || '.5%' when 3 then '同比增加 ' || cast(pos as string) when 5 then '不适用' when 6 then '1,23' else line end as line"
+REPORT_LINES = f"select doc_id, pos, {REPORT_LINE} from text_lines"
+NUMERIC = r"(regexp_full_match(line, '-?\d{1,3}(,\d{3})*(\.\d+)?%?|-?\d+(\.\d+)?%?') or line = '不适用' or contains(line, '减少') or contains(line, '增加'))".replace("\\\\", "\\")
+TEXT_LINES = "text_lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents)"
+TRIM_LINE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".replace("\\\\", "\\")
+
+
+def report_lines(t):
+    """Lines of documents, some replaced by values as reports have them."""
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).selectExpr("doc_id", "pos", REPORT_LINE)
+
+
+@query(
+    "labelled_values",
+    f"""with {TEXT_LINES}, v as (select doc_id, pos, line, {NUMERIC} as is_value, contains(line, 'the') or contains(line, 'que') as labelled from ({REPORT_LINES})),
+f as (select doc_id, min(a.pos) as p from v a where labelled and exists (select 1 from v b where b.doc_id = a.doc_id and b.pos between a.pos + 1 and a.pos + 18 and b.is_value) group by 1)
+select v.doc_id, string_agg(line, '|' order by pos) as found from v join f on v.doc_id = f.doc_id and pos between p + 1 and p + 18 and is_value group by 1""",
+)
 def labelled_values(t):
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.expr("case when pos % 4 = 1 then cast(pos * 100 as string) else line end"))
-    return goldens.labelled_values(rows, "the").withColumn("found", F.array_join("found", ","))
+    return goldens.labelled_values(report_lines(t), ["the", "que"]).withColumn("found", F.array_join("found", "|"))
+
+
+@query(
+    "value_after_label",
+    f"""with {TEXT_LINES}, v as (select doc_id, pos, {TRIM_LINE.format("line")} as line from ({REPORT_LINES})),
+n as (select *, first_value(case when line not in ('不适用', '1,23') then line end ignore nulls) over (partition by doc_id order by pos rows between 1 following and 7 following) as next, {TRIM_LINE.format("replace(line, '同比增加', '')")} as rest from v),
+c as (select doc_id, pos, coalesce(case when rest <> '' and rest not in ('不适用', '1,23', '3') then rest end, next) as value from n where contains(line, '同比增加'))
+select doc_id, md5(min_by(value, pos)) as value_md5 from c where value is not null group by 1""".replace("('不适用', '1,23')", "('不适用', '1,23', '3')"),
+)
+def value_after_label(t):
+    got = goldens.value_after_label(report_lines(t), "同比增加", ["不适用", "1,23", "3"])
+    return got.select("doc_id", F.md5("value").alias("value_md5"))
+
+
+@query(
+    "snippet_around_label",
+    f"""with {TEXT_LINES}, v as (select * from ({REPORT_LINES})), f as (select doc_id, min(case when contains(line, '不适用') or contains(line, 'que') then pos end) as p from v group by 1)
+select v.doc_id, md5({TRIM_LINE.format("string_agg(line, chr(10) order by pos)")}) as snippet_md5 from v join f on v.doc_id = f.doc_id and pos >= coalesce(p - 2, 0) and pos < coalesce(p + 10, 10) group by 1""",
+)
+def snippet_around_label(t):
+    got = goldens.snippet_around_label(report_lines(t), ["不适用", "que"])
+    return got.select("doc_id", F.md5("snippet").alias("snippet_md5"))
 
 
 @query("build_prompts", "select query_id, n, rank1 from (select query_id, count(*) as n, min_by(chunk_id, snippet_no) as rank1 from (with b as (select query_id, chunk_id, rank, score, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from hits), d as (select *, row_number() over (partition by query_id, regexp_replace(text, '\\s+', ' ', 'g') order by score desc, rank, chunk_id) as nth from b where text <> ''), u as (select *, coalesce(sum(length(text)) over (partition by query_id order by score desc, rank, chunk_id rows between unbounded preceding and 1 preceding), 0) as used, row_number() over (partition by query_id order by score desc, rank, chunk_id) as snippet_no from d where nth = 1) select * from u where used < 4000) group by 1)".replace("\\\\", "\\"))

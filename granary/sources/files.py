@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.tables import work_dir  # noqa: F401
 from granary.functions.text import filled, strip
 from granary.operators.blocks import ordered_text
 
@@ -65,25 +63,22 @@ def read_section_audit(audits: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.regexp_extract("part", r"^(\d+)", 1).cast("int").alias("section_index"), field("section_title").alias("section_title"), field("page_range").alias("page_range"), field("element_type").alias("element_type"), body.alias("text"))
 
 
-def read_report_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """*.meta.json files below root whose report is there, with fallbacks for company and title."""
-    rows = spark.read.schema("local_path string, company string, ticker string, title string, form string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(root, multiLine=True)
-    name = F.element_at(F.split("local_path", "/"), -1)
-    there = read_corpus(spark, root).select(F.col("file_name").alias("name")).distinct()
-    rows = rows.withColumn("name", name).join(there, "name", "left_semi")
+SIDECAR = "local_path string, company string, ticker string, title string, form string"
+
+
+def report_sidecars(rows: DataFrame, reports: DataFrame) -> DataFrame:
+    """Sidecar rows whose report's name is among reports (name), with fallbacks for company and title."""
+    rows = rows.withColumn("name", F.element_at(F.split("local_path", "/"), -1)).join(reports.select("name").distinct(), "name", "left_semi")
     return rows.select("local_path", F.coalesce(filled(F.col("company")), filled(F.col("ticker")), F.lit("unknown")).alias("company"), F.coalesce(filled(F.col("title")), F.col("name")).alias("title"), "form")
 
 
+def read_report_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """*.meta.json files below root whose report is there."""
+    rows = spark.read.schema(SIDECAR).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(root, multiLine=True)
+    return report_sidecars(rows, read_corpus(spark, root).select(F.col("file_name").alias("name")))
+
+
 def write_ingestion_report(rollup: DataFrame, items: DataFrame, path: str) -> None:
     """One JSON file a run: the roll-up's rows. Rows a document go beside it, as they grow with the collection."""
     rollup.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     items.write.mode("overwrite").json(f"{path}/documents")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; one of our own only where that is
-    unset."""
-    if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
