@@ -58,11 +58,22 @@ def top_k(scored: DataFrame, k: int, order: Column | None = None) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def apply_delta(frequencies: DataFrame, totals: DataFrame, removed: Bm25Index, added: Bm25Index) -> tuple[DataFrame, DataFrame]:
-    """Frequencies and totals after chunks left and others came: signed sums; tokens at 0 or less go, totals stop at 0."""
+def delta(removed: Bm25Index, added: Bm25Index) -> tuple[DataFrame, DataFrame]:
+    """What frequencies (token, df) and totals (n, sum_len) change by when chunks leave and others come."""
     signed = lambda df, sign: df.select("token", (sign * F.col("df")).alias("df"))
-    rows = frequencies.select("token", "df").unionByName(signed(removed.frequencies, -1)).unionByName(signed(added.frequencies, 1))
-    after = rows.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    rows = signed(removed.frequencies, -1).unionByName(signed(added.frequencies, 1))
     sums = lambda df, sign: df.select((sign * F.col("n")).alias("n"), (sign * F.coalesce("sum_len", F.lit(0))).alias("sum_len"))
-    all_totals = sums(totals, 1).unionByName(sums(removed.totals, -1)).unionByName(sums(added.totals, 1))
-    return after, all_totals.agg(*(F.greatest(F.sum(c), F.lit(0)).alias(c) for c in ("n", "sum_len")))
+    totals = sums(removed.totals, -1).unionByName(sums(added.totals, 1))
+    return rows.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"), totals.agg(F.sum("n").alias("n"), F.sum("sum_len").alias("sum_len"))
+
+
+def summed(frequencies: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sums of signed rows: tokens at 0 or less go, totals stop at 0."""
+    after = frequencies.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    return after, totals.agg(*(F.greatest(F.coalesce(F.sum(c), F.lit(0)), F.lit(0)).alias(c) for c in ("n", "sum_len")))
+
+
+def apply_delta(frequencies: DataFrame, totals: DataFrame, removed: Bm25Index, added: Bm25Index) -> tuple[DataFrame, DataFrame]:
+    """Frequencies and totals after chunks left and others came."""
+    rows, sums = delta(removed, added)
+    return summed(frequencies.select("token", "df").unionByName(rows), totals.select("n", "sum_len").unionByName(sums))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.tables import numbered
 from granary.functions.text import base_name, collapse, contains_any, filled, first_filled, strip, to_decimal
 
 #: Fixed aliases of each metadata field, first filled one wins; roles a chunk may have.
@@ -118,31 +117,6 @@ def snippet_around_label(lines: DataFrame, labels: list[str], window: int = 10,
     return got.select("doc_id", strip(F.array_join(F.coalesce("near", "first"), "\n")).alias("snippet"))
 
 
-def build_prompts(questions: DataFrame, snippets: DataFrame) -> DataFrame:
-    """(query_id, prompt): the packed evidence, numbered and named, and the question; a fixed text without evidence."""
-    block = F.concat(F.lit("["), F.col("snippet_no").cast("string"), F.lit("] "), F.col("chunk_id"), F.lit("\n"), F.col("text"))
-    packed = snippets.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("snippet_no", block.alias("b")))).alias("s"))
-    evidence = F.array_join(F.transform("s", lambda x: x["b"]), "\n\n")
-    rows = questions.join(packed, "query_id", "left")
-    return rows.select("query_id", F.concat(F.coalesce(evidence, F.lit("没有可用的证据。")), F.lit("\n\n问题："), F.col("question")).alias("prompt"))
-
-
-def golden_questions(metrics: DataFrame, annual: str, quarterly: str) -> DataFrame:
-    """(question_id, question, answer) by template: an annual and a quarterly one a metric, and one without an answer
-    for each entity."""
-    of = lambda kind, word: F.concat(F.lit("公司"), F.col("ticker").cast("string"), F.lit(f" 的{word}指标 "), F.col("metric"), F.lit(" 是多少？"))
-    name = lambda kind: F.concat(F.col("ticker").cast("string"), F.lit(f":{kind}")).alias("question_id")
-    one = lambda kind, word, metric: metrics.where(F.col("metric") == metric).select(name(kind), of(kind, word).alias("question"), F.col("amount").cast("string").alias("answer"))
-    none = metrics.select("ticker").distinct().select(name("unanswerable"), F.concat(F.lit("公司"), F.col("ticker").cast("string"), F.lit(" 的未披露指标是多少？")).alias("question"), F.lit("无法回答").alias("answer"))
-    return one("annual", "年度", annual).unionByName(one("quarterly", "季度", quarterly)).unionByName(none)
-
-
-def refine_questions(records: DataFrame) -> DataFrame:
-    """New questions by type, with new ids in order of the old ones."""
-    text = F.when(F.col("question_type") == "numeric", F.concat(F.lit("请给出 "), F.col("topic"), F.lit(" 的数值。"))).otherwise(F.concat(F.lit("请说明 "), F.col("topic"), F.lit("。")))
-    return numbered(records, "source_id", "place").select(F.concat(F.lit("r"), (F.col("place") + 1).cast("string")).alias("id"), "source_id", text.alias("question"))
-
-
 def eval_bundle(questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries, qrels and the evidence catalogue (of equal ids the first question's text)."""
     flat = questions.select("id", F.posexplode("positive_contexts").alias("pos", "c")).select(F.col("id").alias("query_id"), "pos", "c.*")

@@ -1,6 +1,6 @@
 """Registered queries over the test tables: each an operator applied to rows that Spark derives from them."""
 
-from granary.plans import evaluation, files, ingest, memory, parsing, retrieval, scalar  # noqa: F401
+from granary.plans import evaluation, files, ingest, memory, parsing, questions, retrieval, scalar  # noqa: F401
 from granary.plans.registry import QUERIES, oracles
 
 

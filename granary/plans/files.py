@@ -109,7 +109,7 @@ def stream_session_memory(t):
     save = lambda path: lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{path}/out")
     write = lambda s, path: jobs.stream_session_memory(s, expire_days=None).writeStream.outputMode("update").foreachBatch(save(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     out = t.spark.read.schema(jobs.SESSION + ", batch int").parquet(f"{run_through(t, 'stream-memory', rows, write)}/out")
-    return out.groupBy("session_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("message_count", "last_ids", "evicted_count", "should_compress")))
+    return out.groupBy("session_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("message_count", "last_ids", "evicted_count", "covered_until_message_id", "should_compress")))
 
 
 @query("stream_ingest", r"with l as (select distinct doc_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from documents), k as (select distinct doc_id, pos, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_.:/+\-]*')) as token from l) select token, count(*) as df from k group by 1")
@@ -117,4 +117,4 @@ def stream_ingest(t):
     """All documents through the ingesting stream; the document frequencies of their lines."""
     rows = t.documents.select(F.concat_ws("/", "source", "doc_id").alias("source_path"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     path = run_through(t, "stream-ingest", rows, lambda s, path: jobs.stream_ingest(s, jobs.IngestStore(t.spark, f"{path}/store"), f"{path}/checkpoint"))
-    return jobs.IngestStore(t.spark, f"{path}/store").read("frequencies", "token string, df long")
+    return jobs.IngestStore(t.spark, f"{path}/store").statistics()[0]

@@ -246,23 +246,6 @@ def snippet_around_label(t):
     return got.select("doc_id", F.md5("snippet").alias("snippet_md5"))
 
 
-@query("build_prompts", "select query_id, n, rank1 from (select query_id, count(*) as n, min_by(chunk_id, snippet_no) as rank1 from (with b as (select query_id, chunk_id, rank, score, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from hits), d as (select *, row_number() over (partition by query_id, regexp_replace(text, '\\s+', ' ', 'g') order by score desc, rank, chunk_id) as nth from b where text <> ''), u as (select *, coalesce(sum(length(text)) over (partition by query_id order by score desc, rank, chunk_id rows between unbounded preceding and 1 preceding), 0) as used, row_number() over (partition by query_id order by score desc, rank, chunk_id) as snippet_no from d where nth = 1) select * from u where used < 4000) group by 1)".replace("\\\\", "\\"))
-def build_prompts(t):
-    prompts = goldens.build_prompts(t.asks.withColumn("question", F.col("query_id")), fusion.pack_context(t.hits))
-    n = F.size(F.regexp_extract_all("prompt", F.lit(r"(?m)^(\[\d+\]) c\d+$"), F.lit(1)))
-    return prompts.select("query_id", n.alias("n"), F.regexp_extract("prompt", r"(?m)^\[1\] (c\d+)$", 1).alias("rank1"))
-
-
-@query("golden_questions", "select * from (select cast(ticker as string) || ':annual' as question_id, '公司' || cast(ticker as string) || ' 的年度指标 ' || metric || ' 是多少？' as question, cast(amount as string) as answer from metrics_table where metric = 'BUILDING' union all select cast(ticker as string) || ':quarterly', '公司' || cast(ticker as string) || ' 的季度指标 ' || metric || ' 是多少？', cast(amount as string) from metrics_table where metric = 'MACHINERY' union all select cast(ticker as string) || ':unanswerable', '公司' || cast(ticker as string) || ' 的未披露指标是多少？', '无法回答' from (select distinct ticker from metrics_table))")
-def golden_questions(t):
-    return goldens.golden_questions(t.metrics_table, "BUILDING", "MACHINERY")
-
-
-@query("refine_questions", "select 'r' || cast(row_number() over (order by item_id) as string) as id, item_id as source_id, case when item_id % 2 = 0 then '请给出 item' || cast(item_id as string) || ' 的数值。' else '请说明 item' || cast(item_id as string) || '。' end as question from benchmark")
-def refine_questions(t):
-    return goldens.refine_questions(t.benchmark.selectExpr("item_id as source_id", "case when item_id % 2 = 0 then 'numeric' else 'text' end as question_type", "'item' || cast(item_id as string) as topic"))
-
-
 @query("export_eval_bundle", "select 'queries' as part, count(*) as n from benchmark union all select 'qrels', count(*) * 2 from benchmark union all select 'evidence', count(distinct 'e' || cast(item_id % 10 as string)) + count(*) from benchmark")
 def export_eval_bundle(t):
     e = lambda name, v: F.struct(name.alias("evidence_id"), v.alias("evidence_text"))

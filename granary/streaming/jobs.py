@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -10,12 +11,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import bm25_tokens
+from granary.functions.tables import written
+from granary.operators import blocks as B
+from granary.operators import bm25
+from granary.operators import sections as S
 from granary.operators.memory import RECENT, TRIGGER
-from granary.operators.sync import apply_document_diff, diff_documents
+from granary.operators.sync import diff_documents
 
-SESSION = "session_id long, message_count long, last_ids string, evicted_count long, should_compress boolean"
-STATE = "count long, last_ids string"
+SESSION = "session_id long, message_count long, last_ids string, evicted_count long, covered_until_message_id long, should_compress boolean"
+STATE = "count long, last_ids string, covered long"
 
 
 def stream_query_dedupe(queries: DataFrame, key: str = "cache_key", ts: str = "ts", keep: str = "6 hours") -> DataFrame:
@@ -25,67 +29,133 @@ def stream_query_dedupe(queries: DataFrame, key: str = "cache_key", ts: str = "t
 
 
 def stream_session_memory(messages: DataFrame, recent: int = RECENT, trigger: int = TRIGGER, expire_days: int | None = 7) -> DataFrame:
-    """Per session, the number of messages and the ids of the last `recent`; each batch emits the sessions it touched.
+    """Per session, the number of messages, the ids of the last `recent` and the largest id before them, up to which a
+    summary may cover; each batch emits the sessions it touched.
 
-    State is one number and a bounded list a session, whatever the history; it goes after expire_days without messages. A run that is to end with
-    its input (availableNow) takes None, as a timeout keeps it waiting."""
+    State is two numbers and a bounded list a session, whatever the history; it goes after expire_days without messages.
+    A run that is to end with its input (availableNow) takes None, as a timeout keeps it waiting."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        count, last = state.get if state.exists else (0, "")
+        count, last, covered = state.get if state.exists else (0, "", -1)
         ids = [int(x) for x in last.split(",") if x]
         for batch in batches:
             count += len(batch)
-            ids = sorted(ids + batch["message_id"].tolist())[-recent:]
-        state.update((count, ",".join(map(str, ids))))
+            ids = sorted(ids + batch["message_id"].tolist())
+            covered, ids = max([covered, *ids[:-recent]]), ids[-recent:]
+        state.update((count, ",".join(map(str, ids)), covered))
         if expire_days is not None:
             state.setTimeoutDuration(expire_days * 24 * 3600 * 1000)
         evicted = max(0, count - recent)
-        yield pd.DataFrame({"session_id": [key[0]], "message_count": [count], "last_ids": [",".join(map(str, ids))], "evicted_count": [evicted], "should_compress": [count > trigger and evicted > 0]})
+        yield pd.DataFrame({"session_id": [key[0]], "message_count": [count], "last_ids": [",".join(map(str, ids))], "evicted_count": [evicted], "covered_until_message_id": pd.array([covered if covered >= 0 else None], "Int64"), "should_compress": [count > trigger and evicted > 0]})
 
     return messages.select("session_id", "message_id").groupBy("session_id").applyInPandasWithState(step, SESSION, STATE, "update", "NoTimeout" if expire_days is None else "ProcessingTimeTimeout")
 
 
+def line_chunks(documents: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, source_path, text): a document's lines."""
+    rows = documents.select("doc_id", "source_path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.select(F.concat_ws(":", "doc_id", "pos").alias("chunk_id"), "doc_id", "source_path", "text")
+
+
+def parsed_chunks(documents: DataFrame) -> DataFrame:
+    """The leaves of hierarchical chunks of what parsing and cleaning leave of each text document: blocks, title
+    fragments joined, sections, chunks."""
+    blocks = B.text_blocks(documents).withColumns({"html": F.lit(None).cast("string"), "extra": F.lit(None).cast("map<string,string>"), "page_no": F.lit(None).cast("int")})
+    sections = S.build_sections(B.block_section_text(blocks))
+    parts = sections.select(F.concat_ws("#", "doc_id", "section_index").alias("doc_id"), "text")
+    leaves = S.hierarchical_chunks(parts).where("chunk_role = 'leaf'").withColumn("doc_id", F.regexp_replace("doc_id", "#[0-9]+$", ""))
+    return leaves.join(documents.select("doc_id", "source_path").distinct(), "doc_id").select("chunk_id", "doc_id", "source_path", "text")
+
+
 class IngestStore:
-    """Versioned Parquet tables of a collection in a shared folder: state, chunks and document frequencies.
+    """A collection's state, chunks and BM25 statistics in a shared folder, as a log of batches.
 
-    A batch writes a version of its own and then its marker; readers take the newest marked one. A batch that ran
-    before finds its marker and does nothing, so a restart repeats no work and loses none."""
+    A batch writes only its own rows, under its number: new states of the paths that changed, chunks of new content,
+    and what the statistics change by. Then it adds its marker; readers see marked batches only. A batch that ran
+    before finds its marker and does nothing, one that was cut short is written anew, so a restart repeats no work and
+    loses none. Rows are also dealt to buckets by source path, and a batch reads the buckets it touches, so its cost
+    follows its size. compact() folds the log into one batch."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    STATE = "source_path string, doc_id string, sha256 string, deleted boolean"
+    CHUNKS = "chunk_id string, doc_id string, source_path string, text string"
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, path: str, chunks_of: Callable[[DataFrame], DataFrame] = line_chunks, buckets: int = 64):
+        self.spark, self.path, self.chunks_of, self.buckets = spark, path, chunks_of, buckets
+
+    def _marks(self) -> list[tuple[int, bool]]:
+        """(batch, whether all before it is folded into it), a row a batch since the last folding."""
         try:
-            return self.spark.read.schema("version long").parquet(f"{self.path}/done").agg(F.max("version")).first()[0]
+            rows = self.spark.read.schema("version long, whole boolean").parquet(f"{self.path}/done")
+            first = rows.agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("version"))), F.lit(-1)).alias("v")).first().v
+            return sorted({(r.version, r.whole) for r in rows.where(F.col("version") >= first).collect() if r.whole or r.version > first})
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return -1
+            return []
+
+    def version(self) -> int:
+        return max((v for v, _ in self._marks()), default=-1)
+
+    def _read(self, table: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{table}/{'whole' if whole else 'part'}/version={v}" for v, whole in self._marks()]
+        parts = [self.spark.read.schema(f"{schema}, bucket int").parquet(f).withColumn("version", F.lit(int(f.rsplit("=", 1)[1])).cast("long")) for f in folders]
+        rows = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], f"{schema}, bucket int, version long"))
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
+        """The newest state of each path that is there."""
+        rows = self._read("state", self.STATE, buckets)
+        last = rows.groupBy("source_path").agg(F.max_by(F.struct("doc_id", "sha256", "deleted", "bucket", "version"), "version").alias("s"))
+        return last.select("source_path", "s.*").where("not deleted").drop("deleted")
+
+    def chunks(self, buckets: list[int] | None = None) -> DataFrame:
+        """The chunks of each path's newest content."""
+        rows = self._read("chunks", self.CHUNKS, buckets)
+        return rows.join(self.state(buckets).select("source_path", "version"), ["source_path", "version"]).select("chunk_id", "doc_id", "source_path", "text")
+
+    def statistics(self) -> tuple[DataFrame, DataFrame]:
+        """Document frequencies and totals, as bm25.build_index would count them over chunks()."""
+        return bm25.summed(self._read("frequencies", "token string, df long").select("token", "df"), self._read("totals", "n long, sum_len long").select("n", "sum_len"))
+
+    def _write(self, table: str, rows: DataFrame, version: int, whole: bool = False) -> None:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{'whole' if whole else 'part'}/version={version}")
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        now = self.version()
-        return self.spark.createDataFrame([], schema) if now < 0 else self.spark.read.schema(schema).parquet(f"{self.path}/{table}/version={now}")
+    def _mark(self, version: int, whole: bool = False) -> None:
+        self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(whole).alias("whole")).coalesce(1).write.mode("append").parquet(f"{self.path}/done")
 
     def ingest(self, batch: DataFrame, batch_id: int) -> None:
-        """Takes documents (source_path, doc_id, text) of a batch as the newest content of their paths."""
+        """Takes documents (source_path, doc_id, text, and optionally deleted) of a batch as the newest of their paths;
+        of several rows of a path in one batch a deletion comes last, then the larger text."""
         if batch_id <= self.version():
             return
-        state = self.read("state", "source_path string, doc_id string, sha256 string")
-        chunks = self.read("chunks", "chunk_id string, doc_id string, text string")
-        now = batch.groupBy("source_path").agg(F.max(F.struct("doc_id", "text")).alias("d")).select("source_path", "d.doc_id", "d.text").withColumn("sha256", F.sha2("text", 256))
-        diff = diff_documents(state.join(now, "source_path", "left_semi"), now)
-        fresh = now.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(F.concat_ws(":", "doc_id", "pos").alias("chunk_id"), "doc_id", "text")
-        after = apply_document_diff(chunks, diff, fresh.select(chunks.columns))
-        write = lambda df, table: df.write.mode("overwrite").parquet(f"{self.path}/{table}/version={batch_id}")
-        write(after, "chunks")
-        write(state.join(now, "source_path", "left_anti").unionByName(now.select(state.columns)), "state")
-        written = self.spark.read.schema("chunk_id string, doc_id string, text string").parquet(f"{self.path}/chunks/version={batch_id}")
-        tokens = written.select("chunk_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("token"))
-        write(tokens.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
-        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+        now = batch.select("source_path", F.struct(gone.alias("deleted"), "text", "doc_id").alias("d")).groupBy("source_path").agg(F.max("d").alias("d"))
+        now = written(now.select("source_path", "d.*", F.sha2("d.text", 256).alias("sha256"), F.pmod(F.xxhash64("source_path"), F.lit(self.buckets)).cast("int").alias("bucket")), "ingest-batch")
+        touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        before = self.state(touched).join(now.select("source_path"), "source_path", "left_semi")
+        actions = diff_documents(before, now.where("not deleted")).where("action <> 'unchanged'").select("source_path", "action")
+        changed = written(now.join(actions, "source_path"), "ingest-changed")
+        fresh = written(self.chunks_of(changed.where("action <> 'deleted'").select("source_path", "doc_id", "text")).select("chunk_id", "doc_id", "source_path", "text"), "ingest-chunks")
+        old = self.chunks(touched).join(changed.select("source_path"), "source_path", "left_semi")
+        frequencies, totals = bm25.delta(bm25.build_index(old), bm25.build_index(fresh))
+        self._write("chunks", fresh.join(changed.select("source_path", "bucket"), "source_path").select("chunk_id", "doc_id", "source_path", "text", "bucket"), batch_id)
+        self._write("state", changed.select("source_path", "doc_id", "sha256", (F.col("action") == "deleted").alias("deleted"), "bucket"), batch_id)
+        self._write("frequencies", frequencies.withColumn("bucket", F.lit(0)), batch_id)
+        self._write("totals", totals.withColumn("bucket", F.lit(0)), batch_id)
+        self._mark(batch_id)
+
+    def compact(self) -> None:
+        """Folds all batches so far into the newest, so that readers and batches read one folder a table."""
+        now, state = self.version(), self.state()
+        frequencies, totals = self.statistics()
+        self._write("chunks", self.chunks().join(state.select("source_path", "bucket"), "source_path").select("chunk_id", "doc_id", "source_path", "text", "bucket"), now, True)
+        self._write("state", state.select("source_path", "doc_id", "sha256", F.lit(False).alias("deleted"), "bucket"), now, True)
+        self._write("frequencies", frequencies.withColumn("bucket", F.lit(0)), now, True)
+        self._write("totals", totals.withColumn("bucket", F.lit(0)), now, True)
+        self._mark(now, True)
 
 
 def stream_ingest(documents: DataFrame, store: IngestStore, checkpoint: str):

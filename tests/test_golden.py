@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from granary.functions import queries as Q
 from granary.functions import text as T
 from granary.operators import blocks as B
-from granary.operators import bm25, dense, evaluation, fusion, memory, sections
+from granary.operators import bm25, dense, evaluation, fusion, goldens, memory, rollups, sections
+from granary.operators.questions import golden_questions, refine_questions
 from granary.sources import parsing
 
 BLOCK = "doc_id string, block_index int, block_type string, text string, page_no int, source_path string, html string, extra map<string,string>, bbox struct<x:double,y:double,w:double,h:double>"
@@ -135,3 +136,89 @@ def test_summary_budget(spark):
     rows = spark.createDataFrame([(1, i, "user", "x" * 2000, "completed") for i in range(10)], "session_id int, message_id long, role string, content string, status string")
     text = memory.summary_input(rows).first().summary_input
     assert sum(map(len, text.split("\n"))) == 6000
+
+
+def test_block_quality_flags(spark):
+    """Levels and flags by the quality report's rules: scans and empty results are poor, any other flag asks for review."""
+    rows = [
+        *(("scan", i, "text", "x" * 300, 1) for i in range(2)),
+        ("two", 0, "table", "t" * 150, 1), ("two", 1, "text", "between", 1), ("two", 2, "table", "t" * 150, 2), ("two", 3, "image", "", 2),
+        ("gap", 0, "table", "t" * 150, 1), ("gap", 1, "table", "t" * 150, None), ("gap", 2, "table", "t" * 150, 2),
+        ("bare", 0, "text", "y" * 250, None), ("bare", 1, "text", "y", 1),
+        ("sparse", 0, "text", " few words ", 1),
+        ("fine", 0, "title", "A", 3), ("fine", 1, "text", "z" * 250, 5),
+    ]
+    blocks = spark.createDataFrame(rows, "doc_id string, block_index int, block_type string, text string, page_no int")
+    probes = spark.createDataFrame([("scan", True), ("fine", False)], "doc_id string, is_scanned boolean")
+    documents = spark.createDataFrame([(d,) for d in ("scan", "two", "gap", "bare", "sparse", "fine", "none")], "doc_id string")
+    got = {r.doc_id: r for r in B.block_quality(blocks, probes, documents).collect()}
+    assert {d: (r.level, r.flags) for d, r in got.items()} == {
+        "scan": ("poor", "scanned_pdf_requires_ocr"),
+        "two": ("needs_review", "table_blocks_present,cross_page_table_candidate,image_blocks_present"),
+        "gap": ("needs_review", "table_blocks_present"),
+        "bare": ("needs_review", "missing_page_metadata"),
+        "sparse": ("needs_review", "very_sparse_text"),
+        "fine": ("ok", ""),
+        "none": ("poor", "empty_parse_result"),
+    }
+    assert got["sparse"].mean_chars == 9.0 and got["two"].mean_chars == 102.33 and got["fine"].page_range == "3-5" and got["none"].mean_chars == 0
+
+
+def test_audit_counts_texts_as_they_stand(spark):
+    rows = [("a", 0, "x", "table_numeric", "easy"), ("a", 2, "x", "profile", "easy"), ("A", 1, "abstention", None, ""), ("单位是", 1, "x", "hard_negative_table_numeric", "hard"), (None, None, "x", "table_numeric", "hard"), ("", 3, "x", "table", "hard")]
+    questions = spark.createDataFrame(rows, "question string, n_contexts int, eval_type string, question_type string, difficulty string")
+    got = evaluation.eval_set_audit(questions).first().asDict()
+    assert got == {"questions": 6, "multi_evidence": 2, "abstentions": 1, "missing_contexts": 2, "numeric_without_unit": 2, "distinct_questions": 4, "duplicated": 2}
+    assert {tuple(r) for r in evaluation.eval_set_counts(questions).where("slice = 'difficulty'").collect()} == {("difficulty", "easy", 2), ("difficulty", "unknown", 1), ("difficulty", "hard", 3)}
+
+
+def test_decompose_ignores_case_of_repeats(spark):
+    split = lambda q: one(spark, Q.decompose(F.lit(q)))[0]
+    assert split("Alpha plan、alpha PLAN、beta？") == ["Alpha plan是什么？", "beta是什么？"]
+    assert split("比较 Foo 与 Bar 和 FOO") == ["Foo 在材料中体现出的核心变化过程、原因和关键表现是什么？", "Bar 在材料中体现出的核心变化过程、原因和关键表现是什么？", "Foo 和 Bar 体现出的变化过程有哪些共同点和差异？"]
+    assert split("plain question") == ["plain question"] and split(" ") == []
+
+
+def test_labels_and_values(spark):
+    lines = lambda *rows: spark.createDataFrame([("d", i, x) for i, x in enumerate(rows)], "doc_id string, pos int, line string")
+    one_of = lambda df: df.first()[1] if df.count() else None
+    assert one_of(goldens.labelled_values(lines("revenue", "1,234.5", "12,34", "同比增加 3", "-7%", "不适用", "n不适用", "(5)"), ["revenue", "income"])) == ["1,234.5", "同比增加 3", "-7%", "不适用"]
+    assert one_of(goldens.labelled_values(lines("revenue", "text", "net income", "9"), ["revenue"])) == ["9"] and one_of(goldens.labelled_values(lines("x", "9"), ["revenue"])) is None
+    assert one_of(goldens.value_after_label(lines("Name: Li", "x"), "Name:")) == "Li"
+    assert one_of(goldens.value_after_label(lines("Name:", "N/A", "Wu", "x"), "Name:", ["N/A"])) == "Wu"
+    assert one_of(goldens.value_after_label(lines("Name:", *["N/A"] * 8, "late", "Name: N/A", "Name: Xu"), "Name:", ["N/A"])) == "Name: Xu"  # the line after a skipped rest, whole
+    assert one_of(goldens.snippet_around_label(lines("a", "b", "c", "hit", "d"), ["hit"], 2)) == "b\nc\nhit\nd" and one_of(goldens.snippet_around_label(lines("a", "b", "c"), ["hit"], 2)) == "a\nb"
+
+
+def test_trace_sums_and_counts(spark):
+    shape = "retriever_core_ms double, retrieval_total_profiled_ms double, fallback boolean, fallback_reasons array<string>, cache struct<enabled:boolean,hit:boolean>, postprocessors array<struct<timing_key:string,duration_ms:double>>"
+    rows = [(5.0, 9.0, True, ["slow", "empty"], (True, False), [("rerank_ms", 2.0), ("", 7.0)]), (3.0, 0.0, False, None, (True, True), None), (None, None, None, ["slow"], None, [("rerank_ms", None), ("x_ms", 1.5)])]
+    profiles = spark.createDataFrame(rows, shape)
+    assert {tuple(r) for r in rollups.trace_rollup(profiles).collect()} == {("retriever_core_ms", 8.0, 3), ("retrieval_profiled_ms", 12.0, 3), ("rerank_ms", 2.0, 2), ("x_ms", 1.5, 1)}
+    assert tuple(rollups.trace_counts(profiles).first()) == (3, 1, True, 1, 1)
+    assert {tuple(r) for r in rollups.fallback_reasons(profiles).collect()} == {("slow", 2), ("empty", 1)}
+    keys = one(spark, *(rollups.timing_key(F.lit(x)) for x in ("LLMRerank", "AutoMergingRetriever", "Parent_Context x", "Table Context+")))
+    assert tuple(keys) == ("rerank_ms", "auto_merge_ms", "parent_context_ms", "table_context_ms")
+
+
+def test_dense_search_in_query_blocks(spark):
+    """More queries than a block holds, and a vector with very many copies: the same rows as from a single block."""
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 7), 0.5]) for i in range(300)], "chunk_id long, embedding array<float>")
+    asked = vectors.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    got = {n: sorted(map(tuple, dense.dense_topk(asked, vectors, 5, block_queries=n).select("query_id", "chunk_id", "rank").collect())) for n in (7, 1000)}
+    assert got[7] == got[1000] and [c for q, c, _ in got[7] if q == 3] == [3, 10, 17, 24, 31]
+
+
+def test_golden_set_repeats_harder_questions_up_to_its_target(spark):
+    metric = "ticker string, company string, rel_path string, page int, unit string, page_text string, metric string, values array<string>, snippet string"
+    annual = spark.createDataFrame([(k, f"C{k}", f"{k}/a.pdf", 2, "元", "page", m, v, "") for k, v in (("1", ["5", "4", "25%"]), ("2", ["7"])) for m in ("revenue", "eps")], metric)
+    quarterly = spark.createDataFrame([("2", "C2", "2/q.pdf", 3, "千元", "page", "revenue", ["1"], "q")], metric)
+    profiles = spark.createDataFrame([("1", "C1", "1/a.pdf", 1, "page", "website", "w.cn"), ("1", "C1", "1/a.pdf", 1, "page", "legal_rep", " ")], "ticker string, company string, rel_path string, page int, page_text string, field string, value string")
+    got = golden_questions(annual, quarterly, profiles, target=14).orderBy("id").collect()
+    assert [r.question_type for r in got] == ["company_profile", *["table_numeric"] * 4, "quarterly_table_numeric", "cross_year_compare", "cross_doc_multi_hop", "cross_company_compare", *["unanswerable"] * 2, *["hard_negative_table_numeric"] * 3]
+    assert got[0].answer == "C1公司网址为w.cn。" and got[6].answer == "C12025年营业收入为5，2024年为4，单位：元。报告披露的同比变化为25%。" and got[8].answer.endswith("在同为元口径下，C2更高。")
+    assert got[7].gold_files == ["2/a.pdf", "2/q.pdf"] and got[7].positive_contexts[1].evidence_id == "2/q.pdf#page=3#span=q1_revenue"
+    assert [r.question for r in got[11:]] == [f"只根据C{k}2025年年度报告，回答其2025年的营业收入，并保留报告披露单位。" for k in (1, 2, 1)]
+    assert golden_questions(annual, quarterly, profiles, target=3).count() == 3
+    refined = {r.source_eval_id: r.question for r in refine_questions(golden_questions(annual, quarterly, profiles, target=14), annual.select("ticker", "company")).collect()}
+    assert refined["v2_001"] == "根据C12025年年度报告，公司的官方网站是什么？" and refined["v2_009"] == "请分别查找C1和C22025年年度报告披露的营业收入，说明各自单位，并判断是否可以直接比较。"

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import memory
+from granary.operators import bm25, memory
 from granary.plans.registry import Tables
 from granary.sources import files
-from granary.streaming.jobs import IngestStore, stream_ingest, stream_query_dedupe, stream_session_memory
+from granary.streaming.jobs import IngestStore, parsed_chunks, stream_ingest, stream_query_dedupe, stream_session_memory
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,19 +65,51 @@ def test_session_memory_equals_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     empty = spark.createDataFrame([], "session_id long, covered_until_message_id long, covered_message_count long")
     plan = {r.session_id: r for r in memory.compression_plan(messages, empty).collect()}
-    assert {k: (v[1], v[3], v[4]) for k, v in last.items()} == {k: (r.message_count, r.evicted_message_count, r.should_compress) for k, r in plan.items()}
+    assert {k: (v[1], v[3], v[5]) for k, v in last.items()} == {k: (r.message_count, r.evicted_message_count, r.should_compress) for k, r in plan.items()}
+    ids = {}
+    for r in messages.select("session_id", "message_id").collect():
+        ids.setdefault(r.session_id, []).append(r.message_id)
+    assert {k: v[4] for k, v in last.items()} == {k: max(sorted(v)[: -memory.RECENT], default=None) for k, v in ids.items()}
+
+
+INGEST = "source_path string, doc_id string, text string, deleted boolean"
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
 
 
 def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
-    schema = "source_path string, doc_id string, text string"
     source = tmp_path / "in"
     source.mkdir()
-    store = IngestStore(spark, f"{tmp_path}/store")
-    for i, rows in enumerate([[("a", "a", "cat\ndog"), ("b", "b", "cat")], [("a", "a", "cat\nbird"), ("b", "b", "cat")]]):
-        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("source_path", "doc_id", "text"), r))) for r in rows))
-        stream_ingest(spark.readStream.schema(schema).json(str(source)), store, f"{tmp_path}/cp").awaitTermination(120)
-    chunks = sorted(map(tuple, store.read("chunks", "chunk_id string, doc_id string, text string").collect()))
+    store = IngestStore(spark, f"{tmp_path}/store", buckets=4)
+    versions = [[("a", "a", "cat\ndog"), ("b", "b", "cat"), ("c", "c", "gone soon")], [("a", "a", "cat\nbird"), ("b", "b", "cat"), ("c", "c", None, True), ("d", "d", None, True)]]
+    for i, rows in enumerate(versions):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("source_path", "doc_id", "text", "deleted"), r))) for r in rows))
+        stream_ingest(spark.readStream.schema(INGEST).json(str(source)), store, f"{tmp_path}/cp").awaitTermination(120)
+    chunks = rows_of(store.chunks().select("chunk_id", "doc_id", "text"))
     assert chunks == [("a:0", "a", "cat"), ("a:1", "a", "bird"), ("b:0", "b", "cat")]
-    assert {tuple(r) for r in store.read("frequencies", "token string, df long").collect()} == {("cat", 2), ("bird", 1)}
-    store.ingest(spark.createDataFrame([("z", "z", "late")], schema), 1)
-    assert store.version() == 1 and sorted(map(tuple, store.read("chunks", "chunk_id string, doc_id string, text string").collect())) == chunks
+    assert rows_of(store.statistics()[0]) == [("bird", 1), ("cat", 2)] and rows_of(store.statistics()[1]) == [(3, 3)]
+    assert spark.read.parquet(f"{tmp_path}/store/chunks/part/version=1").count() == 2  # a batch writes its own rows only
+    store.ingest(spark.createDataFrame([("z", "z", "late", False)], INGEST), 1)
+    assert store.version() == 1 and rows_of(store.chunks().select("chunk_id", "doc_id", "text")) == chunks
+    store.compact()
+    assert rows_of(store.chunks().select("chunk_id", "doc_id", "text")) == chunks and rows_of(store.statistics()[0]) == [("bird", 1), ("cat", 2)]
+    store.ingest(spark.createDataFrame([("b", "b", None, True), ("e", "e", "cat", None)], INGEST), 2)
+    assert [r[0] for r in rows_of(store.chunks().select("chunk_id"))] == ["a:0", "a:1", "e:0"] and rows_of(store.statistics()[1]) == [(3, 3)]
+
+
+def test_ingest_equals_a_batch_rebuild(spark, tmp_path):
+    """Two versions of a folder through the log, with parsing, sections and chunks, equal the second one from scratch."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select(F.concat_ws("/", "source", "doc_id").alias("source_path"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("# Title\n\n"), "text").alias("text"), F.col("doc_id").alias("n"))
+    store = IngestStore(spark, f"{tmp_path}/store", parsed_chunks)
+    store.ingest(docs.where("n % 5 <> 4").drop("n"), 0)
+    after = docs.withColumn("text", F.when(F.col("n") % 3 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text"))).withColumn("deleted", F.col("n") % 7 == 0)
+    store.ingest(after.drop("n"), 1)
+    want = parsed_chunks(after.where("not deleted").select("source_path", "doc_id", "text"))
+    assert want.count() > 50 and rows_of(store.chunks()) == rows_of(want)
+    index = bm25.build_index(want)
+    frequencies, totals = store.statistics()
+    assert rows_of(frequencies) == rows_of(index.frequencies) and rows_of(totals) == rows_of(index.totals)
+    unchanged = spark.read.parquet(f"{tmp_path}/store/state/part/version=1").count()
+    assert 0 < unchanged < 60
