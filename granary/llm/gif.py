@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm.common import documents, map_batches, text_rows
 
@@ -18,6 +19,8 @@ from granary.llm.common import documents, map_batches, text_rows
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 #: Width of a stored payload's frames, and their rows at most.
 WIDTH, ROWS = 64, 4096
+#: Pixels that a file may declare beyond the samples it holds, for its canvas and for all its frames; more is an error.
+MOST_BLANK = 1 << 24
 
 
 # LZW ------------------------------------------------------------------------------------------------------------------
@@ -67,16 +70,20 @@ def lzw_encode(samples: bytes, least: int = 8) -> bytes:
     return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
 
-def lzw_decode(stream: bytes, least: int) -> bytes:
+def lzw_decode(stream: bytes, least: int, most: int | None = None) -> bytes:
     """The samples of a code stream: any clears, a full table that is kept, and a stream that ends without its end
-    code are all read. A code that the table can't have yet is a ValueError."""
+    code are all read. A code that the table can't have yet is a ValueError, as is a code size out of 1 to 8. Decoding
+    ends once there are `most` samples, so a short stream can't grow beyond what its frame shows."""
+    if not 1 <= least <= 8:
+        raise ValueError(f"code size {least}")
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     words = data[:-2] | data[1:-1] << 8 | data[2:] << 16
     total, clear, free = 8 * len(stream), 1 << least, (1 << least) + 2
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     table, last, since, bit = singles.copy(), b"", 0, 0
-    while bit < total:
+    held, seen = 0, 0  # samples, and items of out that are among them
+    while bit < total and (most is None or held < most):
         width = _widths(since, 4096, least)
         end = bit + np.cumsum(width)
         width = width[end <= total]
@@ -87,6 +94,7 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stops[0]) if len(stops) else len(codes)
         last = _decode_run(codes[:n].tolist(), table, last, out)
+        held, seen = held + sum(map(len, out[seen:])), len(out)
         if n < len(codes):
             if codes[n] == clear + 1:
                 break
@@ -213,7 +221,7 @@ def write_gif(gif: Gif) -> bytes:
 
 def read_gif(data: bytes) -> Gif:
     """Parses a whole file; a frame with fewer samples than pixels is filled up with zeros. ValueError on a file that
-    is no GIF or ends within a field."""
+    is no GIF, ends within a field, or declares more than MOST_BLANK pixels that it has no samples for."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     try:
@@ -245,7 +253,7 @@ def _read(data: bytes) -> Gif:
         return b"".join(parts)
 
     gif = Gif(width, height, table(flags), background, [])
-    control = (0, 0, None)
+    control, blank, held = (0, 0, None), 0, 0
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
@@ -260,7 +268,11 @@ def _read(data: bytes) -> Gif:
             at += 10
             palette, least = table(flags), data[at]
             at += 1
-            samples = lzw_decode(blocks(), least)[: w * h].ljust(w * h, b"\0")
+            samples = lzw_decode(blocks(), least, w * h)[: w * h]
+            blank, held = blank + w * h - len(samples), held + len(samples)
+            if blank > MOST_BLANK:
+                raise ValueError(f"{blank} pixels without samples")
+            samples = samples.ljust(w * h, b"\0")
             pixels = np.frombuffer(samples, np.uint8).reshape(h, w)
             if flags & 0x40:
                 order, straight = _interlaced_rows(h), np.empty_like(pixels)
@@ -270,6 +282,8 @@ def _read(data: bytes) -> Gif:
             control = (0, 0, None)
         else:
             raise ValueError(f"unknown block {kind}")
+    if width * height > MOST_BLANK + held:
+        raise ValueError(f"a canvas of {width} x {height} pixels for {held} samples")
     return gif
 
 
@@ -325,8 +339,9 @@ FRAMES = "frame_no int, start_ms long, delay_ms int, disposal int, width int, he
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per shown frame of every file: its canvas (RGBA bytes), its time and its 64-bin colour histogram.
 
-    Null media give no row; a broken file gives the frames before the fault's file part that could be read, which is
-    none, and one row whose error says why."""
+    Frames are handed on one by one, so a worker holds one file and one canvas. Null media give no row. A file that
+    can't be read gives one row whose error says why; one whose fault shows only while frames are drawn gives the
+    frames before it and that row. Repeated rows and null ids give their frames each."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,14 +351,12 @@ def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             for i in range(batch.num_rows):
                 if (data := batch.column(1)[i].as_py()) is None:
                     continue
+                row = lambda *values: pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in zip(values, types))], names)  # noqa: B023, E731
                 try:
-                    shown = read_gif(data).shown()
-                    rows = [(k, start, f.delay, f.disposal, c.shape[1], c.shape[0], c.tobytes(), histogram(c).tolist(), None) for k, (f, start, c) in enumerate(shown)]
+                    for k, (f, start, c) in enumerate(read_gif(data).shown()):
+                        yield row(k, start, f.delay, f.disposal, c.shape[1], c.shape[0], c.tobytes(), histogram(c).tolist(), None)
                 except ValueError as e:
-                    rows = [(None,) * 8 + (str(e),)]
-                if rows:
-                    columns = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * len(rows))), *columns], names)
+                    yield row(*(None,) * 8, str(e))
 
     return text_rows(media, id_col, media_col).mapInArrow(run, f"doc_id {kind}, {FRAMES}")
 
@@ -377,3 +390,9 @@ DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
+
+
+def gif_frame_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed frames of every document's GIF: times, sizes, the canvas as a digest and its colour histogram."""
+    frames = gif_frames(store_texts(documents(spark, sf_dir)))
+    return frames.select("doc_id", "frame_no", "start_ms", "delay_ms", "width", "height", F.sha2("rgba", 256).alias("rgba_sha256"), F.array_join("histogram", ",").alias("histogram"), "error")

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cross_entropy_difference": lm_score.op8_cross_entropy_difference,
     "op9_temperature_mix": mixing.op9_temperature_mix,
     "op10_gif_media": gif.op10_gif_media,
+    "gif_frames": gif.gif_frame_digests,
 }
 
 ORACLES: dict[str, str] = {

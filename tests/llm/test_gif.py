@@ -1,6 +1,8 @@
 import hashlib
 import random
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,16 +96,70 @@ def test_interlace_and_errors():
             list(read_gif(bad).shown())
 
 
+def plain_samples(media):
+    """Samples of all frames of a GIF, by a decoder of the test's own that goes code by code."""
+    flags, at, out = media[10], 13, b""
+    at += 3 * (2 << (flags & 7)) if flags & 128 else 0
+    while media[at] != 0x3B:
+        head = 2
+        if media[at] == 0x2C:
+            local = media[at + 9]
+            head = 10 + (3 * (2 << (local & 7)) if local & 128 else 0)
+            least = media[at + head]
+            head += 1
+        is_image, data, at = media[at] == 0x2C, b"", at + head
+        while media[at]:
+            data, at = data + media[at + 1 : at + 1 + media[at]], at + 1 + media[at]
+        at += 1
+        if not is_image:
+            continue
+        bits, pos, width, table, last = int.from_bytes(data, "little"), 0, least + 1, None, None
+        while True:
+            code, pos = bits >> pos & (1 << width) - 1, pos + width
+            if code == 1 << least:
+                table, width, last = {i: bytes([i]) for i in range(1 << least)}, least + 1, None
+                continue
+            if code == (1 << least) + 1:
+                break
+            free = len(table) + 2
+            entry = table[code] if code in table else last + last[:1]
+            if last is not None and free < 4096:
+                table[free] = last + entry[:1]
+            width = min(12, max(width, (len(table) + 2).bit_length()))
+            last, out = entry, out + entry
+    return out
+
+
 def test_query_equals_direct_digests(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in op10_gif_media(spark, sf).collect():
-        payload = payload_of(docs.pop(r.doc_id))
+    media = {r.doc_id: bytes(r.media) for r in store_texts(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for i, r in enumerate(op10_gif_media(spark, sf).collect()):
+        payload = docs.pop(r.doc_id).encode()
+        payload += b"\0" * (-len(payload) % 64 if payload else 64)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_sha256 == hashlib.sha256(store(payload)).hexdigest() and r.media_bytes == len(store(payload))
+        assert r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and r.media_bytes == len(media[r.doc_id])
+        if i % 10 == 0:
+            assert plain_samples(media[r.doc_id]) == payload
+        greys = Counter(b >> 6 for b in payload)
+        assert r.feature.endswith("grey=" + ",".join(str(greys[k]) for k in range(4)))
     assert not docs
 
 
+def test_hostile_files_are_error_rows(spark):
+    """Files of a few bytes that declare huge frames, canvases or streams."""
+    head = lambda w, h: b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF0, 0, 0) + bytes(6)
+    frame = lambda w, h, least, data: b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + bytes([least, len(data)]) + data + b"\0"
+    huge = head(8, 8) + frame(60_000, 60_000, 2, b"\x44\x01") + b"\x3b"
+    canvas = head(60_000, 60_000) + frame(2, 2, 2, b"\x44\x01") + b"\x3b"
+    many = head(8, 8) + frame(3000, 3000, 2, b"\x44\x01") * 40 + b"\x3b"
+    code = head(8, 8) + frame(2, 2, 200, b"\x44\x01") + b"\x3b"
+    fine = head(8, 8) + frame(2, 2, 2, b"\x44\x01") + b"\x3b"
+    got = {r.doc_id: r for r in gif_frames(spark.createDataFrame(list(enumerate([huge, canvas, many, code, fine])), "doc_id long, media binary")).collect()}
+    assert [bool(got[i].error) for i in range(5)] == [True, True, True, True, False]
+    assert len(lzw_decode(lzw_encode(bytes(3_000_000)), 8, 64)) < 100_000_000
+
+
 def test_frames_and_odd_rows(spark):
     long = "langer Text é " * 40_000
     rows = [(1, None), (2, ""), (3, "x" * 64), (3, "x" * 64), (None, "x" * 65), (4, long)]
