@@ -178,21 +178,22 @@ def sketches(rows: DataFrame, shingle_words: int, tables: int) -> DataFrame:
     return map_batches(rows, make, f"doc_id {kind}, digest binary, n long, fp_1 long, fp_2 long, keys array<int>")
 
 
-def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b, distance): pairs of rows of sketches() that lie side by side in one of the tables, differ in at most radius
-    bits and have sizes that allow the similarity.
+def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int, tables: int) -> DataFrame:
+    """(a, b, distance): pairs of rows of sketches(), with a column `label` each, that lie side by side in one of the
+    first tables, have different labels, differ in at most radius bits, and have sizes that allow the similarity.
 
     A table sorts rows by its key and compares each with BESIDE rows before it, so the work is in proportion to the
     rows, also inside a large group of near copies. Pairs whose distances to a reference fingerprint differ by more
     than radius are discarded by the pivot table; the others are verified bit by bit."""
     wide = lambda j: [F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.lit(_signed(_pivot(2 * j + i))))).cast("long") for i in (1, 2)]
     pivots = _packed([sum(wide(j)) for j in range(WIDE_PIVOTS)], 8)
-    rows = fps.select("doc_id", "n", "fp_1", "fp_2", pivots.alias("near"), F.posexplode("keys").alias("t", "key"))
+    rows = fps.select("doc_id", "label", "n", "fp_1", "fp_2", pivots.alias("near"), F.posexplode(F.slice("keys", 1, tables)).alias("t", "key"))
     part = F.shiftrightunsigned("key", KEY - min(20, max(4, count.bit_length() - 12)))  # some 4,096 rows: fewer bits than side by side rows share
     order = Window.partitionBy("t", part).orderBy("key", "doc_id")
-    here = F.struct("doc_id", "n", "fp_1", "fp_2", "near")
-    met = rows.select("doc_id", "n", "fp_1", "fp_2", "near", *(F.lag(here, i).over(order).alias(f"before_{i}") for i in range(1, BESIDE + 1)))
-    met = met.select("doc_id", "n", "fp_1", "fp_2", "near", F.explode(F.array(*(f"before_{i}" for i in range(1, BESIDE + 1)))).alias("o")).where("o is not null")
+    own = ["doc_id", "label", "n", "fp_1", "fp_2", "near"]
+    here = F.struct(*own)
+    met = rows.select(*own, *(F.lag(here, i).over(order).alias(f"before_{i}") for i in range(1, BESIDE + 1)))
+    met = met.select(*own, F.explode(F.array(*(f"before_{i}" for i in range(1, BESIDE + 1)))).alias("o")).where("o is not null and label <> o.label")
     at = lambda c, i: F.shiftright(F.col(c), 8 * i).bitwiseAND(F.lit(255))
     near = reduce(lambda x, y: x & y, (F.abs(at("near", i) - at("o.near", i)) <= radius for i in range(WIDE_PIVOTS)))
     distance = sum(F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.col(f"o.fp_{i}"))) for i in (1, 2))
@@ -230,8 +231,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide SimHash fingerprints; wide_candidates finds close ones; every link is verified on the whole sets, so nothing
     below the similarity is linked. Of links at exactly that similarity the share `recall` is expected to be found
     directly (more of closer ones, and more through other links): the number of tables follows from it and from the
-    number of rows. Each row's FIRST closest candidates are verified first; of the others those that still lie in
-    different components, so each candidate is settled.
+    number of rows. A quarter of the tables gives each row's FIRST closest candidates, which are verified and make
+    components; then all tables give all candidates of different components, so each candidate is settled, and a large
+    group of near copies costs links in proportion to its rows.
 
     Equal sets are one class, as are null and wordless texts. Ids must be unique and not null. Texts are read whole,
     however long. An empty table gives no rows; other columns are not read."""
@@ -244,19 +246,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = materialise(sketches(rows, shingle_words, tables), "sketches")
     ids = each.select("doc_id", "digest")
     classes = materialise(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sketch-classes")
-    firsts = each.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pairs = materialise(wide_candidates(firsts, count, similarity, radius), "near-candidates")
+    firsts = materialise(each.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "sketch-firsts")
+    pairs = wide_candidates(firsts.withColumn("label", F.col("doc_id")), count, similarity, radius, math.ceil(tables / 4))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     closest = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= FIRST)
     closest = materialise(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
     links = similar_pairs(rows, closest, shingle_words, similarity)
-    labels = materialise(components(links), "near-labels")
-    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    left = pairs.join(closest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    left = materialise(left.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "near-left")
+    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    labelled = firsts.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    left = materialise(wide_candidates(labelled, count, similarity, radius, tables).select("a", "b"), "near-left")
     links = links.unionByName(similar_pairs(rows, left, shingle_words, similarity))
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return ids.join(named, "digest").select("doc_id", "component_id")
+    found = materialise(ids.join(named, "digest").select("doc_id", "component_id"), "near-components")
+    for table in (each, classes, firsts, closest, left):
+        discard(table)
+    return found
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
