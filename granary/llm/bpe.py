@@ -96,13 +96,6 @@ class ByteBpe:
         self.alone = np.zeros(max(self.ranks.values()) + 1, bool)
         self.alone[parts[parts > np.concatenate([rank, rank])]] = True
 
-    def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern, "table": self.table, "cache": {}}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -218,9 +211,14 @@ class ByteBpe:
         return out
 
 
+def _shared(spark: SparkSession, ranks: str, pattern: str):
+    own = ByteBpe.load(ranks, pattern)
+    return shared_value(spark, lambda *p: ByteBpe(p[0], p[1], PairTable(p[2], p[3])), own.ranks, pattern, own.table.keys, own.table.ranks)
+
+
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): each row's whole text by the ranks file at that path; no ids for null or empty."""
-    shared = shared_value(docs.sparkSession, ByteBpe.load(ranks, pattern))
+    shared = _shared(docs.sparkSession, ranks, pattern)
 
     def make():
         own = shared()
@@ -239,7 +237,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded binary): the bytes of each row's ids; null ids give no bytes. An unknown id is an error."""
-    shared = shared_value(encoded.sparkSession, ByteBpe.load(ranks, pattern))
+    shared = _shared(encoded.sparkSession, ranks, pattern)
 
     def make():
         own = shared()
@@ -258,7 +256,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each row's whole text and decodes the ids, in one pass.
 
     Null counts as empty: no ids, no bytes. Repeated rows and null ids give a row each, an empty table none."""
-    shared = shared_value(docs.sparkSession, ByteBpe.load(ranks, pattern))
+    shared = _shared(docs.sparkSession, ranks, pattern)
 
     def make():
         own, sha = shared(), hashlib.sha256

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import pickle
 import tempfile
 import threading
 import uuid
@@ -14,7 +13,6 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,11 +79,11 @@ def if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def shared_value(spark: SparkSession, value) -> Callable:
-    """Broadcasts a Python value; calling the result in a worker gives it. Classes go along by value, so executors
-    need no copy of this package."""
-    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(box.value)
+def shared_value(spark: SparkSession, make: Callable, *parts) -> Callable:
+    """Broadcasts plain parts (arrays, dicts, lists); calling the result in a worker gives make(*parts). Only make goes
+    along by value, so executors need no copy of this package, and a worker holds the parts once."""
+    box = spark.sparkContext.broadcast(parts)
+    return lambda: make(*box.value)
 
 
 def discard(df: DataFrame) -> None:

@@ -175,7 +175,7 @@ def predict_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_i
     code lengths are read as log likelihoods. und, 0 and null for a null text, one without a letter, or trees that
     learned no language. Very long texts are scored in chunks that carry their contexts along. Repeated rows and null
     ids give a row each, an empty table none; other columns are not read."""
-    model = shared_value(docs.sparkSession, trees)
+    model = shared_value(docs.sparkSession, ContextTrees, trees.langs, trees.second, trees.third, trees.cost, trees.typical)
 
     def make():
         own = model()
@@ -204,7 +204,7 @@ def known_language(docs: DataFrame, trees: ContextTrees, text_col: str = "text",
     language, plus `allowance` bits for what any document may hold beside prose: an address, a number, a key of some
     40 bytes. So a foreign text or junk is told from about 100 bytes on; shorter ones stay. Null texts and texts
     without a letter go. Where the trees have learned no language every text goes."""
-    model = shared_value(docs.sparkSession, trees)
+    model = shared_value(docs.sparkSession, ContextTrees, trees.langs, trees.second, trees.third, trees.cost, trees.typical)
     place = docs.columns.index(text_col)
 
     def make():

@@ -127,7 +127,7 @@ def score_toxicity(docs: DataFrame, model: WordModel, id_col: str = "doc_id", te
 
     Null and empty texts get the score of no words. Repeated rows and null ids give a row each, an empty table none;
     other columns are not read."""
-    shared = shared_value(docs.sparkSession, model)
+    shared = shared_value(docs.sparkSession, WordModel, model.weights, model.bias)
 
     def make():
         own = shared()
