@@ -9,6 +9,7 @@ from granary.operators import blocks as B
 from granary.operators import bm25, fusion, sections
 from granary.plans.ingest import blocks as line_blocks
 from granary.plans.registry import query
+from granary.plans.retrieval import BM25_TOP, SCORED
 from granary.sources import files, parsing
 
 
@@ -22,7 +23,20 @@ def html_to_markdown(t):
     return parsing.html_to_markdown(t.pages)
 
 
-@query("text_blocks")
+MARKED = "select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 7 = 0 then '# ' else '' end || x || case when (i - 1) % 5 = 4 then chr(10) else '' end), chr(10)) as body from documents"
+
+
+@query(
+    "text_blocks",
+    rf"""with m as ({MARKED}), l as (select doc_id, regexp_replace(unnest(string_split(body, chr(10))), '^\s+|\s+$', '', 'g') as line, unnest(range(0, len(string_split(body, chr(10))))) as pos from m),
+h as (select *, line <> '' and (starts_with(line, '#') or (length(line) <= 80 and regexp_matches(line, '^\d+(\.\d+)*[、.．\s]+'))) as heading from l),
+e as (select *, line = '' or heading as ends from h),
+b as (select *, ends or coalesce(lag(ends) over (partition by doc_id order by pos), true) as begins from e),
+i as (select *, sum(case when begins then 1 else 0 end) over (partition by doc_id order by pos) as island from b),
+g as (select doc_id, min(pos) as first_at, bool_or(heading) as title, string_agg(line, chr(10) order by pos) as joined from i where line <> '' group by doc_id, island),
+x as (select doc_id, first_at, title, case when title then regexp_replace(regexp_replace(joined, '^#+', ''), '^\s+|\s+$', '', 'g') else joined end as text from g)
+select doc_id, row_number() over (partition by doc_id order by first_at) - 1 as block_index, case when title then 'title' else 'text' end as block_type, text from x where text <> ''""".replace("\\\\", "\\"),
+)
 def text_blocks(t):
     """Documents with a heading mark on every seventh line and a blank line after every fifth."""
     line = lambda x, i: F.concat(F.when(i % 7 == 0, "# ").otherwise(""), x, F.when(i % 5 == 4, "\n").otherwise(""))
@@ -78,13 +92,18 @@ def split_large_tables(t):
     return sections.split_large_tables(B.merge_cross_page_tables(table_blocks(t)))
 
 
-@query("retry_bad_queries")
+@query(
+    "retry_bad_queries",
+    rf"""with {SCORED}, ranked as (select query_id, chunk_id, score, {BM25_TOP} as rank from scored where score > 0),
+first as (select query_id, max(score) < 100 or sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) < 100 as bad from ranked join documents on doc_id = chunk_id where rank <= 5 group by 1)
+select query_id, rank, chunk_id, round(score, 6) as score from ranked join first using (query_id) where rank <= case when bad then 10 else 5 end""".replace("\\\\", "\\"),
+)
 def retry_bad_queries(t):
     """Lexical search; queries judged bad by a high threshold run again, rewritten and with ten hits, and replace."""
     index = bm25.build_index(t.documents, "doc_id")
     asked = t.benchmark.selectExpr("item_id as query_id", "text")
     text = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_path"), "text")
-    run = lambda q, k: bm25.top_k(bm25.score(index, q), k).join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
+    run = lambda q, k: bm25.top_k(bm25.score(index, q), k, F.desc(F.round("score", 9))).join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
     first = run(asked, 5)
     bad = fusion.retrieval_quality(asked, first, min_top1=100.0).where("quality = 'bad'").select("query_id")
     again = run(asked.join(bad, "query_id").select("query_id", rewrite(F.col("text"))["rewritten"].alias("text")), 10)
