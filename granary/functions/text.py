@@ -163,11 +163,12 @@ def llm_json(c: Column) -> Column:
 
 
 #: Fixed unit words, in the order they are looked for.
-UNITS = [("千元", ["千元"]), ("百万元", ["百万元"]), ("元", ["元"])]
+UNITS = [("千元", ["（千元）", "(千元)", "单位：千元"]), ("百万元", ["人民币百万元", "单位：百万元", "（百万元）", "(百万元)"]), ("元", ["单位：元", "（元）", "(元)"])]
+NO_UNIT = "以报告披露单位为准"
 
 
 def detect_unit(c: Column) -> Column:
-    found = F.lit("as reported")
+    found = F.lit(NO_UNIT)
     for unit, words in reversed(UNITS):
         found = F.when(contains_any(c, words), unit).otherwise(found)
     return found

@@ -24,9 +24,12 @@ def page_ranges(t):
     return t.documents.select("doc_id", pages.alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), T.page_range(F.col("p")).alias("page_range")).where("page_range like '%-%'")
 
 
-@query("normalize_path", "select doc_id, source || '/sub/' || cast(doc_id as string) || '.txt' as path from documents")
+INPUTS["raw_paths"] = "select doc_id, case doc_id % 4 when 0 then ' docs/' when 1 then '//' when 2 then 'docs/docs/' else '' end || replace(source, 'c', '//') || '/' || split_part(text, ' ', 1) || '/' || cast(doc_id as string) || '.txt//' as path from documents"
+
+
+@query("normalize_path", r"with p as (select doc_id, regexp_replace(regexp_replace(path, '^\s+|\s+$', '', 'g'), '/+', '/', 'g') as path from raw_paths) select doc_id, regexp_replace(case when starts_with(path, 'docs/') then substr(path, 6) else path end, '^/+|/+$', '', 'g') as path from p".replace("\\\\", "\\"))
 def normalize_path(t):
-    return t.documents.select("doc_id", T.normalize_path(F.concat(F.lit(" docs\\\\"), F.col("source"), F.lit("//sub/"), F.col("doc_id").cast("string"), F.lit(".txt/"))).alias("path"))
+    return t.raw_paths.select("doc_id", T.normalize_path(F.col("path")).alias("path"))
 
 
 WORDS = r"regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')"
@@ -43,10 +46,15 @@ def markdown_table(t):
     return rows.select("doc_id", F.array_join(T.table_header(cells), "|").alias("header"), F.size(cells).alias("n_rows"), T.column_count(text).alias("n_columns"))
 
 
-@query("detect_unit", "select doc_id, case doc_id % 4 when 0 then '千元' when 1 then '百万元' when 2 then '元' else 'as reported' end as unit, cast(n_chars as decimal(38,6)) / 2 as amount from documents")
+INPUTS["with_units"] = "select doc_id, n_chars, case doc_id % 7 when 0 then text || ' 单位：千元' when 1 then '（百万元）' || text when 2 then text || '(元)' || text when 3 then text || '人民币百万元（元）' when 4 then text || ' 百万元' when 5 then '（元）（千元）' || text else text end as body from documents"
+
+
+@query(
+    "detect_unit",
+    "select doc_id, case when contains(body, '（千元）') or contains(body, '(千元)') or contains(body, '单位：千元') then '千元' when contains(body, '人民币百万元') or contains(body, '单位：百万元') or contains(body, '（百万元）') or contains(body, '(百万元)') then '百万元' when contains(body, '单位：元') or contains(body, '（元）') or contains(body, '(元)') then '元' else '以报告披露单位为准' end as unit, cast(n_chars as decimal(38,6)) / 2 as amount from with_units",
+)
 def detect_unit(t):
-    text = F.expr("case doc_id % 4 when 0 then '单位：千元' when 1 then '百万元 元' when 2 then '（元）' else text end")
-    return t.documents.select("doc_id", T.detect_unit(text).alias("unit"), T.to_decimal(F.concat(F.lit(" "), F.format_number(F.col("n_chars") / 2, 1))).alias("amount"))
+    return t.with_units.select("doc_id", T.detect_unit(F.col("body")).alias("unit"), T.to_decimal(F.concat(F.lit(" "), F.format_number(F.col("n_chars") / 2, 1))).alias("amount"))
 
 
 @query("report_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b, 'Order_ ' || cast(o_orderkey as string) || '_' || o_orderpriority as title from orders")
@@ -148,10 +156,13 @@ def decompose_query_text(t):
     return t.compound.select("conv_id", "turn", F.size(parts).alias("n"), F.md5(F.get(parts, F.lit(0))).alias("first_md5"), F.md5(F.get(parts, F.lit(1))).alias("second_md5"))
 
 
-@query("extract_llm_json", "select doc_id, n_chars from documents")
+@query("extract_llm_json", "select doc_id, n_chars, md5(text) as text_md5 from documents")
 def extract_llm_json(t):
-    answer = F.concat(F.lit("Sure:\n```json\n{\"n\": "), F.col("n_chars").cast("string"), F.lit(", \"x\": {}}\n``` done"))
-    return t.documents.select("doc_id", F.from_json(T.llm_json(answer), "n long")["n"].alias("n_chars"))
+    """Whole texts inside a model's fenced answer, with braces before and after."""
+    payload = F.to_json(F.struct(F.col("n_chars").alias("n"), F.col("text").alias("t"), F.struct(F.lit(1).alias("y")).alias("x")))
+    answer = F.concat(F.lit("Sure, "), F.length("text").cast("string"), F.lit(" characters:\n```json\nAnswer: "), payload, F.lit(" ok\n``` done"))
+    got = F.from_json(T.llm_json(answer), "n long, t string")
+    return t.documents.select("doc_id", got["n"].alias("n_chars"), F.md5(got["t"]).alias("text_md5"))
 
 
 @query("dedupe_query_batch", r"with k as (select conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as q from conversations) select conv_id, turn, md5(q) as norm_md5, count(*) over (partition by q) as asked, conv_id * 100 + turn = min(conv_id * 100 + turn) over (partition by q) as runs from k")
@@ -252,3 +263,22 @@ def export_eval_bundle(t):
     n = F.col("item_id")
     rows = t.benchmark.select(F.concat(F.lit("q"), n.cast("string")).alias("id"), F.col("text").alias("question"), F.array(e(F.concat(F.lit("e"), (n % 10).cast("string")), F.col("text")), e(F.concat(F.lit("own"), n.cast("string")), F.col("text"))).alias("positive_contexts"))
     return goldens.bundle_counts(*goldens.eval_bundle(rows))
+
+
+BUNDLED = "select 'q' || cast(item_id as string) as query_id, 'e' || cast(item_id % 10 as string) as evidence_id, text from benchmark union all select 'q' || cast(item_id as string), 'own' || cast(item_id as string), text from benchmark"
+
+
+def bundle(t):
+    e = lambda name, v: F.struct(name.alias("evidence_id"), v.alias("evidence_text"))
+    n = F.col("item_id")
+    return goldens.eval_bundle(t.benchmark.select(F.concat(F.lit("q"), n.cast("string")).alias("id"), F.col("text").alias("question"), F.array(e(F.concat(F.lit("e"), (n % 10).cast("string")), F.col("text")), e(F.concat(F.lit("own"), n.cast("string")), F.col("text"))).alias("positive_contexts")))
+
+
+@query("eval_bundle_qrels", f"select query_id, evidence_id from ({BUNDLED})")
+def eval_bundle_qrels(t):
+    return bundle(t)[1]
+
+
+@query("eval_bundle_evidence", f"select evidence_id, md5(min_by(text, query_id)) as text_md5 from ({BUNDLED}) group by 1")
+def eval_bundle_evidence(t):
+    return bundle(t)[2].select("evidence_id", F.md5("evidence_text").alias("text_md5"))
