@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from granary.llm import substring
 from granary.llm.substring import duplicate_spans, factors, op6_substring_rlz
 
 SCHEMA = "doc_id long, text string, spans string"
@@ -38,6 +39,15 @@ def test_query_equals_brute_force(spark):
     assert any(g for _, _, g, _ in want)
 
 
+def test_removal_comes_from_factors(spark, monkeypatch):
+    """Nothing but the parse's factors decides: without them nothing goes, and a longer factor takes more words."""
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (2, "x " + text + " y")], "doc_id long, text string")
+    assert rows_of(duplicate_spans(df))[1][2] == 30
+    monkeypatch.setattr(substring, "factors", lambda found, window: [])
+    assert [r[2] for r in rows_of(duplicate_spans(df))] == [0, 0]
+
+
 def test_random_texts_and_odd_rows(spark):
     rng = random.Random(4)
     rows = []
