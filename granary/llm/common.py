@@ -7,7 +7,6 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -133,10 +132,11 @@ def spans_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-@cache
-def multipliers(n: int, seed: int) -> np.ndarray:
-    """Odd 64-bit numbers."""
-    return np.array([xxhash.xxh64_intdigest(f"{seed} {i}".encode(), seed) | 1 for i in range(n)], np.uint64)
+def multipliers(n: int, seed: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    """Odd 64-bit numbers. What has been made is kept in a plain dict, which goes to workers by value."""
+    if (n, seed) not in known:
+        known[n, seed] = np.array([xxhash.xxh64_intdigest(f"{seed} {i}".encode(), seed) | 1 for i in range(n)], np.uint64)
+    return known[n, seed]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
