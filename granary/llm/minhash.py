@@ -212,8 +212,8 @@ with recursive words as (select doc_id, string_split_regex(body, '[\x20\x09-\x0D
   select doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as body from documents) where body <> ''),
 shingles as (select distinct doc_id, md5(array_to_string(w[i:i + 2], ' ')) as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
-met as (select a.doc_id as a, b.doc_id as b, count(*) as both from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
-links as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
 way as (select a, b from links union all select b, a from links),
 reach as (select a as doc_id, b as other from way union select doc_id, b from reach join way on a = other),
 least as (select doc_id, min(other) as other from reach group by doc_id)
