@@ -8,13 +8,15 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.operators import rollups as R
+from granary.operators.memory import RECENT, TRIGGER
 from granary.plans.ingest import SUMS
 from granary.plans.registry import query
 from granary.sources import files, parsing
-from granary.streaming import jobs
+from granary.streaming import jobs, stateful
 
 
 @query("read_corpus", "select '.txt' as file_type, source, count(*) as docs from documents group by 2")
@@ -94,22 +96,56 @@ def run_through(t, name, rows, write):
     return path
 
 
-@query("stream_query_dedupe")
+REQUESTS = "select event_id as request_id, concat_ws('|', cast(user_id as string), event_type) as cache_key, ts from events"
+SERVED_SQL = f"""with recursive asked as (select *, row_number() over (partition by cache_key order by ts, request_id) as k from ({REQUESTS})),
+chain as (
+  select cache_key, k, request_id, ts, request_id as source_request, ts as stored_at from asked where k = 1
+  union all
+  select a.cache_key, a.k, a.request_id, a.ts, case when a.ts >= c.stored_at + interval 6 hour then a.request_id else c.source_request end, case when a.ts >= c.stored_at + interval 6 hour then a.ts else c.stored_at end
+  from chain c join asked a on a.cache_key = c.cache_key and a.k = c.k + 1)"""
+
+
+@query("stream_query_dedupe", f"{SERVED_SQL} select request_id, cache_key, case when request_id = source_request then 'computed' else 'served' end as status, source_request, cast(epoch_us(stored_at) as bigint) as stored_us from chain")
 def stream_query_dedupe(t):
-    """Events as queries whose key is user and type; one availableNow run."""
-    rows = t.events.select(F.concat_ws("|", "user_id", "event_type").alias("cache_key"), F.col("ts").cast("timestamp").alias("ts"))
-    write = lambda s, path: jobs.stream_query_dedupe(s).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    return t.spark.read.schema(rows.schema).parquet(f"{run_through(t, 'stream-dedupe', rows, write)}/out")
+    """Events as requests whose key is user and type; one availableNow run. Every request has a row."""
+    rows = t.sql(REQUESTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    write = lambda s, path: stateful.stream_query_dedupe(s).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    path = run_through(t, "stream-dedupe", rows, write)
+    out = t.spark.read.schema("request_id long, cache_key string, ts timestamp, status string, source_request long, stored_at timestamp").parquet(f"{path}/out")
+    return out.select("request_id", "cache_key", "status", "source_request", F.unix_micros("stored_at").alias("stored_us"))
+
+
+@query("stream_served_results", f"{SERVED_SQL} select c.request_id, status, source_request, order_id, total from (select *, case when request_id = source_request then 'computed' else 'served' end as status, cast(split_part(cache_key, '|', 1) as bigint) as user_id from chain) c left join (select o_custkey as user_id, o_orderkey as order_id, round(o_totalprice, 2) as total from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3) using (user_id)")
+def stream_served_results(t):
+    """The same requests, answered: a user's three largest orders, computed once in six hours for a key."""
 
+    def largest(requests):
+        asked = requests.withColumn("o_custkey", F.split_part("cache_key", F.lit("|"), F.lit(1)).cast("long"))
+        found = t.orders.join(asked.select("o_custkey").distinct(), "o_custkey", "left_semi")
+        place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+        top = found.withColumn("place", place).where("place <= 3").select("o_custkey", F.col("o_orderkey").alias("order_id"), F.round("o_totalprice", 2).alias("total"))
+        return asked.join(top, "o_custkey").select("request_id", "order_id", "total")
 
-@query("stream_session_memory")
+    rows = t.sql(REQUESTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    served = lambda path: stateful.ServedResults(t.spark, f"{path}/served", largest)
+    write = lambda s, path: stateful.stream_query_dedupe(s).writeStream.foreachBatch(served(path).take).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    return served(run_through(t, "stream-served", rows, write)).answers().select("request_id", "status", "source_request", "order_id", "total")
+
+
+@query(
+    "stream_session_memory",
+    f"with b as (select *, row_number() over (partition by session_id order by message_id desc) as back from messages) select session_id, count(*) as message_count, count(case when back > {RECENT} then 1 end) as evicted_message_count, "
+    f"case when count(*) > {TRIGGER} then max(case when back > {RECENT} then message_id end) end as covered_until_message_id, coalesce(string_agg(case when back > {RECENT} and n > {TRIGGER} then cast(message_id as string) end, ',' order by message_id), '') as compressed_ids, "
+    f"string_agg(case when back <= {RECENT} then cast(message_id as string) end, ',' order by message_id) as recent_ids from (select *, count(*) over (partition by session_id) as n from b) group by 1",
+)
 def stream_session_memory(t):
-    """Messages of all sessions; the last state of each."""
-    rows = t.messages.select("session_id", "message_id")
-    save = lambda path: lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{path}/out")
-    write = lambda s, path: jobs.stream_session_memory(s, expire_days=None).writeStream.outputMode("update").foreachBatch(save(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    out = t.spark.read.schema(jobs.SESSION + ", batch int").parquet(f"{run_through(t, 'stream-memory', rows, write)}/out")
-    return out.groupBy("session_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("message_count", "last_ids", "evicted_count", "covered_until_message_id", "should_compress")))
+    """Messages of all sessions, as one availableNow run; the last state of each and all ids that were compressed."""
+    rows = t.messages.select("session_id", "message_id", F.timestamp_seconds(F.col("message_id") + 1_700_000_000).alias("ts"))
+    write = lambda s, path: stateful.stream_session_memory(s).writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    out = t.spark.read.schema(f"{stateful.MEMORY}, batch int").parquet(f"{run_through(t, 'stream-memory', rows, write)}/out").where("action <> 'expire'")
+    last = [F.max_by(c, "batch").alias(c) for c in ("message_count", "evicted_message_count", "covered_until_message_id", "recent_ids")]
+    got = out.groupBy("session_id").agg(*last, F.array_sort(F.flatten(F.collect_list("new_message_ids"))).alias("compressed_ids"))
+    return got.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("recent_ids", "compressed_ids")})
 
 
 @query("stream_ingest", r"with l as (select distinct doc_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from documents), k as (select distinct doc_id, pos, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_.:/+\-]*')) as token from l) select token, count(*) as df from k group by 1")

@@ -1,12 +1,10 @@
-"""Structured Streaming versions: query dedup, session memory, ingestion of changed documents."""
+"""Ingestion of changed documents as a stream of batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
-from typing import Any
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,45 +13,8 @@ from granary.functions.tables import written
 from granary.operators import blocks as B
 from granary.operators import bm25
 from granary.operators import sections as S
-from granary.operators.memory import RECENT, TRIGGER
 from granary.operators.sync import diff_documents
 
-SESSION = "session_id long, message_count long, last_ids string, evicted_count long, covered_until_message_id long, should_compress boolean"
-STATE = "count long, last_ids string, covered long"
-
-
-def stream_query_dedupe(queries: DataFrame, key: str = "cache_key", ts: str = "ts", keep: str = "6 hours") -> DataFrame:
-    """Of queries with one key, the first stays; repeats within `keep` are dropped. Expiry counts from the row that
-    was kept, and happens between micro-batches; rows later than the watermark are dropped."""
-    return queries.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
-
-
-def stream_session_memory(messages: DataFrame, recent: int = RECENT, trigger: int = TRIGGER, expire_days: int | None = 7) -> DataFrame:
-    """Per session, the number of messages, the ids of the last `recent` and the largest id before them, up to which a
-    summary may cover; each batch emits the sessions it touched.
-
-    State is two numbers and a bounded list a session, whatever the history; it goes after expire_days without messages.
-    A run that is to end with its input (availableNow) takes None, as a timeout keeps it waiting."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, last, covered = state.get if state.exists else (0, "", -1)
-        ids = [int(x) for x in last.split(",") if x]
-        for batch in batches:
-            count += len(batch)
-            ids = sorted(ids + batch["message_id"].tolist())
-            covered, ids = max([covered, *ids[:-recent]]), ids[-recent:]
-        state.update((count, ",".join(map(str, ids)), covered))
-        if expire_days is not None:
-            state.setTimeoutDuration(expire_days * 24 * 3600 * 1000)
-        evicted = max(0, count - recent)
-        yield pd.DataFrame({"session_id": [key[0]], "message_count": [count], "last_ids": [",".join(map(str, ids))], "evicted_count": [evicted], "covered_until_message_id": pd.array([covered if covered >= 0 else None], "Int64"), "should_compress": [count > trigger and evicted > 0]})
-
-    return messages.select("session_id", "message_id").groupBy("session_id").applyInPandasWithState(step, SESSION, STATE, "update", "NoTimeout" if expire_days is None else "ProcessingTimeTimeout")
-
-
 def line_chunks(documents: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, source_path, text): a document's lines."""
     rows = documents.select("doc_id", "source_path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))

@@ -5,10 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import bm25, memory
-from granary.plans.registry import Tables
+from granary.operators import bm25
 from granary.sources import files
-from granary.streaming.jobs import IngestStore, parsed_chunks, stream_ingest, stream_query_dedupe, stream_session_memory
+from granary.streaming.jobs import IngestStore, parsed_chunks, stream_ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,36 +41,6 @@ def test_audit_round_trip(spark):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
 
 
-def test_query_dedupe(spark, tmp_path):
-    schema = "cache_key string, ts timestamp"
-    source, out = tmp_path / "in", []
-    source.mkdir()
-    stream = stream_query_dedupe(spark.readStream.schema(schema).json(str(source)))
-    query = stream.writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.select("cache_key", F.hour("ts")).collect()))).option("checkpointLocation", f"{tmp_path}/cp").start()
-    for i, rows in enumerate([[("a", 0), ("a", 0), ("b", 1)], [("a", 5)], [("c", 20)], [("a", 21)]]):
-        (source / f".{i}.tmp").write_text("\n".join(json.dumps({"cache_key": k, "ts": f"2024-01-01T{h:02d}:00:00"}) for k, h in rows))
-        (source / f".{i}.tmp").rename(source / f"{i}.json")
-        query.processAllAvailable()
-    query.stop()
-    assert sorted(out) == [("a", 0), ("a", 21), ("b", 1), ("c", 20)]
-
-
-def test_session_memory_equals_batch(spark, tmp_path):
-    messages = Tables(spark, SF).messages
-    messages.select("session_id", "message_id").repartition(3).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("session_id long, message_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    last = {}
-    query = stream_session_memory(stream, expire_days=None).writeStream.outputMode("update").foreachBatch(lambda df, _: last.update({r.session_id: tuple(r) for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    empty = spark.createDataFrame([], "session_id long, covered_until_message_id long, covered_message_count long")
-    plan = {r.session_id: r for r in memory.compression_plan(messages, empty).collect()}
-    assert {k: (v[1], v[3], v[5]) for k, v in last.items()} == {k: (r.message_count, r.evicted_message_count, r.should_compress) for k, r in plan.items()}
-    ids = {}
-    for r in messages.select("session_id", "message_id").collect():
-        ids.setdefault(r.session_id, []).append(r.message_id)
-    assert {k: v[4] for k, v in last.items()} == {k: max(sorted(v)[: -memory.RECENT], default=None) for k, v in ids.items()}
-
-
 INGEST = "source_path string, doc_id string, text string, deleted boolean"
 
 
