@@ -13,10 +13,12 @@ from granary.functions.text import bm25_tokens
 
 @dataclass
 class Bm25Index:
-    """postings(token, chunk_id, tf), lengths(chunk_id, token_len), frequencies(token, df), totals(n, sum_len): one row."""
+    """postings(token, chunk_id, tf), lengths(chunk_id, token_len), frequencies(token, df), totals(n, sum_len): one row.
+
+    lengths is None where postings have token_len themselves."""
 
     postings: DataFrame
-    lengths: DataFrame
+    lengths: DataFrame | None
     frequencies: DataFrame
     totals: DataFrame
 
@@ -36,19 +38,29 @@ def vocabulary(index: Bm25Index) -> DataFrame:
     return numbered(index.frequencies, "token", "token_id").select("token", "token_id", "df")
 
 
+def asked_tokens(queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, token, qtf)"""
+    return queries.select(F.col(query_col).alias("query_id"), F.explode(bm25_tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
 def score(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, chunk_id, score) of all pairs that share a token: sum of qtf * idf * tf * (k1 + 1) / (tf + norm).
+    """(query_id, chunk_id, score) of all pairs that share a token: sum of qtf * idf * tf * (k1 + 1) / (tf + norm)."""
+    return score_asked(index, asked_tokens(queries, query_col, text_col), k1, b)
+
+
+def score_asked(index: Bm25Index, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Scores of queries' tokens (query_id, token, qtf).
 
     Query tokens get their idf first and are written: where they are few they are broadcast, so that postings are
-    filtered where they are read, and only what meets a query is joined with lengths."""
-    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(bm25_tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    filtered where they are read, and only what meets a query is joined with lengths, unless postings carry them."""
     n, mean = F.col("n"), F.col("sum_len") / F.col("n")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.join(index.frequencies, "token").crossJoin(F.broadcast(index.totals)).select("query_id", "token", (F.col("qtf") * idf).alias("weight"), mean.alias("mean"))
+    asked = asked.join(index.frequencies.select("token", "df"), "token").crossJoin(F.broadcast(index.totals)).select("query_id", "token", (F.col("qtf") * idf).alias("weight"), mean.alias("mean"))
     asked = if_small(written(asked, "bm25-asked"))
     norm = k1 * (1 - b + b * F.col("token_len") / F.col("mean"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    met = index.postings.join(asked, "token").join(index.lengths, "chunk_id")
+    met = index.postings.join(asked, "token")
+    met = met if index.lengths is None else met.join(index.lengths, "chunk_id")
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 

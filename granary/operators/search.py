@@ -11,20 +11,20 @@ from granary.functions.tables import written
 from granary.operators import bm25, dense, fusion
 
 
-def candidate_lists(queries: DataFrame, index: bm25.Bm25Index, vectors: DataFrame, candidate_k: int = 20) -> dict[str, DataFrame]:
+def candidate_lists(queries: DataFrame, scored: DataFrame, vectors: DataFrame, candidate_k: int = 20) -> dict[str, DataFrame]:
     """(query_id, chunk_id, score, rank) by strategy: bm25, dense, and their reciprocal rank fusion. Queries have a text
-    and an embedding each; both lists are computed and written once."""
-    lexical = written(bm25.top_k(bm25.score(index, queries), candidate_k, F.desc(F.round("score", 9))), "bm25-list")
+    and an embedding each, scored has their lexical scores; both lists are computed and written once."""
+    lexical = written(bm25.top_k(scored, candidate_k, F.desc(F.round("score", 9))), "bm25-list")
     near = written(dense.dense_topk(queries, vectors, candidate_k), "dense-list")
     return {"bm25": lexical, "dense": near, "hybrid": fusion.rrf_fuse([lexical, near], candidate_k)}
 
 
-def hybrid_search(queries: DataFrame, index: bm25.Bm25Index, vectors: DataFrame, chunks: DataFrame, candidate_k: int = 20, final_k: int = 10) -> DataFrame:
+def hybrid_search(queries: DataFrame, scored: DataFrame, vectors: DataFrame, chunks: DataFrame, candidate_k: int = 20, final_k: int = 10) -> DataFrame:
     """(strategy, query_id, rank, chunk_id, text, score, auto_merged, retrieval_mode): of each strategy's candidates,
     leaves of a parent merged and tables completed, the first final_k.
 
     Chunk rows are read for what was found only; strategies go through the context steps side by side."""
-    lists = candidate_lists(queries, index, vectors, candidate_k)
+    lists = candidate_lists(queries, scored, vectors, candidate_k)
     one = lambda name, df: df.select(F.to_json(F.struct(F.lit(name).alias("s"), F.col("query_id").cast("string").alias("q"))).alias("query_id"), "rank", "chunk_id", "score")
     found = reduce(DataFrame.unionByName, (one(name, df) for name, df in lists.items()))
     hits = written(found.join(chunks.drop("score"), "chunk_id"), "search-hits")

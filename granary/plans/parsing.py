@@ -9,7 +9,7 @@ from granary.operators import blocks as B
 from granary.operators import bm25, fusion, sections
 from granary.plans.ingest import blocks as line_blocks
 from granary.plans.registry import query
-from granary.plans.retrieval import BM25_TOP, SCORED
+from granary.plans.retrieval import BM25_TOP, SCORED, store_of
 from granary.sources import files, parsing
 
 
@@ -100,10 +100,10 @@ select query_id, rank, chunk_id, round(score, 6) as score from ranked join first
 )
 def retry_bad_queries(t):
     """Lexical search; queries judged bad by a high threshold run again, rewritten and with ten hits, and replace."""
-    index = bm25.build_index(t.documents, "doc_id")
+    store = store_of(t)
     asked = t.benchmark.selectExpr("item_id as query_id", "text")
     text = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_path"), "text")
-    run = lambda q, k: bm25.top_k(bm25.score(index, q), k, F.desc(F.round("score", 9))).join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
+    run = lambda q, k: bm25.top_k(store.score(q), k, F.desc(F.round("score", 9))).join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
     first = run(asked, 5)
     bad = fusion.retrieval_quality(asked, first, min_top1=100.0).where("quality = 'bad'").select("query_id")
     again = run(asked.join(bad, "query_id").select("query_id", rewrite(F.col("text"))["rewritten"].alias("text")), 10)

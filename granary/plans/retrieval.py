@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.tables import numbered, work_dir
 from granary.operators import bm25, dense, fusion, search
+from granary.operators.bm25_store import Bm25Store
 from granary.plans.registry import INPUTS, query
 
 INPUTS["chunks"] = """
@@ -46,12 +48,22 @@ scored as (
 """
 
 
-def index_of(t):
-    return bm25.build_index(t.documents, "doc_id")
+#: Path of a corpus's index by session and folder: built by the first query of a session that needs it, opened by others.
+STORES: dict[tuple[str, str], str] = {}
+
+
+def store_of(t):
+    """The stored index of the documents."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in STORES:
+        path = work_dir(t.spark, "bm25-index")
+        Bm25Store(t.spark, path, 32).apply(t.documents, id_col="doc_id")
+        STORES[key] = path
+    return Bm25Store(t.spark, STORES[key], 32)
 
 
 def scores_of(t):
-    return bm25.score(index_of(t), t.benchmark, query_col="item_id")
+    return store_of(t).score(t.benchmark, "item_id")
 
 
 @query("bm25_tokens", rf"select doc_id, array_to_string({TOKENS}, ' ') as tokens, len({TOKENS}) as n from documents")
@@ -62,9 +74,7 @@ def bm25_tokens(t):
 
 @query("bm25_index", f"with {POSTINGS} select token, row_number() over (order by token) - 1 as token_id, df, total_tf from freq join (select token, sum(tf) as total_tf from postings group by 1) using (token)")
 def bm25_index(t):
-    index = index_of(t)
-    tf = index.postings.groupBy("token").agg(F.sum("tf").alias("total_tf"))
-    return bm25.vocabulary(index).join(tf, "token")
+    return numbered(store_of(t).frequencies(), "token", "token_id").select("token", "token_id", "df", F.col("tf").alias("total_tf"))
 
 
 @query("bm25_score", f"with {SCORED} select query_id, chunk_id, round(score, 6) as score from scored where score > 0")
@@ -86,11 +96,10 @@ def bm25_topk(t):
 select token, df, n, sum_len from freq, totals""",
 )
 def bm25_apply_delta(t):
-    """A corpus of which every fifth document is replaced by a longer version: the delta equals a rebuild."""
-    before = index_of(t)
-    changed = t.documents.where("doc_id % 5 = 0")
-    removed, added = bm25.build_index(changed, "doc_id"), bm25.build_index(changed.withColumn("text", F.concat("text", F.lit(" fresh token"))), "doc_id")
-    frequencies, totals = bm25.apply_delta(before.frequencies, before.totals, removed, added)
+    """A corpus of which every fifth document is replaced by a longer version: stored counts and the change's."""
+    store, changed = store_of(t), t.documents.where("doc_id % 5 = 0")
+    _, _, rows, sums = store.change(changed.withColumn("text", F.concat("text", F.lit(" fresh token"))), id_col="doc_id")
+    frequencies, totals = bm25.summed(store.frequencies().select("token", "df").unionByName(rows.select("token", "df")), store.totals().unionByName(sums))
     return frequencies.crossJoin(F.broadcast(totals))
 
 
@@ -109,8 +118,13 @@ def dense_topk(t):
     return dense_hits(t).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-#: Queries with a text and a vector: every vector whose id is divisible by 50, with a benchmark text.
-INPUTS["searches"] = "select vec_id as query_id, text, embedding from embeddings join benchmark on vec_id = item_id * 50"
+#: Queries with a text and a vector: every vector whose id is divisible by 50 and every benchmark text, whichever are
+#: fewer used again.
+INPUTS["searches"] = """
+select case when e.place >= b.item_id then e.place else b.item_id end as query_id, text, embedding
+from (select cast(floor(vec_id / 50) as bigint) as place, embedding, (select case when v.n < i.n then v.n else i.n end from (select count(*) as n from embeddings where vec_id % 50 = 0) v, (select count(*) as n from benchmark) i) as m from embeddings where vec_id % 50 = 0) e
+join (select item_id, text, (select case when v.n < i.n then v.n else i.n end from (select count(*) as n from embeddings where vec_id % 50 = 0) v, (select count(*) as n from benchmark) i) as m from benchmark) b on e.place % e.m = b.item_id % b.m
+"""
 SEARCHED = f"""{SCORED.replace("item_id as query_id", "query_id").replace("from benchmark)", "from searches)")},
 lexical as (select query_id, chunk_id, score, {BM25_TOP} as rank from scored where score > 0 qualify rank <= 20),
 near as (select query_id, b.vec_id as chunk_id, {COSINE} as score, row_number() over (partition by query_id order by round({COSINE}, 9) desc, b.vec_id) as rank from searches a, embeddings b qualify rank <= 20),
@@ -121,7 +135,7 @@ fused as (select * from (select query_id, chunk_id, score, row_number() over (pa
 
 @query("rrf_fuse", f"with {SEARCHED} select query_id, chunk_id, round(score, 9) as score, rank from fused where rank <= 10")
 def rrf_fuse(t):
-    return search.candidate_lists(t.searches, index_of(t), vectors_of(t))["hybrid"].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return search.candidate_lists(t.searches, store_of(t).score(t.searches), vectors_of(t))["hybrid"].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 def vectors_of(t):
@@ -200,8 +214,8 @@ select split_part(query_id, ':', 1) as strategy, split_part(query_id, ':', 2) as
 def hybrid_search(t):
     """Every query by bm25, by vectors and by both, with parents and tables for context; documents are the chunks."""
     chunk = lambda df: df.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
-    index = bm25.build_index(t.documents.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "text"))
-    got = search.hybrid_search(t.searches, index, chunk(vectors_of(t)), t.chunks)
+    scored = store_of(t).score(t.searches, chunk_name=F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
+    got = search.hybrid_search(t.searches, scored, chunk(vectors_of(t)), t.chunks)
     return got.select("strategy", "query_id", F.col("rank").alias("place"), "chunk_id", F.md5("text").alias("text_md5"))
 
 
