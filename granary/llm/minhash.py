@@ -16,12 +16,14 @@ from granary.llm.common import discard, documents, gram_hashes, if_small, map_ba
 from granary.llm.components import components
 
 #: Coordinates of a signature, and the bits of each that a posting carries.
-COORDINATES, PLANES = 64, 4
+COORDINATES, PLANES = 64, 8
 #: Share of links at exactly the similarity that may fall below the match threshold.
 MISSED = 1e-6
 PLANE = [f"plane_{i}" for i in range(PLANES)]
 #: Hubs that each set is checked against before other candidates are looked for.
-FIRST = 2
+FIRST = 3
+#: Most sets that a rare shingle is in.
+RARE = 16
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
@@ -93,7 +95,8 @@ CARRIED = ["c", "n", *PLANE]
 
 
 def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(token, c, n, plane_0 ...): each set under the coordinate-value pairs of its prefix.
+    """(token, before, c, n, plane_0 ...): each set under the coordinate-value pairs of its prefix, with those that stand
+    before it there.
 
     All pairs are put in one order, rare ones first. Two sets that share at least `matches` of their pairs share one
     among the first COORDINATES - matches + 1 of either's. Pairs of a single set come first in the order and are never
@@ -103,21 +106,21 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     tokens = classes.select("c", F.explode(F.transform("signature", token)).alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "minhash-tokens")
     own = tokens.join(if_small(shared), "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("own"))
-    own = own.where(F.size("own") >= matches).select("c", F.slice("own", 1, F.size("own") - matches + 1).alias("own"))
-    return materialise(own.join(classes.select(*CARRIED), "c").select(F.explode("own.token").alias("token"), *CARRIED), "minhash-postings")
+    own = own.where(F.size("own") >= matches).select("c", F.slice("own", 1, F.size("own") - matches + 1)["token"].alias("own"))
+    each = own.join(classes.select(*CARRIED), "c").select("own", F.posexplode("own").alias("i", "token"), *CARRIED)
+    return materialise(each.select("token", F.slice("own", 1, F.col("i")).alias("before"), *CARRIED), "minhash-postings")
 
 
 def _matching(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """(a, b, met) of pairs (a, b) whose signatures agree in at least `matches` coordinates."""
+    """The pairs (a, b ...) whose signatures agree in at least `matches` coordinates, with that number as met."""
     side = lambda c: classes.select(F.col("c").alias(c), F.col("signature").alias(f"{c}_signature"))
     same = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", same.alias("met")).where(F.col("met") >= matches)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, same.alias("met")).where(F.col("met") >= matches)
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have at least that similarity."""
-    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = if_small(materialise(classes.join(ids, "c", "left_semi").select("c", "at.no_id", "at.doc_id", "at.text_key"), "minhash-wanted"))
+def _whole_sets(members: DataFrame, rows: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
+    """(c, grams): the sorted hashes of the shingles of the classes in members (c)."""
+    wanted = if_small(materialise(classes.join(members, "c", "left_semi").select("c", "at.no_id", "at.doc_id", "at.text_key"), "minhash-wanted"))
     met = rows.withColumn("no_id", F.col("doc_id").isNull()).join(wanted.withColumnRenamed("doc_id", "rep"), ["text_key", "no_id"]).where("doc_id <=> rep").select("c", "text")
 
     def make():
@@ -128,54 +131,94 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle_wo
 
         return step
 
-    sets = materialise(map_batches(met, make, "c long, grams array<long>").groupBy("c").agg(F.first("grams").alias("grams")), "minhash-sets")
+    return materialise(map_batches(met, make, "c long, grams array<long>").groupBy("c").agg(F.first("grams").alias("grams")), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have at least that similarity."""
     side = lambda c: sets.select(F.col("c").alias(c), F.col("grams").alias(f"{c}_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     either = F.size("a_grams") + F.size("b_grams") - both
-    found = materialise(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(both >= similarity * either - 1e-9).select("a", "b"), "minhash-links")
-    discard(sets)
-    return found
+    return materialise(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(both >= similarity * either - 1e-9).select("a", "b"), "minhash-links")
+
+
+def _split_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(c, common, rare): the number of a set's shingles that more than RARE sets have, and a prefix of its others.
+
+    A link's sets share similarity times the larger one at least, so beyond `common` a set of n shingles shares
+    similarity * n - common rare ones with each partner: all but so many less one are its prefix, in the order of their
+    hashes. Two sets that share none of their prefixes share no more than the smaller `common`."""
+    each = sets.select("c", F.explode("grams").alias("gram"))
+    hot = materialise(each.groupBy("gram").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE).select("gram"), "minhash-common")
+    own = each.join(if_small(hot), "gram").groupBy("c").agg(F.collect_list("gram").alias("hot"))
+    rows = sets.join(own, "c", "left").select("c", F.size("grams").alias("n"), F.coalesce(F.size("hot"), F.lit(0)).alias("common"), F.when(F.col("hot").isNull(), F.col("grams")).otherwise(F.array_except("grams", "hot")).alias("rare"))
+    shared = F.greatest(F.lit(1), (F.ceil(similarity * F.col("n") - 1e-9) - F.col("common")).cast("int"))
+    return materialise(rows.select("c", "common", F.slice("rare", 1, F.greatest(F.lit(0), F.size("rare") - shared + 1)).alias("rare")), "minhash-split")
+
+
+def _rare_pairs(split: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets that share a rare shingle of their prefixes; each is in RARE sets at most."""
+    lists = split.select("c", F.explode("rare").alias("gram")).groupBy("gram").agg(F.array_sort(F.collect_list("c")).alias("cs")).where(F.size("cs") > 1)
+    pairs = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def set_links(classes: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Links (a, b) between classes of equal sets that join exactly the classes which links of at least that similarity
     join, whatever their number: pairs that other links have joined already are left out.
 
-    First each class meets the hubs of its postings, the smallest class of each, and is checked against the FIRST most
-    similar ones; that joins most of a large group of near copies by a few links a member. Then classes of different
-    components meet in the postings that still hold several: of any two components the most similar pair is checked,
-    then every pair that is still between two. All pairs must match in match_threshold() coordinates before whole
-    sets are compared."""
+    First each class meets the hubs of its postings (the smallest class of each, and one drawn by hash) and is checked
+    against the FIRST most similar ones; that joins most of a large group of near copies by a few links a member. Then
+    classes of different components meet. A pair either shares a rare shingle, or no more than the smaller number of
+    common ones: the former come from the rare shingles' own short lists, the latter from the postings that still hold
+    several components, where too few common shingles rule a pair out. Of any two components the most similar pair is
+    checked, then every pair that is still between two. All pairs must match in match_threshold() coordinates before
+    whole sets are compared."""
     matches = match_threshold(similarity)
     postings = prefix_postings(classes, matches)
-    hubs = postings.groupBy("token").agg(F.min(F.struct(*CARRIED)).alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("token", "hub")
+    sets = _whole_sets(postings.select("c").distinct(), rows, classes, shingle_words)
+    drawn = F.min(F.struct(F.xxhash64("token", "c").alias("draw"), *CARRIED)).alias("drawn")
+    hubs = postings.groupBy("token").agg(F.min(F.struct(*CARRIED)).alias("least"), drawn, F.count("*").alias("sets")).where("sets > 1")
+    hubs = hubs.select("token", F.explode(F.array(F.struct(*(F.col(f"least.{x}").alias(x) for x in CARRIED)), F.struct(*(F.col(f"drawn.{x}").alias(x) for x in CARRIED)))).alias("hub"))
     met = postings.alias("own").join(hubs, "token").where("hub.c <> own.c").where((_may_match("own", "hub") >= matches) & _sized("own", "hub", similarity))
-    pairs = materialise(_matching(met.select(F.col("hub.c").alias("a"), F.col("own.c").alias("b")).distinct(), classes, matches), "minhash-stars")
-    best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))).where(F.col("place") <= FIRST)
-    checked = materialise(best.select("a", "b"), "minhash-checked")
-    links = _confirmed(checked, rows, classes, shingle_words, similarity)
+    stars = met.select(F.col("own.c").alias("own"), F.least("hub.c", "own.c").alias("a"), F.greatest("hub.c", "own.c").alias("b")).distinct()
+    stars = _matching(stars, classes, matches)
+    best = stars.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("met"), "a", "b"))).where(F.col("place") <= FIRST)
+    checked = materialise(best.select("a", "b").distinct(), "minhash-checked")
+    links = _confirmed(checked, sets, similarity)
     labels = materialise(components(links).select(F.col("node").alias("c"), F.col("component").alias("label")), "minhash-labels")
-    named = materialise(postings.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")), "minhash-named")
+
+    split = _split_sets(sets, similarity)
+    own = split.select("c", "common").join(labels, "c", "left").select("c", "common", F.coalesce("label", "c").alias("label"))
+    named = materialise(postings.join(own, "c"), "minhash-named")
     several = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     open_rows = materialise(named.join(several, "token", "left_semi"), "minhash-open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & (_may_match("a", "b") >= matches) & _sized("a", "b", similarity)
-    own = [F.col("a.c").alias("c_1"), F.col("b.c").alias("c_2"), F.col("a.label").alias("label_1"), F.col("b.label").alias("label_2")]
-    met = a.join(b, near).select(*own).distinct().select(F.least("c_1", "c_2").alias("a"), F.greatest("c_1", "c_2").alias("b"), "label_1", "label_2")
-    met = materialise(met.join(checked, ["a", "b"], "left_anti"), "minhash-met")
-    pairs = materialise(met.join(_matching(met.select("a", "b"), classes, matches), ["a", "b"]), "minhash-pairs")
-    best = materialise(pairs.groupBy("label_1", "label_2").agg(F.max_by(F.struct("a", "b"), F.struct("met", "a", "b")).alias("p")).select("p.a", "p.b"), "minhash-best")
-    links = links.unionByName(_confirmed(best, rows, classes, shingle_words, similarity))
+    enough = F.least("a.common", "b.common") >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    first_met = ~F.arrays_overlap("a.before", "b.before")  # a pair is made in one posting only
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & enough & _sized("a", "b", similarity) & (_may_match("a", "b") >= matches) & first_met
+    met = a.join(b, near).select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"))
+    met = met.unionByName(_rare_pairs(split)).distinct().join(checked, ["a", "b"], "left_anti")
+    pairs = materialise(_matching(_apart(met, labels), classes, matches), "minhash-pairs")
+    best = pairs.groupBy("a_label", "b_label").agg(F.max_by(F.struct("a", "b"), F.struct("met", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = materialise(best, "minhash-best")
+    links = links.unionByName(_confirmed(best, sets, similarity))
     labels = materialise(components(links).select(F.col("node").alias("c"), F.col("component").alias("label")), "minhash-labels")
-    side = lambda c: labels.select(F.col("c").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = materialise(rest.where(~F.coalesce("a_label", "a").eqNullSafe(F.coalesce("b_label", "b"))).select("a", "b"), "minhash-rest")
-    found = links.unionByName(_confirmed(rest, rows, classes, shingle_words, similarity))
-    for table in (postings, named, open_rows, met):
+    rest = materialise(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "minhash-rest")
+    found = links.unionByName(_confirmed(rest, sets, similarity))
+    for table in (postings, sets, named, open_rows, split):
         discard(table)
     return found
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, a_label, b_label): the pairs of different components; a class without a label is its own. Labels are in
+    order, whichever is whose."""
+    side = lambda c: labels.select(F.col("c").alias(c), F.col("label").alias(f"{c}_own"))
+    x, y = F.coalesce("a_own", "a"), F.coalesce("b_own", "b")
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(x != y).select("a", "b", F.least(x, y).alias("a_label"), F.greatest(x, y).alias("b_label"))
+
+
 def minhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id is
     the component_id). Documents link at a Jaccard similarity of at least `similarity` of their sets of shingles.
