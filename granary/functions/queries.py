@@ -25,12 +25,14 @@ STATISTICS_IN_DOCUMENTS = ["文档中", "文档里", "知识库", "资料里", "
 STEPS = ["对比", "比较", "分析", "总结", "归纳", "结合", "分别", "影响", "优缺点", "建议", "方案", "步骤", "流程"]
 LEAST_STEPS_CHARS = 18
 VAGUE = ["这个", "这两个", "那个", "它", "他们", "上面", "刚才"]
+#: Fixed questions back to the asker, by reason.
+ASK_BACK = {"missing_comparison_targets": "你想让我对比哪两个对象？请补充对象名称或对应文档范围。", "missing_candidates_and_criteria": "你想比较哪些候选项？评价标准是性能、成本、稳定性，还是其他维度？", "ambiguous_reference": "这里的“这个”具体指什么？请补充文档、问题对象或上下文范围。", "short_ambiguous_reference": "你这里指的是哪个对象或哪段内容？请补充一下上下文。"}
 #: Fixed phrases of the rewriter, in the order they are replaced; words it drops.
 FORMAL = {"怎么弄": "操作流程", "怎么搞": "操作方法", "搞一下": "操作步骤", "啥意思": "定义 含义", "咋回事": "原因 说明", "咋办": "解决方法 处理方式", "咋用": "使用方法 操作指南"}
 FILLERS = ["这个", "那个", "这些", "那些", "一下"]
 #: Fixed words of the decomposer.
 COMPARISONS = ["比较", "对比", "共同点", "差异", "区别", "分别", "compare", "difference"]
-SEPARATORS = r"(?i)\bcompare\b|\bdifference between\b|\bversus\b|\bvs\.?\b|对比|比较|区别|差异|分别|以及|和|与|、"
+SEPARATORS = [r"\bcompare\b", r"\bdifference between\b", r"\bversus\b", r"\bvs\.?\b", "对比", "比较", "区别", "差异", "分别", "以及", "和", "与", "、"]
 #: Fixed patterns and templates of the decomposer, and phrases of the clarifier.
 ENTITY = r"(\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,4}\b)"
 PART_ENDS = r"^[\s?？,，。]+|[\s?？,，。]+$"
@@ -80,7 +82,8 @@ def route(query: Column) -> Column:
 
 
 def clarification(query: Column) -> Column:
-    """struct(needed, reason, slots) of vague references; reason '' where the query is clear."""
+    """struct(needed, reason, slots, question) of vague references, with what to ask back; reason and question are ''
+    where the query is clear. Small talk isn't asked back: see clarified."""
     c = F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", "")
     reason = (
         F.when(has_any(c, TWO_TARGETS), "missing_comparison_targets")
@@ -90,7 +93,15 @@ def clarification(query: Column) -> Column:
         .otherwise("")
     )
     slots = F.when(reason == "missing_comparison_targets", "comparison_targets").when(reason == "missing_candidates_and_criteria", "candidates,criteria").when(reason != "", "referent").otherwise("")
-    return F.struct((reason != "").alias("needed"), reason.alias("reason"), slots.alias("slots"))
+    question = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in ASK_BACK.items() for x in pair)), reason), F.lit(""))
+    return F.struct((reason != "").alias("needed"), reason.alias("reason"), slots.alias("slots"), question.alias("question"))
+
+
+def clarified(query: Column) -> Column:
+    """clarification() of what is no small talk, which needs none."""
+    c = clarification(query)
+    nothing = [F.lit(False).alias("needed"), *(F.lit("").alias(f) for f in ("reason", "slots", "question"))]
+    return F.when(route(query)["intent"] == "chitchat", F.struct(*nothing)).otherwise(c)
 
 
 def rewrite(query: Column) -> Column:
@@ -107,7 +118,8 @@ def rewrite(query: Column) -> Column:
 
 def decompose(query: Column, most: int = 4) -> Column:
     """array of sub-questions: one for each of up to three named entities of a comparison and one for both; else the
-    parts between separators where there are two to `most`; else the query. What differs in case only is the same."""
+    parts between separators where there are two to `most`; else the query. Separators match in lower case only. What
+    differs in case only is the same; a part of nothing but marks counts as a part and gives no question."""
     q = strip(F.coalesce(query, F.lit("")))
     names = F.array_distinct(F.regexp_extract_all(q, F.lit(ENTITY), F.lit(1)))
     names = F.filter(names, lambda x: ~x.isin(NO_ENTITIES))
@@ -115,7 +127,7 @@ def decompose(query: Column, most: int = 4) -> Column:
     asked = F.transform(once, lambda x: F.concat(x, F.lit(ABOUT_ONE)))
     joint = F.concat(F.array_join(F.slice(once, 1, 2), " 和 "), F.lit(ABOUT_BOTH))
     by_name = F.slice(F.concat(asked, F.array(joint)), 1, most)
-    parts = F.transform(F.filter(F.split(q, SEPARATORS), lambda x: strip(x) != ""), lambda x: F.regexp_replace(x, PART_ENDS, ""))
+    parts = F.transform(F.filter(F.split(q, "|".join(SEPARATORS)), lambda x: strip(x) != ""), lambda x: F.regexp_replace(x, PART_ENDS, ""))
     by_part = _first_by_case(F.filter(F.transform(parts, lambda x: F.concat(x, F.lit(WHAT_IS))), lambda x: x != WHAT_IS))
     return F.when(q == "", F.array().cast("array<string>")).when(has_any(q, COMPARISONS) & (F.size(once) >= 2), by_name).when((F.size(parts) >= 2) & (F.size(parts) <= most) & (F.size(by_part) > 0), by_part).otherwise(F.array(q))
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.functions.tables import if_small, written
-from granary.functions.text import char_grams, filled, normalize_path, overlap_of, page_numbers, strip
+from granary.functions.tables import written
+from granary.functions.text import BLANK, char_grams, filled, normalize_path, overlap_of, page_numbers, strip
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 #: Fixed value: the cut-offs that metrics are reported at.
 CUTS = [1, 3, 5, 10]
@@ -68,34 +76,125 @@ def match_hits_to_qrels(hits: DataFrame, qrels: DataFrame, id_cols: list[str] |
     return out.select("query_id", "rank", "chunk_id", F.col("evidence_ids").isNotNull().alias("matched"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"))
 
 
-def gram_candidates(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, evidence_id, node_id, score) of pairs of one source path that share a gram.
-
-    Grams are compared by 64-bit hashes. Each path's evidence grams are one row a gram, with the evidences that have
-    it; that table is written once and broadcast if it is small, so a node's grams are counted where its text is read."""
-    grams = lambda df, text, *keep: df.select(*keep, F.col("path"), char_grams(F.col(text)).alias("grams")).select(*keep, "path", F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    e = grams(evidence, "evidence_text", "query_id", "evidence_id").groupBy("path", "gram").agg(F.collect_list(F.struct("query_id", "evidence_id", F.col("size").alias("e_size"))).alias("asked"))
-    e = if_small(written(e, "evidence-grams"))
-    n = grams(nodes, "text", "node_id", "parent_id").withColumnRenamed("size", "n_size")
-    met = n.join(e, ["path", "gram"]).select("node_id", "parent_id", "n_size", F.explode("asked").alias("a"))
-    pairs = met.groupBy("a.query_id", "a.evidence_id", "node_id", "parent_id", "a.e_size", "n_size").agg(F.count("*").alias("shared"))
-    return pairs.select("query_id", "evidence_id", "node_id", "parent_id", (F.col("shared") / F.least("e_size", "n_size")).alias("score"))
-
-
-def build_node_qrels(evidence: DataFrame, nodes: DataFrame, threshold: float = 0.25, top_n: int = 3) -> DataFrame:
+#: Characters of evidence that are held at a time, and nodes that are scored at a time.
+BLOCK_CHARS, NODE_SLICE = 16_000_000, 256
+
+
+def _packed_grams(text: str) -> np.ndarray:
+    """The distinct character trigrams of a text without white space as numbers, 21 bits a character; a shorter text is
+    one gram, an empty one none."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    if len(codes) <= 3:
+        return np.array([sum(int(c) << 21 * i for i, c in enumerate(codes))], np.int64)[: len(codes)]
+    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
+
+
+def best_nodes(evidence: DataFrame, nodes: DataFrame, top_n: int = 3, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(query_id, evidence_id, node_id, parent_id, score): of each evidence, the top_n nodes of its path with the largest
+    overlap of character trigrams above 0; ties by node_id.
+
+    Evidences are the query set: blocks of about block_chars characters, dealt by hash, are broadcast one after the
+    other as lists of the evidences that have a gram. Each task counts, for a few nodes at a time, the grams they share
+    with every evidence of their path, and keeps a running top_n of each evidence; only those rows are shuffled. At a
+    threshold of 0.25 nearly every pair of texts shares enough trigrams to pass a prefix filter, so pairs are neither
+    made as rows nor filtered. A gram is compared as its characters, not by hash."""
+    flat = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), rf"{BLANK}+", ""))
+    asked = written(evidence.select("query_id", "evidence_id", "path", flat("evidence_text").alias("x")).where("path is not null and x <> ''"), "qrels-evidence")
+    chars = asked.agg(F.coalesce(F.sum(F.length("x")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-chars // block_chars))
+    rows = nodes.select("node_id", "parent_id", "path", flat("text").alias("x")).where("path is not null and x <> ''")
+    ids = [asked.schema[c].dataType.simpleString() for c in ("query_id", "evidence_id")]
+    schema = f"query_id {ids[0]}, evidence_id {ids[1]}, node_id string, parent_id string, score double"
+    part = lambda i: asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "evidence_id"), F.lit(blocks)) == i)
+    found = [_best_of_block(part(i), rows, top_n, schema) for i in range(blocks)]
+    if blocks > 1:  # each block is done before the next one is held
+        found = [written(x, "qrels-block") for x in found]
+    place = F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy(F.desc("score"), "node_id"))
+    return reduce(DataFrame.unionByName, found).withColumn("place", place).where(F.col("place") <= top_n)
+
+
+def _best_of_block(asked: DataFrame, rows: DataFrame, top_n: int, schema: str) -> DataFrame:
+    held = asked.toPandas()
+    paths = {}  # by path: evidence rows, their numbers of grams, and sorted (gram, evidence) postings
+    for path, own in held.groupby("path"):
+        grams = [_packed_grams(x) for x in own["x"]]
+        sizes = np.array([len(g) for g in grams])
+        flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
+        order = np.argsort(flat, kind="stable")
+        paths[path] = (own.index.to_numpy(), sizes, flat[order], owner[order])
+    kinds = [*(to_arrow_type(asked.schema[c].dataType) for c in ("query_id", "evidence_id")), pa.string(), pa.string(), pa.float64()]
+    shared = rows.sparkSession.sparkContext.broadcast((held["query_id"].tolist(), held["evidence_id"].tolist(), paths))
+
+    def scores(texts: list[str], sizes: np.ndarray, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), len(sizes)))
+        for i, text in enumerate(texts):
+            own = _packed_grams(text)
+            begin, end = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            n = end - begin
+            met = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[i] = np.bincount(owner[met], minlength=len(sizes)) / np.minimum(sizes, len(own))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, names, paths = shared.value
+        kept: dict = {}  # by path: scores, node ids and parents, top_n rows of a column an evidence
+        for batch in batches:
+            for at in range(0, batch.num_rows, NODE_SLICE):
+                node, parent, path, text = (c.to_pylist() for c in batch.slice(at, NODE_SLICE).columns)
+                groups: dict = {}
+                for i in sorted(range(len(node)), key=lambda i: node[i]):
+                    if path[i] in paths:
+                        groups.setdefault(path[i], []).append(i)
+                for p, own in groups.items():
+                    found = scores([text[i] for i in own], *paths[p][1:])
+                    best = np.argsort(-found, axis=0, kind="stable")[:top_n]
+                    new = [np.take_along_axis(found, best, 0), *(np.array([x[i] or "" for i in own], dtype="U")[best] for x in (node, parent))]
+                    if p in kept:
+                        new = [np.concatenate(x) for x in zip(kept[p], new)]
+                        best = np.lexsort((new[1], -new[0]), axis=0)[:top_n]
+                        new = [np.take_along_axis(x, best, 0) for x in new]
+                    kept[p] = new
+        for p, (score, node, parent) in kept.items():
+            place, own = np.nonzero(score > 0)
+            evidence = paths[p][0][own]
+            columns = [[queries[i] for i in evidence], [names[i] for i in evidence], node[place, own].tolist(), [x or None for x in parent[place, own].tolist()], score[place, own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["query_id", "evidence_id", "node_id", "parent_id", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def build_node_qrels(evidence: DataFrame, nodes: DataFrame, threshold: float = 0.25, top_n: int = 3, best: DataFrame | None = None) -> DataFrame:
     """(query_id, evidence_id, node_id, relevance, qrel_role, match_score).
 
     Of each evidence's nodes of the same path, the top_n of at least threshold, else the best one; the first is primary
     with relevance 2, others are secondary with 1. Each gives a row for its own and for its parent's id; where ids meet,
-    the better row stays."""
-    rows = gram_candidates(evidence, nodes)
-    place = F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy(F.desc("score"), "node_id"))
-    kept = rows.withColumn("place", place).where((F.col("place") == 1) | ((F.col("place") <= top_n) & (F.col("score") >= threshold)))
-    kept = kept.where("score > 0")
+    the better row stays. best may give best_nodes' rows, where they are at hand."""
+    rows = best_nodes(evidence, nodes, top_n) if best is None else best
+    kept = rows.where((F.col("place") == 1) | (F.col("score") >= threshold))
     flat = kept.select("query_id", "evidence_id", "place", F.col("score").alias("match_score"), F.explode(F.array_distinct(F.array_compact(F.array(F.col("node_id"), filled(F.col("parent_id")))))).alias("node_id"))
-    best = flat.groupBy("query_id", "evidence_id", "node_id").agg(F.min("place").alias("place"), F.max("match_score").alias("match_score"))
+    ranked = flat.groupBy("query_id", "evidence_id", "node_id").agg(F.min("place").alias("place"), F.max("match_score").alias("match_score"))
     first = F.col("place") == 1
-    return best.select("query_id", "evidence_id", "node_id", F.when(first, 2).otherwise(1).alias("relevance"), F.when(first, "primary").otherwise("secondary").alias("qrel_role"), "match_score")
+    return ranked.select("query_id", "evidence_id", "node_id", F.when(first, 2).otherwise(1).alias("relevance"), F.when(first, "primary").otherwise("secondary").alias("qrel_role"), "match_score")
+
+
+def node_qrels_diagnostics(evidence: DataFrame, nodes: DataFrame, threshold: float = 0.25, top_n: int = 3, best: DataFrame | None = None) -> DataFrame:
+    """(query_id, evidence_id, path, candidate_count, selected_count, best_score, used_fallback_best), a row an evidence:
+    nodes of its path, how many were selected, the best score, and whether that one stands in for lack of any at the
+    threshold."""
+    rows = best_nodes(evidence, nodes, top_n) if best is None else best
+    at = F.count_if(F.col("score") >= threshold)
+    got = rows.groupBy("query_id", "evidence_id").agg(F.greatest(at, F.lit(1)).alias("selected_count"), F.round(F.max("score"), 4).alias("best_score"), (at == 0).alias("used_fallback_best"))
+    counts = nodes.where("path is not null and path <> ''").groupBy("path").agg(F.count("*").alias("candidate_count"))
+    out = evidence.select("query_id", "evidence_id", "path").join(counts, "path", "left").join(got, ["query_id", "evidence_id"], "left")
+    zero = {"candidate_count": 0, "selected_count": 0, "best_score": 0.0, "used_fallback_best": False}
+    return out.select("query_id", "evidence_id", "path", *zero).na.fill(zero)
+
+
+def node_qrels_summary(qrels: DataFrame, diagnostics: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: node_count, question_count, qrel_row_count, unmapped_evidence_count, fallback_best_count."""
+    counts = diagnostics.agg(F.countDistinct("query_id").alias("question_count"), F.count_if(F.col("selected_count") == 0).alias("unmapped_evidence_count"), F.count_if("used_fallback_best").alias("fallback_best_count"))
+    one = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))  # noqa: E731  a row each
+    return counts.crossJoin(one(nodes, "node_count")).crossJoin(one(qrels, "qrel_row_count"))
 
 
 def metrics_at_k(hits: DataFrame, gold: DataFrame, cuts: list[int] | None = None) -> DataFrame:
@@ -188,13 +287,24 @@ def build_answer_eval_set(questions: DataFrame, contexts: DataFrame) -> DataFram
     return rows.select("query_id", F.col("question").alias("user_input"), "response", texts.alias("retrieved_contexts"), F.col("answer").alias("reference"), F.size(texts).cast("long").alias("source_count"), filled(F.col("response")).isNotNull().alias("usable"))
 
 
+def _text_of(value: Column) -> Column:
+    """A JSON value as the text that it is read as: numbers and strings as they stand, null and nothing-values empty."""
+    text = F.try_variant_get(value, "$", "string")
+    return strip(F.coalesce(F.when(text.isin("0", "0.0", "false"), "").when(text == "true", "True").otherwise(text), F.lit("")))
+
+
 def grounding_score(payloads: DataFrame) -> DataFrame:
     """(answer_id, grounding_score, verdict, unsupported): claims weigh 1, 0.5, 0, 0; a contradiction fails, 0.8 passes,
-    0.5 warns. Verdicts other than the four count as unsupported. No claims score 0."""
-    shape = "struct<claims:array<struct<claim:string,verdict:string>>,summary:string>"
-    claims = payloads.select("answer_id", F.explode_outer(F.from_json("payload", shape)["claims"]).alias("c"))
-    said = strip(F.lower(F.coalesce("c.verdict", F.lit("unsupported"))))
-    rows = claims.select("answer_id", F.col("c").isNotNull().alias("real"), F.when(said.isin("supported", "partial", "contradicted"), said).otherwise("unsupported").alias("verdict"), strip(F.coalesce("c.claim", F.lit(""))).alias("claim"))
+    0.5 warns. Verdicts other than the four count as unsupported. No claims score 0.
+
+    A payload is parsed as it is, whatever its shape: claims that are no list, and entries of it that are no objects,
+    count as absent; a number stands for its text; other keys don't matter. What is no JSON has no claims."""
+    claims = F.try_variant_get(F.try_parse_json("payload"), "$.claims", "array<variant>")
+    item = lambda k: F.try_variant_get("c", f"$.{k}", "variant")
+    rows = payloads.select("answer_id", F.explode_outer(claims).alias("c"))
+    real = F.coalesce(F.schema_of_variant("c").startswith("OBJECT"), F.lit(False))
+    said = F.lower(_text_of(item("verdict")))
+    rows = rows.select("answer_id", real.alias("real"), F.when(said.isin("supported", "partial", "contradicted"), said).otherwise("unsupported").alias("verdict"), _text_of(item("claim")).alias("claim"))
     weight = F.when(F.col("verdict") == "supported", 1.0).when(F.col("verdict") == "partial", 0.5).otherwise(0.0)
     poor = F.col("verdict").isin("unsupported", "contradicted") & (F.col("claim") != "")
     got = rows.groupBy("answer_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("real"), weight)), F.lit(0.0)), 4).alias("grounding_score"), F.bool_or(F.col("real") & (F.col("verdict") == "contradicted")).alias("contradicted"), F.array_sort(F.collect_list(F.when(F.col("real") & poor, F.col("claim")))).alias("unsupported"))

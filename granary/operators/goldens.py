@@ -52,6 +52,13 @@ def dedupe_query_batch(requests: DataFrame, id_col: str, text_col: str, top_k: i
     return keyed.join(first, "cache_key").withColumn("runs", F.col(id_col) == F.col("first_id")).drop("first_id")
 
 
+def fan_back(requests: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
+    """Every request of dedupe_query_batch with the result rows of the one of its key that ran, whose id is served_by.
+    results are rows of the ids that ran; a request whose run gave none has one row without values."""
+    ran = requests.where("runs").select("cache_key", F.col(id_col).alias("served_by"))
+    return requests.join(ran, "cache_key").join(results.withColumnRenamed(id_col, "served_by"), "served_by", "left")
+
+
 def explode_filings(index: DataFrame, columns: list[str], forms: list[str], most: int) -> DataFrame:
     """Columnar filing arrays as rows, up to the shortest array; the wanted forms, the first `most` of each."""
     shortest = F.least(*(F.size(c) for c in columns))

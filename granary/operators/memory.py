@@ -12,6 +12,8 @@ FAILURES = ["[error]", "Answer generation failed", "Request timed out", "无法
 LOW_VALUE = [*FAILURES, "没有任何"]
 EXPLICIT = ["记住", "请记住", "帮我记住", "remember"]
 DURABLE = ["我的目标", "我的偏好", "我喜欢", "我不喜欢", "我习惯", "我希望", "我正在", "我当前", "以后", "以后都", "下次", "下次请", "我的项目", "项目是", "系统是", "架构是", "技术栈", "当前记忆系统"]
+SKIPPED = ["message_count_not_exceed_trigger", "no_evicted_messages", "no_new_messages_after_summary_boundary"]
+TRIGGER_TOKENS, CHARS_A_TOKEN = 3000, 4
 RECENT, TRIGGER, MESSAGE_CHARS, INPUT_CHARS, MEMORY_CHARS = 6, 12, 1200, 6000, 2000
 
 
@@ -40,7 +42,8 @@ def recent_messages(messages: DataFrame, n: int = RECENT) -> DataFrame:
 
 
 def compression_plan(messages: DataFrame, summaries: DataFrame, recent: int = RECENT, trigger: int = TRIGGER) -> DataFrame:
-    """One row a session: counts, ids of evicted messages that the summary doesn't cover, and whether to compress."""
+    """One row a session: counts, ids of evicted messages that the summary doesn't cover, whether to compress, and why
+    not; beside it, whether the buffer's estimated tokens (a quarter of its characters) reach the other trigger."""
     back = messages.withColumn("back", F.row_number().over(by_session().orderBy(F.desc("message_id"))))
     rows = back.join(summaries.select("session_id", "covered_until_message_id", "covered_message_count"), "session_id", "left")
     evicted = F.col("back") > recent
@@ -53,7 +56,10 @@ def compression_plan(messages: DataFrame, summaries: DataFrame, recent: int = RE
         F.first("covered_until_message_id").alias("covered_until_message_id"),
         F.array_sort(F.collect_list(F.when(new, F.col("message_id")))).alias("new_message_ids"),
         F.first("covered_message_count").alias("covered_before"),
+        F.floor(F.sum(F.length(F.coalesce("content", F.lit("")))) / CHARS_A_TOKEN).alias("estimated_tokens"),
     )
+    why = F.when(F.col("message_count") <= trigger, SKIPPED[0]).when(F.col("evicted_message_count") <= 0, SKIPPED[1]).when(F.col("new_message_count") <= 0, SKIPPED[2]).otherwise("")
+    got = got.withColumn("skip_reason", why).withColumn("token_trigger", F.col("estimated_tokens") >= TRIGGER_TOKENS)
     return got.withColumn("should_compress", (F.col("message_count") > trigger) & (F.col("new_message_count") > 0)).withColumn("next_covered_count", F.coalesce("covered_before", F.lit(0)) + F.col("new_message_count")).drop("covered_before")
 
 

@@ -18,6 +18,8 @@ CHUNK = "chunk_id string, parent_id string, chunk_role string, level int, ordina
 #: What a heading that starts a chapter begins with; body characters above which such headings stay apart.
 STRONG = re.compile(r"第|§|Chapter|CHAPTER|Part|PART|\d+\s+")
 BODY_CHARS = 120
+#: Fixed value: most rounds of joining brief sections.
+ROUNDS = 5
 UNIT = re.compile(r"[一-鿿]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_一-鿿]")
 SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n+|$)\s*")
 
@@ -25,7 +27,7 @@ SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n+|$)\s*")
 def per_document(rows: DataFrame, columns: list[str], expand: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Runs expand(*values) on each row's columns; its tuples are the rows of schema, after doc_id."""
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -47,6 +49,7 @@ class _Section:
 
     def __init__(self, title: str = ""):
         self.title, self.lines, self.kinds, self.pages, self.at, self.size = title, [], [], [], [], 0
+        self.joined_kind = ""
 
     def add(self, index: int, kind: str, line: str, page: int | None) -> None:
         self.lines.append(line)
@@ -64,24 +67,23 @@ class _Section:
         return len(self.text()) - (len(self.title) + 3 if self.title and self.kinds[0] == "title" else 0)
 
     def kind(self) -> str:
+        """Of a section that was joined the first part's type, or the next one's where that is a title."""
+        if self.joined_kind:
+            return self.joined_kind
         rest = [k for k in self.kinds if k != "title"] or self.kinds
         return max(sorted(set(rest), key=rest.index), key=rest.count)
 
-    def joined(self, other: _Section) -> _Section:
+    def __add__(self, other: _Section) -> _Section:
         out = _Section(self.title or other.title)
-        for part in (self, other):
-            out.lines += part.lines
-            out.kinds += part.kinds
-            out.pages += part.pages
-            out.at += part.at
-            out.size += part.size
+        out.lines, out.kinds, out.pages, out.at = (getattr(self, f) + getattr(other, f) for f in ("lines", "kinds", "pages", "at"))
+        out.size = self.size + other.size
+        out.joined_kind = self.kind() if self.kind() != "title" else other.kind()
         return out
 
 
 def pack_sections(blocks: list[dict[str, Any]], most: int, least: int) -> list[tuple]:
     """A title begins a section, and so does a block that would carry one past `most` characters (the title goes
-    along). Then, up to five times, sections below `least` characters are joined with the next or else the previous one,
-    unless a chapter heading parts two real bodies."""
+    along). Then sections below `least` characters are joined to their neighbours, see joined_rounds."""
     sections: list[_Section] = []
     for b in blocks:
         line, title = b["section_text"], b["block_type"] == "title"
@@ -91,31 +93,41 @@ def pack_sections(blocks: list[dict[str, Any]], most: int, least: int) -> list[t
             name = (b["text"] or "").strip() if title else sections[-1].title if sections else ""
             sections.append(_Section(name))
         sections[-1].add(b["block_index"], b["block_type"], line, b["page_no"])
-    for _ in range(5):
-        before, out = len(sections), []
-        i = 0
-        while i < len(sections):
-            now, after = sections[i], sections[i + 1] if i + 1 < len(sections) else None
-            brief = len(now.text()) < least
-            if brief and after and _may_join(now, after):
-                out.append(now.joined(after))
-                i += 2
-                continue
-            if brief and out and _may_join(out[-1], now):
-                out[-1] = out[-1].joined(now)
-            else:
-                out.append(now)
-            i += 1
-        sections = out
-        if len(sections) == before:
-            break
     pages = lambda p: "" if not p else str(min(p)) if min(p) == max(p) else f"{min(p)}-{max(p)}"
-    return [(k, s.title, s.text(), pages(s.pages), s.kind(), s.at[0], s.at[-1]) for k, s in enumerate(sections)]
+    return [(k, s.title, s.text(), pages(s.pages), s.kind(), s.at[0], s.at[-1]) for k, s in enumerate(joined_rounds(sections, least, ROUNDS))]
 
 
-def _may_join(left: _Section, right: _Section) -> bool:
-    parted = STRONG.match(right.title) and left.title and left.title != right.title
-    return not (parted and left.body() > BODY_CHARS and right.body() > BODY_CHARS)
+def joined_rounds(sections: list[_Section], least: int, rounds: int) -> list[_Section]:
+    """The sections after as many rounds of joining, or fewer if one changes nothing.
+
+    In a round a brief section waits for what follows and takes it in; where a chapter begins there, it goes to the
+    section before it instead, unless it begins a chapter itself; else it stays. What was joined in a round neither
+    waits nor is looked at again until the next one."""
+    waiting: _Section | None = None
+    settled: list[_Section] = []
+    for section in sections:
+        if waiting and not _chapters(waiting, section):
+            settled.append(waiting + section)
+            waiting = None
+        else:
+            _settle(settled, waiting)
+            waiting = section if len(section.text()) < least else None
+            settled += [] if waiting else [section]
+    _settle(settled, waiting)
+    return settled if rounds == 1 or len(settled) == len(sections) else joined_rounds(settled, least, rounds - 1)
+
+
+def _settle(settled: list[_Section], brief: _Section | None) -> None:
+    """A brief section that takes nothing in goes to the one before it, or after it."""
+    if brief and settled and not _chapters(settled[-1], brief):
+        brief = settled.pop() + brief
+    settled += [brief] if brief else []
+
+
+def _chapters(before: _Section, after: _Section) -> bool:
+    """Whether a chapter heading parts two sections that have bodies and headings of their own."""
+    bodies = min(before.body(), after.body())
+    return bodies > BODY_CHARS and before.title not in ("", after.title) and bool(STRONG.match(after.title))
 
 
 def build_sections(blocks: DataFrame, most_chars: int = 4000, least_chars: int = 800) -> DataFrame:
@@ -185,8 +197,9 @@ def hierarchical_chunks(documents: DataFrame, text_col: str = "text", budgets: t
 
 
 def table_parts(text: str, most: int) -> list[tuple]:
-    """Parts of a Markdown table of at most `most` characters, rows kept whole, the header in each."""
-    whole = [(0, 1, text)]
+    """(part, parts, Markdown, headers, rows) of a Markdown table in parts of at most `most` characters, rows kept
+    whole, the header in each; a table that needs no cut, or isn't one, is a part as it stands, without headers."""
+    whole = [(0, 1, text, None, None)]
     rows = [[c.strip() for c in line.strip().strip("|").split("|")] for line in (text or "").splitlines() if line.strip().startswith("|") and line.strip().endswith("|")]
     rows = [r for r in rows if any(r) and not all(re.fullmatch(r":?-{3,}:?", c) for c in r)]
     if len((text or "").strip()) <= most or len(rows) <= 2:
@@ -202,11 +215,14 @@ def table_parts(text: str, most: int) -> list[tuple]:
             size = fixed
         parts[-1].append(row)
         size += cost
-    return whole if len(parts) == 1 else [(k, len(parts), markdown_rows([head, *p])) for k, p in enumerate(parts)]
+    return whole if len(parts) == 1 else [(k, len(parts), markdown_rows([head, *p]), head, len(p)) for k, p in enumerate(parts)]
 
 
 def split_large_tables(blocks: DataFrame, most_chars: int = 3000) -> DataFrame:
-    """(doc_id, block_index, part_index, part_count, text): long tables in parts, all other blocks as one."""
-    rows = blocks.select("doc_id", F.col("block_index").cast("int").alias("block_index"), "block_type", "text")
-    cut = lambda i, kind, text: [(i, *p) for p in (table_parts(text, most_chars) if kind == "table" else [(0, 1, text)])]
-    return per_document(rows, ["block_index", "block_type", "text"], cut, "block_index int, part_index int, part_count int, text string")
+    """(doc_id, block_index, part_index, part_count, text, table_id, headers, row_count): long tables in parts, all other
+    blocks as one. A part keeps its table's id and headers and has its own number of rows; what isn't cut has none of
+    them beside an id."""
+    table = F.coalesce(F.col("extra")["table_id"], F.lit("")) if "extra" in blocks.columns else F.lit("")
+    rows = blocks.select("doc_id", F.col("block_index").cast("int").alias("block_index"), "block_type", "text", table.alias("table_id"))
+    cut = lambda i, kind, text, name: [(i, k, n, part, name.strip(), heads, size) for k, n, part, heads, size in (table_parts(text, most_chars) if kind == "table" else [(0, 1, text, None, None)])]
+    return per_document(rows, ["block_index", "block_type", "text", "table_id"], cut, "block_index int, part_index int, part_count int, text string, table_id string, headers array<string>, row_count int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.tables import written
 from granary.operators import evaluation as E
 from granary.plans.registry import INPUTS, query
 
@@ -136,21 +137,40 @@ def evidence_overlap(t):
     return t.documents.join(after, "doc_id").select("doc_id", F.round(T.evidence_overlap(F.col("text"), F.col("next_text")), 6).alias("overlap"))
 
 
-@query(
-    "build_node_qrels",
-    f"""with e as (select item_id as query_id, 'e' || cast(item_id as string) as evidence_id, 'src' || cast(item_id % 20 as string) as path, {FLAT.format("text")} as x from benchmark),
-ne as (select query_id, evidence_id, path, {GRAMS.format("x")} as eg from e),
-nn as (select 'c' || cast(doc_id as string) as node_id, 'p' || cast(doc_id % 7 as string) as parent_id, source as path, {GRAMS.format("x")} as ng from (select *, {FLAT.format("text")} as x from documents)),
+EVIDENCE = "select item_id as query_id, 'e' || cast(item_id as string) as evidence_id, 'src' || cast(item_id % 20 as string) as path, text as evidence_text from benchmark"
+NODES = "select 'c' || cast(doc_id as string) as node_id, 'p' || cast(doc_id % 7 as string) as parent_id, source as path, text from documents"
+SELECTED = f"""ne as (select query_id, evidence_id, path, {GRAMS.format("x")} as eg from (select *, {FLAT.format("evidence_text")} as x from ({EVIDENCE}))),
+nn as (select node_id, parent_id, path, {GRAMS.format("x")} as ng from (select *, {FLAT.format("text")} as x from ({NODES}))),
 s as (select query_id, evidence_id, node_id, parent_id, len(list_intersect(eg, ng)) / least(len(eg), len(ng)) as score from ne join nn using (path) where len(ng) > 0),
 r as (select *, row_number() over (partition by query_id, evidence_id order by score desc, node_id) as place from s where score > 0),
-k as (select * from r where place = 1 or (place <= 3 and score >= 0.25)),
+k as (select * from r where place = 1 or (place <= 3 and score >= 0.25))"""
+
+
+def judged(t):
+    evidence, nodes = t.sql(EVIDENCE), t.sql(NODES)
+    return evidence, nodes, written(E.best_nodes(evidence, nodes), "qrels-best")
+
+
+@query(
+    "build_node_qrels",
+    f"""with {SELECTED},
 f as (select query_id, evidence_id, place, score, node_id from k union all select query_id, evidence_id, place, score, parent_id from k)
 select query_id, evidence_id, node_id, case when min(place) = 1 then 2 else 1 end as relevance, case when min(place) = 1 then 'primary' else 'secondary' end as qrel_role, round(max(score), 6) as match_score from f group by 1, 2, 3""",
 )
 def build_node_qrels(t):
-    evidence = t.benchmark.selectExpr("item_id as query_id", "'e' || cast(item_id as string) as evidence_id", "'src' || cast(item_id % 20 as string) as path", "text as evidence_text")
-    nodes = t.documents.selectExpr("'c' || cast(doc_id as string) as node_id", "'p' || cast(doc_id % 7 as string) as parent_id", "source as path", "text")
-    return E.build_node_qrels(evidence, nodes).withColumn("match_score", F.round("match_score", 6))
+    evidence, nodes, best = judged(t)
+    return E.build_node_qrels(evidence, nodes, best=best).withColumn("match_score", F.round("match_score", 6))
+
+
+@query(
+    "node_qrels_diagnostics",
+    f"""with {SELECTED}, c as (select path, count(*) as n from nn group by 1), g as (select query_id, evidence_id, count(*) as selected, max(score) as best from k group by 1, 2)
+select ne.query_id, ne.evidence_id, path, coalesce(n, 0) as candidate_count, coalesce(selected, 0) as selected_count, coalesce(round(best, 4), 0.0) as best_score, coalesce(best < 0.25, false) as used_fallback_best
+from ne left join c using (path) left join g on g.query_id = ne.query_id and g.evidence_id = ne.evidence_id""",
+)
+def node_qrels_diagnostics(t):
+    evidence, nodes, best = judged(t)
+    return E.node_qrels_diagnostics(evidence, nodes, best=best)
 
 
 AUDITED = [

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.tables import work_dir, written
 from granary.operators import blocks as B
 from granary.operators import rollups as R
 from granary.operators import sync as S
 from granary.plans.registry import INPUTS, query
+from granary.sources.chunk_store import ChunkStore
 
 INPUTS["state_old"] = "select source || '/' || cast(doc_id as string) || '.txt' as source_path, doc_id, case when doc_id % 9 = 0 then cast(null as string) else md5(text) end as sha256, cast(1 as bigint) as updated_at from documents where doc_id % 7 <> 1"
 INPUTS["state_now"] = "select source || '/' || cast(doc_id as string) || '.txt' as source_path, doc_id, md5(case when doc_id % 5 = 2 then text || '!' else text end) as sha256, n_chars as file_size from documents where doc_id % 8 <> 3"
@@ -69,6 +74,21 @@ def upsert_chunk_store(t):
     return S.upsert_chunk_store(base, batch, "seq").select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "chunk_store_sink",
+    r"""with base as (select 'k' || cast(doc_id as string) as chunk_id, source as doc_id, text from documents),
+batch as (select 'k' || cast(floor(doc_id / 3) * 2 as bigint) as chunk_id, source as doc_id, case when doc_id % 10 = 0 then ' ' else 'v' || cast(doc_id as string) end as text, doc_id as seq from documents),
+b as (select chunk_id, doc_id, text from (select *, row_number() over (partition by chunk_id order by seq desc) as back from batch where regexp_replace(text, '\s', '', 'g') <> '') where back = 1)
+select chunk_id, doc_id, md5(text) as text_md5 from base where chunk_id not in (select chunk_id from b) and regexp_replace(text, '\s', '', 'g') <> '' union all select chunk_id, doc_id, md5(text) from b""",
+)
+def chunk_store_sink(t):
+    """The same rows through the store in a folder, as two batches."""
+    store = ChunkStore(t.spark, work_dir(t.spark, "chunk-store"), "chunk_id string, doc_id string, text string", 16)
+    store.upsert(t.documents.selectExpr("'k' || cast(doc_id as string) as chunk_id", "source as doc_id", "text", "doc_id as seq"), "seq")
+    store.upsert(t.documents.selectExpr("'k' || cast(cast(floor(doc_id / 3) * 2 as bigint) as string) as chunk_id", "source as doc_id", "case when doc_id % 10 = 0 then ' ' else 'v' || cast(doc_id as string) end as text", "doc_id as seq"), "seq")
+    return store.rows().select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
+
+
 @query("file_fingerprint", "select doc_id, sha256(text) as sha256 from documents")
 def file_fingerprint(t):
     return t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -228,6 +248,29 @@ def length_stats(t):
     return R.length_stats(t.documents, "lang")
 
 
+BY = ["source", "lang"]
+BY_SQL = f"""l as (select source, lang, {SIZE} as n from documents), d as (select 'all' as dimension, '' as value, n from l union all select 'source', source, n from l union all select 'lang', lang, n from l),
+r as (select *, row_number() over (partition by dimension, value order by n) - 1 as rank, count(*) over (partition by dimension, value) as total from d)"""
+STATS_BY = "dimension, value, " + STATS.format(ps=", ".join(f"max(case when rank = round_even((total - 1) * {p}, 0) then n end) as p{int(p * 100)}" for p in (0.5, 0.9, 0.95)))
+
+
+@query("length_stats_by", f"with {BY_SQL} select {STATS_BY} from r group by 1, 2")
+def length_stats_by(t):
+    return R.length_stats_by(t.documents, BY)
+
+
+@query("length_sketches", f"with {BY_SQL}, s as (select {STATS_BY} from r group by 1, 2) select dimension, value, count, mean, min, max, short, long, true as p50_near, true as p90_near, true as p95_near from s")
+def length_sketches(t):
+    """Two batches' sketches merged, beside the exact figures: whether each percentile's rank is within the error."""
+    stored = written(reduce(DataFrame.unionByName, (R.length_sketches(t.documents.where(f"doc_id % 2 = {i}"), BY) for i in range(2))), "length-sketches")
+    merged = R.merged_sketches(stored)
+    found = R.sketched_stats(merged)
+    counted = R.length_histogram(t.documents, BY).join(found.select("dimension", "value", "count", *(F.col(f"p{p}").alias(f"q{p}") for p in (50, 90, 95))), ["dimension", "value"])
+    share = lambda p, c: F.sum(F.when(c(F.col("len"), F.col(f"q{p}")), F.col("n")).otherwise(0)) / F.first("count")
+    near = lambda p: ((share(p, lambda x, q: x < q) <= p / 100 + R.RANK_ERROR) & (share(p, lambda x, q: x <= q) >= p / 100 - R.RANK_ERROR)).alias(f"p{p}_near")
+    return found.drop("p50", "p90", "p95").join(counted.groupBy("dimension", "value").agg(*(near(p) for p in (50, 90, 95))), ["dimension", "value"])
+
+
 INPUTS["run_items"] = "select case when doc_id % 3 = 0 then '.txt' when doc_id % 3 = 1 then '.pdf' end as file_type, case when doc_id % 10 = 0 then 'failed' else 'success' end as status, case when doc_id % 20 = 0 then 'parse' else 'chunk' end as stage, doc_id % 50 as block_count, case when doc_id % 10 <> 0 then doc_id % 20 end as chunk_count from documents"
 SUMS = "count(*) as documents, count(case when status = 'success' then 1 end) as succeeded, count(case when status = 'failed' then 1 end) as failed, sum(coalesce(block_count, 0)) as blocks, sum(coalesce(chunk_count, 0)) as chunks, case when count(case when status = 'success' then 1 end) > 0 then round(sum(coalesce(block_count, 0)) / count(case when status = 'success' then 1 end), 2) else 0 end as mean_blocks, case when count(case when status = 'success' then 1 end) > 0 then round(sum(coalesce(chunk_count, 0)) / count(case when status = 'success' then 1 end), 2) else 0 end as mean_chunks"
 
@@ -269,8 +312,8 @@ def profiles(t):
 
 @query(
     "trace_rollup",
-    f"""select 'retriever_core_ms' as timing_key, round(sum(coalesce(core, 0)), 3) as total_ms, count(*) as steps from calls union all select 'retrieval_profiled_ms', round(sum(coalesce(nullif(whole, 0), core, 0)), 3), count(*) from calls
-union all select {KEYED} as k, round(sum(coalesce(duration_ms, 0)), 3), count(*) from traced where name <> '' group by 1""",
+    f"""select * from (select 'retriever_core_ms' as timing_key, round(sum(coalesce(core, 0)), 3) as total_ms, count(*) as steps from calls union all select 'retrieval_profiled_ms', round(sum(coalesce(nullif(whole, 0), core, 0)), 3), count(*) from calls
+union all select {KEYED} as k, round(sum(coalesce(duration_ms, 0)), 3), count(*) from traced where name <> '' group by 1) where total_ms > 0""",
 )
 def trace_rollup(t):
     return R.trace_rollup(profiles(t))

@@ -37,10 +37,10 @@ def recent_messages(t):
 PLAN = """b as (select m.*, row_number() over (partition by session_id order by message_id desc) as back, covered_until_message_id, covered_message_count from messages m left join summaries using (session_id)),
 plan as (select session_id, count(*) as message_count, count(case when back <= 6 then 1 end) as recent_message_count, count(case when back > 6 then 1 end) as evicted_message_count,
   count(case when back > 6 and (covered_until_message_id is null or message_id > covered_until_message_id) then 1 end) as new_message_count, max(covered_until_message_id) as covered_until_message_id,
-  coalesce(string_agg(case when back > 6 and (covered_until_message_id is null or message_id > covered_until_message_id) then cast(message_id as string) end, ',' order by message_id), '') as new_message_ids, coalesce(max(covered_message_count), 0) as covered_before from b group by 1)"""
+  coalesce(string_agg(case when back > 6 and (covered_until_message_id is null or message_id > covered_until_message_id) then cast(message_id as string) end, ',' order by message_id), '') as new_message_ids, coalesce(max(covered_message_count), 0) as covered_before, cast(floor(sum(length(coalesce(content, ''))) / 4) as bigint) as estimated_tokens from b group by 1)"""
 
 
-@query("compression_plan", f"with {PLAN} select session_id, message_count, recent_message_count, evicted_message_count, new_message_count, covered_until_message_id, new_message_ids, message_count > 12 and new_message_count > 0 as should_compress, covered_before + new_message_count as next_covered_count from plan")
+@query("compression_plan", f"with {PLAN} select session_id, message_count, recent_message_count, evicted_message_count, new_message_count, covered_until_message_id, new_message_ids, message_count > 12 and new_message_count > 0 as should_compress, covered_before + new_message_count as next_covered_count, estimated_tokens, estimated_tokens >= 3000 as token_trigger, case when message_count <= 12 then 'message_count_not_exceed_trigger' when evicted_message_count <= 0 then 'no_evicted_messages' when new_message_count <= 0 then 'no_new_messages_after_summary_boundary' else '' end as skip_reason from plan")
 def compression_plan(t):
     return M.compression_plan(t.messages, t.summaries).withColumn("new_message_ids", F.array_join(F.transform("new_message_ids", lambda x: x.cast("string")), ","))
 

@@ -18,10 +18,10 @@ def normalize_spaces(t):
     return t.documents.select("doc_id", F.md5(T.normalize_spaces(F.replace(odd, F.lit("\n"), F.lit("\n\n\n\n")))).alias("text_md5"))
 
 
-@query("page_ranges", "select doc_id, array_to_string(list_sort(list_distinct(list_concat(range(least(doc_id % 7 + 1, doc_id % 5 + 2), greatest(doc_id % 7 + 1, doc_id % 5 + 2) + 1), [doc_id % 20 + 3]))), ',') as pages, cast(least(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) as string) || '-' || cast(greatest(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) as string) as page_range from documents where least(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) <> greatest(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3)")
+@query("page_ranges", "select doc_id, array_to_string(list_sort(list_distinct(list_concat(range(least(doc_id % 7 + 1, doc_id % 5 + 2), greatest(doc_id % 7 + 1, doc_id % 5 + 2) + 1), [doc_id % 20 + 3]))), ',') as pages, cast(least(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) as string) || case when least(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) = greatest(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) then '' else '-' || cast(greatest(doc_id % 7 + 1, doc_id % 5 + 2, doc_id % 20 + 3) as string) end as page_range from documents")
 def page_ranges(t):
     pages = T.page_numbers(F.expr("cast(doc_id % 7 + 1 as string) || '–' || cast(doc_id % 5 + 2 as string) || '; p. x，' || cast(doc_id % 20 + 3 as string)"))
-    return t.documents.select("doc_id", pages.alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), T.page_range(F.col("p")).alias("page_range")).where("page_range like '%-%'")
+    return t.documents.select("doc_id", pages.alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), T.page_range(F.col("p")).alias("page_range"))
 
 
 INPUTS["raw_paths"] = "select doc_id, case doc_id % 4 when 0 then ' docs/' when 1 then '//' when 2 then 'docs/docs/' else '' end || replace(source, 'c', '//') || '/' || split_part(text, ' ', 1) || '/' || cast(doc_id as string) || '.txt//' as path from documents"
@@ -128,10 +128,10 @@ INPUTS["vague"] = """select conv_id, turn, case (conv_id + turn) % 6 when 0 then
     "needs_clarification",
     r"""with c as (select conv_id, turn, regexp_replace(q, '\s+', '', 'g') as q from vague), r as (select conv_id, turn, case when regexp_matches(q, '对比这两个|比较这两个') then 'missing_comparison_targets' when contains(q, '哪个更好') and not regexp_matches(q, '和|与|还是|对比|比较') then 'missing_candidates_and_criteria'
   when regexp_matches(q, '总结这个|分析这个|处理这个问题') then 'ambiguous_reference' when regexp_matches(q, '这个|这两个|那个|它|他们|上面|刚才') and length(q) <= 12 then 'short_ambiguous_reference' else '' end as reason from c)
-select conv_id, turn, reason <> '' as needed, reason, case reason when 'missing_comparison_targets' then 'comparison_targets' when 'missing_candidates_and_criteria' then 'candidates,criteria' when '' then '' else 'referent' end as slots from r""".replace("\\\\", "\\"),
+select conv_id, turn, reason <> '' as needed, reason, case reason when 'missing_comparison_targets' then 'comparison_targets' when 'missing_candidates_and_criteria' then 'candidates,criteria' when '' then '' else 'referent' end as slots, case reason when 'missing_comparison_targets' then '你想让我对比哪两个对象？请补充对象名称或对应文档范围。' when 'missing_candidates_and_criteria' then '你想比较哪些候选项？评价标准是性能、成本、稳定性，还是其他维度？' when 'ambiguous_reference' then '这里的“这个”具体指什么？请补充文档、问题对象或上下文范围。' when 'short_ambiguous_reference' then '你这里指的是哪个对象或哪段内容？请补充一下上下文。' else '' end as question from r""".replace("\\\\", "\\"),
 )
 def needs_clarification(t):
-    return t.vague.select("conv_id", "turn", Q.clarification(F.col("q")).alias("c")).select("conv_id", "turn", "c.needed", "c.reason", "c.slots")
+    return t.vague.select("conv_id", "turn", Q.clarification(F.col("q")).alias("c")).select("conv_id", "turn", "c.needed", "c.reason", "c.slots", "c.question")
 
 
 @query("rewrite_query_text", r"select conv_id, turn, md5('操作流程 ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) as text_md5 from conversations")
@@ -165,10 +165,11 @@ def extract_llm_json(t):
     return t.documents.select("doc_id", got["n"].alias("n_chars"), F.md5(got["t"]).alias("text_md5"))
 
 
-@query("dedupe_query_batch", r"with k as (select conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as q from conversations) select conv_id, turn, md5(q) as norm_md5, count(*) over (partition by q) as asked, conv_id * 100 + turn = min(conv_id * 100 + turn) over (partition by q) as runs from k")
+@query("dedupe_query_batch", r"with k as (select conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as q from conversations) select conv_id, turn, md5(q) as norm_md5, count(*) over (partition by q) as asked, conv_id * 100 + turn = min(conv_id * 100 + turn) over (partition by q) as runs, min(conv_id * 100 + turn) over (partition by q) as served_by, length(q) as result from k")
 def dedupe_query_batch(t):
     got = goldens.dedupe_query_batch(t.conversations.withColumn("request_id", F.col("conv_id") * 100 + F.col("turn")), "request_id", "text", 10)
-    return got.select("conv_id", "turn", F.md5("norm").alias("norm_md5"), "asked", "runs")
+    results = got.where("runs").select("request_id", F.length("norm").cast("long").alias("result"))  # what a search would give
+    return goldens.fan_back(got, results, "request_id").select("conv_id", "turn", F.md5("norm").alias("norm_md5"), "asked", "runs", "served_by", "result")
 
 
 @query("normalize_gold", "select item_id, 'p' || cast(item_id as string) || ',p9' as gold, 'q' || cast(item_id as string) as question from benchmark where item_id <> 9 union all select item_id, 'p9', 'q9' from benchmark where item_id = 9")
