@@ -95,8 +95,8 @@ CARRIED = ["c", "n", *PLANE]
 
 
 def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(token, before, c, n, plane_0 ...): each set under the coordinate-value pairs of its prefix, with those that stand
-    before it there.
+    """(token, apart, before, c, n, plane_0 ...): each set under the coordinate-value pairs of its prefix, with those that
+    stand before it there. apart is the smaller, the more its pairs are shared.
 
     All pairs are put in one order, rare ones first. Two sets that share at least `matches` of their pairs share one
     among the first COORDINATES - matches + 1 of either's. Pairs of a single set come first in the order and are never
@@ -106,9 +106,10 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     tokens = classes.select("c", F.explode(F.transform("signature", token)).alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "minhash-tokens")
     own = tokens.join(if_small(shared), "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("own"))
-    own = own.where(F.size("own") >= matches).select("c", F.slice("own", 1, F.size("own") - matches + 1)["token"].alias("own"))
-    each = own.join(classes.select(*CARRIED), "c").select("own", F.posexplode("own").alias("i", "token"), *CARRIED)
-    return materialise(each.select("token", F.slice("own", 1, F.col("i")).alias("before"), *CARRIED), "minhash-postings")
+    apart = F.aggregate("own", F.lit(0.0), lambda s, x: s - F.log(x["sets"].cast("double"))).alias("apart")
+    own = own.where(F.size("own") >= matches).select("c", apart, F.slice("own", 1, F.size("own") - matches + 1)["token"].alias("own"))
+    each = own.join(classes.select(*CARRIED), "c").select("own", "apart", F.posexplode("own").alias("i", "token"), *CARRIED)
+    return materialise(each.select("token", "apart", F.slice("own", 1, F.col("i")).alias("before"), *CARRIED), "minhash-postings")
 
 
 def _matching(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -167,8 +168,8 @@ def set_links(classes: DataFrame, rows: DataFrame, shingle_words: int, similarit
     """Links (a, b) between classes of equal sets that join exactly the classes which links of at least that similarity
     join, whatever their number: pairs that other links have joined already are left out.
 
-    First each class meets the hubs of its postings (the smallest class of each, and one drawn by hash) and is checked
-    against the FIRST most similar ones; that joins most of a large group of near copies by a few links a member. Then
+    First each class meets the hubs of its postings (the class of each whose pairs are shared most, as those of a text
+    that others are copies of, and one drawn by hash) and is checked against the FIRST most similar ones; that joins most of a large group of near copies by a few links a member. Then
     classes of different components meet. A pair either shares a rare shingle, or no more than the smaller number of
     common ones: the former come from the rare shingles' own short lists, the latter from the postings that still hold
     several components, where too few common shingles rule a pair out. Of any two components the most similar pair is
@@ -178,7 +179,7 @@ def set_links(classes: DataFrame, rows: DataFrame, shingle_words: int, similarit
     postings = prefix_postings(classes, matches)
     sets = _whole_sets(postings.select("c").distinct(), rows, classes, shingle_words)
     drawn = F.min(F.struct(F.xxhash64("token", "c").alias("draw"), *CARRIED)).alias("drawn")
-    hubs = postings.groupBy("token").agg(F.min(F.struct(*CARRIED)).alias("least"), drawn, F.count("*").alias("sets")).where("sets > 1")
+    hubs = postings.groupBy("token").agg(F.min(F.struct("apart", *CARRIED)).alias("least"), drawn, F.count("*").alias("sets")).where("sets > 1")
     hubs = hubs.select("token", F.explode(F.array(F.struct(*(F.col(f"least.{x}").alias(x) for x in CARRIED)), F.struct(*(F.col(f"drawn.{x}").alias(x) for x in CARRIED)))).alias("hub"))
     met = postings.alias("own").join(hubs, "token").where("hub.c <> own.c").where((_may_match("own", "hub") >= matches) & _sized("own", "hub", similarity))
     stars = met.select(F.col("own.c").alias("own"), F.least("hub.c", "own.c").alias("a"), F.greatest("hub.c", "own.c").alias("b")).distinct()
