@@ -3,19 +3,45 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from granary.llm.lm_score import ADDED, cross_entropy_difference, op8_cross_entropy_difference
+from granary.llm.lm_score import ADDED, BACKOFF, cross_entropy_difference, op8_cross_entropy_difference
 
 SCHEMA = "doc_id long, text string, n_words string"
 SF = "/root/testdata/sf0.001"
 
 
+def plain_models(target, background):
+    """P(word | word before) of either side, by dictionaries; None is a word of neither."""
+    words = lambda t: ["<s>", *(t or "").encode().lower().split()]
+    sides = []
+    for side in (target, background):
+        texts = [words(t) for t in side]
+        sides.append((Counter(w for t in texts for w in t[1:]), Counter(u for t in texts for u in t[:-1]), Counter(p for t in texts for p in zip(t, t[1:]))))
+    vocabulary = {*sides[0][0], *sides[1][0]}
+
+    def model(single, contexts, pairs):
+        alone = lambda w: (single[w] + ADDED) / (single.total() + ADDED * (len(vocabulary) + 1))
+        return lambda u, w: (pairs[u, w] + BACKOFF * alone(w)) / (contexts[u] + BACKOFF)
+
+    return vocabulary, [model(*s) for s in sides]
+
+
 def plain_losses(target, background, texts):
-    """The same two models by dictionaries."""
+    _, models = plain_models(target, background)
     pairs = lambda t: list(zip(["<s>", *(w := (t or "").encode().lower().split())], w))
-    sides = [Counter(p for t in side for p in pairs(t)) for side in (target, background)]
-    v = len(sides[0] | sides[1]) + 1
-    one = lambda c, t: np.mean([np.log(c.total() + ADDED * v) - np.log(c[p] + ADDED) for p in pairs(t)]) if pairs(t) else None
-    return [[one(c, t) for t in texts] for c in sides]
+    return [[np.mean([-np.log(p(u, w)) for u, w in pairs(t)]) if pairs(t) else None for t in texts] for p in models]
+
+
+def test_probabilities_after_a_context_add_up_to_one(spark):
+    """Losses of two-word texts are turned back into the probabilities of their second words."""
+    target, background = ["a b a c", "b"], ["a b", "c c a b d"]
+    vocabulary, models = plain_models(target, background)
+    names = [w.decode() for w in sorted(vocabulary)] + ["never-seen"]
+    for side, p in zip(("target_loss", "background_loss"), models):
+        for before in (b"a", b"d", b"new"):
+            assert sum(p(before, w.encode()) for w in names) == pytest.approx(1)
+            texts = [f"{before.decode()} {w}" for w in names] + [before.decode()]
+            found = {r.doc_id: r[side] for r in cross_entropy_difference(table(spark, texts), table(spark, target), table(spark, background)).collect()}
+            assert sum(np.exp(found[len(names)] - 2 * found[i]) for i in range(len(names))) == pytest.approx(1)
 
 
 def table(spark, texts):
