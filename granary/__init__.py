@@ -1 +1,10 @@
-"""Corpus preparation, indexing, batch retrieval and evaluation jobs as Spark DataFrames."""
+"""Corpus preparation, indexing, batch retrieval and evaluation jobs as Spark DataFrames.
+
+Functions that run in Python workers are pickled by value, so a cluster needs no copy of this package on its executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

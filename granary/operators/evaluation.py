@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,8 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from granary.functions.tables import written
 from granary.functions.text import BLANK, char_grams, filled, normalize_path, overlap_of, page_numbers, strip
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
-
 #: Fixed value: the cut-offs that metrics are reported at.
 CUTS = [1, 3, 5, 10]
 

@@ -24,18 +24,20 @@ UNIT = re.compile(r"[一-鿿]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_一-鿿]")
 SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n+|$)\s*")
 
 
-def per_document(rows: DataFrame, columns: list[str], expand: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """Runs expand(*values) on each row's columns; its tuples are the rows of schema, after doc_id."""
+def per_document(rows: DataFrame, columns: list[str], expand: Callable[..., list[tuple]] | None, schema: str, start: Callable | None = None) -> DataFrame:
+    """Runs expand(*values) on each row's columns; its tuples are the rows of schema, after doc_id. start() may give
+    expand once a task instead, where it needs something loaded."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start() if start else expand
         for batch in batches:
             owner, out = [], []
             for i, values in enumerate(zip(*(batch.column(k + 1).to_pylist() for k in range(len(columns))))):
-                own = expand(*values)
+                own = step(*values)
                 owner += [i] * len(own)
                 out += own
             filled = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)]
@@ -159,24 +161,41 @@ def pack_units(pieces: list[tuple[str, int]], budget: int, overlap: int) -> list
     return [*out, now] if fresh else out
 
 
-def sentence_pieces(text: str, most: int) -> list[tuple[str, int]]:
-    """Sentences and lines with their units; one above `most` is cut at units."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        piece = m.group()
-        if not piece.strip():
-            continue
-        marks = [u.start() for u in UNIT.finditer(piece)]
-        cuts = [0, *marks[most::most], len(piece)] if len(marks) > most else [0, len(piece)]
-        out += [(piece[a:b], min(most, len(marks) - k * most)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+def unit_spans(text: str) -> list[tuple[int, int]]:
+    """Where words, CJK characters and marks stand in a text."""
+    return [m.span() for m in UNIT.finditer(text)]
+
+
+def token_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """The same for the tokens of a tokenizer's file, without added special tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
+
+
+def sentence_pieces(text: str, most: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans) -> list[tuple[str, int]]:
+    """Sentences and lines with their sizes in units or tokens; one above `most` is cut where they begin. A size is that
+    of the piece by itself, as a tokenizer may read it otherwise than in its sentence. A character is never cut."""
+    out, todo = [], [m.group() for m in SENTENCE.finditer(text) if m.group().strip()][::-1]
+    while todo:
+        piece = todo.pop()
+        found = spans(piece)
+        at = [0, *sorted({found[k][0] for k in range(most, len(found), most)} - {0}), len(piece)]
+        if len(found) <= most or len(at) == 2:
+            out.append((piece, len(found)))
+        else:
+            todo += [piece[a:b] for a, b in zip(at, at[1:])][::-1]
     return out
 
 
-def chunk_tree(doc_id: Any, text: str, budgets: tuple[int, ...], overlap: int) -> list[tuple]:
+def chunk_tree(doc_id: Any, text: str, budgets: tuple[int, ...], overlap: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans) -> list[tuple]:
     """Chunks of all levels; each holds a run of its parent's pieces, so a child's text lies within its parent's."""
     out: list[tuple] = []
     roles = ["root", *["parent"] * (len(budgets) - 2), "leaf"] if len(budgets) > 1 else ["leaf"]
-    level: list[tuple[str | None, list[tuple[str, int]]]] = [(None, sentence_pieces(text or "", budgets[-1]))]
+    level: list[tuple[str | None, list[tuple[str, int]]]] = [(None, sentence_pieces(text or "", budgets[-1], spans))]
     for depth, (budget, role) in enumerate(zip(budgets, roles)):
         below = []
         for parent, pieces in level:
@@ -189,11 +208,18 @@ def chunk_tree(doc_id: Any, text: str, budgets: tuple[int, ...], overlap: int) -
     return out
 
 
-def hierarchical_chunks(documents: DataFrame, text_col: str = "text", budgets: tuple[int, ...] = (2048, 512, 128), overlap: int = 50) -> DataFrame:
+def hierarchical_chunks(documents: DataFrame, text_col: str = "text", budgets: tuple[int, ...] = (2048, 512, 128), overlap: int = 50, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, chunk_id, parent_id, chunk_role, level, ordinal, text): root, parent and leaf chunks by budgets of
-    units (words, CJK characters, marks). Ids are digests, so equal documents give equal chunks wherever they run."""
+    tokens, where the path of a tokenizer's file is given (it must exist on executors), else of units (words, CJK
+    characters, marks). Sentences are packed whole; one above the smallest budget is cut where a token begins. Ids are
+    digests, so equal documents give equal chunks wherever they run."""
     rows = documents.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.col(text_col).alias("text"))
-    return per_document(rows, ["name", "text"], lambda name, text: chunk_tree(name, text, budgets, overlap), CHUNK)
+
+    def start() -> Callable:
+        spans = token_spans(tokenizer) if tokenizer else unit_spans
+        return lambda name, text: chunk_tree(name, text, budgets, overlap, spans)
+
+    return per_document(rows, ["name", "text"], None, CHUNK, start)
 
 
 def table_parts(text: str, most: int) -> list[tuple]:

@@ -69,6 +69,23 @@ def write_ingestion_report(t):
     return t.spark.read.schema(rollup.schema).json(f"{path}/summary")
 
 
+LENGTHS = "count(*) as count, coalesce(round(avg(n), 2), 0) as avg_length, coalesce(min(n), 0) as min_length, coalesce(max(n), 0) as max_length"
+
+
+@query(
+    "ingestion_run_report",
+    rf"""with c as (select chunk_role, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) as n from chunks), d as (select length(regexp_replace(text, '^\s+|\s+$', '', 'g')) as n from documents)
+select 'chunk' as part, {LENGTHS}, count(case when n < 50 then 1 end) as short_count, count(case when n > 1500 then 1 end) as long_count from c
+union all select 'section', {LENGTHS}, count(case when n < 800 then 1 end), count(case when n > 4000 then 1 end) from d
+union all select r.role, {LENGTHS.replace("count(*)", "count(n)")}, null, null from (values ('root'), ('parent'), ('leaf')) r(role) left join c on c.chunk_role = r.role group by 1""",
+)
+def ingestion_run_report(t):
+    """A run that writes the derived chunks, and whole documents as sections; its report read back."""
+    path = files.work_dir(t.spark, "run")
+    files.write_run(t.chunks, t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), t.run_items, path, {"run_id": "test", "status": "done"})
+    return files.read_run_report(t.spark, path)
+
+
 @query("docx_blocks")
 def docx_blocks(t):
     """Every document as a DOCX file: its lines as paragraphs, the first as a heading."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from granary.functions.queries import rewrite
@@ -70,7 +71,8 @@ def blocks_to_markdown(t):
 
 @query("hierarchical_chunks")
 def hierarchical_chunks(t):
-    return sections.hierarchical_chunks(t.documents)
+    """By tokens of a public tokenizer."""
+    return sections.hierarchical_chunks(t.documents, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table_blocks(t):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.tables import work_dir  # noqa: F401
 from granary.functions.text import filled, strip
 from granary.operators.blocks import ordered_text
+from granary.operators.rollups import ingestion_rollup
 
 #: Fixed list of the file types that are taken in.
 SUFFIXES = [".txt", ".md", ".markdown", ".pdf", ".docx", ".html", ".htm"]
@@ -82,3 +85,63 @@ def write_ingestion_report(rollup: DataFrame, items: DataFrame, path: str) -> No
     """One JSON file a run: the roll-up's rows. Rows a document go beside it, as they grow with the collection."""
     rollup.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     items.write.mode("overwrite").json(f"{path}/documents")
+
+
+#: Lengths below and above which chunks and sections count as short and long.
+CHUNK_BOUNDS, SECTION_BOUNDS, ROLES = (50, 1500), (800, 4000), ["root", "parent", "leaf"]
+
+
+def _observed(name: str, text_col: str, bounds: tuple[int, int] | None = None, role: str | None = None) -> list[Column]:
+    """Length figures of all rows, or of one role's, as aggregates that are made while rows pass by."""
+    size = F.length(strip(F.coalesce(text_col, F.lit(""))))
+    size = size if role is None else F.when(F.col("chunk_role") == role, size)
+    out = {"count": F.count(size), "total": F.sum(size), "min": F.min(size), "max": F.max(size), "p": F.percentile_approx(size, [0.5, 0.9, 0.95], 10_000)}
+    if bounds:
+        out |= {"short": F.count_if(size < bounds[0]), "long": F.count_if(size > bounds[1])}
+    return [v.alias(f"{name}_{k}") for k, v in out.items()]
+
+
+def _figures(found: dict, name: str, bounds: tuple[int, int] | None = None) -> dict:
+    get = lambda k: found.get(f"{name}_{k}")
+    count, (p50, p90, p95) = get("count") or 0, get("p") or (0, 0, 0)
+    out = {"count": count, "avg_length": round((get("total") or 0) / count, 2) if count else 0.0, "p50_length": p50, "p90_length": p90, "p95_length": p95, "min_length": get("min") or 0, "max_length": get("max") or 0}
+    return out if bounds is None else {"short_threshold": bounds[0], "long_threshold": bounds[1], "short_count": get("short") or 0, "long_count": get("long") or 0, **out}
+
+
+def write_run(chunks: DataFrame, sections: DataFrame, items: DataFrame, path: str, run: dict | None = None) -> dict:
+    """Writes a run's chunks (chunk_id, doc_id, chunk_role, text ...) and sections (doc_id, text ...) below path, and its
+    report, which is returned: one nested JSON file of the run's fields, the roll-up of its items, and the lengths of
+    chunks, sections and chunks by role.
+
+    The figures are observed metrics: they are counted while chunks and sections are written, so no text is read again
+    and nothing but them reaches the driver. Percentiles are approximate, by a ten-thousandth of the rows. Figures a
+    document and a file type, whose number grows with the collection, are files of rows beside the report, made from
+    the written files' narrow columns; so are the items. A report counts once its file is there: it is written last."""
+    spark = chunks.sparkSession
+    seen = {"chunks": Observation(), "sections": Observation()}
+    by_role = [c for role in ROLES for c in _observed(role, "text", None, role)]
+    chunks.observe(seen["chunks"], *_observed("chunk", "text", CHUNK_BOUNDS), *by_role).write.mode("overwrite").parquet(f"{path}/chunks")
+    sections.observe(seen["sections"], *_observed("section", "text", SECTION_BOUNDS)).write.mode("overwrite").parquet(f"{path}/sections")
+    stored, cut = (spark.read.schema(df.schema).parquet(f"{path}/{name}") for df, name in ((chunks, "chunks"), (sections, "sections")))
+    per_doc = stored.groupBy("doc_id").agg(F.count("*").alias("chunks"), *(F.count_if(F.col("chunk_role") == r).alias(r) for r in ROLES))
+    per_doc.join(cut.groupBy("doc_id").agg(F.count("*").alias("sections")), "doc_id", "full").na.fill(0).write.mode("overwrite").json(f"{path}/documents")
+    items.write.mode("overwrite").json(f"{path}/items")
+    rollup = [r.asDict() for r in ingestion_rollup(items).collect()]  # a row a file type and a failed stage
+    found = seen["chunks"].get | seen["sections"].get
+    report = {
+        **(run or {}),
+        "rollup": rollup,
+        "chunk_stats": _figures(found, "chunk", CHUNK_BOUNDS),
+        "section_stats": _figures(found, "section", SECTION_BOUNDS),
+        "hierarchy_stats": {role: _figures(found, role) for role in ROLES},
+    }
+    spark.createDataFrame([(json.dumps(report, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    return report
+
+
+def read_run_report(spark: SparkSession, path: str) -> DataFrame:
+    """(part, count, avg_length, min_length, max_length, short_count, long_count): the lengths of a run's report."""
+    one = "struct<count:long,avg_length:double,min_length:long,max_length:long,short_count:long,long_count:long>"
+    rows = spark.read.schema(f"chunk_stats {one}, section_stats {one}, hierarchy_stats struct<{','.join(f'{r}:{one}' for r in ROLES)}>").json(f"{path}/report")
+    parts = [("chunk", F.col("chunk_stats")), ("section", F.col("section_stats")), *((r, F.col("hierarchy_stats")[r]) for r in ROLES)]
+    return rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("part"), c.alias("s")) for n, c in parts))).alias("x")).select("x.part", "x.s.*")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +14,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from granary.functions.tables import written
 from granary.operators.memory import RECENT, TRIGGER
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
-
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 24 * 3600 * 1000
 MEMORY = "session_id long, action string, message_count long, recent_ids array<long>, evicted_message_count long, new_message_ids array<long>, covered_until_message_id long, covered_message_count long"

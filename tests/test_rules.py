@@ -152,3 +152,20 @@ def test_why_a_session_is_not_compressed(spark):
     s = spark.createDataFrame([(3, 6, 7)], "session_id long, covered_until_message_id long, covered_message_count long")
     got = {r.session_id: (r.should_compress, r.skip_reason, r.estimated_tokens, r.token_trigger) for r in memory.compression_plan(m, s).collect()}
     assert got == {1: (False, "message_count_not_exceed_trigger", 3000, True), 2: (True, "", 3, False), 3: (False, "no_new_messages_after_summary_boundary", 0, False)}
+
+
+def test_run_report_counts_while_it_writes(spark, tmp_path):
+    from granary.sources import files
+
+    chunks = spark.createDataFrame([("r", "d", "root", "x" * 5000), ("a", "d", "leaf", " " + "y" * 40), ("b", "d", "leaf", "z" * 60), ("c", "e", "leaf", None)], "chunk_id string, doc_id string, chunk_role string, text string")
+    sections = spark.createDataFrame([("d", "s" * 900), ("d", "t" * 10), ("f", "u" * 5000)], "doc_id string, text string")
+    items = spark.createDataFrame([(".txt", "success", "chunk", 3, 2), (".pdf", "failed", "parse", 1, None)], "file_type string, status string, stage string, block_count int, chunk_count int")
+    said = files.write_run(chunks, sections, items, f"{tmp_path}/run", {"run_id": "r1"})
+    stored = json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/run/report").collect()))
+    assert stored == json.loads(json.dumps(said)) and stored["run_id"] == "r1"
+    assert stored["chunk_stats"] == {"short_threshold": 50, "long_threshold": 1500, "short_count": 2, "long_count": 1, "count": 4, "avg_length": 1275.0, "p50_length": 40, "p90_length": 5000, "p95_length": 5000, "min_length": 0, "max_length": 5000}
+    assert (stored["section_stats"]["count"], stored["section_stats"]["short_count"], stored["section_stats"]["long_count"]) == (3, 1, 1)
+    assert stored["hierarchy_stats"]["leaf"]["count"] == 3 and stored["hierarchy_stats"]["parent"] == {"count": 0, "avg_length": 0.0, "p50_length": 0, "p90_length": 0, "p95_length": 0, "min_length": 0, "max_length": 0}
+    assert {(r["scope"], r["value"]): r["documents"] for r in stored["rollup"]} == {("all", ""): 2, ("file_type", ".txt"): 1, ("file_type", ".pdf"): 1, ("failed_stage", "parse"): 1}
+    rows = {r.doc_id: (r.chunks, r.leaf, r.sections) for r in spark.read.json(f"{tmp_path}/run/documents").collect()}
+    assert rows == {"d": (3, 2, 2), "e": (1, 1, 0), "f": (0, 0, 1)}
