@@ -218,10 +218,33 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
 
 
 def blocks_to_markdown(blocks: DataFrame) -> DataFrame:
-    """(doc_id, markdown): each block with its type's prefix, and a break where the page changes."""
-    last = F.last("page_no", ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
-    text = T.strip(F.coalesce("text", F.lit("")))
-    prefix = F.when(F.col("block_type") == "title", "## ").when(F.col("block_type") == "list_item", "- ").otherwise("")
-    turn = F.when(F.col("page_no").isNotNull() & ~F.col("page_no").eqNullSafe(last), F.concat(F.lit("--- page "), F.col("page_no").cast("string"), F.lit(" ---\n\n"))).otherwise("")
-    rows = blocks.withColumn("line", F.concat(turn, prefix, text)).where(text != "")
-    return ordered_text(rows, "doc_id", "block_index", F.col("line"), "markdown", "\n\n")
+    """(doc_id, markdown): blocks in order, blank ones too. A rule and a heading come where the page changes, before each
+    block a comment with its place and type, and a table stands as its HTML where it has some."""
+    order = by_doc()
+    last = F.last("page_no", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    text, html = F.coalesce("text", F.lit("")), F.nullif("html", F.lit("")) if "html" in blocks.columns else F.lit(None).cast("string")
+    turn = F.when(F.col("page_no").isNotNull() & ~F.col("page_no").eqNullSafe(last), F.concat(F.lit("\n---\n\n## Page "), F.col("page_no").cast("string"), F.lit("\n"))).otherwise("")
+    comment = F.concat(F.lit("<!-- block_index="), (F.row_number().over(order) - 1).cast("string"), F.lit(" block_type="), F.col("block_type"), F.lit(" -->\n"))
+    body = F.when(F.col("block_type") == "title", F.concat(F.lit("## "), text)).when(F.col("block_type") == "list_item", F.concat(F.lit("- "), text)).when(F.col("block_type") == "table", F.coalesce(html, text)).otherwise(text)
+    rows = ordered_text(blocks.withColumn("line", F.concat(turn, comment, body, F.lit("\n"))), "doc_id", "block_index", F.col("line"), "markdown", "")
+    return rows.withColumn("markdown", F.concat(T.strip(F.col("markdown")), F.lit("\n")))
+
+
+def with_audit_header(markdown: DataFrame, paths: DataFrame) -> DataFrame:
+    """(doc_id, markdown) with a front matter of doc_id and source_path, which front_matter reads back."""
+    head = F.concat(F.lit("---\ndoc_id: "), F.col("doc_id").cast("string"), F.lit("\nsource_path: "), F.coalesce("source_path", F.lit("")), F.lit("\n---\n\n"))
+    return markdown.join(paths.select("doc_id", "source_path"), "doc_id", "left").select("doc_id", F.concat(head, "markdown").alias("markdown"))
+
+
+def front_matter(text: Column) -> Column:
+    """struct(fields map<string,string>, body): the keys and values between two lines of dashes at a text's beginning,
+    values without quotes around them, of equal keys the last; a text without such lines is all body, without fields."""
+    block = F.regexp_extract(text, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 0)
+    inside = F.regexp_replace(F.regexp_replace(block, r"\A---[ \t]*\r?\n", ""), r"\r?\n---[ \t]*(?:\r?\n)?\z", "")
+    pairs = F.filter(F.split(inside, r"\r?\n"), lambda x: x.rlike(r"^\s*[^:\s][^:]*:"))
+    key = lambda x: T.strip(F.regexp_extract(x, r"^([^:]*):", 1))
+    value = lambda x: F.regexp_replace(T.strip(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"']|[\"']$", "")
+    names = F.transform(pairs, key)
+    kept = F.filter(F.transform(pairs, lambda x, i: F.struct(key(x).alias("key"), value(x).alias("value"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(names, e["i"] + 2, F.size(names) + 1), e["key"]))
+    fields = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+    return F.struct(F.when(block == "", F.create_map().cast("map<string,string>")).otherwise(fields).alias("fields"), F.substr(text, F.length(block) + 1).alias("body"))

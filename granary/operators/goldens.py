@@ -26,10 +26,27 @@ def canonical_metadata(m: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in fields.items()), name.alias("file_name"), F.when(role.isin(ROLES), role).otherwise("unknown").alias("chunk_role"))
 
 
-def source_payload(m: Column) -> Column:
-    """Typed fields of a hit's map; what doesn't parse is null."""
-    number = lambda k, kind: strip(m[k]).try_cast(kind)
-    return F.struct(number("score", "double").alias("score"), number("merge_ratio", "double").alias("merge_ratio"), *(number(k, "int").alias(k) for k in ("chunk_index", "rank", "child_count", "total_child_count")), canonical_metadata(m).alias("meta"))
+def source_payload(m: Column, text: Column, score: Column) -> Column:
+    """The fields of a hit as it is shown, of its map, text and score. A parent's path, title and pages come before its
+    own, a child's id before the chunk's, a mode before the role; what is missing is '', a number that doesn't parse null."""
+    meta, first = canonical_metadata(m), lambda *keys: first_filled(*(m[k] for k in keys))
+    fields = {
+        "text": F.coalesce(text, F.lit("")),
+        "score": score.cast("double"),
+        **{k: meta[k] for k in ("doc_id", "file_name", "source_path", "chunk_id")},
+        "retrieval_mode": first("retrieval_mode", "chunk_role"),
+        "parent_id": meta["parent_id"],
+        "parent_source_path": first_filled(m["parent_source_path"], meta["source_path"]),
+        "parent_section_title": first("parent_section_title", "section_title"),
+        "parent_page_range": first("parent_page_range", "page_range"),
+        "child_chunk_id": first("child_chunk_id", "chunk_id"),
+        "table_id": first("table_id"),
+        "table_page_range": first("table_page_range"),
+        "auto_merged": F.coalesce(F.lower(strip(m["auto_merged"])).isin("true", "1"), F.lit(False)),
+        "merge_ratio": strip(m["merge_ratio"]).try_cast("double"),
+        **{k: strip(m[k]).try_cast("int") for k in ("merged_child_count", "total_child_count")},
+    }
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
 def source_label(file_name: Column, path: Column, pages: Column, section: Column, chunk: Column) -> Column:

@@ -77,11 +77,22 @@ def canonical_metadata(t):
     return t.chunks.select("chunk_id", m.alias("m")).select("chunk_id", goldens.canonical_metadata(F.col("m")).alias("c")).select("chunk_id", "c.doc_id", "c.source_path", "c.file_name", "c.chunk_role", "c.parent_id")
 
 
-@query("source_payload", "select query_id, rank, chunk_id, score, chunk_index, case when rank % 3 = 0 then null else rank end as safe_rank from hits")
+@query(
+    "source_payload",
+    """select query_id, rank, md5(text) as text_md5, score, doc_id, split_part(source_path, '/', 2) as file_name, source_path, chunk_id, case when rank % 2 = 0 then 'parent_child' else chunk_role end as retrieval_mode, coalesce(parent_id, '') as parent_id,
+  case when rank % 3 = 0 then 'up/' || chunk_id else source_path end as parent_source_path, case when rank % 3 = 0 then 'Up' else 'Own' end as parent_section_title, case when rank % 3 = 0 then '1-9' else page_range end as parent_page_range,
+  case when rank % 4 = 0 then 'child' else chunk_id end as child_chunk_id, table_id, case when table_id <> '' then page_range else '' end as table_page_range, rank % 5 = 0 as auto_merged, case when rank % 5 = 0 then 0.5 end as merge_ratio, case when rank % 5 = 0 then rank end as merged_child_count, case when rank % 7 <> 0 then 4 end as total_child_count from hits""",
+)
 def source_payload(t):
-    rows = t.hits.withColumn("metadata", F.create_map(F.lit("score"), F.col("score").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("rank"), F.when(F.col("rank") % 3 == 0, "x").otherwise(F.col("rank").cast("string"))))
-    typed = goldens.source_payload(F.col("metadata"))
-    return rows.select("query_id", "rank", "chunk_id", typed.alias("p")).select("query_id", "rank", "chunk_id", F.col("p.score").alias("score"), F.col("p.chunk_index").alias("chunk_index"), F.col("p.rank").alias("safe_rank"))
+    """Hits whose maps hold all fields, some of them, and numbers that are none."""
+    n = F.col("rank")
+    given = {
+        **{k: F.col(k) for k in ("doc_id", "source_path", "chunk_id", "chunk_role", "parent_id", "page_range", "table_id")},
+        "section_title": F.lit(" Own "), "retrieval_mode": F.when(n % 2 == 0, "parent_child"), "parent_source_path": F.when(n % 3 == 0, F.concat(F.lit("up/"), "chunk_id")), "parent_section_title": F.when(n % 3 == 0, "Up").otherwise(" "), "parent_page_range": F.when(n % 3 == 0, "1-9"),
+        "child_chunk_id": F.when(n % 4 == 0, "child"), "table_page_range": F.when(F.col("table_id") != "", F.col("page_range")), "auto_merged": F.when(n % 5 == 0, "True").otherwise("0"), "merge_ratio": F.when(n % 5 == 0, "0.5").otherwise("none"), "merged_child_count": F.when(n % 5 == 0, n.cast("string")), "total_child_count": F.when(n % 7 != 0, " 4 ").otherwise("4 of 5"),
+    }
+    m = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v.cast("string"))))
+    return t.hits.select("query_id", "rank", goldens.source_payload(m, F.col("text"), F.col("score")).alias("p")).select("query_id", "rank", "p.*").withColumn("text_md5", F.md5("text")).drop("text")
 
 
 #: Questions of the router's kinds: whole messages behind phrases that each rule looks for.

@@ -169,3 +169,19 @@ def test_run_report_counts_while_it_writes(spark, tmp_path):
     assert {(r["scope"], r["value"]): r["documents"] for r in stored["rollup"]} == {("all", ""): 2, ("file_type", ".txt"): 1, ("file_type", ".pdf"): 1, ("failed_stage", "parse"): 1}
     rows = {r.doc_id: (r.chunks, r.leaf, r.sections) for r in spark.read.json(f"{tmp_path}/run/documents").collect()}
     assert rows == {"d": (3, 2, 2), "e": (1, 1, 0), "f": (0, 0, 1)}
+
+
+def test_blocks_as_markdown_and_front_matter(spark):
+    from granary.operators import blocks as B
+
+    rows = [("d", 0, "title", "Head", None, 1), ("d", 3, "paragraph", "", None, 1), ("d", 5, "table", "| a |", "<table/>", None), ("d", 6, "list_item", "x", None, 2), ("d", 7, "table", "| b |", "", 2)]
+    blocks = spark.createDataFrame(rows, "doc_id string, block_index int, block_type string, text string, html string, page_no int")
+    made = B.blocks_to_markdown(blocks)
+    body = "---\n\n## Page 1\n<!-- block_index=0 block_type=title -->\n## Head\n<!-- block_index=1 block_type=paragraph -->\n\n<!-- block_index=2 block_type=table -->\n<table/>\n\n---\n\n## Page 2\n<!-- block_index=3 block_type=list_item -->\n- x\n<!-- block_index=4 block_type=table -->\n| b |\n"
+    assert made.first().markdown == body
+    whole = B.with_audit_header(made, spark.createDataFrame([("d", "a/b: c.md")], "doc_id string, source_path string"))
+    back = whole.select(B.front_matter(F.col("markdown")).alias("f")).first().f
+    assert back.fields == {"doc_id": "d", "source_path": "a/b: c.md"} and back.body == "\n" + body
+    texts = ["---\ntitle: \"A b\"\nempty:\ntitle: 'last'\nno pair\n---\nrest", "no header\n---\n", "---\nopen: x", "", "---\n\n---\nx"]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(B.front_matter(F.col("t")).alias("f")).collect()]
+    assert [(g.fields, g.body) for g in got] == [({"title": "last", "empty": ""}, "rest"), ({}, texts[1]), ({}, texts[2]), ({}, ""), ({}, "x")]
