@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +23,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+    if (kept := getattr(_SCRATCH, "paths", None)) is not None:
+        kept.append(path)
+    return path
+
+
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that the block made with work_dir, in this thread, at its end: for jobs that run for weeks.
+    What the block returns must not read them."""
+    outer, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, _SCRATCH.paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.paths = outer
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.tables import written
+from granary.functions.tables import scratch, written
 from granary.operators import blocks as B
 from granary.operators import bm25
 from granary.operators import sections as S
@@ -38,13 +38,14 @@ class IngestStore:
     and what the statistics change by. Then it adds its marker; readers see marked batches only. A batch that ran
     before finds its marker and does nothing, one that was cut short is written anew, so a restart repeats no work and
     loses none. Rows are also dealt to buckets by source path, and a batch reads the buckets it touches, so its cost
-    follows its size. compact() folds the log into one batch."""
+    follows its size. compact() folds the log into one batch; that happens by itself after fold_every batches, so readers
+    open a bounded number of folders. A batch's working tables are deleted when it is done."""
 
     STATE = "source_path string, doc_id string, sha256 string, deleted boolean"
     CHUNKS = "chunk_id string, doc_id string, source_path string, text string"
 
-    def __init__(self, spark: SparkSession, path: str, chunks_of: Callable[[DataFrame], DataFrame] = line_chunks, buckets: int = 64):
-        self.spark, self.path, self.chunks_of, self.buckets = spark, path, chunks_of, buckets
+    def __init__(self, spark: SparkSession, path: str, chunks_of: Callable[[DataFrame], DataFrame] = line_chunks, buckets: int = 64, fold_every: int = 32):
+        self.spark, self.path, self.chunks_of, self.buckets, self.fold_every = spark, path, chunks_of, buckets, fold_every
 
     def _marks(self) -> list[tuple[int, bool]]:
         """(batch, whether all before it is folded into it), a row a batch since the last folding."""
@@ -92,6 +93,12 @@ class IngestStore:
         of several rows of a path in one batch a deletion comes last, then the larger text."""
         if batch_id <= self.version():
             return
+        with scratch(self.spark):
+            self._take(batch, batch_id)
+            if len(self._marks()) >= self.fold_every:
+                self.compact()
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
         gone = F.coalesce("deleted", F.lit(False)) if "deleted" in batch.columns else F.lit(False)
         now = batch.select("source_path", F.struct(gone.alias("deleted"), "text", "doc_id").alias("d")).groupBy("source_path").agg(F.max("d").alias("d"))
         now = written(now.select("source_path", "d.*", F.sha2("d.text", 256).alias("sha256"), F.pmod(F.xxhash64("source_path"), F.lit(self.buckets)).cast("int").alias("bucket")), "ingest-batch")

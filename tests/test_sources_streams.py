@@ -82,3 +82,18 @@ def test_ingest_equals_a_batch_rebuild(spark, tmp_path):
     assert rows_of(frequencies) == rows_of(index.frequencies) and rows_of(totals) == rows_of(index.totals)
     unchanged = spark.read.parquet(f"{tmp_path}/store/state/part/version=1").count()
     assert 0 < unchanged < 60
+
+
+def test_ingest_folds_and_tidies_up(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    store = IngestStore(spark, f"{tmp_path}/store", buckets=2, fold_every=3)
+    work = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path) / "granary"
+    before = set(work.iterdir()) if work.exists() else set()
+    for i in range(4):
+        store.ingest(spark.createDataFrame([(f"p{i % 3}", f"p{i % 3}", f"word w{i}", None)], INGEST), i)
+    assert [whole for _, whole in store._marks()] == [True, False]  # folded after the third
+    assert rows_of(store.chunks().select("chunk_id", "text")) == [("p0:0", "word w3"), ("p1:0", "word w1"), ("p2:0", "word w2")]
+    assert rows_of(store.statistics()[0]) == [("w1", 1), ("w2", 1), ("w3", 1), ("word", 3)]
+    assert set(work.iterdir()) == before
