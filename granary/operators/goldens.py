@@ -76,6 +76,16 @@ def fan_back(requests: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
     return requests.join(ran, "cache_key").join(results.withColumnRenamed(id_col, "served_by"), "served_by", "left")
 
 
+def filing_year(filed: Column) -> Column:
+    """The year a filing's date begins with; a fixed name where there is no date."""
+    return F.coalesce(F.nullif(F.substring(F.coalesce(filed, F.lit("")), 1, 4), F.lit("")), F.lit("unknown_year"))
+
+
+def filing_path(ticker: Column, form: Column, year: Column, accession: Column, document: Column) -> Column:
+    """Where a filing's main document is kept, below the collection's folder."""
+    return F.concat_ws("/", F.lit("filings"), ticker, F.translate(form, " /", "__"), year, F.concat(accession, F.lit("_"), document))
+
+
 def explode_filings(index: DataFrame, columns: list[str], forms: list[str], most: int) -> DataFrame:
     """Columnar filing arrays as rows, up to the shortest array; the wanted forms, the first `most` of each."""
     shortest = F.least(*(F.size(c) for c in columns))

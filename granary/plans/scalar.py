@@ -189,28 +189,31 @@ def normalize_gold(t):
     return t.benchmark.select("item_id", F.array_join(goldens.gold_ids([F.array(F.concat(F.lit("p"), n), F.lit(" ")), F.array(F.lit("p9"))], [F.array(F.lit("d1"))]), ",").alias("gold"), T.first_filled(F.lit(" "), F.concat(F.lit("q"), n)).alias("question"))
 
 
-INPUTS["filings"] = "select c_mktsegment || cast(cast(floor(c_custkey / 200) as bigint) as string) as ticker, c_custkey as pos, case when c_custkey % 3 = 0 then '10-K' when c_custkey % 3 = 1 then '10-Q' else '8-K' end as form, c_name as accession from customer"
+INPUTS["filings"] = "select c_mktsegment || cast(cast(floor(c_custkey / 200) as bigint) as string) as ticker, c_custkey as pos, case when c_custkey % 3 = 0 then '10-K' when c_custkey % 3 = 1 then '10-Q' else '8-K/A x' end as form, c_name as accession, case when c_custkey % 7 = 0 then '' else cast(2001 + c_custkey % 20 as string) || '-03-01' end as filed from customer"
 
 
-@query("explode_filing_index", "select ticker, form, accession from (select *, row_number() over (partition by ticker, form order by pos) as nth from filings where form in ('10-K', '10-Q')) where nth <= 4")
+@query("explode_filing_index", "select ticker, form, accession, case when filed = '' then 'unknown_year' else substr(filed, 1, 4) end as year, 'filings/' || ticker || '/' || replace(replace(form, ' ', '_'), '/', '_') || '/' || case when filed = '' then 'unknown_year' else substr(filed, 1, 4) end || '/' || accession || '_main.htm' as path from (select *, row_number() over (partition by ticker, form order by pos) as nth from filings where form in ('10-K', '8-K/A x')) where nth <= 4")
 def explode_filing_index(t):
-    rows = t.filings.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "accession"))).alias("r"))
-    columns = rows.select("ticker", F.transform("r", lambda x: x["form"]).alias("form"), F.concat(F.transform("r", lambda x: x["accession"]), F.array(F.lit("past the shortest"))).alias("accession"))
-    return goldens.explode_filings(columns, ["form", "accession"], ["10-K", "10-Q"], 4)
+    rows = t.filings.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "accession", "filed"))).alias("r"))
+    columns = rows.select("ticker", F.col("r.form").alias("form"), F.col("r.filed").alias("filed"), F.concat(F.col("r.accession"), F.array(F.lit("past the shortest"))).alias("accession"))
+    found = goldens.explode_filings(columns, ["form", "accession", "filed"], ["10-K", "8-K/A x"], 4)
+    year = goldens.filing_year(F.col("filed"))
+    return found.select("ticker", "form", "accession", year.alias("year"), goldens.filing_path(F.col("ticker"), F.col("form"), year, F.col("accession"), F.lit("main.htm")).alias("path"))
 
 
-INPUTS["metrics_table"] = "select c_nationkey as ticker, c_mktsegment as metric, round(sum(c_acctbal), 2) as amount, case when c_nationkey % 4 = 0 then '元' else '千元' end as unit from customer group by c_nationkey, c_mktsegment"
+#: A row a customer and order status, so that it grows with the tables.
+INPUTS["metrics_table"] = "select o_custkey as ticker, o_orderstatus as metric, max(o_totalprice) as amount, case when o_custkey % 4 = 0 then '元' else '千元' end as unit from orders group by o_custkey, o_orderstatus"
 
 
-@query("cross_doc_metrics", "select a.ticker, a.amount as annual, q.amount as quarterly from metrics_table a join metrics_table q on a.ticker = q.ticker where a.metric = 'BUILDING' and q.metric = 'MACHINERY'")
+@query("cross_doc_metrics", "select a.ticker, a.amount as annual, q.amount as quarterly from metrics_table a join metrics_table q on a.ticker = q.ticker where a.metric = 'F' and q.metric = 'O'")
 def cross_doc_metrics(t):
-    return goldens.cross_doc_metrics(t.metrics_table.where("metric = 'BUILDING'"), t.metrics_table.where("metric = 'MACHINERY'"))
+    return goldens.cross_doc_metrics(t.metrics_table.where("metric = 'F'"), t.metrics_table.where("metric = 'O'"))
 
 
-@query("cross_entity_pairs", "select * from (select a.ticker as left_ticker, b.ticker as right_ticker, case when a.unit <> b.unit then 'not comparable' when cast(a.amount as decimal(38,6)) > cast(b.amount as decimal(38,6)) then 'higher' when cast(a.amount as decimal(38,6)) < cast(b.amount as decimal(38,6)) then 'lower' else 'equal' end as relation from metrics_table a join metrics_table b on a.ticker < b.ticker where a.metric = 'BUILDING' and b.metric = 'BUILDING') order by left_ticker, right_ticker limit 22")
+@query("cross_entity_pairs", "select * from (select a.ticker as left_ticker, b.ticker as right_ticker, case when a.unit <> b.unit then 'not comparable' when cast(a.amount as decimal(38,6)) > cast(b.amount as decimal(38,6)) then 'higher' when cast(a.amount as decimal(38,6)) < cast(b.amount as decimal(38,6)) then 'lower' else 'equal' end as relation from metrics_table a join metrics_table b on a.ticker < b.ticker where a.metric = 'F' and b.metric = 'F') order by left_ticker, right_ticker limit 22")
 def cross_entity_pairs(t):
     """The cap of 22 pairs belongs to the golden set."""
-    return goldens.cross_entity_pairs(t.metrics_table.where("metric = 'BUILDING'"), 22)
+    return goldens.cross_entity_pairs(t.metrics_table.where("metric = 'F'"), 22)
 
 
 @query("first_full_report", "select source, lang, min(path) as path from (select source, lang, lpad(cast(doc_id as string), 9, '0') || case when doc_id % 4 = 0 then '摘要' else '' end || '.pdf' as path from documents) where not contains(path, '摘要') group by 1, 2")
