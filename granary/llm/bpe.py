@@ -217,7 +217,9 @@ def _shared(spark: SparkSession, ranks: str, pattern: str):
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): each row's whole text by the ranks file at that path; no ids for null or empty."""
+    """(doc_id, ids array<int>): each row's whole text by the ranks file at that path; no ids for null or empty.
+
+    Repeated rows and null doc_ids give a row each, an empty table none; other columns are not read."""
     shared = _shared(docs.sparkSession, ranks, pattern)
 
     def make():
@@ -236,7 +238,9 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded binary): the bytes of each row's ids; null ids give no bytes. An unknown id is an error."""
+    """(doc_id, decoded binary): the bytes of each row's ids; null ids give no bytes. An unknown id is an error.
+
+    Repeated rows and null doc_ids give a row each, an empty table none; other columns are not read."""
     shared = _shared(encoded.sparkSession, ranks, pattern)
 
     def make():

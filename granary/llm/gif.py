@@ -321,7 +321,9 @@ def load(media: bytes) -> tuple[bytes, str]:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media binary): each row's whole text as a GIF file; null counts as empty."""
+    """(doc_id, media binary): each row's whole text as a GIF file; null counts as empty.
+
+    Repeated rows and null doc_ids give a row each, an empty table none; other columns are not read."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
