@@ -95,15 +95,13 @@ def _words(rows, words, before, follows, starts, part) -> list[np.ndarray]:
 
 
 def _grams_of_rows(rows, words, before, follows, starts, part) -> list[np.ndarray]:
-    grams = bigram_hashes(before, words)
-    own = grams & np.uint64(PARTS - 1) == part
-    return _summed([rows[own], grams[own]], [np.ones(own.sum(), np.int64)])
+    own = words & np.uint64(PARTS - 1) == part
+    return _summed([rows[own], bigram_hashes(before[own], words[own])], [np.ones(own.sum(), np.int64)])
 
 
 def _grams(rows, words, before, follows, starts, part) -> list[np.ndarray]:
-    grams = bigram_hashes(before, words)
-    own = grams & np.uint64(PARTS - 1) == part
-    return _summed([grams[own], words[own]], [np.ones(own.sum(), np.int64)])
+    own = words & np.uint64(PARTS - 1) == part
+    return _summed([bigram_hashes(before[own], words[own]), words[own]], [np.ones(own.sum(), np.int64)])
 
 
 def _two_sides(target: DataFrame, background: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
@@ -126,7 +124,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
 
     All words and bigrams of all texts count, however rare. Counts stay in Spark tables: a text's loss is a sum over
     its distinct words (the back-off and the contexts) and over its bigrams with a row of counts (what those add), so it
-    meets words and bigrams in one join each, part by part. Counts are partial sums before they are shuffled, and a hot
+    meets words and bigrams in one join each, part by part: a part has the words whose hashes end alike and the bigrams
+    that end with them, so its words are broadcast where they are few enough. Counts are partial sums before they are shuffled, and a hot
     word or bigram is one row of the small side of a join. Where docs are the background, bigrams that only occur once
     are known by their absence, and are not stored.
 
@@ -141,12 +140,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     words = materialise(_two_sides(counted(wanted), counted(whole), ["word"], ["n", "context"]), "lm-counts")
     # the beginning is no word: it has contexts only
     total = words.agg(F.coalesce(F.sum("t_n"), F.lit(0)).alias("t"), F.coalesce(F.sum("b_n"), F.lit(0)).alias("b"), F.count_if(F.col("t_n") + F.col("b_n") > 0).alias("v")).first()
-    small = if_small(words)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     backoff = lambda s: BACKOFF * (zero(f"{s}_n") + ADDED) / (total[s] + ADDED * (total.v + 1))
     least = {"t": 0, "b": once}
     sums = []
     for p in range(PARTS):
+        small = if_small(materialise(words.where(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == p), "lm-words-part"))
         met = _expanded(own, p, ["row", "word", "n", "context"], _words_of_rows).join(small, "word", "left")
         part = lambda s: F.sum(F.col("n") * F.log(least[s] + backoff(s)) - F.col("context") * F.log(zero(f"{s}_context") + BACKOFF)).alias(s)
         sums.append(materialise(met.groupBy("row").agg(part("t"), part("b")), "lm-word-sums"))
@@ -155,7 +154,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
         counts = counts.select("gram", "word", F.col("t_n").alias("t_both"), F.col("b_n").alias("b_both")).join(small, "word")
         more = lambda s: (F.log(F.col(f"{s}_both") + backoff(s)) - F.log(least[s] + backoff(s))).alias(s)
         counts = materialise(counts.select("gram", more("t"), more("b")), "lm-bigrams")
-        met = _expanded(own, p, ["row", "gram", "n"], _grams_of_rows).join(counts, "gram")
+        met = _expanded(own, p, ["row", "gram", "n"], _grams_of_rows).join(counts.hint("shuffle_hash"), "gram")
         sums.append(materialise(met.groupBy("row").agg(*(F.sum(F.col("n") * F.col(s)).alias(s) for s in "tb")), "lm-bigram-sums"))
         discard(counts)
     sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
