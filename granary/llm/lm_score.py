@@ -31,27 +31,27 @@ def bigram_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _sequences(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_words, words) of rows (doc_id, text): the words' hashes in order."""
+    """(doc_id, n_words, words) of rows (doc_id, text): the words' hashes in order, eight
+    bytes each."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [word_hashes(text_words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-            sizes = [len(f) for f in found]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["doc_id", "n_words", "words"])
+            found = [word_hashes(text_words(t)).tobytes() for t in batch.column(1).to_pylist()]
+            sizes = [len(f) // 8 for f in found]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_words", "words"])
 
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, make, f"doc_id {kind}, n_words long, words array<long>")
+    return map_batches(rows, make, f"doc_id {kind}, n_words long, words binary")
 
 
-def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    """The distinct tuples of keys, with the sums of values."""
+def _summed(keys: list[np.ndarray], values: list[np.ndarray], also: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """The distinct tuples of keys, what stands beside their first, and the sums of values."""
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     first = np.flatnonzero(np.logical_or.reduce([np.concatenate([np.ones(min(1, len(order)), bool), k[1:] != k[:-1]]) for k in keys]))
-    return [*(k[first] for k in keys), *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)]
+    return [*(k[first] for k in keys), *(x[order[first]] for x in also or []), *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)]
 
 
 def _expanded(own: DataFrame, part: int, names: list[str], take: Callable) -> DataFrame:
@@ -60,9 +60,10 @@ def _expanded(own: DataFrame, part: int, names: list[str], take: Callable) -> Da
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in batch.column(1)], np.int64)
-            words = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            rows = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            found, names_of_rows = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            sizes = np.array([len(x) // 8 for x in found], np.int64)
+            words = np.frombuffer(b"".join(found), np.uint64)
+            rows = np.repeat(np.arange(len(found), dtype=np.uint16), sizes)  # short numbers are sorted in one pass
             ends = np.cumsum(sizes)
             starts = (ends - sizes)[sizes > 0]
             before = np.concatenate([[BEGIN], words[:-1]]).astype(np.uint64)[: len(words)]
@@ -70,6 +71,8 @@ def _expanded(own: DataFrame, part: int, names: list[str], take: Callable) -> Da
             follows = np.ones(len(words), np.int64)
             follows[ends[sizes > 0] - 1] = 0
             columns = take(rows, words, before, follows, starts, part)
+            if names[0] == "row":
+                columns[0] = names_of_rows[columns[0]]
             return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
         return step
@@ -101,7 +104,7 @@ def _grams_of_rows(rows, words, before, follows, starts, part) -> list[np.ndarra
 
 def _grams(rows, words, before, follows, starts, part) -> list[np.ndarray]:
     own = words & np.uint64(PARTS - 1) == part
-    return _summed([bigram_hashes(before[own], words[own]), words[own]], [np.ones(own.sum(), np.int64)])
+    return _summed([bigram_hashes(before[own], words[own])], [np.ones(own.sum(), np.int64)], [words[own]])
 
 
 def _two_sides(target: DataFrame, background: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
