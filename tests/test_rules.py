@@ -107,6 +107,14 @@ def test_judgements_equal_brute_force_in_blocks(spark):
     assert E.best_nodes(e.limit(0), n).count() == 0 and E.best_nodes(e, n.limit(0)).count() == 0
 
 
+def test_texts_of_three_characters_are_the_trigram_they_spell(spark):
+    n = spark.createDataFrame([("n1", None, "s", "A b\nc"), ("n2", None, "s", "xx"), ("n3", None, "s", "cde xx")], "node_id string, parent_id string, path string, text string")
+    e = spark.createDataFrame([(1, "e1", "s", "xabcy"), (2, "e2", "s", "xcbay"), (3, "e3", "s", "cde"), (4, "e4", "s", "ab")], "query_id long, evidence_id string, path string, evidence_text string")
+    best = E.best_nodes(e, n)
+    assert rows_of(best.select("query_id", "node_id", "score")) == [(1, "n1", 1.0), (3, "n3", 1.0)]
+    assert rows_of(E.node_qrels_diagnostics(e, n, best=best).select("query_id", "selected_count")) == [(1, 1), (2, 0), (3, 1), (4, 0)]
+
+
 def test_brief_sections_join_their_neighbours(spark):
     long, mid = "x" * 900, "y" * 200
     block = lambda i, kind, text, page=None: ("d", i, kind, text, f"## {text}" if kind == "title" else text, page)
