@@ -147,7 +147,7 @@ def remove_repeated_lines(t):
 n as (select doc_id, block_index, block_type, {NORM} as text from small),
 x as (select *, block_type = 'title' and length(text) between 1 and 2 as frag from n),
 i as (select *, coalesce(sum(case when frag then 0 else 1 end) over (partition by doc_id order by block_index rows between unbounded preceding and 1 preceding), 0) as island from x),
-g as (select *, string_agg(case when frag then text end, '') over w as carry, last(frag) over w as open_end, last(block_type) over w as last_type, lead(frag) over (partition by doc_id, island order by block_index) as tail from i
+g as (select *, string_agg(case when frag then text end, '' order by block_index) over w as carry, last_value(frag) over w as open_end, last_value(block_type) over w as last_type, lead(frag) over (partition by doc_id, island order by block_index) as tail from i
   window w as (partition by doc_id, island order by block_index rows between unbounded preceding and unbounded following)),
 o as (select *, frag and not coalesce(tail, false) and (open_end or last_type <> 'title') as demoted from g),
 e as (select doc_id, block_index, demoted, block_type, case when demoted then carry when not frag and block_type = 'title' and carry is not null then carry || text else text end as text from o where not frag or demoted)

@@ -22,3 +22,8 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_window_aggregates_of_title_fragments_state_their_order():
+    sql = all_oracles()["merge_title_fragments"]
+    assert "string_agg(case when frag then text end, '' order by block_index) over w" in sql and " last(" not in sql
