@@ -124,9 +124,9 @@ class Bm25Store:
         touched = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # at most as many as there are buckets
         return asked.drop("bucket"), self.index(touched)
 
-    def score(self, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", chunk_name: Column | None = None) -> DataFrame:
+    def score(self, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", chunk_name: Column | None = None, k: int | None = None) -> DataFrame:
         """(query_id, chunk_id, score) as bm25.score gives them; chunk_name may give chunks another id."""
         asked, index = self.opened(queries, query_col, text_col)
         if chunk_name is not None:
             index = replace(index, postings=index.postings.withColumn("chunk_id", chunk_name))
-        return score_asked(index, asked)
+        return score_asked(index, asked, k=k)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from granary.functions.queries import rewrite
+from granary.functions.tables import written
 from granary.operators import blocks as B
 from granary.operators import bm25, fusion, sections
 from granary.plans.ingest import blocks as line_blocks
@@ -105,7 +106,7 @@ def retry_bad_queries(t):
     store = store_of(t)
     asked = t.benchmark.selectExpr("item_id as query_id", "text")
     text = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_path"), "text")
-    run = lambda q, k: bm25.top_k(store.score(q), k, F.desc(F.round("score", 9))).join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
+    run = lambda q, k: written(bm25.top_k(store.score(q, k=k), k, F.desc(F.round("score", 9))), "retry-run").join(text, "chunk_id").withColumn("auto_merged", F.lit(False))
     first = run(asked, 5)
     bad = fusion.retrieval_quality(asked, first, min_top1=100.0).where("quality = 'bad'").select("query_id")
     again = run(asked.join(bad, "query_id").select("query_id", rewrite(F.col("text"))["rewritten"].alias("text")), 10)

@@ -62,8 +62,8 @@ def store_of(t):
     return Bm25Store(t.spark, STORES[key], 32)
 
 
-def scores_of(t):
-    return store_of(t).score(t.benchmark, "item_id")
+def scores_of(t, k=None):
+    return store_of(t).score(t.benchmark, "item_id", k=k)
 
 
 @query("bm25_tokens", rf"select doc_id, array_to_string({TOKENS}, ' ') as tokens, len({TOKENS}) as n from documents")
@@ -87,7 +87,7 @@ BM25_TOP = "row_number() over (partition by query_id order by round(score, 9) de
 
 @query("bm25_topk", f"with {SCORED} select * from (select query_id, chunk_id, round(score, 6) as score, {BM25_TOP} as rank from scored where score > 0) where rank <= 20")
 def bm25_topk(t):
-    return bm25.top_k(scores_of(t), 20, F.desc(F.round("score", 9))).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return bm25.top_k(scores_of(t, 20), 20, F.desc(F.round("score", 9))).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -135,7 +135,7 @@ fused as (select * from (select query_id, chunk_id, score, row_number() over (pa
 
 @query("rrf_fuse", f"with {SEARCHED} select query_id, chunk_id, round(score, 9) as score, rank from fused where rank <= 10")
 def rrf_fuse(t):
-    return search.candidate_lists(t.searches, store_of(t).score(t.searches), vectors_of(t))["hybrid"].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return search.candidate_lists(t.searches, store_of(t).score(t.searches, k=20), vectors_of(t))["hybrid"].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 def vectors_of(t):
@@ -214,7 +214,7 @@ select split_part(query_id, ':', 1) as strategy, split_part(query_id, ':', 2) as
 def hybrid_search(t):
     """Every query by bm25, by vectors and by both, with parents and tables for context; documents are the chunks."""
     chunk = lambda df: df.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
-    scored = store_of(t).score(t.searches, chunk_name=F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
+    scored = store_of(t).score(t.searches, chunk_name=F.concat(F.lit("c"), F.col("chunk_id").cast("string")), k=20)
     got = search.hybrid_search(t.searches, scored, chunk(vectors_of(t)), t.chunks)
     return got.select("strategy", "query_id", F.col("rank").alias("place"), "chunk_id", F.md5("text").alias("text_md5"))
 

@@ -1,5 +1,6 @@
 """The stored index: changes equal a rebuild, readers open few buckets, a failed change leaves everything as it was."""
 
+import math
 import re
 
 import pytest
@@ -87,3 +88,30 @@ def test_empty_corpus(spark, tmp_path):
     store.apply(frame(spark, []))
     assert store.postings().count() == 0 and rows_of(store.totals()) == [(0, 0)]
     assert store.score(spark.createDataFrame([(1, "cat")], "query_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block, chunks, postings", [(2_000_000, 256, 8192), (40, 3, 5)])
+def test_no_row_of_a_pair_is_shuffled(spark, tmp_path, monkeypatch, block, chunks, postings):
+    for name, value in (("BLOCK_ROWS", block), ("QUERY_BLOCK", chunks), ("CHUNK_SLICE", chunks), ("POSTING_SLICE", postings)):
+        monkeypatch.setattr(bm25, name, value)
+    words = "ant bee cat dog elk fox gnu hen".split()
+    rows = [(i, " ".join(words[(i * k) % 8] for k in range(1, 2 + i % 7))) for i in range(120)] + [(500 + i, "bee cat") for i in range(30)]
+    queries = spark.createDataFrame([(i, f"{words[i % 8]} {words[i * 3 % 8]} cat unknown") for i in range(20)], "query_id long, text string")
+    store = Bm25Store(spark, f"{tmp_path}/index", 4)
+    store.apply(frame(spark, rows))
+    freq, totals = {r.token: r.df for r in store.frequencies().collect()}, store.totals().first()
+    texts, want = {i: t.split() for i, t in rows}, {}
+    for q, text in queries.collect():
+        for i, own in texts.items():
+            s = sum(math.log(1 + (totals.n - freq[w] + 0.5) / (freq[w] + 0.5)) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / (totals.sum_len / totals.n))) for w in text.split() if w in own)
+            if s > 0:
+                want.setdefault(q, []).append((-round(s, 9), i))
+    every = store.score(queries)
+    assert "hashpartitioning(query_id" not in every._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(every.select("query_id", "chunk_id", F.round("score", 6))) == sorted((q, i, round(-s, 6)) for q, found in want.items() for s, i in found)
+    few = store.score(queries, k=4)
+    assert few.count() < every.count()
+    top = bm25.top_k(few, 4, F.desc(F.round("score", 9)))
+    assert rows_of(top.select("query_id", "rank", "chunk_id")) == sorted((q, n + 1, i) for q, found in want.items() for n, (_, i) in enumerate(sorted(found)[:4]))
+    named = bm25.top_k(store.score(queries, chunk_name=F.concat(F.lit("c"), F.col("chunk_id").cast("string")), k=4), 4, F.desc(F.round("score", 9)))
+    assert rows_of(named.select("query_id", "rank", "chunk_id")) == sorted((q, n + 1, c) for q, found in want.items() for n, (_, c) in enumerate(sorted((s, f"c{i}") for s, i in found)[:4]))
