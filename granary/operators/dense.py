@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from granary.functions.tables import written
 from granary.operators.bm25 import top_k
 
-#: Query vectors that are multiplied at a time, and digits of a score that count.
-QUERY_BLOCK, DIGITS = 1024, 9
+#: Query vectors and rows that are multiplied at a time, and digits of a score that count.
+QUERY_BLOCK, ROW_SLICE, DIGITS = 1024, 1024, 9
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, query_col: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", block_queries: int = 50_000) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k vectors of largest cosine similarity to each query.
 
-    Queries go through in blocks of about block_queries, dealt by hash: a block is broadcast, every Arrow batch of
-    vectors is multiplied with it, each task keeps a running top k of each query, and only those rows are shuffled.
+    Queries go through in blocks of about block_queries, dealt by hash: a block is broadcast, every ROW_SLICE vectors are
+    multiplied with QUERY_BLOCK of it at a time, each task keeps a running top k of each query, and only those rows are
+    shuffled.
     Scores are compared at nine digits; ties go by chunk_id, so one very common vector takes no more rows than others.
     Rows with a null or zero vector match nothing."""
     asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
@@ -47,8 +48,8 @@ def _best(asked: DataFrame, rows: DataFrame, k: int, schema: str) -> DataFrame:
         names, q = shared.value
         kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by block: query number, id, score
         kind = None
-        for batch in batches:
-            if not batch.num_rows or not len(q):
+        for batch in (b.slice(at, ROW_SLICE) for b in batches for at in range(0, b.num_rows, ROW_SLICE)):
+            if not len(q):
                 continue
             kind = batch.column(0).type
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)

@@ -209,6 +209,17 @@ def test_dense_search_in_query_blocks(spark):
     assert got[7] == got[1000] and [c for q, c, _ in got[7] if q == 3] == [3, 10, 17, 24, 31]
 
 
+def test_dense_search_multiplies_few_rows_at_a_time(spark, monkeypatch):
+    """A batch is cut, so what is held doesn't follow the batch's size; the rows are the same."""
+    vectors = spark.range(3000).selectExpr("id as chunk_id", "array(cast(sin(id) as float), cast(cos(id * 3) as float), cast(id % 5 as float)) as embedding").coalesce(1)
+    asked = vectors.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {}
+    for n in (100_000, 16):
+        monkeypatch.setattr(dense, "ROW_SLICE", n)
+        got[n] = sorted(map(tuple, dense.dense_topk(asked, vectors, 7).select("query_id", "chunk_id", "rank").collect()))
+    assert got[16] == got[100_000] and len(got[16]) == 30 * 7
+
+
 def test_golden_set_repeats_harder_questions_up_to_its_target(spark):
     metric = "ticker string, company string, rel_path string, page int, unit string, page_text string, metric string, values array<string>, snippet string"
     annual = spark.createDataFrame([(k, f"C{k}", f"{k}/a.pdf", 2, "元", "page", m, v, "") for k, v in (("1", ["5", "4", "25%"]), ("2", ["7"])) for m in ("revenue", "eps")], metric)
