@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.tables import numbered
+from granary.functions.tables import numbered, written
 from granary.functions.text import filled, strip, to_decimal
 
 #: Fixed labels of metrics and profile fields.
@@ -132,9 +132,9 @@ def golden_questions(annual: DataFrame, quarterly: DataFrame, profiles: DataFram
     hard = _record(annual.where(col("metric").isin(list(METRICS)[:4])), 8, place(METRICS), written_out(ONLY_FROM, **shown), written_out(ANNUAL[1], **shown), [seen("annual")], "medium", "hard_negative_table_numeric", {"metric": col("metric"), "hard_negative_hint": hint})
     rows = reduce(DataFrame.unionByName, kinds)
     if target is None:
-        out = numbered(rows.unionByName(hard), "order", "place")
+        out = numbered(written(rows.unionByName(hard), "golden-records"), "order", "place")  # texts are made once, not again to find the ranges
     else:
-        out, more = numbered(rows, "order", "place"), numbered(hard, "order", "place")
+        out, more = (numbered(written(x, "golden-records"), "order", "place") for x in (rows, hard))
         n, m = out.count(), more.count()
         rounds = max(0, -(-(target - n) // m)) if m else 0
         more = more.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("place", F.lit(n) + F.col("round") * m + F.col("place")).drop("round") if rounds else more.limit(0)
