@@ -178,30 +178,60 @@ def sketches(rows: DataFrame, shingle_words: int, tables: int) -> DataFrame:
     return map_batches(rows, make, f"doc_id {kind}, digest binary, n long, fp_1 long, fp_2 long, keys array<int>")
 
 
+def _table_rows(fps: DataFrame, tables: int, bits: int, more: list[Column] = []) -> DataFrame:  # noqa: B006
+    """Rows of sketches() with a label, once a table: their pivot distances, the table, its key and the key's first bits."""
+    wide = lambda j: [F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.lit(_signed(_pivot(2 * j + i))))).cast("long") for i in (1, 2)]
+    pivots = _packed([sum(wide(j)) for j in range(WIDE_PIVOTS)], 8)
+    rows = fps.select("doc_id", "label", *more, "n", "fp_1", "fp_2", pivots.alias("near"), F.posexplode(F.slice("keys", 1, tables)).alias("t", "key"))
+    return rows.withColumn("part", F.shiftrightunsigned("key", KEY - bits))
+
+
+def _close(a: str, b: str, similarity: float, radius: int) -> tuple[Column, Column]:
+    """Whether rows with prefixes a and b may be that similar, and in how many bits they differ.
+
+    Pairs whose distances to a reference fingerprint differ by more than radius are discarded by the pivot table; the
+    others are verified bit by bit."""
+    at = lambda c, i: F.shiftright(F.col(f"{c}near"), 8 * i).bitwiseAND(F.lit(255))
+    near = reduce(lambda x, y: x & y, (F.abs(at(a, i) - at(b, i)) <= radius for i in range(WIDE_PIVOTS)))
+    distance = sum(F.bit_count(F.col(f"{a}fp_{i}").bitwiseXOR(F.col(f"{b}fp_{i}"))) for i in (1, 2))
+    sized = F.least(f"{a}n", f"{b}n") >= similarity * F.greatest(f"{a}n", f"{b}n") - 1e-9
+    return near & (distance <= radius) & sized, distance
+
+
 def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int, tables: int) -> DataFrame:
     """(a, b, distance): pairs of rows of sketches(), with a column `label` each, that lie side by side in one of the
     first tables, have different labels, differ in at most radius bits, and have sizes that allow the similarity.
 
     A table sorts rows by its key and compares each with BESIDE rows before it, so the work is in proportion to the
-    rows, also inside a large group of near copies. Pairs whose distances to a reference fingerprint differ by more
-    than radius are discarded by the pivot table; the others are verified bit by bit."""
-    wide = lambda j: [F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.lit(_signed(_pivot(2 * j + i))))).cast("long") for i in (1, 2)]
-    pivots = _packed([sum(wide(j)) for j in range(WIDE_PIVOTS)], 8)
-    rows = fps.select("doc_id", "label", "n", "fp_1", "fp_2", pivots.alias("near"), F.posexplode(F.slice("keys", 1, tables)).alias("t", "key"))
-    part = F.shiftrightunsigned("key", KEY - min(20, max(4, count.bit_length() - 12)))  # some 4,096 rows: fewer bits than side by side rows share
-    order = Window.partitionBy("t", part).orderBy("key", "doc_id")
+    rows, also inside a large group of near copies. Pairs that share a key's first bits further apart are left to
+    cell_candidates."""
+    rows = _table_rows(fps, tables, min(20, max(4, count.bit_length() - 12)))  # some 4,096 rows: fewer bits than side by side rows share
+    order = Window.partitionBy("t", "part").orderBy("key", "doc_id")
     own = ["doc_id", "label", "n", "fp_1", "fp_2", "near"]
     here = F.struct(*own)
     met = rows.select(*own, *(F.lag(here, i).over(order).alias(f"before_{i}") for i in range(1, BESIDE + 1)))
     met = met.select(*own, F.explode(F.array(*(f"before_{i}" for i in range(1, BESIDE + 1)))).alias("o")).where("o is not null and label <> o.label")
-    at = lambda c, i: F.shiftright(F.col(c), 8 * i).bitwiseAND(F.lit(255))
-    near = reduce(lambda x, y: x & y, (F.abs(at("near", i) - at("o.near", i)) <= radius for i in range(WIDE_PIVOTS)))
-    distance = sum(F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.col(f"o.fp_{i}"))) for i in (1, 2))
-    sized = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9
-    met = met.where(near).withColumn("distance", distance).where((F.col("distance") <= radius) & sized)
+    close, distance = _close("", "o.", similarity, radius)
+    met = met.where(close).withColumn("distance", distance)
     return met.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), "distance").distinct()
 
 
+def cell_candidates(fps: DataFrame, similarity: float, radius: int, tables: int, bits: int) -> DataFrame:
+    """(a, b): all pairs of rows of sketches(), with columns `label` and `size` (rows of the label) each, that share the
+    first `bits` of a table's key, have different labels, differ in at most radius bits and have fitting sizes.
+
+    No cell is capped. Rows of a cell's largest label, the large group of near copies if there is one, are met by the
+    cell's other rows alone and never by each other, so such a group costs rows times those that are not yet linked."""
+    rows = _table_rows(fps, tables, bits, [F.col("size")]).drop("key")
+    held = rows.withColumn("home", F.max(F.struct("size", "label")).over(Window.partitionBy("t", "part"))["label"])
+    held = held.select("t", "part", "doc_id", "label", "home", "n", "fp_1", "fp_2", "near")
+    a, b = held.where("label <> home").alias("a"), held.alias("b")
+    close, _ = _close("a.", "b.", similarity, radius)
+    once = (F.col("b.label") == F.col("b.home")) | (F.col("a.doc_id") < F.col("b.doc_id"))
+    met = a.join(b.hint("merge"), (F.col("a.t") == F.col("b.t")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & once & close)
+    return met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+
+
 def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of rows (doc_id, text) whose sets of shingles have at least that Jaccard similarity."""
     ids = if_small(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids"))
@@ -224,6 +254,14 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similar
     return found
 
 
+def _labelled(firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of sketches() with the component that links so far give them, and its number of rows."""
+    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    labelled = firsts.join(labels.join(sizes, "label"), "doc_id", "left")
+    return labelled.withColumns({"label": F.coalesce("label", "doc_id"), "size": F.coalesce("size", F.lit(1))})
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
     """(doc_id, component_id), a row an input row: the smallest id that links of at least that similarity reach.
 
@@ -232,7 +270,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     below the similarity is linked. Of links at exactly that similarity the share `recall` is expected to be found
     directly (more of closer ones, and more through other links): the number of tables follows from it and from the
     number of rows. A quarter of the tables gives each row's FIRST closest candidates, which are verified and make
-    components; then all tables give all candidates of different components, so each candidate is settled, and a large
+    components; then all tables give the candidates side by side of different components; last, all pairs of different
+    components that share the first bits of a key in any table, however many rows do. So no cell is capped, and a large
     group of near copies costs links in proportion to its rows.
 
     Equal sets are one class, as are null and wordless texts. Ids must be unique and not null. Texts are read whole,
@@ -252,13 +291,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     closest = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= FIRST)
     closest = materialise(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
     links = similar_pairs(rows, closest, shingle_words, similarity)
-    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    labelled = firsts.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = _labelled(firsts, links)
     left = materialise(wide_candidates(labelled, count, similarity, radius, tables).select("a", "b"), "near-left")
     links = links.unionByName(similar_pairs(rows, left, shingle_words, similarity))
+    labelled = _labelled(firsts, links)
+    cells = materialise(cell_candidates(labelled, similarity, radius, tables, math.ceil(depth)), "near-cells")
+    links = links.unionByName(similar_pairs(rows, cells, shingle_words, similarity))
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = materialise(ids.join(named, "digest").select("doc_id", "component_id"), "near-components")
-    for table in (each, classes, firsts, closest, left):
+    for table in (each, classes, firsts, closest, left, cells):
         discard(table)
     return found
 

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from granary.llm import simhash
 
@@ -87,3 +88,12 @@ def test_empty_table_and_other_columns(spark):
     assert simhash.near_copies(empty).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, n long, keys string")
     assert {tuple(r) for r in simhash.near_copies(docs).collect()} == {(1, 1), (2, 1)}
+
+
+def test_partners_far_apart_in_one_cell(spark, monkeypatch):
+    """All rows have the same keys, so they lie in one cell: a near copy 59 rows further on is found, and no other."""
+    rng, real = np.random.default_rng(9), simhash.sketches
+    texts = {i: " ".join(f"w{x}" for x in rng.integers(0, 20_000, 80)) for i in range(60)}
+    texts[59] = texts[0] + " end"
+    monkeypatch.setattr(simhash, "sketches", lambda *a: real(*a).withColumn("keys", F.transform("keys", lambda k: k * 0)))
+    assert components_of(spark, texts) == {i: i % 59 for i in texts}
