@@ -133,7 +133,7 @@ def merge_cross_page_tables(blocks: DataFrame) -> DataFrame:
     """Blocks with table continuations merged: neighbouring tables on following pages with as many columns, and the
     same header, or a continuation word in front, or a header on the left only. Tables are numbered by document;
     extra gets table_id, page_range, headers, row_count, table_part_count."""
-    rows = blocks.withColumn("cells", T.table_cells(F.col("text"))).withColumn("header", T.table_header(F.col("cells"))).withColumn("cols", T.column_count(F.col("text")))
+    rows = blocks.withColumn("cells", T.table_cells(F.col("text"))).withColumn("header", T.table_header(F.col("cells"))).withColumn("cols", T.column_count(F.col("text"), F.col("cells")))
     before = lambda c: F.lag(c).over(by_doc())
     table = F.col("block_type") == "table"
     follows = table & (before("block_type") == "table") & before("source_path").eqNullSafe(F.col("source_path")) & (F.col("page_no") == before("page_no") + 1) & (F.col("cols") > 0) & (F.col("cols") == before("cols"))
@@ -150,11 +150,12 @@ def merge_cross_page_tables(blocks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("block_index", "text", "kept", "page_no"))).alias("parts"), F.min(F.size("cells") > 0).alias("markdown"), F.count("*").alias("n"),
     )
     table = F.col("block_type") == "table"
-    all_rows = F.flatten(F.transform("parts", lambda x: x["kept"]))
+    got = got.withColumn("all_rows", F.flatten(F.transform("parts", lambda x: x["kept"]))).withColumn("width", T.table_width(F.col("all_rows")))
     texts = F.array_join(F.filter(F.transform("parts", lambda x: T.strip(F.coalesce(x["text"], F.lit("")))), lambda x: x != ""), "\n\n")
-    text = F.when(table & F.col("markdown"), T.table_text(all_rows)).when(table, texts).otherwise(F.col("parts")[0]["text"])
+    text = F.when(table & F.col("markdown"), T.table_text(F.col("all_rows"), F.col("width"))).when(table, texts).otherwise(F.col("parts")[0]["text"])
     got = got.withColumn("text", text).withColumn("table_no", F.sum(table.cast("int")).over(so_far()) - 1)
-    shown = T.table_cells(F.col("text"))
+    got = got.withColumn("shown", T.table_cells(F.col("text"))).drop("all_rows", "width")
+    shown = F.col("shown")
     facts = F.map_from_arrays(
         F.array(*map(F.lit, ("table_id", "page_range", "headers", "row_count", "table_part_count", "is_cross_page_table"))),
         F.array(F.concat_ws("::", F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown_doc")), F.lit("table"), F.col("table_no").cast("string")), T.page_range(F.array_compact(F.transform("parts", lambda x: x["page_no"]))), F.array_join(F.coalesce(F.get(shown, F.lit(0)), F.array().cast("array<string>")), ", "), F.greatest(F.size(shown) - 1, F.lit(0)).cast("string"), F.col("n").cast("string"), (F.size(F.array_distinct(F.transform("parts", lambda x: x["page_no"]))) > 1).cast("string")),

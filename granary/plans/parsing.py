@@ -79,7 +79,9 @@ def hierarchical_chunks(t):
 def table_blocks(t):
     """Each document's words as tables of three columns, one a page, under one header."""
     words = F.regexp_extract_all("text", F.lit(r"([A-Za-zÀ-ÿ]+)"), F.lit(1))
-    rows = t.documents.select("doc_id", "source", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 30).cast("int")), lambda i: F.slice(words, (i * 30 + 1).cast("int"), 30))).alias("block_index", "w"))
+    found = t.documents.select("doc_id", "source", words.alias("words"))
+    steps = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 30).cast("int"))
+    rows = found.select("doc_id", "source", F.posexplode(F.transform(steps, lambda i: F.slice("words", (i * 30 + 1).cast("int"), 30))).alias("block_index", "w"))
     body = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("| "), F.array_join(F.slice("w", (k * 3 + 1).cast("int"), 3), " | "), F.lit(" |")))
     text = F.concat(F.lit("| a | b | c |\n| --- | --- | --- |\n"), F.array_join(body, "\n"))
     return rows.select("doc_id", "block_index", F.lit("table").alias("block_type"), text.alias("text"), (F.col("block_index") + 1).cast("long").alias("page_no"), F.col("source").alias("source_path"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("map<string,string>").alias("extra"))

@@ -246,3 +246,11 @@ def test_golden_texts_are_made_once(spark, monkeypatch):
     profiles = spark.createDataFrame([("1", "C1", "1/a.pdf", 1, "page", "website", "w.cn")], f"{page}, field string, value string")
     assert questions.golden_questions(metrics, metrics, profiles).count() == 7
     assert len(plans) == 1 and "Relation" in plans[0] and "Union" not in plans[0]
+
+
+def test_rows_of_a_merged_table_are_worked_out_once(spark):
+    """Its rows and their width are columns: no row of a table puts its parts together again."""
+    rows = spark.createDataFrame([block(i, "table", f"| a | b |\n| --- | --- |\n| {i} | |", i + 1) for i in range(3)], BLOCK)
+    got = B.merge_cross_page_tables(rows)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    assert [r.text for r in got.collect()] == ["| a | b |\n| --- | --- |\n| 0 |  |\n| 1 |  |\n| 2 |  |"]
