@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.parsing import markdown_rows
+from granary.sources.parsing import markdown_rows, slices
 
 SECTION = "section_index int, section_title string, text string, page_range string, element_type string, first_block int, last_block int"
 CHUNK = "chunk_id string, parent_id string, chunk_role string, level int, ordinal int, text string"
@@ -26,7 +26,7 @@ SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n+|$)\s*")
 
 def per_document(rows: DataFrame, columns: list[str], expand: Callable[..., list[tuple]] | None, schema: str, start: Callable | None = None) -> DataFrame:
     """Runs expand(*values) on each row's columns; its tuples are the rows of schema, after doc_id. start() may give
-    expand once a task instead, where it needs something loaded."""
+    expand once a task instead, where it needs something loaded. A batch goes through a few rows at a time."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
@@ -34,7 +34,7 @@ def per_document(rows: DataFrame, columns: list[str], expand: Callable[..., list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start() if start else expand
-        for batch in batches:
+        for batch in slices(batches):
             owner, out = [], []
             for i, values in enumerate(zip(*(batch.column(k + 1).to_pylist() for k in range(len(columns))))):
                 own = step(*values)

@@ -91,7 +91,7 @@ def docx_blocks(t):
     """Every document as a DOCX file: its lines as paragraphs, the first as a heading."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parsing.slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 style = ["<w:pPr><w:pStyle w:val='Heading1'/></w:pPr>"]

@@ -4,6 +4,7 @@ import io
 import math
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,8 @@ def test_rows_of_a_merged_table_are_worked_out_once(spark):
     got = B.merge_cross_page_tables(rows)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
     assert [r.text for r in got.collect()] == ["| a | b |\n| --- | --- |\n| 0 |  |\n| 1 |  |\n| 2 |  |"]
+
+
+def test_workers_take_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
+    assert [b.num_rows for b in parsing.slices([batch, batch.slice(0, 0)])] == [64, 64, 22]
