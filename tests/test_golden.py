@@ -257,6 +257,13 @@ def test_rows_of_a_merged_table_are_worked_out_once(spark):
     assert [r.text for r in got.collect()] == ["| a | b |\n| --- | --- |\n| 0 |  |\n| 1 |  |\n| 2 |  |"]
 
 
+def test_gram_overlaps_equal_the_column_function(spark):
+    pairs = [(1, "abc", "AB C"), (2, "", "abc"), (3, None, None), (4, "abcd", "bcdx"), (5, "ab", "abc"), (6, "第一章 总则", "总则第一章"), (7, "x" * 9, "xxx"), (None, "q w e r", "wert")]
+    rows = spark.createDataFrame(pairs, "id long, a string, b string")
+    want = rows.select("id", T.evidence_overlap(F.col("a"), F.col("b")).alias("overlap")).collect()
+    assert sorted(map(str, evaluation.gram_overlaps(rows, "id", "a", "b").collect())) == sorted(map(str, want))
+
+
 def test_workers_take_few_rows_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
     assert [b.num_rows for b in parsing.slices([batch, batch.slice(0, 0)])] == [64, 64, 22]
