@@ -4,13 +4,15 @@ import json
 import random
 import time
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from granary.operators import memory
 from granary.plans.registry import Tables
-from granary.streaming.stateful import ServedResults, stream_query_dedupe, stream_session_memory
+from granary.streaming.stateful import ResultCache, ServedResults, stream_query_dedupe, stream_session_memory
 
 SF = "/root/testdata/sf0.001"
 DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -173,3 +175,26 @@ def test_empty_and_single_batches(spark, tmp_path, rows):
     query = stream_query_dedupe(spark.readStream.schema(REQUESTS).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert spark.read.schema(REQUESTS).parquet(f"{tmp_path}/out").count() == len(rows)
+
+
+def test_a_key_asks_its_store_no_more_than_it_needs():
+    """A key's timer is known from its state: no timers are listed, and only a replaced one is deleted."""
+    calls, state = [], {}
+
+    class Fake:
+        def getValueState(self, *_):  # noqa: N802
+            return SimpleNamespace(get=lambda: state.get("v"), update=lambda v: state.update(v=v))
+
+        def registerTimer(self, ms):  # noqa: N802
+            calls.append(("register", ms))
+
+        def deleteTimer(self, ms):  # noqa: N802
+            calls.append(("delete", ms))
+
+    cache = ResultCache(1000)
+    cache.init(Fake())
+    ask = lambda *rows: [(r.request_id, r.status, r.source_request) for r in cache.handleInputRows(("k",), iter([Row(request_id=i, us=us) for i, us in rows]), None)]
+    assert ask((2, 500), (1, 0)) == [(1, "computed", 1), (2, "served", 1)]
+    assert ask((3, 999)) == [(3, "served", 1)]
+    assert ask((4, 1000)) == [(4, "computed", 4)]
+    assert calls == [("register", 2), ("delete", 2), ("register", 3)]
