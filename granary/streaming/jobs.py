@@ -108,7 +108,7 @@ class IngestStore:
         changed = written(now.join(actions, "source_path"), "ingest-changed")
         fresh = written(self.chunks_of(changed.where("action <> 'deleted'").select("source_path", "doc_id", "text")).select("chunk_id", "doc_id", "source_path", "text"), "ingest-chunks")
         old = self.chunks(touched).join(changed.select("source_path"), "source_path", "left_semi")
-        frequencies, totals = bm25.delta(bm25.build_index(old), bm25.build_index(fresh))
+        frequencies, totals = bm25.delta_of(bm25.counts(old), bm25.counts(fresh))
         self._write("chunks", fresh.join(changed.select("source_path", "bucket"), "source_path").select("chunk_id", "doc_id", "source_path", "text", "bucket"), batch_id)
         self._write("state", changed.select("source_path", "doc_id", "sha256", (F.col("action") == "deleted").alias("deleted"), "bucket"), batch_id)
         self._write("frequencies", frequencies.withColumn("bucket", F.lit(0)), batch_id)

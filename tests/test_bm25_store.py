@@ -115,3 +115,14 @@ def test_no_row_of_a_pair_is_shuffled(spark, tmp_path, monkeypatch, block, chunk
     assert rows_of(top.select("query_id", "rank", "chunk_id")) == sorted((q, n + 1, i) for q, found in want.items() for n, (_, i) in enumerate(sorted(found)[:4]))
     named = bm25.top_k(store.score(queries, chunk_name=F.concat(F.lit("c"), F.col("chunk_id").cast("string")), k=4), 4, F.desc(F.round("score", 9)))
     assert rows_of(named.select("query_id", "rank", "chunk_id")) == sorted((q, n + 1, c) for q, found in want.items() for n, (_, c) in enumerate(sorted((s, f"c{i}") for s, i in found)[:4]))
+
+
+def test_counts_without_postings_equal_the_index(spark, monkeypatch):
+    """Repeated ids, texts without a token and null texts count as in build_index, and no postings are written."""
+    rows = spark.createDataFrame([("a", "x y x"), ("a", "y z"), ("b", "x"), ("c", " "), ("d", None), ("e", "Z z")], "chunk_id string, text string")
+    index, names = bm25.build_index(rows), []
+    want = [sorted(index.frequencies.collect()), index.totals.collect()]
+    real = bm25.written
+    monkeypatch.setattr(bm25, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    frequencies, totals = bm25.counts(rows)
+    assert [sorted(frequencies.collect()), totals.collect()] == want and names == ["bm25-repeated"]
