@@ -129,8 +129,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     its distinct words (the back-off and the contexts) and over its bigrams with a row of counts (what those add), so it
     meets words and bigrams in one join each, part by part: a part has the words whose hashes end alike and the bigrams
     that end with them, so its words are broadcast where they are few enough. Counts are partial sums before they are shuffled, and a hot
-    word or bigram is one row of the small side of a join. Where docs are the background, bigrams that only occur once
-    are known by their absence, and are not stored.
+    word or bigram is one row of the small side of a join. Where docs are the background, words and bigrams that only
+    occur once, and not in the target, are known by their absence: bigrams are not stored, words not joined.
 
     Null, empty and wordless texts have 0 words and null losses. Whole texts are scored; repeated rows and null ids
     give a row each, an empty table none. Two empty sides know the unknown word only. Other columns are not read."""
@@ -143,14 +143,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     words = materialise(_two_sides(counted(wanted), counted(whole), ["word"], ["n", "context"]), "lm-counts")
     # the beginning is no word: it has contexts only
     total = words.agg(F.coalesce(F.sum("t_n"), F.lit(0)).alias("t"), F.coalesce(F.sum("b_n"), F.lit(0)).alias("b"), F.count_if(F.col("t_n") + F.col("b_n") > 0).alias("v")).first()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    backoff = lambda s: BACKOFF * (zero(f"{s}_n") + ADDED) / (total[s] + ADDED * (total.v + 1))
     least = {"t": 0, "b": once}
+    backoff = lambda s: BACKOFF * (F.coalesce(f"{s}_n", F.lit(least[s])) + ADDED) / (total[s] + ADDED * (total.v + 1))
+    contexts = lambda s: F.coalesce(f"{s}_context", least[s] * F.col("context"))  # a word without a row of counts occurs in its document only
     sums = []
     for p in range(PARTS):
-        small = if_small(materialise(words.where(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == p), "lm-words-part"))
+        small = words.where(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == p)
+        small = if_small(materialise(small.where("b_n <> 1 or t_n + t_context > 0") if once else small, "lm-words-part"))
         met = _expanded(own, p, ["row", "word", "n", "context"], _words_of_rows).join(small, "word", "left")
-        part = lambda s: F.sum(F.col("n") * F.log(least[s] + backoff(s)) - F.col("context") * F.log(zero(f"{s}_context") + BACKOFF)).alias(s)
+        part = lambda s: F.sum(F.col("n") * F.log(least[s] + backoff(s)) - F.col("context") * F.log(contexts(s) + BACKOFF)).alias(s)
         sums.append(materialise(met.groupBy("row").agg(part("t"), part("b")), "lm-word-sums"))
         grams = lambda df: _expanded(df, p, ["gram", "word", "n"], _grams)  # noqa: B023, E731
         counts = _two_sides(grams(wanted), grams(whole), ["gram", "word"], ["n"]).where((F.col("t_n") > 0) | (F.col("b_n") > once))

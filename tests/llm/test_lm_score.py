@@ -86,3 +86,15 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert cross_entropy_difference(empty, empty).count() == 0
     assert len(cross_entropy_difference(df, empty, empty).collect()) == len(rows)
+
+def test_words_that_occur_once_are_not_joined(spark, monkeypatch):
+    """The tables of words' counts that are broadcast have the words that occur more than once alone."""
+    from granary.llm import lm_score
+
+    seen, own = [], lm_score.if_small
+    monkeypatch.setattr(lm_score, "if_small", lambda table: seen.append(table.count()) or own(table))
+    texts = [f"w{i} common z{i}" for i in range(50)] + ["once"]
+    got = sorted(cross_entropy_difference(table(spark, texts), table(spark, ["common w3", "new z4"])).collect())
+    assert sum(seen) == 5  # common, w3, new, z4 and the beginning
+    for r, t, b in zip(got, *plain_losses(["common w3", "new z4"], texts, texts)):
+        assert (r.target_loss, r.background_loss) == (pytest.approx(t), pytest.approx(b))
