@@ -39,3 +39,23 @@ def test_lazy_digests_agree_and_odd_rows(spark):
         assert all((r.doc_id, r.text_sha256) in hashes for r in got if r.text_sha256)
         assert all(r.text_sha256 for r in got) == every
         assert exact_duplicates(spark.createDataFrame([], SCHEMA), digest_all=every).count() == 0
+
+
+def test_workers_are_handed_few_rows_at_a_time(spark):
+    """Spark's own Arrow batches, not only the slices of them, are bounded; a smaller bound is kept."""
+    from granary.llm.common import BATCH_ROWS, SLICE, map_batches
+
+    def most(rows):
+        def make():
+            return lambda batch: batch.from_arrays([[len(batch)], [batch.column(0).offset]], ["n", "offset"])
+
+        return map_batches(spark.range(rows).coalesce(1), make, "n long, offset long").agg({"n": "max", "offset": "max"}).first()
+
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        spark.conf.set(BATCH_ROWS, "10000")
+        assert sorted(most(3000)) == [0, SLICE]  # no slice begins inside a batch
+        spark.conf.set(BATCH_ROWS, "100")
+        assert sorted(most(3000)) == [0, 100]
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
