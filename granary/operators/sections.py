@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,6 +23,14 @@ BODY_CHARS = 120
 #: Fixed value: most rounds of joining brief sections.
 ROUNDS = 5
 UNIT = re.compile(r"[一-鿿]|[A-Za-z0-9_]+|[^\sA-Za-z0-9_一-鿿]")
+#: Fixed value: the pattern by which a byte-level tokenizer splits text before it merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The characters by which such a tokenizer writes bytes: printable ones as they are, the others from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+#: Characters that all versions of Unicode class alike, and pieces whose counts a worker remembers.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\u052f\u2000-\u206f]*")
+REMEMBERED = 200_000
 SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n+|$)\s*")
 
 
@@ -168,34 +178,77 @@ def unit_spans(text: str) -> list[tuple[int, int]]:
 
 def token_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
     """The same for the tokens of a tokenizer's file, without added special tokens."""
+    tokenizer = _tokenizer(path)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
+
+
+def _tokenizer(path: str) -> Any:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
-
-
-def sentence_pieces(text: str, most: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans) -> list[tuple[str, int]]:
+    return tokenizer
+
+
+def token_counts(path: str) -> Callable[[list[str]], list[int]]:
+    """How many tokens token_spans finds in each of some texts.
+
+    A byte-level tokenizer merges within pieces of its pattern only, so a text's count is the sum of its pieces' counts,
+    each of which the library's model gives once. Other tokenizers, texts with an added token's string and texts with characters
+    that versions of Unicode may split otherwise go to the library whole."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = _tokenizer(path)
+    library = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path) as f:
+        told = json.load(f)
+    split = told.get("pre_tokenizer") or {}
+    if told.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        return library
+    import regex
+
+    pieces, known, merge = regex.compile(BYTE_LEVEL).findall, {}, tokenizer.model.tokenize
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def counts(texts: list[str]) -> list[int]:
+        found = [pieces(t) if PLAIN.fullmatch(t) and not any(a in t for a in added) else None for t in texts]
+        every = set().union(*(p for p in found if p))
+        if len(known) + len(every) > REMEMBERED:
+            known.clear()
+        for piece in every.difference(known):
+            known[piece] = len(merge(piece.encode().decode("latin-1").translate(BYTE_CHARS)))
+        rest = iter(library([t for t, p in zip(texts, found) if p is None]))
+        return [next(rest) if p is None else sum(map(known.__getitem__, p)) for p in found]
+
+    return counts
+
+
+def sentence_pieces(text: str, most: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans, counts: Callable[[list[str]], list[int]] | None = None) -> list[tuple[str, int]]:
     """Sentences and lines with their sizes in units or tokens; one above `most` is cut where they begin. A size is that
-    of the piece by itself, as a tokenizer may read it otherwise than in its sentence. A character is never cut."""
-    out, todo = [], [m.group() for m in SENTENCE.finditer(text) if m.group().strip()][::-1]
+    of the piece by itself, as a tokenizer may read it otherwise than in its sentence. A character is never cut. counts
+    gives sizes where it is quicker than spans; then spans are only made of what is cut."""
+    parts = [m.group() for m in SENTENCE.finditer(text) if m.group().strip()]
+    out, todo = [], list(zip(parts, counts(parts) if counts else [None] * len(parts)))[::-1]
     while todo:
-        piece = todo.pop()
+        piece, n = todo.pop()
+        if n is not None and n <= most:
+            out.append((piece, n))
+            continue
         found = spans(piece)
         at = [0, *sorted({found[k][0] for k in range(most, len(found), most)} - {0}), len(piece)]
         if len(found) <= most or len(at) == 2:
             out.append((piece, len(found)))
         else:
-            todo += [piece[a:b] for a, b in zip(at, at[1:])][::-1]
+            cut = [piece[a:b] for a, b in zip(at, at[1:])]
+            todo += list(zip(cut, counts(cut) if counts else [None] * len(cut)))[::-1]
     return out
 
 
-def chunk_tree(doc_id: Any, text: str, budgets: tuple[int, ...], overlap: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans) -> list[tuple]:
+def chunk_tree(doc_id: Any, text: str, budgets: tuple[int, ...], overlap: int, spans: Callable[[str], list[tuple[int, int]]] = unit_spans, counts: Callable[[list[str]], list[int]] | None = None) -> list[tuple]:
     """Chunks of all levels; each holds a run of its parent's pieces, so a child's text lies within its parent's."""
     out: list[tuple] = []
     roles = ["root", *["parent"] * (len(budgets) - 2), "leaf"] if len(budgets) > 1 else ["leaf"]
-    level: list[tuple[str | None, list[tuple[str, int]]]] = [(None, sentence_pieces(text or "", budgets[-1], spans))]
+    level: list[tuple[str | None, list[tuple[str, int]]]] = [(None, sentence_pieces(text or "", budgets[-1], spans, counts))]
     for depth, (budget, role) in enumerate(zip(budgets, roles)):
         below = []
         for parent, pieces in level:
@@ -216,8 +269,8 @@ def hierarchical_chunks(documents: DataFrame, text_col: str = "text", budgets: t
     rows = documents.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.col(text_col).alias("text"))
 
     def start() -> Callable:
-        spans = token_spans(tokenizer) if tokenizer else unit_spans
-        return lambda name, text: chunk_tree(name, text, budgets, overlap, spans)
+        spans, counts = (token_spans(tokenizer), token_counts(tokenizer)) if tokenizer else (unit_spans, None)
+        return lambda name, text: chunk_tree(name, text, budgets, overlap, spans, counts)
 
     return per_document(rows, ["name", "text"], None, CHUNK, start)
 

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from granary.operators import sections
 from granary.operators.sections import chunk_tree, hierarchical_chunks, sentence_pieces, token_spans
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,3 +48,17 @@ def test_documents_keep_their_budgets(spark, count):
     assert len(long) > 150 and not [r for r in rows if r.doc_id in (-1, -2)]
     # leaves overlap by up to 50 tokens inside a parent and hold all words between them
     assert sum(count(r.text) for r in long) >= 20_000
+
+
+def test_counts_by_piece_give_the_same_chunks(spark, monkeypatch):
+    """Texts of every kind; the library is asked for a repeated word once."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).collect()]
+    docs += [None, "", "word " * 900, "x" * 900, "日本語。 のテ" * 40, "🙂é " * 90, "a <|endoftext|> b. c", "\t\n x \n\n y's don't 12 \x1c\x1d z\x85 ", "ǅ  a b. ß"]
+    spans, counts = token_spans(PATH), sections.token_counts(PATH)
+    for d in docs:
+        assert chunk_tree("d", d, (256, 64, 16), 5, spans, counts) == chunk_tree("d", d, (256, 64, 16), 5, spans)
+    texts = ["one two", " two"] * 50
+    assert counts(texts) == [len(spans(t)) for t in texts]
+    calls = []
+    chunk_tree("d", "One two three. Four five.\n" * 20, (256, 64, 16), 5, lambda t: calls.append(t) or spans(t), counts)
+    assert not calls  # spans are made of what is cut only
