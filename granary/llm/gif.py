@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, map_batches, text_rows
+from granary.llm.common import documents, map_batches, small_batches, text_rows
 
 #: Colours 0 to 255 as greys: a sample's value is then its colour too.
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
@@ -21,6 +21,8 @@ GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 WIDTH, ROWS = 64, 4096
 #: Pixels that a file may declare beyond the samples it holds, for its canvas and for all its frames; more is an error.
 MOST_BLANK = 1 << 24
+#: Bytes of canvases and rows that are handed on together.
+HELD, FRAME_ROWS = 1 << 20, 256
 
 
 # LZW ------------------------------------------------------------------------------------------------------------------
@@ -84,7 +86,7 @@ def lzw_decode(stream: bytes, least: int, most: int | None = None) -> bytes:
     table, last, since, bit = singles.copy(), b"", 0, 0
     held, seen = 0, 0  # samples, and items of out that are among them
     while bit < total and (most is None or held < most):
-        width = _widths(since, 4096, least)
+        width = _widths(since, min(4096, (total - bit) // (least + 1) + 1), least)  # no more codes than bits are left for
         end = bit + np.cumsum(width)
         width = width[end <= total]
         if not len(width):
@@ -341,7 +343,7 @@ FRAMES = "frame_no int, start_ms long, delay_ms int, disposal int, width int, he
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per shown frame of every file: its canvas (RGBA bytes), its time and its 64-bin colour histogram.
 
-    Frames are handed on one by one, so a worker holds one file and one canvas. Null media give no row. A file that
+    Frames are handed on as soon as their canvases hold HELD bytes, so a worker holds one file, that and one canvas. Null media give no row. A file that
     can't be read gives one row whose error says why; one whose fault shows only while frames are drawn gives the
     frames before it and that row. Repeated rows and null ids give their frames each."""
     kind = media.schema[id_col].dataType.simpleString()
@@ -349,17 +351,31 @@ def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(x.split()[0] for x in FRAMES.split(", "))]
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+
+        def frames(data: bytes) -> Iterator[tuple]:
+            try:
+                for k, (f, start, c) in enumerate(read_gif(data).shown()):
+                    yield k, start, f.delay, f.disposal, c.shape[1], c.shape[0], c.tobytes(), histogram(c).tolist(), None
+            except ValueError as e:
+                yield *(None,) * 8, str(e)
+
         for batch in batches:
+            owner, rows, held = [], [], 0
+            made = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)  # noqa: B023, E731
             for i in range(batch.num_rows):
                 if (data := batch.column(1)[i].as_py()) is None:
                     continue
-                row = lambda *values: pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in zip(values, types))], names)  # noqa: B023, E731
-                try:
-                    for k, (f, start, c) in enumerate(read_gif(data).shown()):
-                        yield row(k, start, f.delay, f.disposal, c.shape[1], c.shape[0], c.tobytes(), histogram(c).tolist(), None)
-                except ValueError as e:
-                    yield row(*(None,) * 8, str(e))
-
+                for row in frames(data):
+                    owner.append(i)
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if held >= HELD or len(rows) >= FRAME_ROWS:
+                        yield made()
+                        owner, rows, held = [], [], 0
+            if rows:
+                yield made()
+
+    small_batches(media.sparkSession)
     return text_rows(media, id_col, media_col).mapInArrow(run, f"doc_id {kind}, {FRAMES}")
 
 

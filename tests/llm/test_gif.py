@@ -3,10 +3,13 @@ import random
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from granary.llm import gif
 from granary.llm.gif import GREYS, Frame, Gif, gif_frames, load, lzw_decode, lzw_encode, media_digests, op10_gif_media, payload_of, read_gif, store, store_texts, write_gif
 
 SCHEMA = "doc_id long, text string, media int"
@@ -172,3 +175,14 @@ def test_frames_and_odd_rows(spark):
     bad = spark.createDataFrame([(1, b"GIF89a"), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.frame_no, bool(r.error)) for r in gif_frames(bad).collect()] == [(1, None, True)]
     assert media_digests(spark.createDataFrame([], SCHEMA)).count() == 0 and gif_frames(bad.limit(0)).count() == 0
+
+
+def test_frames_of_small_files_are_handed_on_together(spark, monkeypatch):
+    """Many small canvases share a batch; large ones do not wait for each other."""
+    media = spark.createDataFrame([], "doc_id long, media binary")
+    monkeypatch.setattr(gif, "text_rows", lambda *columns: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    files = [store(payload_of("text"))] * 300 + [store(payload_of("x" * 700_000))]
+    batch = lambda files: pa.RecordBatch.from_arrays([pa.array(range(len(files))), pa.array(files)], ["doc_id", "media"])
+    out = list(gif_frames(media)([batch(files[:300]), batch(files[300:])]))
+    assert [b.num_rows for b in out] == [256, 44, 1, 1, 1]
+    assert [i for b in out[:2] for i in b.column(0).to_pylist()] == list(range(300)) and out[4].column(1).to_pylist() == [2]
