@@ -96,10 +96,11 @@ def bm25_topk(t):
 select token, df, n, sum_len from freq, totals""",
 )
 def bm25_apply_delta(t):
-    """A corpus of which every fifth document is replaced by a longer version: stored counts and the change's."""
-    store, changed = store_of(t), t.documents.where("doc_id % 5 = 0")
-    _, _, rows, sums = store.change(changed.withColumn("text", F.concat("text", F.lit(" fresh token"))), id_col="doc_id")
-    frequencies, totals = bm25.summed(store.frequencies().select("token", "df").unionByName(rows.select("token", "df")), store.totals().unionByName(sums))
+    """A corpus of which every fifth document is replaced by a longer version: its counts and the change's."""
+    counts = lambda docs: bm25.counts(docs, "doc_id")
+    changed = t.documents.where("doc_id % 5 = 0")
+    longer = changed.withColumn("text", F.concat("text", F.lit(" fresh token")))
+    frequencies, totals = bm25.apply_counts(*counts(t.documents), counts(changed), counts(longer))
     return frequencies.crossJoin(F.broadcast(totals))
 
 

@@ -126,3 +126,15 @@ def test_counts_without_postings_equal_the_index(spark, monkeypatch):
     monkeypatch.setattr(bm25, "written", lambda df, name: (names.append(name), real(df, name))[1])
     frequencies, totals = bm25.counts(rows)
     assert [sorted(frequencies.collect()), totals.collect()] == want and names == ["bm25-repeated"]
+
+
+def test_a_delta_of_counts_makes_no_postings(spark, monkeypatch):
+    """The query's counts after a change are those of a rebuild, and no index is stored for them."""
+    from granary.plans import all_queries, retrieval
+
+    monkeypatch.setattr(retrieval, "store_of", lambda t: pytest.fail("an index was built"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" fresh token"))).otherwise(F.col("text"))
+    want = bm25.build_index(docs.withColumn("text", text), "doc_id")
+    got = all_queries()["bm25_apply_delta"](spark, "/root/testdata/sf0.001")
+    assert rows_of(got) == rows_of(want.frequencies.crossJoin(want.totals))
