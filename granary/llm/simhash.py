@@ -134,6 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, KEY, WIDE_PIVOTS = 128, 32, 8
 #: Rows that each row is compared with on either side in a table's order, and candidates of each that come first.
 BESIDE, FIRST = 8, 3
+#: Most rows of a cell whose pairs are compared one by one; most sets that a rare shingle is in; size bands to a factor of e.
+FEW, RARE, BANDS = 64, 16, 20
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -198,43 +200,149 @@ def _close(a: str, b: str, similarity: float, radius: int) -> tuple[Column, Colu
     return near & (distance <= radius) & sized, distance
 
 
-def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int, tables: int) -> DataFrame:
-    """(a, b, distance): pairs of rows of sketches(), with a column `label` each, that lie side by side in one of the
-    first tables, have different labels, differ in at most radius bits, and have sizes that allow the similarity.
+def wide_candidates(fps: DataFrame, count: int, similarity: float, radius: int, tables: int, bits: int) -> DataFrame:
+    """(a, b, distance, apart): pairs of rows of sketches(), with a column `label` each, that lie side by side in one of
+    the first tables, have different labels, differ in at most radius bits, and have sizes that allow the similarity.
+    apart: they met only where they don't share the first `bits` of the key.
 
     A table sorts rows by its key and compares each with BESIDE rows before it, so the work is in proportion to the
     rows, also inside a large group of near copies. Pairs that share a key's first bits further apart are left to
-    cell_candidates."""
+    cell_links."""
     rows = _table_rows(fps, tables, min(20, max(4, count.bit_length() - 12)))  # some 4,096 rows: fewer bits than side by side rows share
+    rows = rows.withColumn("cell", F.shiftrightunsigned("key", KEY - bits))
     order = Window.partitionBy("t", "part").orderBy("key", "doc_id")
-    own = ["doc_id", "label", "n", "fp_1", "fp_2", "near"]
+    own = ["doc_id", "label", "n", "fp_1", "fp_2", "near", "cell"]
     here = F.struct(*own)
     met = rows.select(*own, *(F.lag(here, i).over(order).alias(f"before_{i}") for i in range(1, BESIDE + 1)))
     met = met.select(*own, F.explode(F.array(*(f"before_{i}" for i in range(1, BESIDE + 1)))).alias("o")).where("o is not null and label <> o.label")
     close, distance = _close("", "o.", similarity, radius)
-    met = met.where(close).withColumn("distance", distance)
-    return met.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), "distance").distinct()
+    met = met.where(close).select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), distance.alias("distance"), (F.col("cell") != F.col("o.cell")).alias("apart"))
+    return met.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.min("apart").alias("apart"))
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of pairs (a, b, distance), those that are among the FIRST closest of either row."""
+    both = pairs.select("a", "b", "distance").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    closest = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= FIRST)
+    return closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cell_candidates(fps: DataFrame, similarity: float, radius: int, tables: int, bits: int) -> DataFrame:
-    """(a, b): all pairs of rows of sketches(), with columns `label` and `size` (rows of the label) each, that share the
-    first `bits` of a table's key, have different labels, differ in at most radius bits and have fitting sizes.
+def cell_links(rows: DataFrame, firsts: DataFrame, links: DataFrame, shingle_words: int, similarity: float, radius: int, tables: int, bits: int) -> DataFrame:
+    """links and those between rows of sketches() that share the first `bits` of a table's key and differ in at most
+    radius bits, except between rows that others join. rows (doc_id, text) gives the texts.
+
+    No cell is capped. In cells of at most FEW rows all pairs of different components are compared. Of larger cells' rows
+    the shingles are counted: first each row meets the row of a cell that has the largest share of common ones, which
+    joins most of a large group by FIRST links a row; then a pair is made only if it shares a rare shingle (rare_pairs) or
+    has enough common ones (common_pairs). So a large group of rows about one text, near it or not, doesn't make the
+    pairs of rows that can't be linked."""
+    labelled = _labelled(firsts, links)
+    each = _table_rows(labelled, tables, bits, [F.col("size")]).drop("key")
+    cells = each.groupBy("t", "part").agg(F.count("*").alias("k"), F.max(F.struct("size", "label", "doc_id"))["doc_id"].alias("largest"), F.min("label").alias("x"), F.max("label").alias("y"))
+    cells = materialise(cells.where((F.col("k") > FEW) & (F.col("x") < F.col("y"))).select("t", "part", "largest"), "near-large")
+    large = if_small(cells)
+    ids = materialise(each.join(large, ["t", "part"], "left_semi").select("doc_id").distinct(), "near-large-ids")
+    sets = shingle_sets(rows, ids, shingle_words)
+    split = split_sets(sets, similarity)
+    discard(sets)
+    reach = if_small(split.select("doc_id", "reach"))
+
+    held = each.join(large, ["t", "part"], "left_semi").join(reach, "doc_id").where(F.col("reach") >= similarity * F.col("n") - 1e-9)
+    own = ["doc_id", "label", "n", "fp_1", "fp_2", "near"]
+    hubs = held.groupBy("t", "part").agg(F.max_by(F.struct(*own), F.struct(F.col("reach") / F.col("n"), "size", "doc_id")).alias("o"))
+    close, distance = _close("", "o.", similarity, radius)
+    met = held.join(hubs, ["t", "part"]).where("label <> o.label").where(close)
+    met = met.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), distance.alias("distance")).distinct()
+    stars = materialise(_closest(met), "near-stars")
+    links = links.unionByName(similar_pairs(rows, stars, shingle_words, similarity))
+
+    labelled = _labelled(firsts, links)
+    each = _table_rows(labelled, tables, bits, [F.col("size")]).drop("key")
+    homes = materialise(cells.join(labelled.select(F.col("doc_id").alias("largest"), F.col("label").alias("home")), "largest").drop("largest"), "near-homes")
+    held = each.join(if_small(homes), ["t", "part"]).join(reach, "doc_id")
+    some = labelled.join(if_small(ids), "doc_id", "left_semi").select("doc_id", "label", "n", "fp_1", "fp_2", F.transform(F.slice("keys", 1, tables), lambda k: F.shiftrightunsigned(k, KEY - bits)).alias("parts"))
+    found = few_pairs(each.join(large, ["t", "part"], "left_anti").join(reach, "doc_id", "left"), similarity, radius)
+    found = found.unionByName(common_pairs(held, similarity, radius)).unionByName(rare_pairs(some, split, similarity, radius))
+    found = materialise(found.distinct(), "near-cells")
+    links = links.unionByName(similar_pairs(rows, found, shingle_words, similarity))
+    for table in (cells, ids, split, stars, homes, found):
+        discard(table)
+    return links
 
-    No cell is capped. Rows of a cell's largest label, the large group of near copies if there is one, are met by the
-    cell's other rows alone and never by each other, so such a group costs rows times those that are not yet linked."""
-    rows = _table_rows(fps, tables, bits, [F.col("size")]).drop("key")
-    held = rows.withColumn("home", F.max(F.struct("size", "label")).over(Window.partitionBy("t", "part"))["label"])
-    held = held.select("t", "part", "doc_id", "label", "home", "n", "fp_1", "fp_2", "near")
-    a, b = held.where("label <> home").alias("a"), held.alias("b")
+
+def few_pairs(each: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b): all pairs of different labels and one cell that are close. Rows of a cell's largest label are met by the
+    others alone. Where both rows' shingles have been counted (see common_pairs), they must reach each other."""
+    few = each.withColumn("home", F.max(F.struct("size", "label")).over(Window.partitionBy("t", "part"))["label"])
+    few = few.select("t", "part", "doc_id", "label", "home", "n", "fp_1", "fp_2", "near", "reach")
+    a, b = few.where("label <> home").alias("a"), few.alias("b")
     close, _ = _close("a.", "b.", similarity, radius)
     once = (F.col("b.label") == F.col("b.home")) | (F.col("a.doc_id") < F.col("b.doc_id"))
-    met = a.join(b.hint("merge"), (F.col("a.t") == F.col("b.t")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & once & close)
-    return met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+    reached = F.expr("a.reach is null or b.reach is null or (b.n <= a.reach and a.n <= b.reach)")
+    met = a.join(b.hint("merge"), (F.col("a.t") == F.col("b.t")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & once & reached & close)
+    return met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
+
+
+def split_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, reach, rare) of sets (doc_id, grams): how many shingles a partner has at most that shares common ones
+    alone, those that more than RARE of the sets have, and a prefix of the others.
+
+    Sets of m and n shingles that share common ones alone are linked only if either has similarity / (1 + similarity) *
+    (m + n) of them; that gives the reach. A partner shares similarity times the larger set at least, so beyond `common` a set of n shingles shares similarity *
+    n - common rare ones with it, if any: all but so many less one are its prefix, in the order of their hashes. A linked
+    pair that shares none of its prefixes shares common shingles alone."""
+    each = sets.select("doc_id", F.explode("grams").alias("gram"))
+    hot = materialise(each.groupBy("gram").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE).select("gram"), "near-common")
+    own = each.join(if_small(hot), "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("hot"))
+    own = sets.join(own, "doc_id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+    shared = F.greatest(F.lit(1), (F.ceil(similarity * F.size("grams") - 1e-9) - F.size("hot")).cast("int"))
+    rare = F.array_except("grams", "hot")
+    reach = F.floor(F.size("hot") * ((1 + similarity) / similarity) + 1e-6) - F.size("grams")
+    split = own.select("doc_id", reach.alias("reach"), F.slice(rare, 1, F.greatest(F.lit(0), F.size(rare) - shared + 1)).alias("rare"))
+    split = materialise(split, "near-split")
+    discard(hot)
+    return split
+
+
+def rare_pairs(some: DataFrame, split: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b): pairs of different labels that share a rare shingle of their prefixes, which RARE rows have at most, and a
+    cell (one of `parts`), and are close."""
+    own = split.join(some.select("doc_id", "label", "n"), "doc_id").select(F.struct("doc_id", "label", "n").alias("at"), F.explode("rare").alias("gram"))
+    lists = own.groupBy("gram").agg(F.array_sort(F.collect_list("at")).alias("ats")).where(F.size("ats") > 1)
+    fits = lambda x: lambda y: (x["label"] != y["label"]) & (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9)
+    after = lambda x, i: F.filter(F.slice("ats", i + 2, F.size("ats")), fits(x))
+    pairs = F.flatten(F.transform("ats", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
+    met = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    wide = lambda j: [F.bit_count(F.col(f"fp_{i}").bitwiseXOR(F.lit(_signed(_pivot(2 * j + i))))).cast("long") for i in (1, 2)]
+    side = some.withColumn("near", _packed([sum(wide(j)) for j in range(WIDE_PIVOTS)], 8))
+    a, b = side.alias("a"), side.alias("b")
+    close, _ = _close("a.", "b.", similarity, radius)
+    met = met.withColumnsRenamed({"a": "one", "b": "two"}).join(a, F.col("one") == F.col("a.doc_id")).join(b, (F.col("two") == F.col("b.doc_id")) & close)
+    same = F.exists(F.zip_with("a.parts", "b.parts", lambda x, y: x == y), lambda x: x)
+    return met.where(same).select(F.col("one").alias("a"), F.col("two").alias("b"))
+
+
+def common_pairs(held: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b): pairs of different labels and one cell that are close and reach each other (see split_sets).
+
+    The smaller of two rows (b) must reach one of its own size. Rows meet by cell and band of the smaller one's size: a
+    row whose many shingles of its own leave it a reach below the group's sizes doesn't meet the group, and rows of the
+    cell's largest label don't meet each other."""
+    each = held.where(F.col("reach") >= similarity * F.col("n") - 1e-9).withColumn("at_home", F.col("label") == F.col("home"))
+    each = each.select("t", "part", "doc_id", "label", "at_home", "n", "fp_1", "fp_2", "near", "reach")
+    band = lambda n: F.floor(BANDS * F.log(n.cast("double")))
+    bands = F.sequence(band(F.greatest(F.lit(1), F.floor(similarity * F.col("n") - 1e-6))), band(F.least("reach", "n")))
+    a = each.withColumn("band", F.explode(bands)).withColumn("home", F.explode(F.when(F.col("at_home"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).alias("a")
+    b = each.where("reach >= n").withColumn("band", band(F.col("n"))).withColumn("home", F.col("at_home")).alias("b")
+    close, _ = _close("a.", "b.", similarity, radius)
+    sized = (F.col("b.n") <= F.col("a.reach")) & (F.col("a.n") <= F.col("b.reach")) & (F.struct("b.n", "b.doc_id") < F.struct("a.n", "a.doc_id"))
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "part", "band", "home")))
+    met = a.join(b.hint("merge"), same & (F.col("a.label") != F.col("b.label")) & sized & close)
+    return met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
 
-def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows (doc_id, text) whose sets of shingles have at least that Jaccard similarity."""
-    ids = if_small(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids"))
+def shingle_sets(rows: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, grams): the sorted hashes of the shingles of rows (doc_id, text) whose doc_id is in ids."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -245,7 +353,13 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similar
 
         return step
 
-    sets = materialise(map_batches(rows.join(ids, "doc_id", "left_semi"), make, f"doc_id {kind}, grams array<long>"), "near-sets")
+    return materialise(map_batches(rows.join(if_small(ids), "doc_id", "left_semi"), make, f"doc_id {kind}, grams array<long>"), "near-sets")
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows (doc_id, text) whose sets of shingles have at least that Jaccard similarity."""
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+    sets = shingle_sets(rows, ids, shingle_words)
     one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     either = F.size("a_grams") + F.size("b_grams") - both
@@ -270,9 +384,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     below the similarity is linked. Of links at exactly that similarity the share `recall` is expected to be found
     directly (more of closer ones, and more through other links): the number of tables follows from it and from the
     number of rows. A quarter of the tables gives each row's FIRST closest candidates, which are verified and make
-    components; then all tables give the candidates side by side of different components; last, all pairs of different
-    components that share the first bits of a key in any table, however many rows do. So no cell is capped, and a large
-    group of near copies costs links in proportion to its rows.
+    components; then all tables give the candidates side by side of different components (of those that share a key's first
+    bits the closest, as the rest comes last); last, the pairs of different components that share the first bits of a key
+    in any table, however many rows do, unless their shingles rule a link out (cell_links). So no cell is capped, and
+    a large group of near copies costs links in proportion to its rows.
 
     Equal sets are one class, as are null and wordless texts. Ids must be unique and not null. Texts are read whole,
     however long. An empty table gives no rows; other columns are not read."""
@@ -286,20 +401,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = each.select("doc_id", "digest")
     classes = materialise(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sketch-classes")
     firsts = materialise(each.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "sketch-firsts")
-    pairs = wide_candidates(firsts.withColumn("label", F.col("doc_id")), count, similarity, radius, math.ceil(tables / 4))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    closest = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= FIRST)
-    closest = materialise(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
+    bits = math.ceil(depth)
+    closest = materialise(_closest(wide_candidates(firsts.withColumn("label", F.col("doc_id")), count, similarity, radius, math.ceil(tables / 4), bits)), "near-closest")
     links = similar_pairs(rows, closest, shingle_words, similarity)
     labelled = _labelled(firsts, links)
-    left = materialise(wide_candidates(labelled, count, similarity, radius, tables).select("a", "b"), "near-left")
+    beside = materialise(wide_candidates(labelled, count, similarity, radius, tables, bits), "near-beside")
+    left = materialise(_closest(beside.where("not apart")).unionByName(beside.where("apart").select("a", "b")).distinct(), "near-left")
     links = links.unionByName(similar_pairs(rows, left, shingle_words, similarity))
-    labelled = _labelled(firsts, links)
-    cells = materialise(cell_candidates(labelled, similarity, radius, tables, math.ceil(depth)), "near-cells")
-    links = links.unionByName(similar_pairs(rows, cells, shingle_words, similarity))
+    links = cell_links(rows, firsts, links, shingle_words, similarity, radius, tables, bits)
     named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = materialise(ids.join(named, "digest").select("doc_id", "component_id"), "near-components")
-    for table in (each, classes, firsts, closest, left, cells):
+    for table in (each, classes, firsts, closest, beside, left):
         discard(table)
     return found
 

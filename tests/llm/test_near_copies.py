@@ -83,6 +83,40 @@ def test_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert largest > 1300 and sum(seen) < 1500 * 1499 // 2 / 5
 
 
+def test_rows_about_a_large_group_are_not_compared_with_it(spark, monkeypatch):
+    """400 near copies of a text and 400 rows that differ too much from it, and from each other, for a link: their pairs
+    lie in the same cells, but only some for each row are compared on whole sets, and no link is lost."""
+    rng, seen = np.random.default_rng(11), []
+    words = [f"w{x}" for x in rng.integers(0, 20_000, 120)]
+    edited = lambda n: {int(x) for x in rng.choice(120, n, replace=False)}
+    texts = {}
+    for i in range(800):
+        at = edited(rng.integers(1, 4) if i % 2 else rng.integers(5, 8))
+        texts[i] = " ".join(f"e{i} {w}" if p in at else w for p, w in enumerate(words))
+    real = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda rows, pairs, *a: (seen.append(pairs.count()), real(rows, pairs, *a))[1])
+    want, links = plain_components(texts)
+    got = components_of(spark, texts)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    assert len(set(got.values())) > 300 and sum(seen) < 20 * len(texts)
+
+
+def test_cells_are_whole_where_shingles_are_counted(spark, monkeypatch):
+    """In one cell of all rows: pairs that share rare shingles alone, and pairs that share common ones alone, are found."""
+    rng, real = np.random.default_rng(13), simhash.sketches
+    monkeypatch.setattr(simhash, "FEW", 4)
+    monkeypatch.setattr(simhash, "wide_candidates", lambda fps, *a: fps.selectExpr("doc_id as a", "doc_id as b", "0 as distance", "false as apart").where("false"))
+    monkeypatch.setattr(simhash, "sketches", lambda *a: real(*a).withColumn("keys", F.transform("keys", lambda k: k * 0)))
+    words = [f"w{x}" for x in rng.integers(0, 20_000, 120)]
+    texts = {i: " ".join([*words[: 120 - i], *(f"e{i}x{j}" for j in range(i))]) for i in range(40)}
+    for i in range(100, 160, 2):
+        own = [f"r{x}" for x in rng.integers(0, 20_000, 90)]
+        texts |= {i: " ".join(own), i + 1: " ".join([*own, "more", "words"])}
+    want, _ = plain_components(texts)
+    assert components_of(spark, texts) == want
+
+
 def test_empty_table_and_other_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n long, keys string")
     assert simhash.near_copies(empty).count() == 0
