@@ -261,11 +261,12 @@ def cell_links(rows: DataFrame, firsts: DataFrame, links: DataFrame, shingle_wor
     homes = materialise(cells.join(labelled.select(F.col("doc_id").alias("largest"), F.col("label").alias("home")), "largest").drop("largest"), "near-homes")
     held = each.join(if_small(homes), ["t", "part"]).join(reach, "doc_id")
     some = labelled.join(if_small(ids), "doc_id", "left_semi").select("doc_id", "label", "n", "fp_1", "fp_2", F.transform(F.slice("keys", 1, tables), lambda k: F.shiftrightunsigned(k, KEY - bits)).alias("parts"))
-    found = few_pairs(each.join(large, ["t", "part"], "left_anti").join(reach, "doc_id", "left"), similarity, radius)
-    found = found.unionByName(common_pairs(held, similarity, radius)).unionByName(rare_pairs(some, split, similarity, radius))
-    found = materialise(found.distinct(), "near-cells")
+    few = materialise(few_pairs(each.join(large, ["t", "part"], "left_anti").join(reach, "doc_id", "left"), similarity, radius).distinct(), "near-few")
+    common = materialise(common_pairs(held, similarity, radius).distinct(), "near-common-pairs")
+    rare = materialise(rare_pairs(some, split, similarity, radius), "near-rare-pairs")  # one after the other: the driver holds what one of them broadcasts
+    found = materialise(few.unionByName(common).unionByName(rare).distinct(), "near-cells")
     links = links.unionByName(similar_pairs(rows, found, shingle_words, similarity))
-    for table in (cells, ids, split, stars, homes, found):
+    for table in (cells, ids, split, stars, homes, few, common, rare, found):
         discard(table)
     return links
 
@@ -293,7 +294,7 @@ def split_sets(sets: DataFrame, similarity: float) -> DataFrame:
     pair that shares none of its prefixes shares common shingles alone."""
     each = sets.select("doc_id", F.explode("grams").alias("gram"))
     hot = materialise(each.groupBy("gram").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE).select("gram"), "near-common")
-    own = each.join(if_small(hot), "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("hot"))
+    own = each.join(hot, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("hot"))
     own = sets.join(own, "doc_id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
     shared = F.greatest(F.lit(1), (F.ceil(similarity * F.size("grams") - 1e-9) - F.size("hot")).cast("int"))
     rare = F.array_except("grams", "hot")
